@@ -6,9 +6,9 @@ from .base import Query
 
 
 def all_queries() -> list[Query]:
-    from . import quality
+    from . import preparation, quality
 
-    out = [*quality.QUERIES]
+    out = [*quality.QUERIES, *preparation.QUERIES]
     names = [q.name for q in out]
     assert len(names) == len(set(names)), "query names must be unique"
     return out

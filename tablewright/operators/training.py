@@ -249,7 +249,7 @@ def train_models(
             return name, None, {}, f"{type(error).__name__}: {error}"[:500]
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(inheritable_thread_target(run), chosen))
+        results = list(pool.map(inheritable_thread_target(held.sparkSession)(run), chosen))
     rows_out, models = [], {}
     for name, model, metrics, error in results:
         if model is not None:
