@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..operators import charts, insights
-from ..operators.target import detect_task
+from ..operators.target import task_detection
 from ..sources.fingerprint import file_manifest, table_fingerprint
 from .base import DIRTY_COLUMNS, DIRTY_SQL, Query, dirty_orders, table, union_sql
 from .quality import DIRTY_NUMERIC, DUPLICATES_SQL, missing_sql, outlier_sql
@@ -144,9 +144,9 @@ def _order_cells(names):
 def _chart_plans(spark, folder):
     """The plan for each order column as a target; the data tells which task it sets."""
     orders, out = table(spark, folder, "orders"), None
+    tasks = {r["column"]: r["task"] for r in task_detection(orders).collect()}
     for name in orders.columns:
-        task = detect_task(orders, name)
-        plan = charts.recommend(orders, name, task).select(F.lit(name).alias("target"), "*")
+        plan = charts.recommend(orders, name, tasks[name]).select(F.lit(name).alias("target"), "*")
         out = plan if out is None else out.unionByName(plan)
     return out
 

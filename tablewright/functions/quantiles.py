@@ -2,11 +2,13 @@
 
 Spark's ``percentile`` keeps a map of every distinct value of a column in one
 task, which a column of doubles outgrows quickly.  Here a bounded sketch only
-*brackets* each wanted order statistic; plain counts then check the bracket, and
-only the few values inside it are brought together.  Brackets still holding too
-many values are sketched again, each pass shrinking them by a few hundred times,
-so the answer is exact and no task ever holds more than ``GATHER_LIMIT`` distinct
-values per wanted quantile.  All passes are partial aggregates: no data shuffle.
+proposes cut points around each wanted rank.  One small aggregate then counts the
+rows on and between the cut points, which tells *exactly* where each rank lies:
+on a cut point, whose value is the answer, or inside one zone.  A zone of few
+rows is brought to the driver as ``(value, count)``; a larger one is sketched and
+cut again, each round shrinking it a few hundred times.  The sketch never decides
+a result, only how many rounds are needed.  All rounds are partial aggregates of
+a few rows per task: no shuffle of data.
 """
 
 from __future__ import annotations
@@ -20,33 +22,31 @@ from pyspark.sql import functions as F
 
 from .schema import col
 
-SKETCH_ACCURACY = 1000
-SKETCH_MARGIN = 4.0 / SKETCH_ACCURACY
+SKETCH_SIZE = 1000
+SKETCH_MARGIN = 0.004  # beyond the sketch's own rank error of about 0.002
 GATHER_LIMIT = 20_000
 
 
 @dataclass
-class _Target:
-    """One wanted quantile of one column and the bracket known to hold it."""
-
-    column: str
-    prob: float
-    position: float = 0.0
-    lo: float | None = None
-    hi: float | None = None
-    below: int = 0
-    inside: int = 0
-    answer: float | None = None
-    done: bool = False
-
-    def bracket(self) -> Column:
-        c = col(self.column)
-        test = c.isNotNull()
-        if self.lo is not None:
-            test = test & (c >= F.lit(self.lo))
-        if self.hi is not None:
-            test = test & (c <= F.lit(self.hi))
-        return test
+class _Zone:
+    """Rows strictly between two cut points (None: no bound) and their ranks."""
+
+    column: int
+    low: float | None
+    high: float | None
+    before: int = 0
+    rows: int = 0
+    least: float | None = None
+    most: float | None = None
+
+    def test(self) -> Column:
+        v = F.col(f"v{self.column}")
+        inside = v.isNotNull()
+        if self.low is not None:
+            inside = inside & (v > F.lit(self.low))
+        if self.high is not None:
+            inside = inside & (v < F.lit(self.high))
+        return inside
 
 
 def interpolate(position: float, lower: float, upper: float) -> float:
@@ -64,129 +64,193 @@ def exact_quantiles(
     gather_limit: int = GATHER_LIMIT,
 ) -> dict[str, dict[float, float | None]]:
     """``{column: {prob: value}}`` with linear interpolation, NULLs left out."""
-    if not columns:
-        return {}
-    data = df.select(*[col(c).cast("double").alias(c) for c in columns])
-    targets = [_Target(c, p) for c in columns for p in dict.fromkeys(probs)]
-    counts = _first_brackets(data, columns, targets)
-    for t in targets:
-        n = counts[t.column]
-        t.inside = n
-        t.done = n == 0
-        t.position = (n - 1) * t.prob
-    _confirm(data, targets)
-    while any(not t.done and t.inside > gather_limit for t in targets):
-        wide = [t for t in targets if not t.done and t.inside > gather_limit]
-        before = [(t.lo, t.hi, t.inside) for t in wide]
-        _narrow(data, wide)
-        if before == [(t.lo, t.hi, t.inside) for t in wide]:
-            break  # only neighbouring values are left; the gather groups them
-    _gather(data, [t for t in targets if not t.done])
-    out: dict[str, dict[float, float | None]] = {c: {} for c in columns}
-    for t in targets:
-        out[t.column][t.prob] = t.answer
+    names, wanted = list(columns), list(dict.fromkeys(probs))
+    if not names or not wanted:
+        return {c: {} for c in names}
+    data = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    cuts = _first_cuts(data, len(names), wanted)
+    whole = {i: (None, None, 0, c) for i, c in enumerate(cuts)}
+    zones, points = _count_zones(data, whole, list(whole))
+    sizes = {
+        i: sum(z.rows for z in zones if z.column == i)
+        + sum(n for (c, _), (_, n) in points.items() if c == i)
+        for i in range(len(names))
+    }
+    ranks = {
+        (i, r)
+        for i, n in sizes.items()
+        if n
+        for p in wanted
+        for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))
+    }
+    found: dict[tuple[int, int], float] = {}
+    while True:
+        open_zones = _settle(ranks, zones, points, found)
+        wide = [z for z in open_zones if z.rows > gather_limit]
+        _gather(data, [z for z in open_zones if z.rows <= gather_limit], ranks, found)
+        if not wide:
+            break
+        inner = _inner_cuts(data, wide, ranks - set(found))
+        plan = {j: (z.low, z.high, z.before, c) for j, (z, c) in enumerate(zip(wide, inner))}
+        zones, points = _count_zones(data, plan, [z.column for z in wide])
+    out: dict[str, dict[float, float | None]] = {c: {} for c in names}
+    for i, c in enumerate(names):
+        for p in wanted:
+            if not sizes[i]:
+                out[c][p] = None
+                continue
+            position = (sizes[i] - 1) * p
+            out[c][p] = interpolate(
+                position, found[i, math.floor(position)], found[i, math.ceil(position)]
+            )
     return out
 
 
-def _first_brackets(data: DataFrame, columns, targets: list[_Target]) -> dict[str, int]:
-    aggs = []
-    for i, c in enumerate(columns):
-        fractions = [
-            f
-            for t in targets
-            if t.column == c
-            for f in (max(t.prob - SKETCH_MARGIN, 0.0), min(t.prob + SKETCH_MARGIN, 1.0))
-        ]
-        aggs += [
-            F.count(col(c)).alias(f"n{i}"),
-            F.min(col(c)).alias(f"min{i}"),
-            F.max(col(c)).alias(f"max{i}"),
-            F.percentile_approx(col(c), fractions, SKETCH_ACCURACY).alias(f"q{i}"),
+def _around(fractions: Sequence[float]) -> list[float]:
+    spread = {round(min(max(f + s, 0.0), 1.0), 9) for f in fractions for s in (-SKETCH_MARGIN, SKETCH_MARGIN)}
+    return sorted(spread)
+
+
+def _first_cuts(data: DataFrame, n: int, probs: Sequence[float]) -> list[list[float]]:
+    sketches = data.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(n)],
+        *[F.kll_sketch_agg_double(f"v{i}", F.lit(SKETCH_SIZE)).alias(f"k{i}") for i in range(n)],
+    )
+    fractions = F.array(*[F.lit(f) for f in _around(probs)])
+    row = sketches.select(
+        *[
+            F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"k{i}", fractions)).alias(
+                f"q{i}"
+            )
+            for i in range(n)
         ]
-    row = data.agg(*aggs).first()
-    counts = {}
-    for i, c in enumerate(columns):
-        counts[c] = row[f"n{i}"]
-        mine = [t for t in targets if t.column == c]
-        if row[f"n{i}"] == 0:
-            continue
-        for j, t in enumerate(mine):
-            t.lo = row[f"min{i}"] if t.prob <= SKETCH_MARGIN else row[f"q{i}"][2 * j]
-            t.hi = row[f"max{i}"] if t.prob >= 1 - SKETCH_MARGIN else row[f"q{i}"][2 * j + 1]
-    return counts
-
-
-def _confirm(data: DataFrame, targets: list[_Target], fallback=None) -> None:
-    """Count what lies below and inside each bracket; reopen a side that misses."""
-    live = [t for t in targets if not t.done]
-    while live:
-        aggs = []
-        for i, t in enumerate(live):
-            c = col(t.column)
-            below = F.lit(False) if t.lo is None else c < F.lit(t.lo)
-            aggs += [
-                F.count_if(below).alias(f"b{i}"),
-                F.count_if(t.bracket()).alias(f"i{i}"),
-            ]
-        row = data.agg(*aggs).first()
-        missed = []
-        for i, t in enumerate(live):
-            t.below, t.inside = row[f"b{i}"], row[f"i{i}"]
-            old = fallback.get(id(t), (None, None)) if fallback else (None, None)
-            low_ok = t.below <= math.floor(t.position)
-            high_ok = math.ceil(t.position) < t.below + t.inside
-            if low_ok and high_ok:
-                if t.lo is not None and t.lo == t.hi:
-                    t.answer, t.done = float(t.lo), True
-                continue
-            if not low_ok:
-                t.lo = old[0]
-            if not high_ok:
-                t.hi = old[1]
-            missed.append(t)
-        live = missed
-
-
-def _narrow(data: DataFrame, wide: list[_Target]) -> None:
-    aggs = []
-    for i, t in enumerate(wide):
-        centre = (t.position - t.below) / max(t.inside - 1, 1)
-        fractions = [max(centre - SKETCH_MARGIN, 0.0), min(centre + SKETCH_MARGIN, 1.0)]
-        aggs.append(
-            F.percentile_approx(
-                F.when(t.bracket(), col(t.column)), fractions, SKETCH_ACCURACY
-            ).alias(f"q{i}")
-        )
-    row = data.agg(*aggs).first()
-    fallback = {id(t): (t.lo, t.hi) for t in wide}
-    for i, t in enumerate(wide):
-        t.lo, t.hi = row[f"q{i}"]
-    _confirm(data, wide, fallback)
+    ).first()
+    return [sorted(set(row[f"q{i}"] or [])) for i in range(n)]
 
 
-def _gather(data: DataFrame, live: list[_Target]) -> None:
-    """Bring the distinct values inside each checked bracket to the driver."""
-    if not live:
-        return
-    cells = F.array(
+def _inner_cuts(data: DataFrame, wide: list[_Zone], ranks) -> list[list[float]]:
+    """Cut points inside each zone, around the ranks it still holds."""
+    sketches = data.agg(
         *[
-            F.when(t.bracket(), F.struct(F.lit(i).alias("t"), col(t.column).alias("v")))
-            for i, t in enumerate(live)
+            F.kll_sketch_agg_double(
+                F.when(z.test(), F.col(f"v{z.column}")), F.lit(SKETCH_SIZE)
+            ).alias(f"k{j}")
+            for j, z in enumerate(wide)
         ]
     )
-    found = (
-        data.select(F.inline(F.filter(cells, lambda s: s.isNotNull())))
-        .groupBy("t", "v")
+    picks = []
+    for j, z in enumerate(wide):
+        held = [r for i, r in ranks if i == z.column and z.before <= r < z.before + z.rows]
+        inside = _around([(r - z.before) / max(z.rows - 1, 1) for r in held])
+        picks.append(
+            F.kll_sketch_get_quantile_double(
+                f"k{j}", F.array(*[F.lit(f) for f in inside])
+            ).alias(f"q{j}")
+        )
+    row = sketches.select(*picks).first()
+    # The least and the most value are cut points too, so every round makes progress.
+    return [
+        sorted({*row[f"q{j}"], z.least, z.most}) for j, z in enumerate(wide)
+    ]
+
+
+def _place(v: Column, cuts: Sequence[float], start: int, end: int) -> Column:
+    """Zone number of a value by halving: odd on a cut point, even between two."""
+    if start == end:
+        return F.lit(2 * start)
+    middle = (start + end) // 2
+    cut = F.lit(cuts[middle])
+    return (
+        F.when(v < cut, _place(v, cuts, start, middle))
+        .when(v > cut, _place(v, cuts, middle + 1, end))
+        .otherwise(F.lit(2 * middle + 1))
+    )
+
+
+def _count_zones(
+    data: DataFrame, plan: dict[int, tuple], columns: list[int]
+) -> tuple[list[_Zone], dict]:
+    """Exact row counts on and between the cut points of each planned range."""
+    cells = []
+    for i, (low, high, _, cuts) in plan.items():
+        v = F.col(f"v{columns[i]}")
+        outside = v.isNull()
+        if low is not None:
+            outside = outside | (v <= F.lit(low))
+        if high is not None:
+            outside = outside | (v >= F.lit(high))
+        cells += [F.lit(i), F.when(~outside, _place(v, cuts, 0, len(cuts))), v]
+    counted = (
+        data.select(F.stack(F.lit(len(plan)), *cells).alias("c", "z", "v"))
+        .filter("z IS NOT NULL")
+        .groupBy("c", "z")
+        .agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        .collect()
+    )
+    stats = {(r["c"], r["z"]): r for r in counted}
+    zones: list[_Zone] = []
+    points: dict[tuple[int, int], tuple[float, int]] = {}
+    for i, (low, high, before, cuts) in plan.items():
+        edges = [low, *cuts, high]
+        for z in range(2 * len(cuts) + 1):
+            r = stats.get((i, z))
+            if r is None:
+                continue
+            if z % 2:
+                points[columns[i], before] = (cuts[z // 2], r["n"])
+            else:
+                zones.append(
+                    _Zone(columns[i], edges[z // 2], edges[z // 2 + 1], before, r["n"], r["least"], r["most"])
+                )
+            before += r["n"]
+    return zones, points
+
+
+def _settle(ranks, zones: list[_Zone], points, found) -> list[_Zone]:
+    """Answer the ranks that fall on one value; return the zones that hold others."""
+    for (i, start), (value, n) in points.items():
+        for c, r in ranks:
+            if c == i and start <= r < start + n:
+                found[c, r] = float(value)
+    left = []
+    for z in zones:
+        held = [(c, r) for c, r in ranks if c == z.column and z.before <= r < z.before + z.rows]
+        for c, r in held:
+            if r == z.before or z.least == z.most:
+                found[c, r] = float(z.least)
+            elif r == z.before + z.rows - 1:
+                found[c, r] = float(z.most)
+        if any(h not in found for h in held):
+            left.append(z)
+    return left
+
+
+def _gather(data: DataFrame, zones: list[_Zone], ranks, found) -> None:
+    """Bring the distinct values of small zones to the driver and read the ranks off."""
+    if not zones:
+        return
+    by_column: dict[int, list[tuple[int, _Zone]]] = {}
+    for j, z in enumerate(zones):
+        by_column.setdefault(z.column, []).append((j, z))
+    cells = []
+    for i, members in by_column.items():
+        place = F.lit(None).cast("int")
+        for j, z in members:
+            place = F.when(z.test(), F.lit(j)).otherwise(place)
+        cells += [place, F.col(f"v{i}")]
+    values = (
+        data.select(F.stack(F.lit(len(by_column)), *cells).alias("z", "v"))
+        .filter("z IS NOT NULL")
+        .groupBy("z", "v")
         .agg(F.count("*").alias("n"))
         .toArrow()
         .to_pandas()
-        .sort_values(["t", "v"])
+        .sort_values(["z", "v"])
     )
-    for i, t in enumerate(live):
-        part = found[found["t"] == i]
-        upto = part["n"].cumsum().to_numpy() + t.below
-        values = part["v"].to_numpy()
-        floor, ceil = math.floor(t.position), math.ceil(t.position)
-        lower = float(values[int((upto <= floor).sum())])
-        upper = float(values[int((upto <= ceil).sum())])
-        t.answer, t.done = interpolate(t.position, lower, upper), True
+    for j, z in enumerate(zones):
+        part = values[values["z"] == j]
+        upto = part["n"].cumsum().to_numpy() + z.before
+        ordered = part["v"].to_numpy()
+        for c, r in ranks:
+            if c == z.column and z.before <= r < z.before + z.rows:
+                found[c, r] = float(ordered[int((upto <= r).sum())])

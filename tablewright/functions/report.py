@@ -56,3 +56,11 @@ def per_column(
 def local_rows(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small report (bounded by columns or checks) as a DataFrame."""
     return df.sparkSession.createDataFrame(list(rows), schema)
+
+
+def settled(report: DataFrame) -> DataFrame:
+    """Run a small report now and keep its rows, so that readers share one run.
+
+    Only for reports bounded by columns, checks or models.
+    """
+    return report.sparkSession.createDataFrame([tuple(r) for r in report.collect()], report.schema)

@@ -31,10 +31,10 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_overall(df: DataFrame) -> DataFrame:
+def missing_overall(df: DataFrame, by_column: DataFrame | None = None) -> DataFrame:
     """Missing cells over the whole table and the columns that have any."""
     cells = F.sum("n_rows")
-    return missing_by_column(df).agg(
+    return (missing_by_column(df) if by_column is None else by_column).agg(
         F.max("n_rows").alias("n_rows"),
         F.count("*").alias("n_columns"),
         F.sum("missing_count").alias("total_missing"),
@@ -55,7 +55,7 @@ def cells_missing(df: DataFrame) -> Column:
     return sum((col(c).isNull().cast("int") for c in df.columns), F.lit(0))
 
 
-def _row_histogram(df: DataFrame) -> DataFrame:
+def row_histogram(df: DataFrame) -> DataFrame:
     """Rows per number of missing cells: never more rows than columns plus one."""
     share = F.col("cells") * F.lit(100.0) / F.lit(max(len(df.columns), 1))
     return (
@@ -66,14 +66,14 @@ def _row_histogram(df: DataFrame) -> DataFrame:
     )
 
 
-def row_missing_distribution(df: DataFrame) -> DataFrame:
+def row_missing_distribution(df: DataFrame, histogram: DataFrame | None = None) -> DataFrame:
     """Describe the per-row missing share; computed from the small histogram."""
     n, x = F.col("n").cast("double"), F.col("x")
     total, first, second = F.sum(n), F.sum(n * x), F.sum(n * x * x)
     variance = F.try_divide(second - first * F.try_divide(first, total), total - 1)
     quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     return (
-        _row_histogram(df)
+        (row_histogram(df) if histogram is None else histogram)
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
             F.coalesce(F.sum(F.when(x > 0, F.col("n"))), F.lit(0)).alias("rows_with_missing"),
@@ -101,12 +101,13 @@ def row_missing_check(
     df: DataFrame,
     row_limit: float = ROW_MAX_MISSING_PCT,
     rows_limit: float = ROWS_OVER_LIMIT_PCT,
+    histogram: DataFrame | None = None,
 ) -> DataFrame:
     """Warn when too many rows are mostly missing."""
     over = F.coalesce(F.sum(F.when(F.col("x") > row_limit, F.col("n"))), F.lit(0))
     share = F.try_divide(over * F.lit(100.0), F.sum("n"))
     return (
-        _row_histogram(df)
+        (row_histogram(df) if histogram is None else histogram)
         .agg(over.alias("rows_over"), share.alias("share"))
         .select(
             "rows_over",
@@ -117,7 +118,9 @@ def row_missing_check(
 
 
 def co_missing_correlation(
-    df: DataFrame, threshold: float = CO_MISSING_CORRELATION
+    df: DataFrame,
+    threshold: float = CO_MISSING_CORRELATION,
+    by_column: DataFrame | None = None,
 ) -> DataFrame:
     """Column pairs whose null indicators correlate: ``(column_a, column_b, r)``.
 
@@ -127,7 +130,7 @@ def co_missing_correlation(
     schema = "column_a string, column_b string, correlation double"
     partly = [
         r["column"]
-        for r in missing_by_column(df)
+        for r in (missing_by_column(df) if by_column is None else by_column)
         .filter("missing_count > 0 AND missing_count < n_rows")
         .collect()
     ]

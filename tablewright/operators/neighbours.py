@@ -100,16 +100,21 @@ def _best(ids, x, other_ids, other_x, other_y, k):
         for d in range(x.shape[1]):
             gap = rows[:, d][:, None] - other_x[:, d][None, :]
             far += gap * gap
-        # Stable over ascending keys, so equal distances keep the smaller key.
-        picks = np.argsort(far, axis=1, kind="stable")[:, :k]
-        width = picks.shape[1]
+        kept = min(k, far.shape[1])
+        edge = np.partition(far, kept - 1, axis=1)[:, kept - 1 : kept]
+        r, c = np.nonzero(far <= edge)  # ties at the edge included
+        order = np.lexsort((c, far[r, c], r))  # keys ascend with c
+        r, c = r[order], c[order]
+        first = np.searchsorted(r, np.arange(len(rows)))
+        near = np.arange(len(r)) - first[r] < kept
+        r, c = r[near], c[near]
         parts.append(
             pd.DataFrame(
                 {
-                    "id": np.repeat(ids[start : start + step], width),
-                    "neighbour": other_ids[picks].ravel(),
-                    "distance2": np.take_along_axis(far, picks, axis=1).ravel(),
-                    "y": other_y[picks].ravel(),
+                    "id": ids[start : start + step][r],
+                    "neighbour": other_ids[c],
+                    "distance2": far[r, c],
+                    "y": other_y[c],
                 }
             )
         )

@@ -33,78 +33,82 @@ def _label(p: float) -> str:
     return f"p{round(p * 100):02d}" if p < 0.1 else f"p{round(p * 100)}"
 
 
-def describe(
+SECTIONS = ("describe", "health", "shape")
+
+
+def numeric_report(
     df: DataFrame,
     columns: Sequence[str] | None = None,
+    sections: Sequence[str] = SECTIONS,
     probs: Sequence[float] = PROFILE_PROBS,
     digits: int = 4,
 ) -> DataFrame:
-    """Count, mean, sample deviation, min, quantiles and max per column."""
+    """The wanted sections for each column: one quantile run and one aggregate.
+
+    describe: count, mean, std, min, quantiles, max.  health: zeros, negatives,
+    infinites and the interquartile range.  shape: skewness and kurtosis.
+    """
     names = _names(df, columns)
-    quantiles = exact_quantiles(df, names, probs)
+    wanted = list(probs) if "describe" in sections else []
+    if "health" in sections:
+        wanted += [0.25, 0.75]
+    found = exact_quantiles(df, names, wanted)
+
+    def measures(c):
+        x = as_double(c)
+        out = {"min": F.min(x), "max": F.max(x)}
+        if "describe" in sections:
+            out |= {"count": F.count(col(c)), "mean": F.avg(x), "std": F.stddev_samp(x)}
+        if "health" in sections:
+            out |= {
+                "zeros": F.count_if(col(c) == 0),
+                "negatives": F.count_if(col(c) < 0),
+                "infinites": F.count_if(F.abs(x) == float("inf")),
+            }
+        if "shape" in sections:
+            out |= {"skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x)}
+        return out
 
     def shape(c, m):
-        points = {_label(p): F.round(F.lit(quantiles[c][p]).cast("double"), digits) for p in probs}
-        return {
-            "count": m["count"],
-            "mean": F.round(m["mean"], digits),
-            "std": F.round(m["std"], digits),
-            "min": F.round(m["min"], digits),
-            **points,
-            "max": F.round(m["max"], digits),
-        }
-
-    return per_column(
-        df,
-        names,
-        lambda c: {
-            "count": F.count(col(c)),
-            "mean": F.avg(as_double(c)),
-            "std": F.stddev_samp(as_double(c)),
-            "min": F.min(as_double(c)),
-            "max": F.max(as_double(c)),
-        },
-        shape,
-        "column string, count bigint",
-    )
+        q, out = found[c], {}
+        if "describe" in sections:
+            points = {_label(p): F.round(F.lit(q[p]).cast("double"), digits) for p in probs}
+            low, high = F.round(m["min"], digits), F.round(m["max"], digits)
+            out |= {"count": m["count"], "mean": F.round(m["mean"], digits)}
+            out |= {"std": F.round(m["std"], digits), "min": low, **points, "max": high}
+        if "health" in sections:
+            iqr = None if q[0.25] is None else q[0.75] - q[0.25]
+            out |= {k: m[k] for k in ("zeros", "negatives", "infinites")}
+            out |= {"lowest": m["min"], "highest": m["max"]}
+            out["iqr"] = F.round(F.lit(iqr).cast("double"), 6)
+        if "shape" in sections:
+            out["skewness"] = signless(F.round(m["skewness"], 6))
+            out["kurtosis"] = signless(F.round(m["kurtosis"], 6))
+        return out
+
+    return per_column(df, names, measures, shape, "column string, count bigint")
+
+
+def describe(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    probs: Sequence[float] = PROFILE_PROBS,
+    digits: int = 4,
+) -> DataFrame:
+    """Count, mean, sample deviation, min, quantiles and max per column."""
+    return numeric_report(df, columns, ("describe",), probs, digits)
 
 
 def numeric_health(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Zeros, negatives, infinities, range and interquartile range per column."""
-    names = _names(df, columns)
-    quantiles = exact_quantiles(df, names, (0.25, 0.75))
-
-    def shape(c, m):
-        q1, q3 = quantiles[c][0.25], quantiles[c][0.75]
-        iqr = None if q1 is None else q3 - q1
-        return {**m, "iqr": F.round(F.lit(iqr).cast("double"), 6)}
-
-    return per_column(
-        df,
-        names,
-        lambda c: {
-            "zeros": F.count_if(col(c) == 0),
-            "negatives": F.count_if(col(c) < 0),
-            "infinites": F.count_if(F.abs(as_double(c)) == float("inf")),
-            "min": F.min(as_double(c)),
-            "max": F.max(as_double(c)),
-        },
-        shape,
-        "column string, zeros bigint",
+    return numeric_report(df, columns, ("health",)).withColumnsRenamed(
+        {"lowest": "min", "highest": "max"}
     )
 
 
 def skew_kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Bias-corrected skewness and excess kurtosis per column."""
-    return per_column(
-        df,
-        _names(df, columns),
-        lambda c: {
-            "skewness": signless(F.round(sample_skewness(as_double(c)), 6)),
-            "kurtosis": signless(F.round(sample_kurtosis(as_double(c)), 6)),
-        },
-        schema="column string, skewness double, kurtosis double",
-    )
+    return numeric_report(df, columns, ("shape",))
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

@@ -25,7 +25,9 @@ def duplicate_names(df: DataFrame) -> list[str]:
     return sorted(n for n, k in counts.items() if k > 1)
 
 
-def schema_report(df: DataFrame, distinct: dict[str, int] | None = None) -> DataFrame:
+def schema_report(
+    df: DataFrame, distinct: dict[str, int] | None = None, by_column: DataFrame | None = None
+) -> DataFrame:
     """``(check, severity, column, metric, value, threshold)`` rows.
 
     Two jobs feed it: one aggregate of missing counts and one frequency shuffle.
@@ -37,7 +39,8 @@ def schema_report(df: DataFrame, distinct: dict[str, int] | None = None) -> Data
     ]
     if twice:
         return local_rows(df, rows, REPORT_SCHEMA)
-    missing = {r["column"]: r for r in missing_by_column(df).collect()}
+    gaps = missing_by_column(df) if by_column is None else by_column
+    missing = {r["column"]: r for r in gaps.collect()}
     total = next((r["n_rows"] for r in missing.values()), 0)
     counts = distinct if distinct is not None else distinct_lookup(df, flat_columns(df))
     for c, r in missing.items():

@@ -38,8 +38,13 @@ def target_correlations(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def id_like_columns(df: DataFrame, target: str | None = None) -> DataFrame:
-    """64-bit columns where nearly every row has its own value."""
+def id_like_columns(
+    df: DataFrame, target: str | None = None, distinct: dict[str, int] | None = None
+) -> DataFrame:
+    """64-bit columns where nearly every row has its own value.
+
+    ``distinct`` takes counts that are known already.
+    """
     names = [
         f.name
         for f in df.schema.fields
@@ -47,14 +52,19 @@ def id_like_columns(df: DataFrame, target: str | None = None) -> DataFrame:
     ]
     total = df.agg(F.count("*").alias("rows")).scalar()
     ratio = F.try_divide(F.col("n_distinct").cast("double"), total)
+    if distinct is None:
+        counts = distinct_counts(df, names)
+    else:
+        counts = local_rows(df, [(c, distinct[c]) for c in names], "column string, n_distinct bigint")
     return (
-        distinct_counts(df, names)
-        .filter(ratio > ID_RATIO)
+        counts.filter(ratio > ID_RATIO)
         .select("column", F.round(ratio, 6).alias("unique_ratio"))
     )
 
 
-def target_leakage(df: DataFrame, target: str) -> DataFrame:
+def target_leakage(
+    df: DataFrame, target: str, distinct: dict[str, int] | None = None
+) -> DataFrame:
     """``(check, column, value)`` rows: correlated, id-like and time columns."""
     if target not in df.columns:
         return local_rows(df, [], "check string, column string, value double")
@@ -67,7 +77,7 @@ def target_leakage(df: DataFrame, target: str) -> DataFrame:
             F.round("correlation", 6).alias("value"),
         )
     )
-    ids = id_like_columns(df, target).select(
+    ids = id_like_columns(df, target, distinct).select(
         F.lit("id_like").alias("check"), "column", F.col("unique_ratio").alias("value")
     )
     times = local_rows(

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.report import local_rows
+from ..functions.report import local_rows, settled
 from ..functions.schema import flat_columns
 from ..operators.frequency import cardinality, duplicate_rows, most_least_frequent, top_values
 from ..operators.missing import missing_by_column, missing_overall
-from ..operators.numeric import describe, numeric_health, skew_kurtosis
+from ..operators.numeric import numeric_report
 from ..operators.target import target_analysis
 from ..operators.typing import ColumnType, infer_types, types_by_class
 
@@ -119,7 +119,8 @@ def profile(
     """
     types = types if types is not None else infer_types(df)
     by_class = types_by_class(types)
-    gaps = missing_overall(df).first()
+    by_column = settled(missing_by_column(df))
+    gaps = missing_overall(df, by_column).first()
     twice = duplicate_rows(df).first()
     rows = twice["n_rows"]
     facts: list[tuple] = [
@@ -133,19 +134,18 @@ def profile(
     facts += [("types", None, k, float(len(v)), None) for k, v in by_class.items()]
     facts += [("schema", t.column, "physical_type", None, t.physical_type) for t in types]
     parts = [
-        _spread(missing_by_column(df), "missing", ["missing_count", "missing_pct"]),
+        _spread(by_column, "missing", ["missing_count", "missing_pct"]),
         _spread(cardinality(df, flat_columns(df)), "cardinality", ["n_distinct", "ratio"]),
     ]
     if by_class["numeric"]:
         names = by_class["numeric"]
-        numbers = describe(df, names)
-        parts.append(
-            _spread(numbers, "numeric", [c for c in numbers.columns if c != "column"])
-        )
-        parts.append(
-            _spread(numeric_health(df, names), "health", ["zeros", "negatives", "infinites", "iqr"])
-        )
-        parts.append(_spread(skew_kurtosis(df, names), "shape", ["skewness", "kurtosis"]))
+        numbers = settled(numeric_report(df, names))
+        health = ["zeros", "negatives", "infinites", "iqr"]
+        form = ["skewness", "kurtosis"]
+        other = {"column", "lowest", "highest", *health, *form}
+        parts.append(_spread(numbers, "numeric", [c for c in numbers.columns if c not in other]))
+        parts.append(_spread(numbers, "health", health))
+        parts.append(_spread(numbers, "shape", form))
     if by_class["categorical"]:
         names = by_class["categorical"]
         ends = most_least_frequent(df, names)

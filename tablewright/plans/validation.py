@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.report import local_rows
+from ..functions.report import local_rows, settled
 from ..functions.schema import flat_columns, is_text
 from ..operators import missing, outliers, target
 from ..operators.frequency import distinct_lookup
@@ -75,9 +75,12 @@ def size_warnings(rows: int, columns: int, has_target: bool) -> list[tuple]:
     return out
 
 
-def missing_report(df: DataFrame, config: ValidationConfig) -> DataFrame:
+def missing_report(
+    df: DataFrame, config: ValidationConfig, by_column: DataFrame | None = None
+) -> DataFrame:
     """Missing-data findings in the common report shape, statistics included."""
-    per_column = missing.missing_by_column(df)
+    per_column = settled(missing.missing_by_column(df)) if by_column is None else by_column
+    histogram = settled(missing.row_histogram(df))
     limit = config.column_max_missing_pct
 
     def info(source, metric, value):
@@ -99,7 +102,7 @@ def missing_report(df: DataFrame, config: ValidationConfig) -> DataFrame:
         F.lit(limit).alias("threshold"),
     )
     rows_over = (
-        missing.row_missing_check(df, config.row_max_missing_pct)
+        missing.row_missing_check(df, config.row_max_missing_pct, histogram=histogram)
         .filter("is_warning")
         .select(
             F.lit("row_missing").alias("check"),
@@ -111,7 +114,7 @@ def missing_report(df: DataFrame, config: ValidationConfig) -> DataFrame:
         )
     )
     together = (
-        missing.co_missing_correlation(df)
+        missing.co_missing_correlation(df, by_column=per_column)
         .orderBy("column_a", "column_b")
         .limit(SHOWN_PATTERNS)
         .select(
@@ -123,11 +126,11 @@ def missing_report(df: DataFrame, config: ValidationConfig) -> DataFrame:
             F.lit(missing.CO_MISSING_CORRELATION).alias("threshold"),
         )
     )
-    overall = missing.missing_overall(df)
+    overall = settled(missing.missing_overall(df, per_column))
     out = over.unionByName(rows_over).unionByName(together)
     for metric in ("total_missing", "total_missing_pct", "columns_with_missing"):
         out = out.unionByName(info(overall, metric, metric))
-    spread = missing.row_missing_distribution(df)
+    spread = settled(missing.row_missing_distribution(df, histogram))
     for metric in ("rows_with_missing", "mean", "std", "min", "p25", "p50", "p75", "max"):
         rounded = spread.select(F.round(F.col(metric).cast("double"), 6).alias(metric))
         label = metric if metric == "rows_with_missing" else f"row_missing_{metric}"
@@ -136,7 +139,7 @@ def missing_report(df: DataFrame, config: ValidationConfig) -> DataFrame:
 
 
 def _target_report(df: DataFrame, name: str, distinct: dict[str, int]) -> DataFrame:
-    out = target.target_leakage(df, name).select(
+    out = target.target_leakage(df, name, distinct).select(
         "check",
         F.lit("warning").alias("severity"),
         "column",
@@ -179,9 +182,11 @@ def validate(
     """Run all checks.  Errors always fail; warnings do when the config says so."""
     cfg = ValidationConfig.merged(config)
     distinct = distinct_lookup(df, flat_columns(df))
-    report = schema_report(df, distinct)
-    rows = df.count()
-    report = report.unionByName(missing_report(df, cfg))
+    gaps = settled(missing.missing_by_column(df))
+    first = gaps.first()
+    rows = first["n_rows"] if first else 0
+    report = schema_report(df, distinct, gaps)
+    report = report.unionByName(missing_report(df, cfg, gaps))
     flagged = outliers.outlier_report(df, cfg.outlier_method, cfg.outlier_threshold)
     report = report.unionByName(
         flagged.select(
