@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,7 +126,7 @@ def literal_categories(
     return {c: sorted(found[c]) if c in found else None for c in columns}
 
 
-def code_dictionary(df: DataFrame, column: str) -> DataFrame:
+def code_dictionary(df: DataFrame, column: str, per_bucket: int = 100_000) -> DataFrame:
     """``(value, code)`` with codes in value order, for a dictionary of any size.
 
     A window over the whole dictionary would be one task, so sorted values are
@@ -135,13 +135,14 @@ def code_dictionary(df: DataFrame, column: str) -> DataFrame:
     """
     values = categories(df, column)
     total = values.count()
-    wanted = min(1000, max(1, total // 100_000))
+    wanted = min(1000, max(1, total // per_bucket))
     sampled = values.select("value").sample(False, min(1.0, 20_000 / max(total, 1)), seed=SEED)
     bounds = sorted(r["value"] for r in sampled.collect())
     cuts = bounds[:: max(1, len(bounds) // wanted)] if wanted > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda b: b <= F.col("value"))) if cuts else F.lit(0)
-    from pyspark.sql import Window
-
+    bucket = F.lit(0)
+    if cuts:
+        known = F.array(*[F.lit(c) for c in cuts])
+        bucket = F.size(F.filter(known, lambda b: b <= F.col("value")))
     marked = values.select("value", "n", bucket.alias("b"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # <= 1000 rows
     offsets = (
@@ -155,16 +156,22 @@ def code_dictionary(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def join_codes(df: DataFrame, column: str, dictionary: DataFrame, out: str) -> DataFrame:
+def join_codes(
+    df: DataFrame,
+    column: str,
+    dictionary: DataFrame,
+    out: str,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Add the code of each row's value; unknown and missing values get -1.
 
-    A dictionary of at most ``BROADCAST_ROWS`` rows is broadcast.  Beyond that
+    A dictionary of at most ``broadcast_rows`` rows is broadcast.  Beyond that
     its most frequent values are, and rows holding one of those are spread over
     dummy keys for the shuffled join, so no value makes a hot partition.
     """
     entries = dictionary.select(F.col("value").alias("__v"), F.col("code").alias("__code"))
     text = col(column).cast("string")
-    if dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if dictionary.limit(broadcast_rows + 1).count() <= broadcast_rows:
         joined = df.join(F.broadcast(entries), text == F.col("__v"), "left")
         return joined.withColumn(out, F.coalesce("__code", F.lit(-1.0))).drop("__v", "__code")
     hot = dictionary.orderBy(F.desc("n"), "value").limit(HOT_VALUES)
@@ -276,10 +283,6 @@ class FeaturePlan:
     audit: DataFrame
     names: list[str] = field(default_factory=list)
 
-    @property
-    def vector_sizes(self) -> dict[str, int]:
-        return {c: 1 for c in self.names}
-
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Feature columns as doubles, then the target and the columns to keep."""
         extra = [c for c in (*keep, *([self.target] if self.target else [])) if c in df.columns]
@@ -300,9 +303,32 @@ class FeaturePlan:
         plain = wide.select(
             *[col(n).alias(s) for n, s in zip(self.names, safe)], *[col(c) for c in rest]
         )
+        if self.config.encoding == "onehot" and self.dictionaries:
+            plain, safe = self._sparse(plain, safe)
         packed = VectorAssembler(inputCols=safe, outputCol="features").transform(plain)
         return packed.select(*[col(c) for c in rest], "features")
 
+    def _sparse(self, plain: DataFrame, safe: list[str]) -> tuple[DataFrame, list[str]]:
+        """One-hot vectors from the codes of dictionaries too long for columns.
+
+        The vectors are sparse: a row stores one entry, whatever the dictionary's
+        size.  An unknown value (code -1) becomes all zeros.
+        """
+        from pyspark.ml.feature import OneHotEncoder
+
+        raw = [n for n, _ in self.columns]
+        for column, _, dictionary, _ in self.dictionaries:
+            i = raw.index(f"cat__{column}")
+            size = dictionary.count()
+            top = plain.sparkSession.createDataFrame([(float(size - 1),)], f"{safe[i]} double")
+            encoder = OneHotEncoder(
+                inputCol=safe[i], outputCol=f"{safe[i]}v", handleInvalid="keep", dropLast=True
+            ).fit(top)
+            known = F.when(F.col(safe[i]) >= 0, F.col(safe[i])).otherwise(F.lit(float(size)))
+            plain = encoder.transform(plain.withColumn(safe[i], known))
+            safe = [f"{s}v" if s == safe[i] else s for s in safe]
+        return plain, safe
+
 
 @dataclass
 class Prepared:
