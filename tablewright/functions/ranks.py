@@ -41,13 +41,16 @@ def prefix_length(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
 
 def hash_rank(
     df: DataFrame,
-    key: Sequence[str] | None,
+    key: Sequence[str],
     seed: int,
     group: Column | None = None,
     name: str = "rank",
     rows: int | None = None,
 ) -> DataFrame:
-    """Add the 1-based position of each row in hash order, within its group."""
+    """Add the 1-based position of each row in hash order, within its group.
+
+    ``key`` must tell rows apart: equal keys would share a bucket.
+    """
     digits = prefix_length(df.count() if rows is None else rows)
     grouped = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit("\u0000"))
     marked = df.withColumns({"__g": grouped, "__h": row_hash(df, key, seed)}).withColumn(
@@ -80,6 +83,7 @@ def hash_cutoffs(
 
     The result has one entry per group, so it is only as large as the number of
     classes; rows are then split by comparing their hash, with no shuffle at all.
+    Where nothing of the last bucket fits, its prefix is the cut.
     """
     digits = prefix_length(df.count() if rows is None else rows)
     marked = df.select(group.cast("string").alias("g"), row_hash(df, key, seed).alias("h"))
@@ -104,11 +108,18 @@ def hash_cutoffs(
         here = F.col("g").eqNullSafe(F.lit(g)) & (F.col("b") == b)
         at_edge = at_edge | here
         need = F.when(here, F.lit(k)).otherwise(need)
-    ordered = Window.partitionBy("g").orderBy("h")
+    # Copies of a row share its hash: count them first, so that a crowd of copies
+    # is one row here.  The cut never splits them and never takes too many.
+    upto_hash = Window.partitionBy("g").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     found = (
         marked.filter(at_edge)
-        .withColumns({"k": need, "pos": F.row_number().over(ordered)})
-        .filter("pos = k")
+        .groupBy("g", "b", "h")
+        .agg(F.count("*").alias("n"))
+        .withColumns({"k": need, "pos": F.sum("n").over(upto_hash)})
+        .filter("pos <= k")
+        .groupBy("g")
+        .agg(F.max("h").alias("h"))
         .collect()
     )
-    return {r["g"]: (r["h"], edges[r["g"]][2]) for r in found}
+    cuts = {r["g"]: r["h"] for r in found}
+    return {g: (cuts.get(g, b), want) for g, (b, _, want) in edges.items()}

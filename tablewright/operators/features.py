@@ -177,7 +177,7 @@ def join_codes(
     hot = dictionary.orderBy(F.desc("n"), "value").limit(HOT_VALUES)
     hot = hot.select(F.col("value").alias("__hv"), F.col("code").alias("__hot"))
     spread = F.concat(
-        F.lit("\u0000"), F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(HOT_SPREAD))
+        F.lit("\u0000"), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SPREAD))
     )
     marked = df.join(F.broadcast(hot), text == F.col("__hv"), "left").withColumn(
         "__k", F.when(F.col("__hot").isNull() & text.isNotNull(), text).otherwise(spread)

@@ -36,8 +36,10 @@ def _bullets(raw: Column) -> Column:
 
 
 def _text(v: Column) -> Column:
-    """Plain text for scalars, JSON for anything nested."""
-    return F.coalesce(v.try_cast("string"), F.to_json(v))
+    """Plain text for scalars (None, True and False included), JSON for anything nested."""
+    word = F.coalesce(v.try_cast("string"), F.to_json(v))
+    truth = F.schema_of_variant(v) == "BOOLEAN"
+    return F.when(F.is_variant_null(v), "None").when(truth, F.initcap(word)).otherwise(word)
 
 
 def validate_narratives(df: DataFrame, key: str, raw: str) -> DataFrame:

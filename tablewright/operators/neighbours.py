@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.schema import col
+from ..session import checkpointed
 
 K = 5
 BROADCAST_CELLS = 4_000_000
@@ -35,7 +36,8 @@ def nearest(
 ) -> DataFrame:
     """``(key, neighbour, distance2, label)``: the ``k`` closest training rows.
 
-    Ties go to the smaller neighbour key; distances are squared Euclidean.
+    Ties go to the smaller neighbour key; distances are squared Euclidean.  The
+    key must tell the test rows apart.
     """
     x = F.array(*[col(c).cast("double") for c in features])
     base = train.select(col(key).alias("id"), col(label).alias("y"), x.alias("x"))
@@ -176,7 +178,7 @@ def _against_cells(base: DataFrame, probe: DataFrame, k: int, chunk_rows: int) -
     placed_schema = T.StructType(
         [*base.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())]
     )
-    placed = base.mapInPandas(place, placed_schema)
+    placed = checkpointed(base.mapInPandas(place, placed_schema))  # read three times
     near = Window.partitionBy("cell").orderBy("far")
     # Per cell: rows, radius, and how far its k-th closest row is from the pivot.
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas()
@@ -218,12 +220,14 @@ def _against_cells(base: DataFrame, probe: DataFrame, k: int, chunk_rows: int) -
             out["cell"] = known["cell"][c].astype("int32")
             yield pd.DataFrame(out)
 
-    routed = probe.mapInPandas(
-        route, T.StructType([*probe.schema.fields, T.StructField("cell", T.IntegerType())])
+    routed = checkpointed(
+        probe.mapInPandas(
+            route, T.StructType([*probe.schema.fields, T.StructField("cell", T.IntegerType())])
+        )
     )
     chunks = F.create_map(*[F.lit(v) for pair in chunk_of.items() for v in pair])
     base_chunks = placed.withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), chunks[F.col("cell")].cast("long")).cast("int")
+        "chunk", F.pmod(F.monotonically_increasing_id(), chunks[F.col("cell")].cast("long")).cast("int")
     )
     # A crowded cell meets many rows: those are cut into slices too, and each
     # chunk of the cell is sent to every slice.

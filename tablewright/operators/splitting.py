@@ -67,7 +67,14 @@ def assign_folds(
     folds: int = FOLDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """Add ``fold`` in ``0..folds-1``; within a class the sizes differ by one at most."""
+    """Add ``fold`` in ``0..folds-1``; within a class the sizes differ by one at most.
+
+    Without a key the row's own hash picks the fold: sizes are then only even on
+    average, and copies of a row stay together.
+    """
+    if not key:
+        number = F.conv(F.substring(row_hash(df, None, seed), 1, 12), 16, 10).cast("bigint")
+        return df.withColumn("fold", F.pmod(number, F.lit(folds)).cast("int"))
     group = None if target is None else col(target)
     ranked = hash_rank(df, key, seed, group, "__position")
     return ranked.withColumn("fold", F.pmod(F.col("__position") - 1, F.lit(folds)).cast("int")).drop(

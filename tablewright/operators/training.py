@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -42,6 +42,7 @@ class Matrix:
     task: str
     classes: list[str] = field(default_factory=list)
     key: str = "__key"
+    keyed: bool = True  # False: the key is a digest of the row, shared by its copies
 
     def part(self, split: str) -> DataFrame:
         return self.df.filter(F.col("split") == split)
@@ -62,9 +63,10 @@ class NeighbourModel:
             return part.select(F.col(self.matrix.key), *extra, *[x[i].alias(f"x{i}") for i in range(n)])
 
         vote = neighbours.knn_classify if self.matrix.task == "classification" else neighbours.knn_regress
+        rows = spread(df)
         found = vote(
             spread(self.train, F.col("label")),
-            spread(df),
+            rows if self.matrix.keyed else rows.dropDuplicates([self.matrix.key]),
             [f"x{i}" for i in range(n)],
             self.matrix.key,
             "label",
@@ -81,6 +83,10 @@ class Trained:
     matrix: Matrix
     warnings: list[str]
 
+    def release(self) -> None:
+        """Free the persisted matrix once no more rows are scored."""
+        self.matrix.df.unpersist()
+
     @property
     def best(self) -> Any:
         return self.models.get(self.best_name) if self.best_name else None
@@ -137,7 +143,7 @@ def build_matrix(
     kept = packed.select("__key", "features", "label", "target", "split")
     if target is not None:
         kept = kept.filter("label IS NOT NULL")
-    return Matrix(kept, list(features), task, classes)
+    return Matrix(kept, list(features), task, classes, keyed=key is not None)
 
 
 def fit_context(train: DataFrame, matrix: Matrix) -> FitContext:
@@ -215,7 +221,7 @@ def train_models(
     driver threads.  The matrix is persisted for the passes the fits make.
     """
     held = matrix.df.persist()
-    matrix = Matrix(held, matrix.names, matrix.task, matrix.classes, matrix.key)
+    matrix = replace(matrix, df=held)
     train, test = matrix.part("train"), matrix.part("test")
     rows = held.count()
     if matrix.task == "unsupervised":
@@ -336,9 +342,9 @@ def permutation_importance(
 ) -> DataFrame:
     """``(feature, importance)``: mean accuracy (or r2) lost when a column is shuffled.
 
-    Rows fall into random buckets of bounded size by a hash; inside a bucket each
-    row takes the column of the row after it in hash order.  That permutes every
-    column, needs one shuffle per repeat, and serves all features at once.
+    Rows fall into random buckets of bounded size; inside a bucket each row takes
+    the column of the row after it in random order.  That permutes every column,
+    needs one shuffle per repeat, and serves all features at once.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.sql import Window
@@ -349,9 +355,9 @@ def permutation_importance(
     base = _score(model.transform(test), matrix.task).first()["score"]
     drops = None
     for r in range(repeats):
-        order = F.md5(F.concat(F.col(matrix.key).cast("string"), F.lit(f":{SEED + r}")))
-        marked = test.withColumns({"o": order, "x": vector_to_array("features")})
-        marked = marked.withColumn("b", F.pmod(F.xxhash64("o"), F.lit(buckets)))
+        # Copies of a row must spread too, so the draw is per row, not per key.
+        marked = test.withColumns({"o": F.rand(SEED + r), "x": vector_to_array("features")})
+        marked = marked.withColumn("b", F.floor(F.rand(SEED - 1 - r) * buckets))
         in_bucket = Window.partitionBy("b").orderBy("o")
         whole = in_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         paired = marked.withColumn(

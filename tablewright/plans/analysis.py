@@ -18,7 +18,7 @@ from ..operators.insights import analysis_payload, rule_bullets
 from ..operators.training import Trained, build_matrix, score_batch, train_models
 from ..operators.typing import infer_types
 from ..sources.fingerprint import file_manifest, table_fingerprint
-from ..sources.readers import load_table, strip_headers
+from ..sources.readers import format_of, load_table, strip_headers
 from .profiling import Profile, profile
 from .sinks import audit_frame
 from .validation import DataValidationError, Validation, validate
@@ -64,20 +64,26 @@ def process(
 ) -> Processed:
     """Load, validate the raw table, clean, profile the clean table, prepare features.
 
-    The raw and the clean table are persisted because several checks read them;
-    call ``result.raw.unpersist()`` and ``result.cleaned.release()`` when done.
-    A failure carries the audit so far as ``error.audit``.
+    Checks read the raw table several times.  Columnar files are simply scanned
+    again, each check reading its own columns; any other source is persisted until
+    the clean table, which is persisted too, stands.  Call
+    ``result.cleaned.release()`` when done.  A failure carries the audit so far as
+    ``error.audit``.
     """
     trail = _Trail(spark)
     try:
         if isinstance(source, str):
             for f in file_manifest(spark, source).limit(100).collect():
                 trail.add("source_file", "found", f["length"], f"{f['path']} sha256:{f['sha256']}")
-            raw = load_table(spark, source).persist()
+            raw = load_table(spark, source)
+            held = format_of(source) != "parquet"
         else:
-            raw = nan_to_null(strip_headers(source)).persist()
+            raw = nan_to_null(strip_headers(source))
+            held = not (raw.storageLevel.useMemory or raw.storageLevel.useDisk)
             mark = table_fingerprint(raw).first()
             trail.add("source_table", "found", mark["rows"], mark["checksum"])
+        if held:
+            raw = raw.persist()
         rows = raw.count()
         target = target.strip() if target else target
         trail.add("load", "done", rows, ",".join(raw.columns))
@@ -91,6 +97,8 @@ def process(
         cleaned.held.append(clean_df)
         trail.add("clean", "done", len(cleaned.steps), ",".join(cleaned.removed_columns) or None)
         types = infer_types(clean_df)
+        if held:
+            raw.unpersist()
         described = profile(clean_df, target, types)
         trail.add("profile", "done", described.health_score, ",".join(described.warnings) or None)
         ready = prepare(clean_df, target, feature_config, key)

@@ -172,3 +172,16 @@ def test_plans_stay_on_the_engine(spark, folder):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
+
+
+def test_copies_do_not_break_the_cut(spark):
+    # A third of all rows are copies of one row; without a key they share a hash.
+    df = spark.range(600).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("v"), F.lit("c").alias("y"))
+    for seed in range(4):
+        out = splitting.stratified_split(df, "y", seed=seed)
+        sides = out.filter("v = -1").select("split").distinct().count()
+        assert sides == 1
+        assert out.filter("split = 'test'").count() <= 120
+        assert out.count() == 600
+    folds = splitting.assign_folds(df, "y")
+    assert folds.count() == 600 and folds.filter("v = -1").select("fold").distinct().count() == 1

@@ -241,3 +241,13 @@ def test_saved_models_score_the_same(spark, name):
 
 def test_tree_depth_depends_on_rows():
     assert FitContext(100, 3).tree_depth > FitContext(10**9, 3).tree_depth
+
+
+def test_neighbour_model_on_copied_rows_without_a_key(spark):
+    df = learnable(spark, 200, 2).drop("id")
+    twice = df.unionAll(df)
+    ready = prepare(twice, "y")
+    m = training.build_matrix(ready.data, ready.feature_names, "y")
+    assert not m.keyed
+    scored = training.score_batch(training.fit_one("knn", m, m.part("train"), None), m)
+    assert scored.count() == m.part("test").count()

@@ -168,7 +168,7 @@ def test_narratives(spark):
         (1, "risk_assessment"): ["one"],
         (2, "predictive_analytics"): ["1", "2", "3", "4", "5"],
         (4, "diagnostic_analytics"): ["{}"],
-        (4, "prescriptive_analytics"): ["1", "2.5", "true", '{"k":"v"}'],
+        (4, "prescriptive_analytics"): ["1", "2.5", "True", '{"k":"v"}', "None"],
     }
 
 
