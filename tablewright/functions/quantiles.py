@@ -17,7 +17,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .schema import col
@@ -39,14 +39,17 @@ class _Zone:
     least: float | None = None
     most: float | None = None
 
-    def test(self) -> Column:
-        v = F.col(f"v{self.column}")
-        inside = v.isNotNull()
-        if self.low is not None:
-            inside = inside & (v > F.lit(self.low))
-        if self.high is not None:
-            inside = inside & (v < F.lit(self.high))
-        return inside
+    def test(self) -> str:
+        return _inside(f"v{self.column}", self.low, self.high)
+
+
+def _inside(v: str, low: float | None, high: float | None) -> str:
+    parts = [f"{v} IS NOT NULL"]
+    if low is not None:
+        parts.append(f"{v} > {_literal(low)}")
+    if high is not None:
+        parts.append(f"{v} < {_literal(high)}")
+    return " AND ".join(parts)
 
 
 def interpolate(position: float, lower: float, upper: float) -> float:
@@ -133,7 +136,7 @@ def _inner_cuts(data: DataFrame, wide: list[_Zone], ranks) -> list[list[float]]:
     sketches = data.agg(
         *[
             F.kll_sketch_agg_double(
-                F.when(z.test(), F.col(f"v{z.column}")), F.lit(SKETCH_SIZE)
+                F.expr(f"CASE WHEN {z.test()} THEN v{z.column} END"), F.lit(SKETCH_SIZE)
             ).alias(f"k{j}")
             for j, z in enumerate(wide)
         ]
@@ -154,16 +157,21 @@ def _inner_cuts(data: DataFrame, wide: list[_Zone], ranks) -> list[list[float]]:
     ]
 
 
-def _place(v: Column, cuts: Sequence[float], start: int, end: int) -> Column:
+def _literal(x: float) -> str:
+    if math.isinf(x):
+        return f"double('{'-' if x < 0 else ''}Infinity')"
+    return f"{x!r}D"
+
+
+def _place(v: str, cuts: Sequence[float], start: int, end: int) -> str:
     """Zone number of a value by halving: odd on a cut point, even between two."""
     if start == end:
-        return F.lit(2 * start)
+        return str(2 * start)
     middle = (start + end) // 2
-    cut = F.lit(cuts[middle])
+    cut = _literal(cuts[middle])
     return (
-        F.when(v < cut, _place(v, cuts, start, middle))
-        .when(v > cut, _place(v, cuts, middle + 1, end))
-        .otherwise(F.lit(2 * middle + 1))
+        f"CASE WHEN {v} < {cut} THEN {_place(v, cuts, start, middle)}"
+        f" WHEN {v} > {cut} THEN {_place(v, cuts, middle + 1, end)} ELSE {2 * middle + 1} END"
     )
 
 
@@ -173,15 +181,11 @@ def _count_zones(
     """Exact row counts on and between the cut points of each planned range."""
     cells = []
     for i, (low, high, _, cuts) in plan.items():
-        v = F.col(f"v{columns[i]}")
-        outside = v.isNull()
-        if low is not None:
-            outside = outside | (v <= F.lit(low))
-        if high is not None:
-            outside = outside | (v >= F.lit(high))
-        cells += [F.lit(i), F.when(~outside, _place(v, cuts, 0, len(cuts))), v]
+        v = f"v{columns[i]}"
+        zone = f"CASE WHEN {_inside(v, low, high)} THEN {_place(v, cuts, 0, len(cuts))} END"
+        cells += [str(i), zone, v]
     counted = (
-        data.select(F.stack(F.lit(len(plan)), *cells).alias("c", "z", "v"))
+        data.selectExpr(f"stack({len(plan)}, {', '.join(cells)}) AS (c, z, v)")
         .filter("z IS NOT NULL")
         .groupBy("c", "z")
         .agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
@@ -234,12 +238,10 @@ def _gather(data: DataFrame, zones: list[_Zone], ranks, found) -> None:
         by_column.setdefault(z.column, []).append((j, z))
     cells = []
     for i, members in by_column.items():
-        place = F.lit(None).cast("int")
-        for j, z in members:
-            place = F.when(z.test(), F.lit(j)).otherwise(place)
-        cells += [place, F.col(f"v{i}")]
+        place = " ".join(f"WHEN {z.test()} THEN {j}" for j, z in members)
+        cells += [f"CASE {place} END", f"v{i}"]
     values = (
-        data.select(F.stack(F.lit(len(by_column)), *cells).alias("z", "v"))
+        data.selectExpr(f"stack({len(by_column)}, {', '.join(cells)}) AS (z, v)")
         .filter("z IS NOT NULL")
         .groupBy("z", "v")
         .agg(F.count("*").alias("n"))

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def per_column(
@@ -39,7 +42,7 @@ def per_column(
             refs[key] = F.col(alias)
         per_col[name] = refs
     if not aggregates:
-        return df.sparkSession.createDataFrame([], schema or "column string")
+        return local_rows(df, [], schema or "column string")
     wide = df.agg(*aggregates)
     structs = []
     for name in columns:
@@ -53,9 +56,18 @@ def per_column(
     return wide.select(F.inline(F.array(*structs)))
 
 
-def local_rows(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small report (bounded by columns or checks) as a DataFrame."""
-    return df.sparkSession.createDataFrame(list(rows), schema)
+def local_rows(df: DataFrame, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A small report (bounded by columns or checks) as a DataFrame.
+
+    Going through Arrow makes it a local relation of the plan, which needs no job
+    and no Python worker, where a list of rows would become a distributed scan.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) if rows else [()] * len(kind)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    table = pa.Table.from_arrays(arrays, schema=arrow)
+    return df.sparkSession.createDataFrame(table, schema=kind)
 
 
 def settled(report: DataFrame) -> DataFrame:
@@ -63,4 +75,4 @@ def settled(report: DataFrame) -> DataFrame:
 
     Only for reports bounded by columns, checks or models.
     """
-    return report.sparkSession.createDataFrame([tuple(r) for r in report.collect()], report.schema)
+    return local_rows(report, [tuple(r) for r in report.collect()], report.schema)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double
 from ..functions.report import local_rows
-from ..functions.schema import col, flat_columns, is_nested, is_numeric, is_text
+from ..functions.schema import col, is_nested, is_numeric, is_text
 from ..functions.text import normalize_category, parse_timestamp
-from .frequency import distinct_lookup, modes
+from .frequency import constant_columns, distinct_lookup, modes
 from .missing import missing_by_column
 from .numeric import medians
 from .outliers import DEFAULT_THRESHOLD, outlier_report
@@ -79,9 +79,8 @@ def drop_missing_columns(df: DataFrame, share: float = DROP_MISSING_SHARE) -> Da
 
 
 def constant_column_names(df: DataFrame) -> list[str]:
-    names = flat_columns(df)
-    counts = distinct_lookup(df, names)
-    return [c for c in names if counts[c] <= 1]
+    found = {r["column"] for r in constant_columns(df).collect()}
+    return [c for c in df.columns if c in found]
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.report import local_rows
 from ..functions.schema import col
 from ..functions.text import boolean_code, unique_feature_names
 from .cleaning import constant_column_names, drop_empty_columns, missing_counts
-from .frequency import distinct_lookup, modes, value_frequencies
+from .frequency import distinct_lookup, most_least_frequent, value_frequencies
 from .splitting import SEED, TEST_SHARE, stratified_split, train_test_split
 from .target import MAX_CLASSES
 from .typing import infer_types, types_by_class
@@ -111,19 +111,24 @@ def categories(df: DataFrame, column: str) -> DataFrame:
     return value_frequencies(df, [column]).select("value", "n")
 
 
-def literal_categories(
+def fit_categories(
     df: DataFrame, columns: Sequence[str], limit: int = MAX_LITERAL_CATEGORIES
-) -> dict[str, list[str] | None]:
-    """Sorted categories per column, or None where there are more than ``limit``."""
+) -> tuple[dict[str, list[str] | None], dict[str, str]]:
+    """Sorted categories and the most frequent one, per column.
+
+    Columns of more than ``limit`` categories get None: their dictionary stays
+    distributed, only its size and its mode come back.
+    """
     if not columns:
-        return {}
-    counts = distinct_lookup(df, columns)
-    short = [c for c in columns if counts[c] <= limit]
-    found: dict[str, list[str] | None] = {c: [] for c in short}
+        return {}, {}
+    ends = {r["column"]: r for r in most_least_frequent(df, columns).collect()}
+    fill = {c: r["most_frequent"] for c, r in ends.items()}
+    short = [c for c in columns if c not in ends or ends[c]["unique_values"] <= limit]
+    found: dict[str, list[str]] = {c: [] for c in short}
     if short:
         for r in value_frequencies(df, short).select("column", "value").collect():
             found[r["column"]].append(r["value"])
-    return {c: sorted(found[c]) if c in found else None for c in columns}
+    return {c: sorted(found[c]) if c in found else None for c in columns}, fill
 
 
 def code_dictionary(df: DataFrame, column: str, per_bucket: int = 100_000) -> DataFrame:
@@ -204,13 +209,12 @@ def ordinal_code(values: list[str], text: Column) -> Column:
     return F.coalesce(F.when(place > 0, place - 1), F.lit(-1.0))
 
 
-def onehot(df: DataFrame, columns: Sequence[str], fitted: dict | None = None) -> DataFrame:
+def onehot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mode-filled one-hot columns in place of the given ones."""
-    known = fitted if fitted is not None else literal_categories(df, columns)
+    known, fill = fit_categories(df, columns)
     long = [c for c in columns if known[c] is None]
     if long:
         raise ValueError(f"Too many categories for plain columns, encode as vectors: {long}")
-    fill = mode_values(df, columns)
     keep = [col(c) for c in df.columns if c not in set(columns)]
     made = [
         e.alias(name)
@@ -227,8 +231,7 @@ def ordinal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Gaps take the most frequent value first, as in :func:`onehot`.
     """
-    known = literal_categories(df, columns)
-    fill = mode_values(df, columns)
+    known, fill = fit_categories(df, columns)
     out = df
     for c in columns:
         text = F.coalesce(col(c).cast("string"), F.lit(fill.get(c)))
@@ -241,12 +244,6 @@ def ordinal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(*[col(c) for c in df.columns])
 
 
-def mode_values(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    if not columns:
-        return {}
-    return {r["column"]: r["mode"] for r in modes(df, columns).collect()}
-
-
 def booleans(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """0/1 in place of boolean spellings; gaps take the more frequent one."""
     fitted = fit_boolean(df, columns)
@@ -369,7 +366,7 @@ def fit_features(df: DataFrame, target: str | None = None, config: Any = None) -
         note(f"scale_{cfg.scaling}", None, len(by_class["numeric"]))
     if cfg.encoding not in ("none", "drop") and by_class["categorical"]:
         names = by_class["categorical"]
-        known, fill = literal_categories(x, names), mode_values(x, names)
+        known, fill = fit_categories(x, names)
         for i, c in enumerate(names):
             text = F.coalesce(col(c).cast("string"), F.lit(fill.get(c)))
             facts.append((c, "mode", None, fill.get(c)))

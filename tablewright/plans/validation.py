@@ -83,14 +83,24 @@ def missing_report(
     histogram = settled(missing.row_histogram(df))
     limit = config.column_max_missing_pct
 
-    def info(source, metric, value):
+    def info(source, metrics):
+        """One finding per metric of a one-row report."""
         return source.select(
-            F.lit("missing_stats").alias("check"),
-            F.lit("info").alias("severity"),
-            F.lit(None).cast("string").alias("column"),
-            F.lit(metric).alias("metric"),
-            F.col(value).cast("double").alias("value"),
-            F.lit(None).cast("double").alias("threshold"),
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit("missing_stats").alias("check"),
+                            F.lit("info").alias("severity"),
+                            F.lit(None).cast("string").alias("column"),
+                            F.lit(name).alias("metric"),
+                            F.round(F.col(c).cast("double"), 6).alias("value"),
+                            F.lit(None).cast("double").alias("threshold"),
+                        )
+                        for name, c in metrics.items()
+                    ]
+                )
+            )
         )
 
     over = per_column.filter(F.col("missing_pct") > limit).select(
@@ -126,16 +136,18 @@ def missing_report(
             F.lit(missing.CO_MISSING_CORRELATION).alias("threshold"),
         )
     )
-    overall = settled(missing.missing_overall(df, per_column))
-    out = over.unionByName(rows_over).unionByName(together)
-    for metric in ("total_missing", "total_missing_pct", "columns_with_missing"):
-        out = out.unionByName(info(overall, metric, metric))
-    spread = settled(missing.row_missing_distribution(df, histogram))
-    for metric in ("rows_with_missing", "mean", "std", "min", "p25", "p50", "p75", "max"):
-        rounded = spread.select(F.round(F.col(metric).cast("double"), 6).alias(metric))
-        label = metric if metric == "rows_with_missing" else f"row_missing_{metric}"
-        out = out.unionByName(info(rounded, label, metric))
-    return out
+    overall = missing.missing_overall(df, per_column)
+    spread = missing.row_missing_distribution(df, histogram)
+    totals = ("total_missing", "total_missing_pct", "columns_with_missing")
+    points = ("mean", "std", "min", "p25", "p50", "p75", "max")
+    return (
+        over.unionByName(rows_over)
+        .unionByName(together)
+        .unionByName(info(overall, {m: m for m in totals}))
+        .unionByName(
+            info(spread, {"rows_with_missing": "rows_with_missing"} | {f"row_missing_{m}": m for m in points})
+        )
+    )
 
 
 def _target_report(df: DataFrame, name: str, distinct: dict[str, int]) -> DataFrame:

@@ -93,8 +93,7 @@ def test_dictionary_codes_in_buckets_and_with_hot_values(spark):
 
 
 def test_long_dictionaries_become_sparse_vectors(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_LITERAL_CATEGORIES", 5)
-    monkeypatch.setattr(features.literal_categories, "__defaults__", (5,))
+    monkeypatch.setattr(features.fit_categories, "__defaults__", (5,))
     df = spark.range(300).select(F.concat(F.lit("v"), F.col("id") % 12).alias("c"), (F.col("id") * 1.5).alias("x"))
     plan = features.fit_features(df)
     packed = plan.assemble(df).select("features").collect()
