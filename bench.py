@@ -1,6 +1,6 @@
 """Time the headline queries; prints one JSON line.
 
-Each query runs once to warm up and then three times; its figure is the median.
+Each query runs once to warm up and then BENCH_RUNS times; its figure is the median.
 """
 
 import json
@@ -13,7 +13,7 @@ from tablewright.session import local_session
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 HEADLINE = [
     "missing_by_column",
     "column_types_dirty",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .report import local_rows
+
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
 
@@ -73,4 +75,4 @@ def physical_types(df: DataFrame) -> DataFrame:
         return "other"
 
     rows = [(f.name, f.dataType.simpleString(), kind(f.dataType)) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "column string, physical_type string, kind string")
+    return local_rows(df, rows, "column string, physical_type string, kind string")

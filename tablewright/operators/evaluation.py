@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import signless
+from ..functions.report import local_rows
 from ..functions.schema import col
 
 # Up to this many numbers the other side of a distance job is broadcast (32 MB).
@@ -49,9 +50,8 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
     names = sorted(r["l"] for r in labels.limit(MAX_GRID_LABELS + 1).collect())
     if len(names) > MAX_GRID_LABELS:
         return counts  # a grid this large is better read as the pairs that occur
-    grid = df.sparkSession.createDataFrame(
-        [(a, p, 0) for a in names for p in names], "actual string, predicted string, n bigint"
-    )
+    cells = [(a, p, 0) for a in names for p in names]
+    grid = local_rows(df, cells, "actual string, predicted string, n bigint")
     return grid.unionByName(counts).groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
 
 

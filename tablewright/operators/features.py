@@ -16,7 +16,7 @@ from ..functions.report import local_rows
 from ..functions.schema import col
 from ..functions.text import boolean_code, unique_feature_names
 from .cleaning import constant_column_names, drop_empty_columns, missing_counts
-from .frequency import distinct_lookup, most_least_frequent, value_frequencies
+from .frequency import at_most_distinct, most_least_frequent, value_frequencies
 from .splitting import SEED, TEST_SHARE, stratified_split, train_test_split
 from .target import MAX_CLASSES
 from .typing import infer_types, types_by_class
@@ -141,13 +141,13 @@ def code_dictionary(df: DataFrame, column: str, per_bucket: int = 100_000) -> Da
     values = categories(df, column)
     total = values.count()
     wanted = min(1000, max(1, total // per_bucket))
-    sampled = values.select("value").sample(False, min(1.0, 20_000 / max(total, 1)), seed=SEED)
+    code = (F.row_number().over(Window.orderBy("value")) - 1).cast("double")
+    if wanted == 1:  # a dictionary that one task orders easily
+        return values.select("value", "n", code.alias("code"))
+    sampled = values.select("value").sample(False, min(1.0, 20_000 / total), seed=SEED)
     bounds = sorted(r["value"] for r in sampled.collect())
-    cuts = bounds[:: max(1, len(bounds) // wanted)] if wanted > 1 else []
-    bucket = F.lit(0)
-    if cuts:
-        known = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.size(F.filter(known, lambda b: b <= F.col("value")))
+    known = F.array(*[F.lit(c) for c in bounds[:: max(1, len(bounds) // wanted)]])
+    bucket = F.size(F.filter(known.cast("array<string>"), lambda b: b <= F.col("value")))
     marked = values.select("value", "n", bucket.alias("b"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # <= 1000 rows
     offsets = (
@@ -420,7 +420,7 @@ def prepare(
     cfg = FeatureConfig.merged(config)
     marked = df
     if target is not None and target in df.columns:
-        few = distinct_lookup(df, [target]).get(target, 0) <= MAX_CLASSES
+        few = at_most_distinct(df, target, MAX_CLASSES)
         marked = (
             stratified_split(df, target, key, cfg.test_size, cfg.random_state)
             if few

@@ -71,6 +71,18 @@ def distinct_lookup(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {r["column"]: r["n_distinct"] for r in distinct_counts(df, columns).collect()}
 
 
+def at_most_distinct(df: DataFrame, column: str, limit: int) -> bool:
+    """Whether a column has ``limit`` distinct values at most.
+
+    A sketch far above the limit settles it without grouping a long column by
+    value; near or below the limit the values are few and counted exactly.
+    """
+    estimate = df.agg(F.approx_count_distinct(col(column), 0.02).alias("n")).first()["n"]
+    if estimate > 2 * limit + 20:
+        return False
+    return distinct_lookup(df, [column]).get(column, 0) <= limit
+
+
 def cardinality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, n_distinct, ratio)`` with the ratio to all rows at 4 digits."""
     total = df.agg(F.count("*").alias("rows")).scalar()

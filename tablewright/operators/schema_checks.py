@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.report import local_rows
-from ..functions.schema import flat_columns, numeric_columns, temporal_columns, text_columns
-from .frequency import distinct_lookup
+from ..functions.schema import numeric_columns, temporal_columns, text_columns
+from .frequency import constant_columns, distinct_lookup
 from .missing import missing_by_column
 from .typing import lexical_kinds
 
@@ -30,8 +30,9 @@ def schema_report(
 ) -> DataFrame:
     """``(check, severity, column, metric, value, threshold)`` rows.
 
-    Two jobs feed it: one aggregate of missing counts and one frequency shuffle.
-    The report itself is bounded by the number of columns.
+    Aggregates give the missing counts and the constants; only text columns are
+    shuffled, for their distinct counts and spellings.  The report itself is
+    bounded by the number of columns.
     """
     twice = duplicate_names(df)
     rows: list[tuple] = [
@@ -42,14 +43,13 @@ def schema_report(
     gaps = missing_by_column(df) if by_column is None else by_column
     missing = {r["column"]: r for r in gaps.collect()}
     total = next((r["n_rows"] for r in missing.values()), 0)
-    counts = distinct if distinct is not None else distinct_lookup(df, flat_columns(df))
+    texts = text_columns(df)
+    counts = distinct if distinct is not None else distinct_lookup(df, texts)
     for c, r in missing.items():
         if r["missing_count"] == total:
             rows.append(("all_missing", "error", c, "missing_count", float(total), None))
-    for c, k in counts.items():
-        if k <= 1:
-            rows.append(("constant", "warning", c, "n_distinct", float(k), 1.0))
-    texts = text_columns(df)
+    for r in constant_columns(df).collect():
+        rows.append(("constant", "warning", r["column"], "n_distinct", float(r["n_distinct"]), 1.0))
     for c in texts:
         if total and counts[c] / total > HIGH_CARDINALITY:
             rows.append(

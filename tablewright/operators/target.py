@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.numeric import as_double, pairwise_correlation, pct, signless
 from ..functions.report import local_rows, per_column
 from ..functions.schema import col, is_integral, is_numeric, is_text, temporal_columns
-from .frequency import distinct_counts, distinct_lookup
+from .frequency import at_most_distinct, distinct_counts, distinct_lookup
 
 LEAKAGE_CORRELATION = 0.95
 ID_RATIO = 0.9
@@ -130,7 +130,10 @@ def detect_task(df: DataFrame, target: str | None) -> str:
     """classification for few whole-number, text or boolean classes, else regression."""
     if not target or target not in df.columns:
         return "unsupervised"
-    return task_of(_dtype(df, target), distinct_lookup(df, [target]).get(target, 0))
+    dtype = _dtype(df, target)
+    if task_of(dtype, 0) == "regression":
+        return "regression"
+    return "classification" if at_most_distinct(df, target, MAX_CLASSES) else "regression"
 
 
 def task_of(dtype: T.DataType, n_distinct: int) -> str:

@@ -19,12 +19,13 @@ from . import neighbours
 from .estimators import LARGE_ONLY, NEIGHBOURS, FitContext, model_order, registry, usable_value
 from .evaluation import classification_metrics, regression_metrics, silhouette_squared
 from .splitting import FOLDS, SEED, assign_folds
-from .target import task_of
+from .target import detect_task
 
 SMALL_TRAINING, CV_MINIMUM, CLUSTER_MINIMUM = 100, 10, 50
 TINY_TABLE, SMALL_TABLE = 50, 100
 TOP_IMPORTANCES, TOP_PERMUTATION, PERMUTATION_REPEATS = 20, 10, 10
 SAMPLE_PREDICTIONS = 20
+MAX_LABELS = 1000
 METRICS = ("rmse", "mae", "r2", "accuracy", "precision", "recall", "f1", "cv_mean_f1", "cv_std_f1", "silhouette")
 LEADERBOARD_SCHEMA = (
     "model string, model_order int, primary_metric string, score double, "
@@ -121,14 +122,13 @@ def build_matrix(
         task, classes, label = "unsupervised", [], F.lit(0.0)
         named = F.lit(None).cast("string")
     else:
-        dtype = next(f.dataType for f in data.schema.fields if f.name == target)
-        if task is None:
-            few = data.agg(F.count_distinct(col(target)).alias("n")).first()["n"]
-            task = task_of(dtype, few)
+        task = task or detect_task(data, target)
         named = col(target).cast("string")
         if task == "classification":
-            found = data.select(named.alias("c")).filter("c IS NOT NULL").distinct().collect()
-            classes = sorted(r["c"] for r in found)
+            found = data.select(named.alias("c")).filter("c IS NOT NULL").distinct()
+            classes = sorted(r["c"] for r in found.limit(MAX_LABELS + 1).collect())
+            if len(classes) > MAX_LABELS:
+                raise ValueError(f"{target} has more than {MAX_LABELS} classes")
             label = label_code(target, classes)
         else:
             classes, label = [], col(target).cast("double")

@@ -7,9 +7,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.report import local_rows, settled
-from ..functions.schema import flat_columns, is_text
+from ..functions.schema import fields, is_text
 from ..operators import missing, outliers, target
 from ..operators.frequency import distinct_lookup
 from ..operators.schema_checks import REPORT_SCHEMA, schema_report
@@ -193,7 +194,12 @@ def validate(
 ) -> Validation:
     """Run all checks.  Errors always fail; warnings do when the config says so."""
     cfg = ValidationConfig.merged(config)
-    distinct = distinct_lookup(df, flat_columns(df))
+    known = target_column is not None and target_column in df.columns
+    # Distinct counts are wanted of text, of possible keys, and of the target.
+    counted = fields(df, lambda d: is_text(d) or isinstance(d, (T.LongType, T.DoubleType)))
+    if known and target_column not in counted:
+        counted.append(target_column)
+    distinct = distinct_lookup(df, counted)
     gaps = settled(missing.missing_by_column(df))
     first = gaps.first()
     rows = first["n_rows"] if first else 0
@@ -210,7 +216,6 @@ def validate(
             F.lit(cfg.outlier_threshold).alias("threshold"),
         )
     )
-    known = target_column is not None and target_column in df.columns
     if known:
         report = report.unionByName(_target_report(df, target_column, distinct))
     sizes = size_warnings(rows, len(df.columns), target_column is not None)
