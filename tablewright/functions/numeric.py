@@ -59,6 +59,15 @@ def pairwise_correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(xs) * F.stddev_samp(ys))
 
 
+def steady_mean(c: Column) -> Column:
+    """The mean from a total rounded to four places.
+
+    Adding doubles in another order changes the last bits of their sum; rounding
+    the total first gives the same mean on nearly any partitioning.
+    """
+    return F.try_divide(F.round(F.sum(c), 4), F.count(c))
+
+
 def signless(c: Column) -> Column:
     """-0.0 becomes 0.0, so that rounded results compare equal across engines."""
     return c + F.lit(0.0)

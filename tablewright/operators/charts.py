@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_double
+from ..functions.numeric import as_double, steady_mean
 from ..functions.quantiles import exact_quantiles
 from ..functions.report import local_rows
 from ..functions.schema import col, numeric_columns, temporal_columns, text_columns
@@ -70,7 +70,7 @@ def kpi_card(df: DataFrame, target: str) -> DataFrame:
     return df.agg(
         F.count(col(target)).alias("count"),
         F.round(F.sum(x), 2).alias("total"),
-        F.round(F.avg(x), 4).alias("mean"),
+        steady_mean(x).alias("mean"),
         F.min(x).alias("min"),
         F.round(F.lit(middle).cast("double"), 4).alias("median"),
         F.max(x).alias("max"),
@@ -139,7 +139,7 @@ def category_comparison(df: DataFrame, target: str, by: Sequence[str]) -> DataFr
     return df.groupBy(*[col(c) for c in by]).agg(
         F.count(col(target)).alias("n"),
         F.round(F.sum(x), 2).alias("total"),
-        F.round(F.avg(x), 4).alias("mean"),
+        steady_mean(x).alias("mean"),
     )
 
 
@@ -172,7 +172,7 @@ def trend_series(df: DataFrame, time: str, target: str, grain: str = "month", wi
         .agg(
             F.count(col(target)).alias("n"),
             F.sum(as_double(target)).alias("s"),
-            F.avg(as_double(target)).alias("m"),
+            steady_mean(as_double(target)).alias("m"),
         )
     )
     in_time = Window.orderBy("period")
@@ -180,8 +180,8 @@ def trend_series(df: DataFrame, time: str, target: str, grain: str = "month", wi
         F.date_format("period", "yyyy-MM-dd").alias("period"),
         "n",
         F.round("s", 2).alias("total"),
-        F.round("m", 4).alias("mean"),
-        F.round(F.avg("s").over(in_time.rowsBetween(1 - window, 0)), 2).alias("moving_mean"),
+        F.col("m").alias("mean"),
+        F.round(F.avg("s").over(in_time.rowsBetween(1 - window, 0)), 4).alias("moving_mean"),
         F.round(F.col("s") - F.lag("s").over(in_time), 2).alias("change"),
     )
 

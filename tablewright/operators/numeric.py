@@ -13,6 +13,7 @@ from ..functions.numeric import (
     sample_kurtosis,
     sample_skewness,
     signless,
+    steady_mean,
 )
 from ..functions.quantiles import exact_quantiles
 from ..functions.report import local_rows, per_column
@@ -58,7 +59,7 @@ def numeric_report(
         x = as_double(c)
         out = {"min": F.min(x), "max": F.max(x)}
         if "describe" in sections:
-            out |= {"count": F.count(col(c)), "mean": F.avg(x), "std": F.stddev_samp(x)}
+            out |= {"count": F.count(col(c)), "mean": steady_mean(x), "std": F.stddev_samp(x)}
         if "health" in sections:
             out |= {
                 "zeros": F.count_if(col(c) == 0),
