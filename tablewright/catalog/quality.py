@@ -72,7 +72,7 @@ def describe_sql(columns, source, with_ctes=""):
             f"round(quantile_cont({c}::DOUBLE, {p}), 4) AS {n}" for p, n in zip(probs, names)
         )
         parts.append(
-            f"SELECT '{c}' AS \"column\", count({c}) AS count, round(round(sum({c}::DOUBLE), 4) / count({c}), 4) AS mean,"
+            f"SELECT '{c}' AS \"column\", count({c}) AS count, round(printf('%.11e', sum({c}::DOUBLE))::DOUBLE / count({c}), 4) AS mean,"
             f" round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, {points},"
             f" round(max({c})::DOUBLE, 4) AS max FROM {source}"
         )

@@ -155,7 +155,7 @@ QUERIES = [
     Query(
         "kpi_card",
         lambda s, d: charts.kpi_card(table(s, d, "orders"), "o_totalprice"),
-        "SELECT count(o_totalprice) AS count, round(sum(o_totalprice), 2) AS total, round(sum(o_totalprice), 4) / count(o_totalprice) AS mean,"
+        "SELECT count(o_totalprice) AS count, round(sum(o_totalprice), 2) AS total, printf('%.11e', sum(o_totalprice))::DOUBLE / count(o_totalprice) AS mean,"
         " min(o_totalprice) AS min, round(quantile_cont(o_totalprice, 0.5), 4) AS median, max(o_totalprice) AS max"
         " FROM orders",
     ),
@@ -173,7 +173,7 @@ QUERIES = [
             table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"]
         ),
         "SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, round(sum(l_extendedprice), 2) AS total,"
-        " round(sum(l_extendedprice), 4) / count(l_extendedprice) AS mean FROM lineitem GROUP BY ALL",
+        " printf('%.11e', sum(l_extendedprice))::DOUBLE / count(l_extendedprice) AS mean FROM lineitem GROUP BY ALL",
     ),
     Query(
         "composition_share",
@@ -188,7 +188,7 @@ QUERIES = [
                 table(s, d, "orders"), "o_orderdate", "o_totalprice", grain
             ),
             f"WITH p AS (SELECT date_trunc('{grain}', o_orderdate)::DATE AS d, count(o_totalprice) AS n,"
-            " sum(o_totalprice) AS s, round(sum(o_totalprice), 4) / count(o_totalprice) AS m FROM orders GROUP BY 1)"
+            " sum(o_totalprice) AS s, printf('%.11e', sum(o_totalprice))::DOUBLE / count(o_totalprice) AS m FROM orders GROUP BY 1)"
             " SELECT strftime(d, '%Y-%m-%d') AS period, n, round(s, 2) AS total, m AS mean,"
             " round(avg(s) OVER (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving_mean,"
             " round(s - lag(s) OVER (ORDER BY d), 2) AS change FROM p",

@@ -60,12 +60,13 @@ def pairwise_correlation(x: Column, y: Column) -> Column:
 
 
 def steady_mean(c: Column) -> Column:
-    """The mean from a total rounded to four places.
+    """The mean from a total of twelve significant digits.
 
-    Adding doubles in another order changes the last bits of their sum; rounding
+    Adding doubles in another order changes the last bits of their sum; settling
     the total first gives the same mean on nearly any partitioning.
     """
-    return F.try_divide(F.round(F.sum(c), 4), F.count(c))
+    total = F.format_string("%.11e", F.sum(c)).try_cast("double")
+    return F.try_divide(total, F.count(c))
 
 
 def signless(c: Column) -> Column:

@@ -149,3 +149,14 @@ def test_dates(spark, text, day):
 
 def test_feature_names_stay_apart():
     assert unique_feature_names(["num__a b", "num__a_b", "num__A-b"]) == ["num__a_b", "num__a_b_2", "num__a_b_3"]
+
+
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 1e15])
+def test_steady_mean_keeps_its_precision(spark, scale):
+    from tablewright.functions.numeric import steady_mean
+
+    x = np.random.default_rng(4).normal(3, 1, 300) * scale
+    got = numbers(spark, x=x).repartition(5).agg(steady_mean(F.col("x"))).first()[0]
+    assert got == pytest.approx(x.mean(), rel=1e-11)
+    nothing = spark.createDataFrame([(None,)], "x double").agg(steady_mean(F.col("x"))).first()[0]
+    assert nothing is None
