@@ -6,12 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding
+from . import ann, bpe, embedding_dedup, jaccard_join, mixing, paragraph_dedup, pii, sharding, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_spans(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, pii.BASE),
+        F.sha2(pii.written_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.written_spans(F.col("spans")).alias("spans"),
+    )
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -24,14 +48,36 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    judged = url_filter.judge(pages.select("page_id", "url"), url_filter.word_counts(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     shards = sharding.shard_documents(table(spark, folder, "documents").select("doc_id", "text"))
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op7_sharding, op9_source_mixing)}
+def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraph_dedup.repeated_passages(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_toxicity, op3_ngram_jaccard, op4_byte_bpe, op5_embedding_dedup, op6_url_filter, op7_sharding,
+              op8_nearest_vectors, op9_source_mixing, op10_repeated_passages)
+}
 ORACLES = {"op9_source_mixing": mixing.ORACLE_SQL}
