@@ -36,7 +36,9 @@ SUBSTITUTES = str.maketrans("013457@$!|", "oieastasil")
 EXCEPTIONS = ("trash can", "trash cans", "trash bag", "trash bags", "trash bin", "clown fish", "clown car", "class clown",
               "stupid question", "stupid mistake", "pond scum", "soap scum")
 
-_IN_WORD = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<!\w)[013457@$|]+(?=[^\W\d_]{2})")
+_MIXED = re.compile(r"[^\W\d_][013457@$|]|[013457@$!|][^\W\d_]")
+_TOKEN = re.compile(r"[\w@$!|]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff]")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
@@ -56,10 +58,16 @@ def fold(text: str | None) -> str:
         text = text.casefold().translate(HOMOGLYPHS)
     else:
         text = text.lower()
-    text = _IN_WORD.sub(lambda m: m.group().translate(SUBSTITUTES), text)
+    if _MIXED.search(text):
+        text = _TOKEN.sub(_letters, text)
     return f" {_NOT_LETTER.sub(' ', text).strip()} "
 
 
+def _letters(token: re.Match) -> str:
+    word = token.group()
+    return word.rstrip("!|").translate(SUBSTITUTES) if _LETTER.search(word) else word
+
+
 @dataclass
 class ToxicityModel:
     """Word stems with weights, harmless phrases, and the coefficients of the score."""
