@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -62,15 +63,26 @@ class MergeReplay:
         return np.where(self.keys[at] == key, self.values[at], _NONE)
 
     def _one(self, word: bytes) -> list[int]:
-        """One word, by the lowest and leftmost pair at a time."""
+        """One word, the lowest and leftmost pair at a time: a heap of places with links to their neighbours."""
         ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        get = self.pairs.get
-        while len(ids) > 1:
-            r, at = min((get(ids[i] << 32 | ids[i + 1], _NONE), i) for i in range(len(ids) - 1))
-            if r == _NONE:
-                break
-            ids[at : at + 2] = [r]
-        return ids
+        get, end = self.pairs.get, len(ids)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(r, i) for i in range(end - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= end or get(ids[i] << 32 | ids[j]) != r:
+                continue
+            ids[i], ids[j] = r, -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if (s := get(r << 32 | ids[k])) is not None:
+                    heappush(heap, (s, i))
+            if (h := before[i]) >= 0 and (s := get(ids[h] << 32 | r)) is not None:
+                heappush(heap, (s, h))
+        return [i for i in ids if i >= 0]
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each word has."""
@@ -109,13 +121,18 @@ class MergeReplay:
             first = np.where(owner[first] == owner[at], first, starts[owner[at]])
             at = at[(at - first) % 2 == 0]
             rank = index[at]
+            own = owner[at]
+            many = np.bincount(own, minlength=len(word)) > 1
+            # taken one by one, a place meets its right neighbour before that is merged
+            before = np.flatnonzero(many[own] & (at + 2 < ends[own]))
+            early = self._rank(rank[before], ids[at[before] + 2]) < rank[before]
+            again.extend(word[own[before[early]]].tolist())
             ids[at] = rank
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
             place = np.cumsum(keep)[at] - 1
             ids, index = ids[keep], index[keep]
             np.subtract.at(sizes, owner[at], 1)
-            own = owner[at]
             ends = np.cumsum(sizes)
             starts = ends - sizes
             index[ends - 1] = _NONE
@@ -125,10 +142,7 @@ class MergeReplay:
             index[left] = self._rank(ids[left], ids[left + 1])
             index[ends - 1] = _NONE
             low = np.minimum.reduceat(index, starts)
-            late = low < lowest
-            if late.any():
-                many = np.bincount(own, minlength=len(word)) > 1
-                again.extend(word[late & many].tolist())
+            again.extend(word[(low < lowest) & many].tolist())
         if again:
             again = sorted(set(again))
             found = [(w[m], i[m]) for w, i in found for m in [~np.isin(w, again)]]

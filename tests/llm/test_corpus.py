@@ -192,10 +192,12 @@ def test_jaccard_join_is_exact(spark, monkeypatch, frequent, words, percent):
     assert got == brute.jaccard_components(rows, words, percent)
 
 
-def test_jaccard_rounds_that_need_more_heads(spark, monkeypatch):
+@pytest.mark.parametrize("near", [0.15, 0.5, 1.0])
+def test_jaccard_rounds_that_need_more_heads(spark, monkeypatch, near):
     from tablewright.llm import links
 
-    monkeypatch.setattr(links, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(links, "SMALL", 2)
+    monkeypatch.setattr(links, "NEAR", near)
     rows = near_texts(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {i: (n, c) for i, n, c in rows_of(jaccard_join.jaccard_components(df))}
