@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .common import text_slices, written
-from .links import link, similar_sets
+from .links import link
 
 WORDS = 3
 PERCENT = 90
 #: A shingle in the plain prefixes of so many documents counts as frequent ...
-FREQUENT = 32
+FREQUENT = 12
 #: ... if it is among so many most frequent ones: their list is broadcast. Any choice of them gives the same links.
 CLASSES = 65_536
 #: Document ids that are broadcast, at most, to fetch the sets to verify; beyond, texts are joined by a shuffle.
@@ -159,7 +159,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     met = written(buckets.join(shared, "bucket").distinct())
     wanted = met.select("item").distinct().join(items, "item").select(F.col("least").alias("doc_id")).distinct()
     sets = written(fetch(docs, written(wanted)).mapInArrow(_sets(words), "item long, tokens array<long>").dropDuplicates(["item"]))
-    _, reach = link(met, lambda pairs: similar_sets(pairs, sets), percent)
+    _, reach = link(met, sets, percent)
     named = items.join(reach.withColumnRenamed("id", "item"), "item", "left").select(
         "item", "least", F.coalesce("component_id", "item").alias("group"))
     groups = named.groupBy("group").agg(F.min("least").alias("component_id"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
 
-#: Pairs of different components that are compared at once, for each bucket row there is.
-PAIRS_PER_ROW = 4
+#: Rows of a bucket that are compared with each other in the first round; larger buckets
+#: take further heads. Each round allows four times as many, so the rounds stay few.
+SMALL = 256
+#: Jaccard distance to a head up to which items are compared by their differences from it.
+NEAR = 0.5
 
 
 def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -22,77 +25,120 @@ def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                       F.size("ta").cast("long").alias("n_a"), F.size("tb").cast("long").alias("n_b"))
 
 
-def link(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+def _labelled(rows: DataFrame, reach: DataFrame | None, item: str = "item", name: str = "component") -> DataFrame:
+    """``rows`` with the component of an item; an item without links is its own."""
+    if reach is None:
+        return rows.withColumn(name, F.col(item))
+    known = reach.select(F.col("id").alias(item), F.col("component_id").alias("__c"))
+    return rows.join(known, item, "left").withColumn(name, F.coalesce("__c", item)).drop("__c")
+
+
+def _by_differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of items of one head that may link although one of them does not link to the head.
+
+    ``star``: head, item, component, loose (does not link to the head). Items are
+    held as what they lack of the head's set and what they have besides. Let u be
+    loose, and let u and m share none of these: then their similarity is at most that
+    of u and the head, too low. So u must share some with m, and how many follows
+    from the sizes; u looks for them by its rarest ones (a prefix), m is found by any.
+    """
+    tight = percent / 100
+    head = sets.select(F.col("item").alias("head"), F.col("tokens").alias("th"))
+    both = star.join(sets, "item").join(head, "head").select(
+        "head", "item", "component", "loose", F.size("th").alias("c"), F.size("tokens").alias("n"),
+        F.array_except("th", "tokens").alias("lack"), F.array_except("tokens", "th").alias("more"))
+    keys = F.concat(F.transform("lack", lambda x: F.struct(F.lit(0).alias("side"), x.alias("key"))),
+                    F.transform("more", lambda x: F.struct(F.lit(1).alias("side"), x.alias("key"))))
+    rows = written(both.select("head", "item", "component", "loose", "c", "n", F.size("lack").alias("l"), F.size("more").alias("m"), F.explode(keys).alias("k"))
+                   .select("*", "k.side", "k.key").drop("k"))
+    often = rows.groupBy("head", "side", "key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = written(rows.join(often, ["head", "side", "key"]))
+    own = Window.partitionBy("head", "item")
+    probes = (
+        shared.where("loose")
+        .withColumn("sl", F.sum((F.col("side") == 0).cast("int")).over(own))
+        .withColumn("sm", F.sum((F.col("side") == 1).cast("int")).over(own))
+        # what sharing must make up for
+        .withColumn("need", F.lit(tight) * (F.col("n") + F.col("l")) - (F.col("c") - F.col("l")) - 1e-9)
+        .where(F.col("sm") + tight * F.col("sl") >= F.col("need"))
+        .withColumn("place", F.row_number().over(own.orderBy("df", "side", "key")))
+        .where(F.col("place") <= F.col("sl") + F.col("sm") - F.greatest(F.ceil("need"), F.lit(1)) + 1)
+        .select("head", "side", "key", F.col("item").alias("u"), F.col("component").alias("cu"), "c", F.col("n").alias("nu"),
+                F.col("l").alias("lu"), "sl", "sm")
+    )
+    others = shared.select("head", "side", "key", F.col("item").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"),
+                           F.col("l").alias("lv"), F.col("m").alias("mv"))
+    most = F.col("c") - F.col("lu") - F.col("lv") + F.least("sl", "lv") + F.least("sm", "mv")
+    met = probes.join(others, ["head", "side", "key"]).where(
+        (F.col("u") != F.col("v")) & (F.col("cu") != F.col("cv")) & (100 * most >= percent * (F.col("nu") + F.col("nv") - most)))
+    return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def _in_small(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in buckets of few rows, but for those whose distances to the head rule a link out."""
+    one = rows.select("bucket", F.col("item").alias("a"), F.col("size").alias("sa"), F.col("far").alias("fa"), F.col("component").alias("ca"))
+    two = rows.select("bucket", F.col("item").alias("b"), F.col("size").alias("sb"), F.col("far").alias("fb"), F.col("component").alias("cb"))
+    return (
+        one.join(two, "bucket")
+        .where("a < b and ca <> cb")
+        .where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
+        .where(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= (100 - percent) / 100 + 1e-9, F.lit(True)))
+        .select("a", "b")
+        .distinct()
+    )
+
+
+def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """All links between items of a bucket, up to what their components need.
 
-    ``buckets``: distinct rows (bucket, item, size), longs. ``compare`` turns pairs
-    (a, b) into (a, b, both, n_a, n_b). Items link if 100 * both >= percent * union.
-    Returns links (a, b) that span the components of the full graph, and
-    (id, component_id) for the items in them.
-
-    In a round each bucket compares its least item, the head, with its others. Then
-    the buckets whose other items lie in more than one component remain. Pairs inside a
-    component can change nothing, so only pairs across components are left; of
-    these, sizes and distances to the head rule out most (the Jaccard distance is a
-    metric: two items within d of each other differ by at most d in their distance
-    to a third). If few are left they are compared at once, else another round
-    takes the next heads. So a large group of near copies costs a pair an item, and
-    no pair that could join components is left out.
+    ``buckets``: distinct rows (bucket, item, size), longs; ``sets``: item, tokens.
+    Items link if 100 * both >= percent * union. Returns links (a, b) that span the
+    components of the full graph, and (id, component_id) for the items in them.
+
+    In a round each bucket compares its head, the item with most neighbours, with its
+    other items. Then the buckets whose other items lie in one component are done,
+    as pairs inside a component change nothing. In the others, items near the head
+    are compared by their differences from it; what is far from the head (the
+    Jaccard distance is a metric, so a far item's partner is far too) is compared at
+    once in buckets of few rows, and goes through another round in larger ones. So a
+    large group of near copies costs about a pair an item, and no pair that could
+    join components is left out.
     """
-    near = (100 - percent) / 100 + 1e-9
-    links, reach, current = None, None, buckets
+    sizes = buckets.groupBy("bucket").agg((F.count("*") - 1).alias("n"))
+    degree = buckets.join(sizes, "bucket").groupBy("item").agg(F.sum("n").alias("degree"))
+    current = written(buckets.join(degree, "item").select("bucket", "item", "size", "degree"))
+    tight, links, reach, small = (100 - percent) / 100, None, None, SMALL
     while True:
-        heads = current.groupBy("bucket").agg(F.min(F.struct("item", "size")).alias("h"), F.max("item").alias("top"))
-        heads = heads.where(F.col("h.item") != F.col("top")).select(
-            "bucket", F.col("h.item").alias("head"), F.col("h.size").alias("head_size"))
-        met = current.join(heads, "bucket").where(F.col("item") != F.col("head"))
+        heads = current.groupBy("bucket").agg(F.max(F.struct("degree", "item", "size")).alias("h"), F.min("item").alias("lo"), F.max("item").alias("hi"))
+        heads = heads.where("lo <> hi").select("bucket", F.col("h.item").alias("head"), F.col("h.size").alias("head_size"))
+        met = written(current.join(heads, "bucket").where("item <> head"))
         fits = 100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size")
-        met = written(met.withColumn("fits", fits))
-        pairs = met.where("fits").select(F.col("head").alias("a"), F.col("item").alias("b")).distinct()
-        if reach is not None:
-            pairs = _across(pairs, reach)
-        seen = written(compare(pairs).withColumn("union", F.col("n_a") + F.col("n_b") - F.col("both")))
+        pairs = met.where(fits).select(F.col("head").alias("a"), F.col("item").alias("b")).distinct()
+        seen = written(similar_sets(pairs, sets).withColumn("union", F.col("n_a") + F.col("n_b") - F.col("both")))
         new = seen.where(F.col("both") * 100 >= F.col("union") * percent).select("a", "b")
         links = new if links is None else links.unionAll(new)
         reach = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        far = seen.select(F.col("a").alias("head"), F.col("b").alias("item"), (1 - F.col("both") / F.col("union")).alias("far"))
-        rest = (
-            met.join(far, ["head", "item"], "left")
-            .join(reach.withColumnRenamed("id", "item"), "item", "left")
-            .withColumn("component", F.coalesce("component_id", "item"))
-            .select("bucket", "item", "size", "far", "component")
-        )
-        counts = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        # of a bucket's components, the one with most rows; every open pair has an end outside it
-        open_buckets = counts.groupBy("bucket").agg(
-            F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")
-        ).where("least <> most").select("bucket", F.col("m.component").alias("main"), F.col("m.n").alias("in_main"), "n")
-        open_buckets = written(open_buckets)
-        left = open_buckets.agg(F.sum(F.col("n")).alias("rows"), F.sum((F.col("n") - F.col("in_main")) * F.col("n")).alias("pairs")).first()
-        if left["rows"] is None:
+        far = seen.select(F.col("a").alias("head"), F.col("b").alias("item"), (1 - F.col("both") / F.col("union")).alias("far"),
+                          (F.col("both") * 100 < F.col("union") * percent).alias("loose"))
+        rows = _labelled(met.join(far, ["head", "item"], "left"), reach)
+        spread = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        rows = written(rows.join(spread, "bucket"))
+        if rows.isEmpty():
             return links, reach
-        rest = written(rest.join(open_buckets, "bucket"))
-        if left["pairs"] <= PAIRS_PER_ROW * max(left["rows"], 100_000):
-            break
-        current = rest.select("bucket", "item", "size")
-    one = rest.where("component <> main").select("bucket", F.col("item").alias("a"), F.col("size").alias("sa"), F.col("far").alias("fa"), F.col("component").alias("ca"))
-    two = rest.select("bucket", F.col("item").alias("b"), F.col("size").alias("sb"), F.col("far").alias("fb"), F.col("component").alias("cb"), "main")
-    last = (
-        one.join(two, "bucket")
-        .where("ca <> cb and (cb = main or a < b)")
-        .where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
-        .where(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= near, F.lit(True)))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    seen = compare(written(last)).where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent)
-    links = links.unionAll(written(seen.select("a", "b")))
-    return links, components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
 
-def _across(pairs: DataFrame, reach: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    a = reach.select(F.col("id").alias("a"), F.col("component_id").alias("ca"))
-    b = reach.select(F.col("id").alias("b"), F.col("component_id").alias("cb"))
-    met = pairs.join(a, "a", "left").join(b, "b", "left")
-    return met.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        star = rows.where(F.col("far") <= NEAR).select("head", "item", "component", "loose").distinct()
+        star = star.join(star.where("loose").select("head").distinct(), "head", "left_semi")
+        # sets that may link are of one size class or of two next to each other
+        level = F.floor(F.log("size") / F.lit(-math.log(percent / 100)))
+        apart = rows.where(f"far is null or far > {NEAR - tight}").withColumn("level", F.explode(F.array(level, level + 1)))
+        apart = apart.withColumn("bucket", F.xxhash64("bucket", "level")).drop("level")
+        counts = apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        apart = written(apart.join(counts.select("bucket", "n"), "bucket"))
+        more = _by_differences(star, sets, percent).unionAll(_in_small(apart.where(F.col("n") <= small), percent)).distinct()
+        seen = similar_sets(written(more), sets).where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent)
+        links = links.unionAll(written(seen.select("a", "b")))
+        reach = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        current = apart.where(F.col("n") > small).select("bucket", "item", "size", "degree")
+        if current.isEmpty():
+            return links, reach
+        small *= 4

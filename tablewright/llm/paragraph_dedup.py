@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from . import shingles as S
 from .common import components, text_slices, written
 from .jaccard_join import BROADCAST_IDS, fetch
-from .links import link, similar_sets
+from .links import link
 
 WORDS = 5
 PERCENT = 80
@@ -166,7 +166,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     sources = _kept_in(lines, asked, "item").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
     sets = fetch(docs, written(sources.select("doc_id").distinct())).mapInArrow(_paragraph_sets(least), "item long, tokens array<long>")
     sets = written(_kept_in(sets, asked, "item").dropDuplicates(["item"]))
-    _, reach = link(met, lambda pairs: similar_sets(pairs, sets), percent)
+    _, reach = link(met, sets, percent)
 
     whole = lines.join(reach.withColumnRenamed("id", "item"), "item", "left").withColumn("group", F.coalesce("component_id", "item"))
     groups = whole.groupBy("group").agg(
