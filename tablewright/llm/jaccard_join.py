@@ -16,9 +16,10 @@ from .links import link
 WORDS = 3
 PERCENT = 90
 #: A shingle in the plain prefixes of so many documents counts as frequent ...
-FREQUENT = 12
-#: ... if it is among so many most frequent ones: their list is broadcast. Any choice of them gives the same links.
-CLASSES = 65_536
+FREQUENT = 2
+#: ... if it is among so many most frequent ones: their list (8 bytes each) is broadcast.
+#: Any choice of them gives the same links; a good one keeps candidates few.
+CLASSES = 1_000_000
 #: Document ids that are broadcast, at most, to fetch the sets to verify; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -148,7 +149,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     docs = docs.select("doc_id", "text")
     counted = docs.select("text").mapInArrow(_plain_prefixes(words, percent), "token long, n long")
     top = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(CLASSES)
-    frequent = np.sort(np.array([r["token"] for r in top.collect()], np.int64).view(np.uint64))
+    frequent = np.sort(top.toArrow().column("token").to_numpy().view(np.uint64))
     sent = spark.sparkContext.broadcast(frequent)
     signed = written(docs.mapInArrow(_signed(words, percent, sent), "doc_id long, n_shingles long, item long, buckets array<long>"))
     buckets = signed.select(F.explode("buckets").alias("bucket"), "item", F.col("n_shingles").alias("size"))
@@ -158,7 +159,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     shared = buckets.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket")
     met = written(buckets.join(shared, "bucket").distinct())
     wanted = met.select("item").distinct().join(items, "item").select(F.col("least").alias("doc_id")).distinct()
-    sets = written(fetch(docs, written(wanted)).mapInArrow(_sets(words), "item long, tokens array<long>").dropDuplicates(["item"]))
+    sets = written(fetch(docs, written(wanted)).mapInArrow(_sets(words), "item long, tokens array<long>"))
+    if sets.count() > sets.select("item").distinct().count():  # rows that repeat a doc_id
+        sets = written(sets.dropDuplicates(["item"]))
     _, reach = link(met, sets, percent)
     named = items.join(reach.withColumnRenamed("id", "item"), "item", "left").select(
         "item", "least", F.coalesce("component_id", "item").alias("group"))

@@ -25,6 +25,21 @@ def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                       F.size("ta").cast("long").alias("n_a"), F.size("tb").cast("long").alias("n_b"))
 
 
+def _could_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that a quarter of their tokens does not rule out.
+
+    Linked sets differ in at most (n_a + n_b) * (100 - percent) / (100 + percent)
+    tokens. Tokens are hashes, so those in the first quarter of their range are a
+    quarter of each set; if these alone differ in more, the sets do not link.
+    """
+    low = written(sets.select("item", F.filter("tokens", lambda x: (x >= 0) & (x < 2**62)).alias("low"), F.size("tokens").alias("n")))
+    left = low.select(F.col("item").alias("a"), F.col("low").alias("la"), F.col("n").alias("na"))
+    right = low.select(F.col("item").alias("b"), F.col("low").alias("lb"), F.col("n").alias("nb"))
+    apart = F.size("la") + F.size("lb") - 2 * F.size(F.array_intersect("la", "lb"))
+    met = pairs.join(right, "b").join(left, "a")
+    return met.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
 def _labelled(rows: DataFrame, reach: DataFrame | None, item: str = "item", name: str = "component") -> DataFrame:
     """``rows`` with the component of an item; an item without links is its own."""
     if reach is None:
@@ -34,44 +49,52 @@ def _labelled(rows: DataFrame, reach: DataFrame | None, item: str = "item", name
 
 
 def _by_differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of items of one head that may link although one of them does not link to the head.
+    """Links (a, b) between items of one head of which at least one does not link to the head.
 
     ``star``: head, item, component, loose (does not link to the head). Items are
     held as what they lack of the head's set and what they have besides. Let u be
-    loose, and let u and m share none of these: then their similarity is at most that
-    of u and the head, too low. So u must share some with m, and how many follows
-    from the sizes; u looks for them by its rarest ones (a prefix), m is found by any.
+    loose, and let u and v share none of these: then their similarity is at most that
+    of u and the head, too low. So u must share some with v, and how many follows
+    from the sizes. A loose item offers its rarest ones (a prefix: all but as many as
+    it needs, less one), another item all of them; pairs that meet and whose
+    numbers allow a link are decided by the differences themselves:
+    |u and v| = |head| - lacks of u - lacks of v + shared lacks + shared additions.
     """
     tight = percent / 100
     head = sets.select(F.col("item").alias("head"), F.col("tokens").alias("th"))
-    both = star.join(sets, "item").join(head, "head").select(
+    both = written(star.join(sets, "item").join(head, "head").select(
         "head", "item", "component", "loose", F.size("th").alias("c"), F.size("tokens").alias("n"),
-        F.array_except("th", "tokens").alias("lack"), F.array_except("tokens", "th").alias("more"))
+        F.array_except("th", "tokens").alias("lack"), F.array_except("tokens", "th").alias("more")))
     keys = F.concat(F.transform("lack", lambda x: F.struct(F.lit(0).alias("side"), x.alias("key"))),
                     F.transform("more", lambda x: F.struct(F.lit(1).alias("side"), x.alias("key"))))
-    rows = written(both.select("head", "item", "component", "loose", "c", "n", F.size("lack").alias("l"), F.size("more").alias("m"), F.explode(keys).alias("k"))
-                   .select("*", "k.side", "k.key").drop("k"))
+    rows = both.select("head", "item", "component", "loose", "c", "n", F.size("lack").alias("l"), F.explode(keys).alias("k"))
+    rows = rows.select("*", "k.side", "k.key").drop("k")
     often = rows.groupBy("head", "side", "key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = written(rows.join(often, ["head", "side", "key"]))
     own = Window.partitionBy("head", "item")
-    probes = (
-        shared.where("loose")
+    offered = (
+        rows.join(often, ["head", "side", "key"])
         .withColumn("sl", F.sum((F.col("side") == 0).cast("int")).over(own))
         .withColumn("sm", F.sum((F.col("side") == 1).cast("int")).over(own))
-        # what sharing must make up for
-        .withColumn("need", F.lit(tight) * (F.col("n") + F.col("l")) - (F.col("c") - F.col("l")) - 1e-9)
+        # what a loose item must make up for by sharing
+        .withColumn("need", F.when(F.col("loose"), F.lit(tight) * (F.col("n") + F.col("l")) - (F.col("c") - F.col("l")) - 1e-9).otherwise(0.0))
         .where(F.col("sm") + tight * F.col("sl") >= F.col("need"))
         .withColumn("place", F.row_number().over(own.orderBy("df", "side", "key")))
         .where(F.col("place") <= F.col("sl") + F.col("sm") - F.greatest(F.ceil("need"), F.lit(1)) + 1)
-        .select("head", "side", "key", F.col("item").alias("u"), F.col("component").alias("cu"), "c", F.col("n").alias("nu"),
-                F.col("l").alias("lu"), "sl", "sm")
+        .drop("df", "need", "place")
     )
-    others = shared.select("head", "side", "key", F.col("item").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"),
-                           F.col("l").alias("lv"), F.col("m").alias("mv"))
-    most = F.col("c") - F.col("lu") - F.col("lv") + F.least("sl", "lv") + F.least("sm", "mv")
-    met = probes.join(others, ["head", "side", "key"]).where(
-        (F.col("u") != F.col("v")) & (F.col("cu") != F.col("cv")) & (100 * most >= percent * (F.col("nu") + F.col("nv") - most)))
-    return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    offered = written(offered)
+    other = offered.select("head", "side", "key", *[F.col(c).alias(f"{c}2") for c in ("item", "component", "loose", "n", "l", "sl", "sm")])
+    most = F.col("c") - F.col("l") - F.col("l2") + F.least("sl", "sl2") + F.least("sm", "sm2")
+    met = offered.where("loose").join(other, ["head", "side", "key"]).where(
+        (F.col("component") != F.col("component2")) & (~F.col("loose2") | (F.col("item") < F.col("item2")))
+        & (100 * most >= percent * (F.col("n") + F.col("n2") - most)))
+    pairs = met.select("head", "item", "item2").distinct()
+    second = both.select("head", F.col("item").alias("item2"), F.col("n").alias("n2"), F.col("lack").alias("lack2"), F.col("more").alias("more2"))
+    told = pairs.join(second, ["head", "item2"]).join(both.select("head", "item", "c", "n", "lack", "more"), ["head", "item"])
+    shared = F.size(F.array_intersect("lack", "lack2")) + F.size(F.array_intersect("more", "more2"))
+    same = F.col("c") - F.size("lack") - F.size("lack2") + shared
+    return told.where(100 * same >= percent * (F.col("n") + F.col("n2") - same)).select(
+        F.least("item", "item2").alias("a"), F.greatest("item", "item2").alias("b")).distinct()
 
 
 def _in_small(rows: DataFrame, percent: int) -> DataFrame:
@@ -134,9 +157,10 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
         apart = apart.withColumn("bucket", F.xxhash64("bucket", "level")).drop("level")
         counts = apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         apart = written(apart.join(counts.select("bucket", "n"), "bucket"))
-        more = _by_differences(star, sets, percent).unionAll(_in_small(apart.where(F.col("n") <= small), percent)).distinct()
+        close = _by_differences(star, sets, percent)
+        more = _could_link(_in_small(apart.where(F.col("n") <= small), percent), sets, percent)
         seen = similar_sets(written(more), sets).where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent)
-        links = links.unionAll(written(seen.select("a", "b")))
+        links = links.unionAll(written(close.unionAll(seen.select("a", "b"))))
         reach = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         current = apart.where(F.col("n") > small).select("bucket", "item", "size", "degree")
         if current.isEmpty():
