@@ -42,11 +42,7 @@ def _regression_metrics(spark, folder):
     return out.select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
 
 
-CONFUSION_SQL = (
-    f"WITH s AS ({SCORED_CLASSES}), l AS (SELECT y AS v FROM s UNION SELECT p FROM s)"
-    " SELECT a.v AS actual, b.v AS predicted, (SELECT count(*) FROM s WHERE s.y = a.v AND s.p = b.v) AS n"
-    " FROM l a, l b"
-)
+CONFUSION_SQL = f"SELECT y AS actual, p AS predicted, count(*) AS n FROM ({SCORED_CLASSES}) GROUP BY ALL"
 CLASS_SCORES_CTE = (
     f"WITH s AS ({SCORED_CLASSES}), l AS (SELECT y AS v FROM s UNION SELECT p FROM s), t AS (SELECT v,"
     " (SELECT count(*) FROM s WHERE y = v) AS support, (SELECT count(*) FROM s WHERE p = v) AS claimed,"

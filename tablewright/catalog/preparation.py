@@ -545,6 +545,13 @@ QUERIES = [
         ).select("o_orderkey", "o_orderstatus", "split"),
         STRATIFIED_SQL,
     ),
+    Query(
+        "stratified_split_many",
+        lambda s, d: splitting.stratified_split(table(s, d, "orders"), "o_custkey", ["o_orderkey"]).select(
+            "o_orderkey", "o_custkey", "split"
+        ),
+        STRATIFIED_SQL.replace("o_orderstatus", "o_custkey"),
+    ),
     Query(
         "kfold_assign",
         lambda s, d: splitting.assign_folds(

@@ -72,7 +72,7 @@ def describe_sql(columns, source, with_ctes=""):
             f"round(quantile_cont({c}::DOUBLE, {p}), 4) AS {n}" for p, n in zip(probs, names)
         )
         parts.append(
-            f"SELECT '{c}' AS \"column\", count({c}) AS count, round(printf('%.11e', sum({c}::DOUBLE))::DOUBLE / count({c}), 4) AS mean,"
+            f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean,"
             f" round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, {points},"
             f" round(max({c})::DOUBLE, 4) AS max FROM {source}"
         )
@@ -106,6 +106,37 @@ def outlier_sql(columns, source, method, with_ctes="", t=1.5):
     )
 
 
+# Sixteen columns with gaps that come in different rows.
+WIDE_COLUMNS = [f"c{i}" for i in range(16)]
+WIDE_SQL = (
+    "SELECT "
+    + ", ".join(
+        f"CASE WHEN l_orderkey % {i + 7} <> 0 THEN"
+        f" {('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax')[i % 4]} * {i + 1} + l_partkey % {i + 2} END AS c{i}"
+        for i in range(16)
+    )
+    + " FROM lineitem"
+)
+
+
+def _wide(spark, folder):
+    return table(spark, folder, "lineitem").selectExpr(*WIDE_SQL[len("SELECT ") : -len(" FROM lineitem")].split(", "))
+
+
+def _epochs(spark, folder):
+    return table(spark, folder, "events").selectExpr("unix_millis(cast(ts AS timestamp)) AS epoch_ms")
+
+
+def _endless(spark, folder):
+    """Events with a copy of the value, and one in which some values are infinite."""
+    return table(spark, folder, "events").selectExpr(
+        "value",
+        "user_id",
+        "value * 3 + 1 AS twin",
+        "CASE WHEN event_id % 90 = 1 THEN double('Infinity') WHEN event_id % 90 = 2 THEN double('-Infinity') ELSE value END AS endless",
+    )
+
+
 # (table, column, kind of storage) of all given tables, as the files declare them.
 GIVEN_TABLES = {
     "region": "r_regionkey:int r_name:string",
@@ -471,6 +502,33 @@ QUERIES = [
         lambda s, d: numeric.describe(table(s, d, "lineitem"), LINEITEM_NUMERIC),
         describe_sql(LINEITEM_NUMERIC, "lineitem"),
     ),
+    Query(
+        "numeric_describe_epoch",
+        lambda s, d: numeric.describe(_epochs(s, d), ["epoch_ms"]).select("column", "count", "mean", "min", "max"),
+        "SELECT 'epoch_ms' AS \"column\", count(*) AS count, round(avg(e), 4) AS mean, min(e)::DOUBLE AS min, max(e)::DOUBLE AS max"
+        " FROM (SELECT epoch_us(ts) // 1000 AS e FROM events)",
+    ),
+    Query(
+        "correlation_wide",
+        lambda s, d: numeric.correlation_matrix(_wide(s, d), WIDE_COLUMNS),
+        correlation_sql(_pairs(WIDE_COLUMNS), "w", f"WITH w AS ({WIDE_SQL}) "),
+    ),
+    Query(
+        "correlation_inf",
+        lambda s, d: numeric.correlation_matrix(_endless(s, d), ["value", "user_id", "endless"]),
+        correlation_sql([("value", "user_id")], "events")
+        + " UNION ALL SELECT c, 'endless', NULL FROM (VALUES ('value'), ('user_id')) v(c)",
+    ),
+    Query(
+        "outliers_zscore_inf",
+        lambda s, d: outliers.outlier_report(_endless(s, d), "zscore", columns=["value", "endless"]),
+        outlier_sql(["value"], "events", "zscore") + " UNION ALL SELECT 'endless', 'zscore', 0, 0.0",
+    ),
+    Query(
+        "target_leakage_inf",
+        lambda s, d: target.target_leakage(_endless(s, d).select("value", "endless", "twin"), "value").where("check = 'high_correlation'"),
+        "SELECT 'high_correlation' AS \"check\", 'twin' AS \"column\", 1.0::DOUBLE AS value",
+    ),
     Query(
         "numeric_describe_gaps",
         lambda s, d: numeric.describe(dirty_orders(s, d), ["price", "mostly_missing", "co_missing"]),

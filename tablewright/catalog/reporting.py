@@ -151,17 +151,35 @@ def _chart_plans(spark, folder):
     return out
 
 
+def _rounded(df):
+    """Means to four places: engines add doubles in different orders."""
+    return df.withColumn("mean", F.round("mean", 4))
+
+
 QUERIES = [
     Query(
         "kpi_card",
-        lambda s, d: charts.kpi_card(table(s, d, "orders"), "o_totalprice"),
-        "SELECT count(o_totalprice) AS count, round(sum(o_totalprice), 2) AS total, printf('%.11e', sum(o_totalprice))::DOUBLE / count(o_totalprice) AS mean,"
+        lambda s, d: _rounded(charts.kpi_card(table(s, d, "orders"), "o_totalprice")),
+        "SELECT count(o_totalprice) AS count, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean,"
         " min(o_totalprice) AS min, round(quantile_cont(o_totalprice, 0.5), 4) AS median, max(o_totalprice) AS max"
         " FROM orders",
     ),
     Query(
         "histogram", lambda s, d: charts.histogram(table(s, d, "events"), "value"), _histogram_sql("events", "value")
     ),
+    Query(
+        "histogram_inf",
+        lambda s, d: charts.histogram(
+            table(s, d, "events").selectExpr(
+                "CASE WHEN event_id % 90 = 1 THEN double('Infinity') WHEN event_id % 90 = 2 THEN double('-Infinity') ELSE value END AS x"
+            ),
+            "x",
+        ),
+        "WITH f AS (SELECT value AS x FROM events WHERE event_id % 90 NOT IN (1, 2)) SELECT * FROM ("
+        + _histogram_sql("f", "x")
+        + ") UNION ALL SELECT 20, 'Infinity'::DOUBLE, 'Infinity'::DOUBLE, count(*) FROM events WHERE event_id % 90 = 1"
+        " UNION ALL SELECT -1, '-Infinity'::DOUBLE, '-Infinity'::DOUBLE, count(*) FROM events WHERE event_id % 90 = 2",
+    ),
     Query(
         "box_plot",
         lambda s, d: charts.box_plot(table(s, d, "events"), ["value", "user_id"]),
@@ -169,11 +187,11 @@ QUERIES = [
     ),
     Query(
         "category_comparison",
-        lambda s, d: charts.category_comparison(
-            table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"]
+        lambda s, d: _rounded(
+            charts.category_comparison(table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"])
         ),
         "SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, round(sum(l_extendedprice), 2) AS total,"
-        " printf('%.11e', sum(l_extendedprice))::DOUBLE / count(l_extendedprice) AS mean FROM lineitem GROUP BY ALL",
+        " round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY ALL",
     ),
     Query(
         "composition_share",
@@ -184,11 +202,11 @@ QUERIES = [
     *[
         Query(
             f"trend_{grain}",
-            lambda s, d, grain=grain: charts.trend_series(
-                table(s, d, "orders"), "o_orderdate", "o_totalprice", grain
+            lambda s, d, grain=grain: _rounded(
+                charts.trend_series(table(s, d, "orders"), "o_orderdate", "o_totalprice", grain)
             ),
             f"WITH p AS (SELECT date_trunc('{grain}', o_orderdate)::DATE AS d, count(o_totalprice) AS n,"
-            " sum(o_totalprice) AS s, printf('%.11e', sum(o_totalprice))::DOUBLE / count(o_totalprice) AS m FROM orders GROUP BY 1)"
+            " sum(o_totalprice) AS s, round(avg(o_totalprice), 4) AS m FROM orders GROUP BY 1)"
             " SELECT strftime(d, '%Y-%m-%d') AS period, n, round(s, 2) AS total, m AS mean,"
             " round(avg(s) OVER (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving_mean,"
             " round(s - lag(s) OVER (ORDER BY d), 2) AS change FROM p",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schema import col, is_floating
+from .schema import col, is_floating, is_integral
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -49,24 +49,23 @@ def sample_kurtosis(c: Column) -> Column:
 
 
 def pairwise_correlation(x: Column, y: Column) -> Column:
-    """Pearson r over the rows where both are present; NULL without variance.
+    """Pearson r over the rows where both are present; NULL without variance or with infinities.
 
     ``corr`` raises on a zero-variance side under ANSI rules, hence the guarded
     quotient of covariance and deviations.
     """
     xs = F.when(y.isNotNull(), x)
     ys = F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(xs) * F.stddev_samp(ys))
+    r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(xs) * F.stddev_samp(ys))
+    return F.when(~F.isnan(r), r)
 
 
-def steady_mean(c: Column) -> Column:
-    """The mean from a total of twelve significant digits.
-
-    Adding doubles in another order changes the last bits of their sum; settling
-    the total first gives the same mean on nearly any partitioning.
-    """
-    total = F.format_string("%.11e", F.sum(c)).try_cast("double")
-    return F.try_divide(total, F.count(c))
+def mean_of(df: DataFrame, name: str) -> Column:
+    """The plain mean; whole numbers are added exactly, in any order."""
+    c = col(name)
+    if is_integral(df.schema[name].dataType):
+        return F.try_divide(F.sum(c.cast("decimal(20,0)")).cast("double"), F.count(c))
+    return F.avg(as_double(name))
 
 
 def signless(c: Column) -> Column:

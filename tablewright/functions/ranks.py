@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .schema import col, flat_columns
 
 ROWS_PER_BUCKET = 100_000
-MAX_PREFIX = 5  # 16**5 buckets per class
 
 
 def row_hash(df: DataFrame, key: Sequence[str] | None, seed: int) -> Column:
@@ -36,7 +35,7 @@ def prefix_length(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Hex digits that keep a bucket of ``rows`` uniform hashes near ``per_bucket``."""
     if rows <= per_bucket:
         return 1
-    return min(MAX_PREFIX, max(1, math.ceil(math.log(rows / per_bucket, 16))))
+    return max(1, math.ceil(math.log(rows / per_bucket, 16)))
 
 
 def hash_rank(
@@ -78,12 +77,12 @@ def hash_cutoffs(
     group: Column,
     share: float,
     rows: int | None = None,
-) -> dict[str | None, tuple[str, int]]:
-    """Per group: the largest hash that belongs to its first ``round(share*n)`` rows.
+) -> DataFrame:
+    """``(g, cut)``: per group the largest hash of its first ``round(share*n)`` rows.
 
-    The result has one entry per group, so it is only as large as the number of
-    classes; rows are then split by comparing their hash, with no shuffle at all.
-    Where nothing of the last bucket fits, its prefix is the cut.
+    One row a group, for any number of groups; rows are split by comparing their
+    hash with their group's.  Where nothing of the last bucket fits, its prefix is
+    the cut.  A group without any such row has no entry.
     """
     digits = prefix_length(df.count() if rows is None else rows)
     marked = df.select(group.cast("string").alias("g"), row_hash(df, key, seed).alias("h"))
@@ -98,28 +97,16 @@ def hash_cutoffs(
     )
     edge = histogram.filter(
         (F.col("upto") - F.col("n") < F.col("want")) & (F.col("upto") >= F.col("want"))
-    ).select("g", "b", "want", (F.col("want") - F.col("upto") + F.col("n")).alias("need"))
-    edges = {r["g"]: (r["b"], r["need"], r["want"]) for r in edge.collect()}
-    if not edges:
-        return {}
-    at_edge = F.lit(False)
-    need = F.lit(None).cast("long")
-    for g, (b, k, _) in edges.items():
-        here = F.col("g").eqNullSafe(F.lit(g)) & (F.col("b") == b)
-        at_edge = at_edge | here
-        need = F.when(here, F.lit(k)).otherwise(need)
+    ).select(F.col("g").alias("eg"), F.col("b").alias("eb"), (F.col("want") - F.col("upto") + F.col("n")).alias("need"))
     # Copies of a row share its hash: count them first, so that a crowd of copies
     # is one row here.  The cut never splits them and never takes too many.
     upto_hash = Window.partitionBy("g").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        marked.filter(at_edge)
-        .groupBy("g", "b", "h")
+        marked.groupBy("g", "b", "h")
         .agg(F.count("*").alias("n"))
-        .withColumns({"k": need, "pos": F.sum("n").over(upto_hash)})
-        .filter("pos <= k")
-        .groupBy("g")
-        .agg(F.max("h").alias("h"))
-        .collect()
+        .join(edge, F.col("g").eqNullSafe(F.col("eg")) & (F.col("b") == F.col("eb")))
+        .withColumn("pos", F.sum("n").over(upto_hash))
+        .groupBy("g", "eb")
+        .agg(F.max(F.when(F.col("pos") <= F.col("need"), F.col("h"))).alias("h"))
     )
-    cuts = {r["g"]: r["h"] for r in found}
-    return {g: (cuts.get(g, b), want) for g, (b, _, want) in edges.items()}
+    return found.select("g", F.coalesce("h", "eb").alias("cut"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_double, steady_mean
+from ..functions.numeric import as_double, mean_of
 from ..functions.quantiles import exact_quantiles
 from ..functions.report import local_rows
 from ..functions.schema import col, numeric_columns, temporal_columns, text_columns
@@ -70,7 +70,7 @@ def kpi_card(df: DataFrame, target: str) -> DataFrame:
     return df.agg(
         F.count(col(target)).alias("count"),
         F.round(F.sum(x), 2).alias("total"),
-        steady_mean(x).alias("mean"),
+        mean_of(df, target).alias("mean"),
         F.min(x).alias("min"),
         F.round(F.lit(middle).cast("double"), 4).alias("median"),
         F.max(x).alias("max"),
@@ -78,20 +78,34 @@ def kpi_card(df: DataFrame, target: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """``(bin, low, high, n)`` of equal width; the last bin holds the maximum."""
+    """``(bin, low, high, n)`` of equal width over the finite values; the last bin holds the maximum.
+
+    Infinities, if any, are counted in bins of their own: -1 below, ``bins`` above.
+    """
     x = as_double(column)
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    if ends["lo"] is None:
+    endless = F.abs(x) == float("inf")
+    ends = df.agg(
+        F.min(F.when(~endless, x)).alias("lo"),
+        F.max(F.when(~endless, x)).alias("hi"),
+        F.max(F.when(endless, -x)).alias("below"),
+        F.max(F.when(endless, x)).alias("above"),
+    ).first()
+    infinite = float("inf")
+    outside = [(-1, -infinite, -infinite)] if ends["below"] == infinite else []
+    outside += [(bins, infinite, infinite)] if ends["above"] == infinite else []
+    if ends["lo"] is None and not outside:
         return local_rows(df, [], "bin int, low double, high double, n bigint")
-    lo, width = ends["lo"], (ends["hi"] - ends["lo"]) / bins or 1.0
+    lo = ends["lo"] or 0.0
+    width = ((ends["hi"] or 0.0) - lo) / bins or 1.0
     place = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    place = F.when(endless, F.when(x < 0, -1).otherwise(bins)).otherwise(place)
     counted = (
         df.filter(col(column).isNotNull())
         .groupBy(place.alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     axis = local_rows(
-        df, [(i, lo + i * width, lo + (i + 1) * width) for i in range(bins)], "bin int, low double, high double"
+        df, [*([(i, lo + i * width, lo + (i + 1) * width) for i in range(bins)] if ends["lo"] is not None else []), *outside], "bin int, low double, high double"
     )
     return axis.join(F.broadcast(counted), "bin", "left").select(  # at most ``bins`` rows
         "bin",
@@ -139,7 +153,7 @@ def category_comparison(df: DataFrame, target: str, by: Sequence[str]) -> DataFr
     return df.groupBy(*[col(c) for c in by]).agg(
         F.count(col(target)).alias("n"),
         F.round(F.sum(x), 2).alias("total"),
-        steady_mean(x).alias("mean"),
+        mean_of(df, target).alias("mean"),
     )
 
 
@@ -172,7 +186,7 @@ def trend_series(df: DataFrame, time: str, target: str, grain: str = "month", wi
         .agg(
             F.count(col(target)).alias("n"),
             F.sum(as_double(target)).alias("s"),
-            steady_mean(as_double(target)).alias("m"),
+            mean_of(df, target).alias("m"),
         )
     )
     in_time = Window.orderBy("period")

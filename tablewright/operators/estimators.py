@@ -31,10 +31,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import functions as F
 
 SEED = 42
-# A tree grown to purity has as many nodes as rows and lives on the driver, so
-# full depth is only for tables of this many rows; larger ones stop earlier.
-FULL_DEPTH_ROWS = 20_000
-FULL_DEPTH, LARGE_DEPTH = 30, 12
+# A tree grown to purity has as many nodes as rows and lives on the driver; trees
+# and forests stop at this depth, whatever the number of rows.
+TREE_DEPTH = 12
 RBF_FEATURES = 256
 
 
@@ -48,10 +47,6 @@ class FitContext:
     label_std: float = 1.0
     feature_variance: float = 1.0
 
-    @property
-    def tree_depth(self) -> int:
-        return FULL_DEPTH if self.rows <= FULL_DEPTH_ROWS else LARGE_DEPTH
-
 
 class RandomFourierFeatures(
     Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
@@ -127,9 +122,9 @@ REGRESSION: dict[str, Builder] = {
     "ridge": lambda c: _elastic(c, 0.0, 1.0 / max(c.rows, 1)),
     "lasso": lambda c: _elastic(c, 1.0, 0.0),
     "elastic_net": lambda c: _elastic(c, 0.5, 0.5),
-    "decision_tree": lambda c: DecisionTreeRegressor(maxDepth=c.tree_depth, seed=SEED),
+    "decision_tree": lambda c: DecisionTreeRegressor(maxDepth=TREE_DEPTH, seed=SEED),
     "random_forest": lambda c: RandomForestRegressor(
-        numTrees=100, maxDepth=min(c.tree_depth, LARGE_DEPTH), seed=SEED
+        numTrees=100, maxDepth=TREE_DEPTH, seed=SEED
     ),
     "gradient_boosting": lambda c: _boosted(GBTRegressor, 100, 3, 32, 0.1),
     "rbf_regression": lambda c: _rbf(
@@ -143,9 +138,9 @@ CLASSIFICATION: dict[str, Builder] = {
     "logistic": lambda c: LogisticRegression(
         maxIter=500, regParam=1.0 / max(c.rows, 1), standardization=False, family="auto"
     ),
-    "decision_tree": lambda c: DecisionTreeClassifier(maxDepth=c.tree_depth, seed=SEED),
+    "decision_tree": lambda c: DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=SEED),
     "random_forest": lambda c: RandomForestClassifier(
-        numTrees=100, maxDepth=min(c.tree_depth, LARGE_DEPTH), seed=SEED
+        numTrees=100, maxDepth=TREE_DEPTH, seed=SEED
     ),
     "gradient_boosting": lambda c: _boosted(GBTClassifier, 100, 3, 32, 0.1, c.classes),
     "rbf_svc": lambda c: _rbf(

@@ -12,6 +12,7 @@ from ..functions.report import local_rows, per_column
 from ..functions.schema import col, flat_columns, is_floating, is_integral, text_columns
 
 TOP_VALUES = 5
+LONG_TEXT = 48
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -23,7 +24,10 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     names = list(columns) if columns is not None else text_columns(df)
     if not names:
         return local_rows(df, [], "column string, value string, n bigint")
-    long = df.unpivot([], [col(c).cast("string").alias(c) for c in names], "column", "value")
+    floats = {f.name for f in df.schema.fields if is_floating(f.dataType)}
+    # 0.0 and -0.0 are one value
+    texts = [((col(c) + F.lit(0.0)) if c in floats else col(c)).cast("string").alias(c) for c in names]
+    long = df.unpivot([], texts, "column", "value")
     return long.filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
@@ -39,6 +43,12 @@ def _family(dtype: T.DataType) -> str:
     return "string"
 
 
+def _short(text: Column) -> Column:
+    """Long texts by their digest, so that whole texts are not shuffled to be counted."""
+    digest = F.concat(F.lit("\u0000"), F.md5(text.cast("binary")))
+    return F.when(F.octet_length(text) > LONG_TEXT, digest).otherwise(text)
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, n_distinct)``, exact, NULLs not counted.
 
@@ -53,7 +63,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         families.setdefault(_family(types[c]), []).append(c)
     out = local_rows(df, [(c, 0) for c in names], "column string, n_distinct bigint")
     for family, members in families.items():
-        casts = [col(c).cast(family).alias(c) for c in members]
+        casts = [(_short(col(c).cast(family)) if family == "string" else col(c).cast(family)).alias(c) for c in members]
         distinct = (
             df.unpivot([], casts, "column", "value")
             .filter("value IS NOT NULL")

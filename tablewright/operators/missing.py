@@ -163,7 +163,7 @@ def co_missing_correlation(
                 )
             )
         found = wide.select(F.inline(F.array(*structs)))
-    return found.filter(F.abs("correlation") > threshold)
+    return found.filter(~F.isnan("correlation") & (F.abs("correlation") > threshold))
 
 
 def _gram_correlations(df: DataFrame, names: list[str]) -> DataFrame:

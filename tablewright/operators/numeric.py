@@ -13,7 +13,7 @@ from ..functions.numeric import (
     sample_kurtosis,
     sample_skewness,
     signless,
-    steady_mean,
+    mean_of,
 )
 from ..functions.quantiles import exact_quantiles
 from ..functions.report import local_rows, per_column
@@ -59,7 +59,7 @@ def numeric_report(
         x = as_double(c)
         out = {"min": F.min(x), "max": F.max(x)}
         if "describe" in sections:
-            out |= {"count": F.count(col(c)), "mean": steady_mean(x), "std": F.stddev_samp(x)}
+            out |= {"count": F.count(col(c)), "mean": mean_of(df, c), "std": F.stddev_samp(x)}
         if "health" in sections:
             out |= {
                 "zeros": F.count_if(col(c) == 0),
@@ -139,17 +139,15 @@ def median_mad(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of all column pairs: ``(column_a, column_b, correlation)``.
 
-    Few columns: every pair in one aggregate, over the rows where both are
-    present.  Many columns without gaps: the distributed correlation matrix.
+    Over the rows where both are present.  Few columns: every pair in one
+    aggregate; many columns: sums of products over blocks of rows.
     """
     names = _names(df, columns)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     if not pairs:
         return local_rows(df, [], "column_a string, column_b string, correlation double")
     if len(names) > PAIR_AGGREGATE_COLUMNS:
-        gaps = df.agg(*[F.count_if(col(c).isNull()).alias(f"g{i}") for i, c in enumerate(names)])
-        if not any(gaps.first()):
-            return _matrix_correlations(df, names)
+        return _gram_correlations(df, names)
     wide = df.agg(
         *[
             pairwise_correlation(as_double(a), as_double(b)).alias(f"r{k}")
@@ -172,18 +170,48 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     )
 
 
-def _matrix_correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    import math
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+def _gram_correlations(df: DataFrame, names: list[str]) -> DataFrame:
+    """All pairs of many columns from sums over blocks of rows.
 
+    A task adds up, for every pair, the products of the rows where both are present:
+    a few matrix products a block.  Each gives one row a pair, which are then added.
+    Values are shifted by their column's mean first, so that no digits are lost.
+    """
     doubles = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(names)])
-    packed = VectorAssembler(inputCols=doubles.columns, outputCol="v").transform(doubles)
-    matrix = Correlation.corr(packed.select("v"), "v").first()[0].toArray()
-    rows = []
-    for i, a in enumerate(names):
-        for j in range(i + 1, len(names)):
-            r = float(matrix[i, j])
-            rows.append((a, names[j], None if math.isnan(r) else round(r, 6)))
-    return local_rows(df, rows, "column_a string, column_b string, correlation double")
+    finite = [F.when(F.abs(F.col(f"c{i}")) < float("inf"), F.col(f"c{i}")) for i in range(len(names))]
+    means = [m or 0.0 for m in doubles.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(finite)]).first()]
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        size = len(means)
+        i, j = np.triu_indices(size, 1)
+        total = np.zeros((6, len(i)))
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                x = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(size)])
+                here = ~np.isnan(x)
+                x = np.where(here, x - np.array(means), 0.0)
+                here = here.astype(float)
+                for k, m in enumerate((here.T @ here, x.T @ here, here.T @ x, (x * x).T @ here, here.T @ (x * x), x.T @ x)):
+                    total[k] += m[i, j]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t) for t in total]],
+            names=["i", "j", "n", "x", "y", "xx", "yy", "xy"],
+        )
+
+    parts = doubles.mapInArrow(sums, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    added = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.nullif("n", F.lit(0.0))
+    vx, vy = F.col("xx") - F.try_divide(F.col("x") * F.col("x"), n), F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n)
+    top = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n)
+    # what rounding leaves of a constant is no variance
+    spread = F.when((vx > F.col("xx") * 1e-13) & (vy > F.col("yy") * 1e-13), F.sqrt(vx) * F.sqrt(vy))
+    r = F.try_divide(top, spread)
+    known = F.array(*[F.lit(c) for c in names])
+    return added.select(
+        F.element_at(known, F.col("i") + 1).alias("column_a"),
+        F.element_at(known, F.col("j") + 1).alias("column_b"),
+        signless(F.round(F.when(~F.isnan(r), r), 6)).alias("correlation"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -37,6 +38,8 @@ class OutlierRule:
         a, b = self.bounds[name]
         if self.method == "iqr":
             hit = (x < F.lit(a)) | (x > F.lit(b))
+        elif self.method == "zscore" and b is None:
+            return F.lit(False)
         elif self.method == "zscore":
             hit = F.abs((x - F.lit(a)) / F.lit(b)) > F.lit(self.threshold)
         elif b == 0:
@@ -70,10 +73,10 @@ def fit_outlier_rule(
             bounds[c] = (q[0.25] - threshold * spread, q[0.75] + threshold * spread)
     elif method == "zscore":
         for i, c in judged:
-            if moments[f"s{i}"]:
-                bounds[c] = (moments[f"a{i}"], moments[f"s{i}"])
-            else:
-                bounds[c] = (moments[f"a{i}"], float("inf"))
+            centre, spread = moments[f"a{i}"], moments[f"s{i}"]
+            # no spread, or none that infinities leave: nothing is an outlier
+            usable = spread and math.isfinite(spread) and math.isfinite(centre)
+            bounds[c] = (centre, spread) if usable else (0.0, None)
     else:
         centre = medians(df, kept)
         spread = deviations_from_median(df, kept, centre)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import hash_cutoffs, hash_rank, row_hash
 from ..functions.schema import col
-from .target import MAX_CLASSES
 
 TEST_SHARE = 0.2
 SEED = 42
@@ -43,20 +42,18 @@ def stratified_split(
     """Add ``split`` with exactly ``round(share * n)`` test rows in every class.
 
     The cut-off hash of each class comes from a histogram of hash prefixes and
-    the rows of one prefix bucket; rows themselves are never shuffled.  Equal keys
-    share a hash and so a side.  Meant for targets with few classes.
+    the rows of one prefix bucket, and reaches the rows by a join: any number of
+    classes will do.  Equal keys share a hash and so a side.
     """
-    cutoffs = hash_cutoffs(df, key, seed, col(target), share)
-    if len(cutoffs) > 50 * MAX_CLASSES:
-        raise ValueError(f"{target} has too many classes to stratify by")
-    limit: Column = F.lit(None).cast("string")
-    for value, (cut, _) in cutoffs.items():
-        limit = F.when(col(target).cast("string").eqNullSafe(F.lit(value)), F.lit(cut)).otherwise(
-            limit
-        )
+    cuts = hash_cutoffs(df, key, seed, col(target), share).select(
+        F.col("g").alias("__class"), F.col("cut").alias("__cut")
+    )
     hashed = row_hash(df, key, seed)
-    return df.withColumn(
-        "split", F.when(F.coalesce(hashed <= limit, F.lit(False)), "test").otherwise("train")
+    marked = df.withColumns({"__h": hashed, "__of": col(target).cast("string")})
+    joined = marked.join(cuts, F.col("__of").eqNullSafe(F.col("__class")), "left")
+    test = F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False))
+    return joined.withColumn("split", F.when(test, "test").otherwise("train")).drop(
+        "__class", "__cut", "__h", "__of"
     )
 
 

@@ -25,7 +25,6 @@ SMALL_TRAINING, CV_MINIMUM, CLUSTER_MINIMUM = 100, 10, 50
 TINY_TABLE, SMALL_TABLE = 50, 100
 TOP_IMPORTANCES, TOP_PERMUTATION, PERMUTATION_REPEATS = 20, 10, 10
 SAMPLE_PREDICTIONS = 20
-MAX_LABELS = 1000
 METRICS = ("rmse", "mae", "r2", "accuracy", "precision", "recall", "f1", "cv_mean_f1", "cv_std_f1", "silhouette")
 LEADERBOARD_SCHEMA = (
     "model string, model_order int, primary_metric string, score double, "
@@ -72,7 +71,7 @@ class NeighbourModel:
             self.matrix.key,
             "label",
         )
-        return df.join(found, self.matrix.key)
+        return df.join(found, self.matrix.key, "left")
 
 
 @dataclass
@@ -126,9 +125,7 @@ def build_matrix(
         named = col(target).cast("string")
         if task == "classification":
             found = data.select(named.alias("c")).filter("c IS NOT NULL").distinct()
-            classes = sorted(r["c"] for r in found.limit(MAX_LABELS + 1).collect())
-            if len(classes) > MAX_LABELS:
-                raise ValueError(f"{target} has more than {MAX_LABELS} classes")
+            classes = sorted(r["c"] for r in found.collect())  # a model holds one entry a class
             label = label_code(target, classes)
         else:
             classes, label = [], col(target).cast("double")
@@ -139,7 +136,7 @@ def build_matrix(
         named.alias("target"),
         split.alias("split"),
     )
-    packed = VectorAssembler(inputCols=safe, outputCol="features", handleInvalid="skip").transform(wide)
+    packed = VectorAssembler(inputCols=safe, outputCol="features", handleInvalid="error").transform(wide)
     kept = packed.select("__key", "features", "label", "target", "split")
     if target is not None:
         kept = kept.filter("label IS NOT NULL")
@@ -252,7 +249,7 @@ def train_models(
                     metrics = score_one(matrix, model.transform(test))
             return name, model, metrics, None
         except Exception as error:  # a model that fails must not lose the others
-            return name, None, {}, f"{type(error).__name__}: {error}"[:500]
+            return name, None, {}, f"{type(error).__name__}: {error}"
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(inheritable_thread_target(held.sparkSession)(run), chosen))

@@ -73,7 +73,7 @@ def process(
     trail = _Trail(spark)
     try:
         if isinstance(source, str):
-            for f in file_manifest(spark, source).limit(100).collect():
+            for f in file_manifest(spark, source).collect():
                 trail.add("source_file", "found", f["length"], f"{f['path']} sha256:{f['sha256']}")
             raw = load_table(spark, source)
             held = format_of(source) != "parquet"
@@ -105,7 +105,7 @@ def process(
         trail.add("prepare", "done", len(ready.feature_names), None)
         trail.add("finish", "SUCCESS", time.time() - trail.started, None)
     except Exception as error:
-        trail.add("finish", "FAILED", time.time() - trail.started, str(error)[:2000])
+        trail.add("finish", "FAILED", time.time() - trail.started, str(error))
         error.audit = trail.frame()
         raise
     return Processed(raw, checked, cleaned, described, ready, trail.frame())

@@ -17,7 +17,6 @@ from ..operators.schema_checks import REPORT_SCHEMA, schema_report
 
 VERY_SMALL_ROWS = 100
 SMALL_ROWS = 1000
-SHOWN_PATTERNS = 3
 
 
 class DataValidationError(Exception):
@@ -126,8 +125,6 @@ def missing_report(
     )
     together = (
         missing.co_missing_correlation(df, by_column=per_column)
-        .orderBy("column_a", "column_b")
-        .limit(SHOWN_PATTERNS)
         .select(
             F.lit("missing_together").alias("check"),
             F.lit("warning").alias("severity"),

@@ -9,6 +9,7 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import nan_to_null
 
@@ -74,53 +75,96 @@ def strip_headers(df: DataFrame) -> DataFrame:
 
 
 def charset_by_file(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, charset)``: UTF-8 where every line is valid, else ISO-8859-1.
+    """``(file, charset, broken)``: UTF-8 where every line is valid, else ISO-8859-1.
 
-    The check reads raw lines in splits and merges one boolean per file.
+    ``broken``: some line has an odd number of quotes, so a quoted cell holds a line
+    break.  The check reads raw lines in splits and merges two booleans per file.
     """
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
     valid = F.bool_and(F.is_valid_utf8("value"))
+    quotes = F.size(F.split(F.col("value"), '"', -1)) - 1
     return lines.groupBy("file").agg(
-        F.when(F.coalesce(valid, F.lit(True)), "UTF-8").otherwise("ISO-8859-1").alias("charset")
+        F.when(F.coalesce(valid, F.lit(True)), "UTF-8").otherwise("ISO-8859-1").alias("charset"),
+        F.bool_or(quotes % 2 == 1).alias("broken"),
     )
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """CSV or TSV with header; each file is read in the charset its bytes are valid in."""
-    files = charset_by_file(spark, path)
-    charsets = {r["charset"]: r["n"] for r in files.groupBy("charset").agg(F.count("*").alias("n")).collect()}
-    if not charsets:
+def read_delimited(
+    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None
+) -> DataFrame:
+    """CSV or TSV with header; each file is read in the charset its bytes are valid in.
+
+    Files with line breaks inside quotes are read whole, one task a file; all others
+    in splits.  Types are inferred once for all files, or given as ``schema``.
+    """
+    kinds = charset_by_file(spark, path)
+    found = [(r["charset"], r["broken"]) for r in kinds.select("charset", "broken").distinct().collect()]
+    if not found:
         raise EmptyTableError(f"No rows in {path}")
 
-    def read(paths, charset):
-        return (
+    def read(paths, charset, broken, types):
+        reader = (
             spark.read.option("header", True)
-            .option("inferSchema", True)
             .option("sep", sep)
             .option("encoding", charset)
+            .option("multiLine", broken)
             .option("quote", '"')
             .option("escape", '"')
-            .csv(paths)
         )
+        return (reader.schema(types) if types is not None else reader.option("inferSchema", True)).csv(paths)
 
-    if len(charsets) == 1:
-        return read(path, next(iter(charsets)))
+    if len(found) == 1:
+        return read(path, *found[0], schema)
     # A mixed folder: file names are listed, which is no more than a listing holds.
-    parts = []
-    for charset in sorted(charsets, reverse=True):
-        names = [unquote(r["file"]) for r in files.filter(F.col("charset") == charset).collect()]
-        parts.append(read(names, charset))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    names = {k: [unquote(r["file"]) for r in kinds.filter((F.col("charset") == k[0]) & (F.col("broken") == k[1])).collect()] for k in sorted(found, reverse=True)}
+    return _together([lambda types, k=k: read(names[k], *k, types if schema is None else schema) for k in names])
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds the text of both."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    order = (T.IntegerType, T.LongType, T.DoubleType)
+    if isinstance(a, order) and isinstance(b, order):
+        return max(a, b, key=lambda t: order.index(type(t)))
+    return T.StringType()
+
+
+def _together(readers: list) -> DataFrame:
+    """The rows of all readers; each is given the types that fit every one of them."""
+    drafts = [read(None) for read in readers]
+    types: dict[str, T.DataType] = {}
+    for draft in drafts:
+        for f in draft.schema.fields:
+            types[f.name] = _wider(types[f.name], f.dataType) if f.name in types else f.dataType
+    out = None
+    for read, draft in zip(readers, drafts, strict=True):
+        wanted = T.StructType([T.StructField(f.name, types[f.name]) for f in draft.schema.fields])
+        part = draft if wanted == draft.schema else read(wanted)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, or files that hold one array of records."""
-    head = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> ''").take(1)
-    whole = bool(head) and head[0]["v"].startswith("[")
-    return spark.read.option("multiLine", whole).json(path)
+    """JSON lines, or files that hold one array of records; decided file by file.
+
+    A file of records has its first bracket at the start of a line; no line of a
+    JSON lines file starts so.  Arrays are read whole, one task a file.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
+    kinds = lines.groupBy("file").agg(F.bool_or(F.col("v").startswith("[")).alias("whole"))
+    found = sorted(r["whole"] for r in kinds.select("whole").distinct().collect())
+    if len(found) < 2:
+        return spark.read.option("multiLine", bool(found and found[0])).json(path)
+    names = {k: [unquote(r["file"]) for r in kinds.filter(F.col("whole") == k).collect()] for k in found}
+
+    def read(types, whole):
+        reader = spark.read.option("multiLine", whole)
+        return (reader.schema(types) if types is not None else reader).json(names[whole])
+
+    return _together([lambda types, k=k: read(types, k) for k in found])
 
 
 def read_feather(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tablewright.catalog.base import table
-from tablewright.operators import charts, evaluation, neighbours, training
+from tablewright.operators import charts, estimators, evaluation, neighbours, training
 from tablewright.operators.estimators import FitContext
 from tablewright.operators.features import prepare
 from tablewright.plans.sinks import load_model, save_model
@@ -101,7 +101,7 @@ def test_scores_by_hand(spark):
     assert row["recall"] == pytest.approx(0.5)
     assert row["f1"] == pytest.approx((0.5 * 2 + 2 / 3 * 1 + 0) / 4)
     grid = evaluation.confusion_matrix(df, "y", "p")
-    assert grid.count() == 9 and grid.agg(F.sum("n")).first()[0] == 4
+    assert grid.count() == 4 and grid.agg(F.sum("n")).first()[0] == 4
 
 
 def test_scores_agree_with_the_library(spark, folder):
@@ -239,8 +239,23 @@ def test_saved_models_score_the_same(spark, name):
     assert a == pytest.approx(b)
 
 
-def test_tree_depth_depends_on_rows():
-    assert FitContext(100, 3).tree_depth > FitContext(10**9, 3).tree_depth
+@pytest.mark.parametrize("family", [estimators.REGRESSION, estimators.CLASSIFICATION])
+def test_tree_depth_is_the_same_for_any_number_of_rows(family):
+    for name in ("decision_tree", "random_forest"):
+        depths = {family[name](FitContext(rows, 3, 2)).getMaxDepth() for rows in (100, 20_000, 20_001, 10**9)}
+        assert depths == {estimators.TREE_DEPTH}
+
+
+@pytest.mark.parametrize("labels", [1000, 1001])
+def test_confusion_pairs_have_one_shape(spark, labels):
+    df = spark.range(labels).select(F.col("id").cast("string").alias("y"), F.col("id").cast("string").alias("p"))
+    assert evaluation.confusion_matrix(df, "y", "p").count() == labels
+
+
+def test_a_gap_in_the_features_is_no_lost_row(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "x double, y double")
+    with pytest.raises(Exception, match="(?i)null"):
+        training.build_matrix(df, ["x"], "y").data.count()
 
 
 def test_neighbour_model_on_copied_rows_without_a_key(spark):
