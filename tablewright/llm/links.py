@@ -135,7 +135,8 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
         heads = current.groupBy("bucket").agg(F.max(F.struct("degree", "item", "size")).alias("h"), F.min("item").alias("lo"), F.max("item").alias("hi"))
         heads = heads.where("lo <> hi").select("bucket", F.col("h.item").alias("head"), F.col("h.size").alias("head_size"))
         met = written(current.join(heads, "bucket").where("item <> head"))
-        fits = 100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size")
+        # sizes further apart than this mean a distance above NEAR
+        fits = F.least("size", "head_size") >= F.greatest("size", "head_size") * (1 - NEAR - 1e-9)
         pairs = met.where(fits).select(F.col("head").alias("a"), F.col("item").alias("b")).distinct()
         seen = written(similar_sets(pairs, sets).withColumn("union", F.col("n_a") + F.col("n_b") - F.col("both")))
         new = seen.where(F.col("both") * 100 >= F.col("union") * percent).select("a", "b")
@@ -152,7 +153,7 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
         star = rows.where(F.col("far") <= NEAR).select("head", "item", "component", "loose").distinct()
         star = star.join(star.where("loose").select("head").distinct(), "head", "left_semi")
         # sets that may link are of one size class or of two next to each other
-        level = F.floor(F.log("size") / F.lit(-math.log(percent / 100)))
+        level = F.floor(F.log("size") / F.lit(-math.log(percent / 100 - 1e-9)))
         apart = rows.where(f"far is null or far > {NEAR - tight}").withColumn("level", F.explode(F.array(level, level + 1)))
         apart = apart.withColumn("bucket", F.xxhash64("bucket", "level")).drop("level")
         counts = apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
