@@ -31,7 +31,7 @@ EXAMPLES = {
               "travel guide", "weather report", "recipes kitchen", "book reviews", "garden plants", "open source project",
               "local sports club", "film festival", "art gallery", "public transport"),
 }
-ALLOW_PRIOR = 0.9
+ALLOW_PRIOR = 0.75
 #: Words of the unigram model, at most: the most frequent of all pages.
 VOCABULARY = 50_000
 LONGEST = 24
