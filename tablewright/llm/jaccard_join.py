@@ -20,8 +20,8 @@ FREQUENT = 2
 #: ... if it is among so many most frequent ones: their list (8 bytes each) is broadcast.
 #: Any choice of them gives the same links; a good one keeps candidates few.
 CLASSES = 1_000_000
-#: Document ids that are broadcast, at most, to fetch the sets to verify; beyond, texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Longs that are broadcast, at most, to find their rows; beyond, both sides are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 
 def slack(n: np.ndarray | int, percent: int = PERCENT):
@@ -128,9 +128,9 @@ def _sets(words: int):
     return run
 
 
-def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of the given distinct ids: by a broadcast of the ids if few, else by a join of both sides."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def kept_in(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is among the distinct ``keys``: these are broadcast if few, else both sides are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -157,9 +157,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     # only buckets with two different items matter; they are few, and kept
     shared = buckets.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket")
-    met = written(buckets.join(shared, "bucket").distinct())
+    met = written(kept_in(buckets, written(shared), "bucket").distinct())
     wanted = met.select("item").distinct().join(items, "item").select(F.col("least").alias("doc_id")).distinct()
-    sets = written(fetch(docs, written(wanted)).mapInArrow(_sets(words), "item long, tokens array<long>"))
+    sets = written(kept_in(docs, written(wanted), "doc_id").mapInArrow(_sets(words), "item long, tokens array<long>"))
     if sets.count() > sets.select("item").distinct().count():  # rows that repeat a doc_id
         sets = written(sets.dropDuplicates(["item"]))
     _, reach = link(met, sets, percent)
@@ -181,5 +181,4 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     go together, and rows without doc_id stay.
     """
     gone = jaccard_components(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = written(gone)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept_in(docs, written(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from . import shingles as S
 from .common import components, text_slices, written
-from .jaccard_join import BROADCAST_IDS, fetch
+from .jaccard_join import kept_in
 from .links import link
 
 WORDS = 5
@@ -128,11 +128,6 @@ _SCHEMA = (
 )
 
 
-def _kept_in(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows whose key is among ``keys``: broadcast if few, else by a shuffle."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, "left_semi")
-
-
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, kind, first_word, n_words, component_id, removed: text that documents share.
 
@@ -159,13 +154,13 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     lines = units.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.first", "p.n", "p.item", "p.size")
     buckets = units.select(F.explode("paragraphs").alias("p")).select(F.explode("p.bands").alias("bucket"), "p.item")
     shared = written(buckets.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket"))
-    met = _kept_in(units.select(F.explode("paragraphs").alias("p")).select(
+    met = kept_in(units.select(F.explode("paragraphs").alias("p")).select(
         F.explode("p.bands").alias("bucket"), "p.item", "p.size"), shared, "bucket").distinct()
     met = written(met)
     asked = written(met.select("item").distinct())
-    sources = _kept_in(lines, asked, "item").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
-    sets = fetch(docs, written(sources.select("doc_id").distinct())).mapInArrow(_paragraph_sets(least), "item long, tokens array<long>")
-    sets = written(_kept_in(sets, asked, "item").dropDuplicates(["item"]))
+    sources = kept_in(lines, asked, "item").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
+    sets = kept_in(docs, written(sources.select("doc_id").distinct()), "doc_id").mapInArrow(_paragraph_sets(least), "item long, tokens array<long>")
+    sets = written(kept_in(sets, asked, "item").dropDuplicates(["item"]))
     _, reach = link(met, sets, percent)
 
     whole = lines.join(reach.withColumnRenamed("id", "item"), "item", "left").withColumn("group", F.coalesce("component_id", "item"))
@@ -180,7 +175,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
 
     parts = units.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
     twice = written(parts.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("name"))
-    found = _kept_in(parts, twice, "name").distinct().join(
+    found = kept_in(parts, twice, "name").distinct().join(
         paragraphs.select("doc_id", F.col("first").alias("line")), ["doc_id", "line"], "left_anti")
     in_order = Window.partitionBy("doc_id").orderBy("first")
     # a sentence too short to be looked up does not break a run
