@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import text_slices, written
-from .links import link
+from .common import kept_in, text_slices, written
+from .links import link, size_classes
 
 WORDS = 3
 PERCENT = 90
@@ -20,8 +20,6 @@ FREQUENT = 2
 #: ... if it is among so many most frequent ones: their list (8 bytes each) is broadcast.
 #: Any choice of them gives the same links; a good one keeps candidates few.
 CLASSES = 1_000_000
-#: Longs that are broadcast, at most, to find their rows; beyond, both sides are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
 
 
 def slack(n: np.ndarray | int, percent: int = PERCENT):
@@ -128,11 +126,6 @@ def _sets(words: int):
     return run
 
 
-def kept_in(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """The rows whose key is among the distinct ``keys``: these are broadcast if few, else both sides are shuffled."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
-
-
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id.
 
@@ -155,9 +148,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     buckets = signed.select(F.explode("buckets").alias("bucket"), "item", F.col("n_shingles").alias("size"))
     items = signed.where("n_shingles > 0").groupBy("item").agg(F.min("doc_id").alias("least"))
 
-    # only buckets with two different items matter; they are few, and kept
+    # only buckets with two different items of like size matter; they are few, and kept
     shared = buckets.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket")
-    met = written(kept_in(buckets, written(shared), "bucket").distinct())
+    met = written(size_classes(written(kept_in(buckets, written(shared), "bucket").distinct()), percent))
     wanted = met.select("item").distinct().join(items, "item").select(F.col("least").alias("doc_id")).distinct()
     sets = written(kept_in(docs, written(wanted), "doc_id").mapInArrow(_sets(words), "item long, tokens array<long>"))
     if sets.count() > sets.select("item").distinct().count():  # rows that repeat a doc_id

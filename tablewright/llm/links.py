@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, kept_in, written
 
 #: Rows of a bucket that are compared with each other in the first round; larger buckets
 #: take further heads. Each round allows four times as many, so the rounds stay few.
@@ -16,10 +16,29 @@ SMALL = 256
 NEAR = 0.5
 
 
+def _sets_of(rows: DataFrame, name: str, sets: DataFrame, tokens: str) -> DataFrame:
+    """The sets of the items in a column of ``rows``; others are not shuffled."""
+    keys = written(rows.select(F.col(name).alias("item")).distinct())
+    return kept_in(sets, keys, "item").select(F.col("item").alias(name), F.col("tokens").alias(tokens))
+
+
+def size_classes(buckets: DataFrame, percent: int) -> DataFrame:
+    """``buckets`` split so that a bucket holds like sizes only, without those of one item.
+
+    Sizes are classed by their logarithm; those of sets that link lie in one class or
+    in two next to each other, so each row goes to the bucket of its class and the next.
+    """
+    level = F.floor(F.log("size") / F.lit(-math.log(percent / 100 - 1e-9)))
+    both = buckets.withColumn("level", F.explode(F.array(level, level + 1)))
+    both = both.select(F.xxhash64("bucket", "level").alias("bucket"), "item", "size")
+    ends = both.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi"))
+    return kept_in(both, written(ends.where("lo <> hi").select("bucket")), "bucket")
+
+
 def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, n_a, n_b) for pairs of items, from their sets (item, tokens): exact intersections."""
-    left = sets.select(F.col("item").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("item").alias("b"), F.col("tokens").alias("tb"))
+    left = _sets_of(pairs, "a", sets, "ta")
+    right = _sets_of(pairs, "b", sets, "tb")
     met = pairs.select("a", "b").join(right, "b").join(left, "a")
     return met.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"),
                       F.size("ta").cast("long").alias("n_a"), F.size("tb").cast("long").alias("n_b"))
@@ -61,8 +80,8 @@ def _by_differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     |u and v| = |head| - lacks of u - lacks of v + shared lacks + shared additions.
     """
     tight = percent / 100
-    head = sets.select(F.col("item").alias("head"), F.col("tokens").alias("th"))
-    both = written(star.join(sets, "item").join(head, "head").select(
+    star = written(star)
+    both = written(star.join(_sets_of(star, "item", sets, "tokens"), "item").join(_sets_of(star, "head", sets, "th"), "head").select(
         "head", "item", "component", "loose", F.size("th").alias("c"), F.size("tokens").alias("n"),
         F.array_except("th", "tokens").alias("lack"), F.array_except("tokens", "th").alias("more")))
     keys = F.concat(F.transform("lack", lambda x: F.struct(F.lit(0).alias("side"), x.alias("key"))),
@@ -137,7 +156,7 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
         met = written(current.join(heads, "bucket").where("item <> head"))
         # sizes further apart than this mean a distance above NEAR
         fits = F.least("size", "head_size") >= F.greatest("size", "head_size") * (1 - NEAR - 1e-9)
-        pairs = met.where(fits).select(F.col("head").alias("a"), F.col("item").alias("b")).distinct()
+        pairs = written(met.where(fits).select(F.col("head").alias("a"), F.col("item").alias("b")).distinct())
         seen = written(similar_sets(pairs, sets).withColumn("union", F.col("n_a") + F.col("n_b") - F.col("both")))
         new = seen.where(F.col("both") * 100 >= F.col("union") * percent).select("a", "b")
         links = new if links is None else links.unionAll(new)
@@ -152,10 +171,7 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 
         star = rows.where(F.col("far") <= NEAR).select("head", "item", "component", "loose").distinct()
         star = star.join(star.where("loose").select("head").distinct(), "head", "left_semi")
-        # sets that may link are of one size class or of two next to each other
-        level = F.floor(F.log("size") / F.lit(-math.log(percent / 100 - 1e-9)))
-        apart = rows.where(f"far is null or far > {NEAR - tight}").withColumn("level", F.explode(F.array(level, level + 1)))
-        apart = apart.withColumn("bucket", F.xxhash64("bucket", "level")).drop("level")
+        apart = rows.where(f"far is null or far > {NEAR - tight}")
         counts = apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         apart = written(apart.join(counts.select("bucket", "n"), "bucket"))
         close = _by_differences(star, sets, percent)

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles as S
-from .common import components, text_slices, written
-from .jaccard_join import kept_in
-from .links import link
+from .common import components, kept_in, text_slices, written
+from .links import link, size_classes
 
 WORDS = 5
 PERCENT = 80
@@ -156,7 +155,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     shared = written(buckets.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket"))
     met = kept_in(units.select(F.explode("paragraphs").alias("p")).select(
         F.explode("p.bands").alias("bucket"), "p.item", "p.size"), shared, "bucket").distinct()
-    met = written(met)
+    met = written(size_classes(written(met), percent))
     asked = written(met.select("item").distinct())
     sources = kept_in(lines, asked, "item").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
     sets = kept_in(docs, written(sources.select("doc_id").distinct()), "doc_id").mapInArrow(_paragraph_sets(least), "item long, tokens array<long>")
