@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges that one task joins into components, at most (16 bytes each); more are joined in distributed rounds.
+ONE_TASK = 250_000
 #: Longs that are broadcast, at most, to find their rows; beyond, both sides are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 
@@ -71,6 +73,24 @@ def _change(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least id reachable, for the ids of a bounded number of edges."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    src, dst = (np.concatenate(x) for x in zip(*held, strict=True))
+    ids, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = place[: len(src)], place[len(src) :]
+    root, before = np.arange(len(ids)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        for end in (a, b, before[a], before[b]):
+            np.minimum.at(root, end, low)
+        root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "component_id"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id): the smallest id reachable, for every id that has an edge.
 
@@ -79,6 +99,7 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of a component's size. Each step is a
     pre-aggregated minimum by id and a join back, so that an id with very many
     edges is counted map-side; the rows of a round are written to the shared folder.
+    At most ONE_TASK distinct edges are joined by one task at once instead.
     """
     e = written(
         edges.where("src <> dst")
@@ -86,6 +107,8 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     before = _change(e)
+    if 0 < before[0] <= ONE_TASK:
+        return written(e.coalesce(1).mapInArrow(_joined, "id long, component_id long"))
     while before[0]:
         both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))

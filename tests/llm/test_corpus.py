@@ -599,7 +599,9 @@ def test_passages_of_odd_tables(spark):
 # all together
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 250_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
     rng = random.Random(8)
     ids = list(range(500))
     rng.shuffle(ids)
