@@ -17,9 +17,9 @@ WORDS = 3
 PERCENT = 90
 #: A shingle in the plain prefixes of so many documents counts as frequent ...
 FREQUENT = 2
-#: ... if it is among so many most frequent ones: their list (8 bytes each) is broadcast.
-#: Any choice of them gives the same links; a good one keeps candidates few.
-CLASSES = 1_000_000
+#: ... by a map of so many bits (8 MB), which is broadcast. Shingles that share a bit are of
+#: one class; any choice of classes gives the same links, a good one keeps candidates few.
+MAP_BITS = 26
 
 
 def slack(n: np.ndarray | int, percent: int = PERCENT):
@@ -47,6 +47,13 @@ def _plain_prefixes(words: int, percent: int):
     return run
 
 
+def frequent_map(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The map of frequent shingles, from its words that are not zero."""
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[words] = bits.view(np.uint64)
+    return out
+
+
 def _levels(n: int, percent: int) -> list[int]:
     """The subclass counts at which a set of n shingles must be found by sets no larger and no smaller than may link."""
     own = (slack(n, percent) + 1).bit_length() - 1
@@ -68,8 +75,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     own level and the one that a larger linked set may have.
     """
     need = int(slack(len(tokens), percent)) + 1
-    where = np.searchsorted(frequent, tokens)
-    common = frequent[np.minimum(where, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(len(tokens), bool)
+    bit = tokens & np.uint64((1 << MAP_BITS) - 1)
+    common = (frequent[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
     rare = tokens[~common]
     if len(rare) >= need:
         return rare[:need]
@@ -141,8 +148,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counted = docs.select("text").mapInArrow(_plain_prefixes(words, percent), "token long, n long")
-    top = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(CLASSES)
-    frequent = np.sort(top.toArrow().column("token").to_numpy().view(np.uint64))
+    often = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    bit = F.col("token").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    # a row for each word of the map, at most
+    found = often.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(mask).alias("bits")).toArrow()
+    frequent = frequent_map(found.column("word").to_numpy(), found.column("bits").to_numpy())
     sent = spark.sparkContext.broadcast(frequent)
     signed = written(docs.mapInArrow(_signed(words, percent, sent), "doc_id long, n_shingles long, item long, buckets array<long>"))
     buckets = signed.select(F.explode("buckets").alias("bucket"), "item", F.col("n_shingles").alias("size"))
