@@ -14,6 +14,8 @@ from .common import components, kept_in, written
 SMALL = 256
 #: Jaccard distance to a head up to which items are compared by their differences from it.
 NEAR = 0.5
+#: A pair is not compared further if its distance is shown to be at least so many times that of a link.
+SHOWN = 1.5
 
 
 def _sets_of(rows: DataFrame, name: str, sets: DataFrame, tokens: str) -> DataFrame:
@@ -44,19 +46,22 @@ def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                       F.size("ta").cast("long").alias("n_a"), F.size("tb").cast("long").alias("n_b"))
 
 
-def _could_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that a quarter of their tokens does not rule out.
+def _samples(sets: DataFrame) -> DataFrame:
+    """(item, low, n): the tokens in the first quarter of their range, and the size of each set."""
+    return sets.select("item", F.filter("tokens", lambda x: (x >= 0) & (x < 2**62)).alias("low"), F.size("tokens").cast("long").alias("n"))
 
-    Linked sets differ in at most (n_a + n_b) * (100 - percent) / (100 + percent)
-    tokens. Tokens are hashes, so those in the first quarter of their range are a
-    quarter of each set; if these alone differ in more, the sets do not link.
+
+def _sampled(pairs: DataFrame, low: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, least): a lower bound of the Jaccard distance of pairs, from a quarter of their tokens.
+
+    Sets that differ in at least d tokens have a union of at least (n_a + n_b + d) / 2,
+    of which these d are not shared. The d that differ in the quarter are no more than all.
     """
-    low = written(sets.select("item", F.filter("tokens", lambda x: (x >= 0) & (x < 2**62)).alias("low"), F.size("tokens").alias("n")))
-    left = low.select(F.col("item").alias("a"), F.col("low").alias("la"), F.col("n").alias("na"))
-    right = low.select(F.col("item").alias("b"), F.col("low").alias("lb"), F.col("n").alias("nb"))
+    left = low.select(F.col("item").alias("a"), F.col("low").alias("la"), F.col("n").alias("n_a"))
+    right = low.select(F.col("item").alias("b"), F.col("low").alias("lb"), F.col("n").alias("n_b"))
     apart = F.size("la") + F.size("lb") - 2 * F.size(F.array_intersect("la", "lb"))
-    met = pairs.join(right, "b").join(left, "a")
-    return met.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    met = pairs.select("a", "b").join(right, "b").join(left, "a")
+    return met.select("a", "b", "n_a", "n_b", (2 * apart / (F.col("n_a") + F.col("n_b") + apart)).alias("least"))
 
 
 def _labelled(rows: DataFrame, reach: DataFrame | None, item: str = "item", name: str = "component") -> DataFrame:
@@ -117,15 +122,23 @@ def _by_differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _in_small(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in buckets of few rows, but for those whose distances to the head rule a link out."""
-    one = rows.select("bucket", F.col("item").alias("a"), F.col("size").alias("sa"), F.col("far").alias("fa"), F.col("component").alias("ca"))
-    two = rows.select("bucket", F.col("item").alias("b"), F.col("size").alias("sb"), F.col("far").alias("fb"), F.col("component").alias("cb"))
+    """Pairs across components in buckets of few rows, but for those whose distances to the head rule a link out.
+
+    A distance is known (``far``) or has a lower bound (``least``). Pairs of two items
+    near the head are left to ``_by_differences``.
+    """
+    tight = (100 - percent) / 100 + 1e-9
+    bounds = [F.coalesce("far", "least").alias("lo"), F.coalesce("far", F.lit(1.0)).alias("hi")]
+    rows = rows.select("bucket", "item", "size", "component", *bounds)
+    one = rows.select("bucket", *[F.col(c).alias(f"{c}1") for c in rows.columns[1:]])
+    two = rows.select("bucket", *[F.col(c).alias(f"{c}2") for c in rows.columns[1:]])
     return (
         one.join(two, "bucket")
-        .where("a < b and ca <> cb")
-        .where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
-        .where(F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= (100 - percent) / 100 + 1e-9, F.lit(True)))
-        .select("a", "b")
+        .where("item1 < item2 and component1 <> component2")
+        .where(100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2"))
+        .where((F.col("lo1") - F.col("hi2") <= tight) & (F.col("lo2") - F.col("hi1") <= tight))
+        .where(F.greatest("hi1", "hi2") > NEAR)
+        .select(F.col("item1").alias("a"), F.col("item2").alias("b"))
         .distinct()
     )
 
@@ -138,18 +151,21 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     components of the full graph, and (id, component_id) for the items in them.
 
     In a round each bucket compares its head, the item with most neighbours, with its
-    other items. Then the buckets whose other items lie in one component are done,
-    as pairs inside a component change nothing. In the others, items near the head
-    are compared by their differences from it; what is far from the head (the
-    Jaccard distance is a metric, so a far item's partner is far too) is compared at
-    once in buckets of few rows, and goes through another round in larger ones. So a
-    large group of near copies costs about a pair an item, and no pair that could
-    join components is left out.
+    other items: by a quarter of the tokens first, and by whole sets only those that
+    the quarter does not show to be far. Then the buckets whose other items lie in
+    one component are done, as pairs inside a component change nothing. In the
+    others, items near the head are compared by their differences from it; what is
+    far from the head, and what may be a partner of such an item (the Jaccard
+    distance is a metric, so that must be about as far), is compared at once in
+    buckets of few rows, and goes through another round in larger ones. So a large
+    group of near copies costs about a pair an item, and no pair that could join
+    components is left out.
     """
     sizes = buckets.groupBy("bucket").agg((F.count("*") - 1).alias("n"))
     degree = buckets.join(sizes, "bucket").groupBy("item").agg(F.sum("n").alias("degree"))
     current = written(buckets.join(degree, "item").select("bucket", "item", "size", "degree"))
     tight, links, reach, small = (100 - percent) / 100, None, None, SMALL
+    low = written(_samples(sets))
     while True:
         heads = current.groupBy("bucket").agg(F.max(F.struct("degree", "item", "size")).alias("h"), F.min("item").alias("lo"), F.max("item").alias("hi"))
         heads = heads.where("lo <> hi").select("bucket", F.col("h.item").alias("head"), F.col("h.size").alias("head_size"))
@@ -157,13 +173,21 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
         # sizes further apart than this mean a distance above NEAR
         fits = F.least("size", "head_size") >= F.greatest("size", "head_size") * (1 - NEAR - 1e-9)
         pairs = written(met.where(fits).select(F.col("head").alias("a"), F.col("item").alias("b")).distinct())
-        seen = written(similar_sets(pairs, sets).withColumn("union", F.col("n_a") + F.col("n_b") - F.col("both")))
-        new = seen.where(F.col("both") * 100 >= F.col("union") * percent).select("a", "b")
+        told = written(_sampled(pairs, low))
+        # a bound this far beyond the links' distance is not settled further
+        shown = F.col("least") >= SHOWN * tight + 1e-9
+        exact = similar_sets(told.where(~shown), sets).withColumn("union", F.col("n_a") + F.col("n_b") - F.col("both"))
+        exact = exact.withColumn("loose", F.col("both") * 100 < F.col("union") * percent)
+        seen = written(
+            exact.select("a", "b", (1 - F.col("both") / F.col("union")).alias("far"), F.lit(None).cast("double").alias("least"), "loose")
+            .unionAll(told.where(shown).select("a", "b", F.lit(None).cast("double").alias("far"), "least", F.lit(True).alias("loose")))
+        )
+        new = seen.where("not loose").select("a", "b")
         links = new if links is None else links.unionAll(new)
         reach = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        far = seen.select(F.col("a").alias("head"), F.col("b").alias("item"), (1 - F.col("both") / F.col("union")).alias("far"),
-                          (F.col("both") * 100 < F.col("union") * percent).alias("loose"))
-        rows = _labelled(met.join(far, ["head", "item"], "left"), reach)
+        far = seen.withColumnsRenamed({"a": "head", "b": "item"})
+        # sizes that do not fit mean a distance above NEAR
+        rows = _labelled(met.join(far, ["head", "item"], "left").withColumn("least", F.coalesce("least", F.lit(NEAR))), reach)
         spread = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         rows = written(rows.join(spread, "bucket"))
         if rows.isEmpty():
@@ -171,11 +195,13 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 
         star = rows.where(F.col("far") <= NEAR).select("head", "item", "component", "loose").distinct()
         star = star.join(star.where("loose").select("head").distinct(), "head", "left_semi")
-        apart = rows.where(f"far is null or far > {NEAR - tight}")
+        beyond = F.when(F.col("far").isNull(), F.col("least")).when(F.col("far") > NEAR, F.col("far"))
+        floors = rows.groupBy("bucket").agg(F.min(beyond).alias("floor")).where("floor is not null")
+        apart = rows.join(floors, "bucket").where(F.coalesce("far", F.lit(1.0)) >= F.col("floor") - tight - 1e-9).drop("floor")
         counts = apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         apart = written(apart.join(counts.select("bucket", "n"), "bucket"))
         close = _by_differences(star, sets, percent)
-        more = _could_link(_in_small(apart.where(F.col("n") <= small), percent), sets, percent)
+        more = _sampled(_in_small(apart.where(F.col("n") <= small), percent), low).where(F.col("least") <= tight + 1e-9)
         seen = similar_sets(written(more), sets).where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent)
         links = links.unionAll(written(close.unionAll(seen.select("a", "b"))))
         reach = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
