@@ -162,10 +162,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # only buckets with two different items of like size matter; they are few, and kept
     shared = buckets.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket")
     met = written(size_classes(written(kept_in(buckets, written(shared), "bucket").distinct()), percent))
-    wanted = met.select("item").distinct().join(items, "item").select(F.col("least").alias("doc_id")).distinct()
-    sets = written(kept_in(docs, written(wanted), "doc_id").mapInArrow(_sets(words), "item long, tokens array<long>"))
-    if sets.count() > sets.select("item").distinct().count():  # rows that repeat a doc_id
-        sets = written(sets.dropDuplicates(["item"]))
+    sources = written(met.select("item").distinct().join(items, "item").select("item", F.col("least").alias("doc_id")))
+    wanted = written(sources.select("doc_id").distinct())
+    repeated = kept_in(docs.select("doc_id"), wanted, "doc_id").count() > wanted.count()  # rows that repeat a doc_id
+
+    def sets(keys: DataFrame) -> DataFrame:
+        """Sets are made again from the texts where they are needed; a table of all would outweigh the texts."""
+        asked = written(sources.join(keys, "item").select("doc_id").distinct())
+        found = kept_in(docs, asked, "doc_id").mapInArrow(_sets(words), "item long, tokens array<long>")
+        return kept_in(found, keys, "item").dropDuplicates(["item"]) if repeated else found
+
     _, reach = link(met, sets, percent)
     named = items.join(reach.withColumnRenamed("id", "item"), "item", "left").select(
         "item", "least", F.coalesce("component_id", "item").alias("group"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,16 +17,34 @@ SMALL = 256
 NEAR = 0.5
 #: A pair is not compared further if its distance is shown to be at least so many times that of a link.
 SHOWN = 1.5
+#: The share of the tokens in samples, in link distances: enough to show that unlike sets are far.
+SAMPLE = 1.25
 
 
-def _sets_of(rows: DataFrame, name: str, sets: DataFrame, tokens: str) -> DataFrame:
+#: Gives the sets (item, tokens) of the items asked for.
+Sets = Callable[[DataFrame], DataFrame]
+
+
+def _sets_of(rows: DataFrame, name: str, sets: Sets, tokens: str) -> DataFrame:
     """The sets of the items in a column of ``rows``; others are not shuffled."""
     keys = written(rows.select(F.col(name).alias("item")).distinct())
-    return kept_in(sets, keys, "item").select(F.col("item").alias(name), F.col("tokens").alias(tokens))
+    return sets(keys).select(F.col("item").alias(name), F.col("tokens").alias(tokens))
+
+
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` without buckets of one item, and one bucket of those that hold the same items.
+
+    A passage or copy puts the same items into many buckets. Contents are told apart
+    by their number, ends and a 64-bit fingerprint.
+    """
+    ends = rows.groupBy("bucket").agg(
+        F.min("item").alias("lo"), F.max("item").alias("hi"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("item")).alias("content"))
+    one = ends.where("lo <> hi").groupBy("lo", "hi", "rows", "content").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return kept_in(rows, written(one), "bucket")
 
 
 def size_classes(buckets: DataFrame, percent: int) -> DataFrame:
-    """``buckets`` split so that a bucket holds like sizes only, without those of one item.
+    """``buckets`` split so that a bucket holds like sizes only, without those of one item or of the same items.
 
     Sizes are classed by their logarithm; those of sets that link lie in one class or
     in two next to each other, so each row goes to the bucket of its class and the next.
@@ -33,11 +52,10 @@ def size_classes(buckets: DataFrame, percent: int) -> DataFrame:
     level = F.floor(F.log("size") / F.lit(-math.log(percent / 100 - 1e-9)))
     both = buckets.withColumn("level", F.explode(F.array(level, level + 1)))
     both = both.select(F.xxhash64("bucket", "level").alias("bucket"), "item", "size")
-    ends = both.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi"))
-    return kept_in(both, written(ends.where("lo <> hi").select("bucket")), "bucket")
+    return _distinct_buckets(both)
 
 
-def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar_sets(pairs: DataFrame, sets: Sets) -> DataFrame:
     """(a, b, both, n_a, n_b) for pairs of items, from their sets (item, tokens): exact intersections."""
     left = _sets_of(pairs, "a", sets, "ta")
     right = _sets_of(pairs, "b", sets, "tb")
@@ -46,16 +64,17 @@ def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                       F.size("ta").cast("long").alias("n_a"), F.size("tb").cast("long").alias("n_b"))
 
 
-def _samples(sets: DataFrame) -> DataFrame:
-    """(item, low, n): the tokens in the first quarter of their range, and the size of each set."""
-    return sets.select("item", F.filter("tokens", lambda x: (x >= 0) & (x < 2**62)).alias("low"), F.size("tokens").cast("long").alias("n"))
+def _samples(sets: DataFrame, share: float) -> DataFrame:
+    """(item, low, n): the tokens in the first ``share`` of their range, and the size of each set."""
+    end = min(int(max(share, 0.05) * 2**64), 2**63 - 1)
+    return sets.select("item", F.filter("tokens", lambda x: (x >= 0) & (x < F.lit(end))).alias("low"), F.size("tokens").cast("long").alias("n"))
 
 
 def _sampled(pairs: DataFrame, low: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, least): a lower bound of the Jaccard distance of pairs, from a quarter of their tokens.
+    """(a, b, n_a, n_b, least): a lower bound of the Jaccard distance of pairs, from a sample of their tokens.
 
     Sets that differ in at least d tokens have a union of at least (n_a + n_b + d) / 2,
-    of which these d are not shared. The d that differ in the quarter are no more than all.
+    of which these d are not shared. Those that differ in the sample are no more than all.
     """
     left = low.select(F.col("item").alias("a"), F.col("low").alias("la"), F.col("n").alias("n_a"))
     right = low.select(F.col("item").alias("b"), F.col("low").alias("lb"), F.col("n").alias("n_b"))
@@ -72,7 +91,7 @@ def _labelled(rows: DataFrame, reach: DataFrame | None, item: str = "item", name
     return rows.join(known, item, "left").withColumn(name, F.coalesce("__c", item)).drop("__c")
 
 
-def _by_differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _by_differences(star: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Links (a, b) between items of one head of which at least one does not link to the head.
 
     ``star``: head, item, component, loose (does not link to the head). Items are
@@ -128,7 +147,7 @@ def _in_small(rows: DataFrame, percent: int) -> DataFrame:
     near the head are left to ``_by_differences``.
     """
     tight = (100 - percent) / 100 + 1e-9
-    bounds = [F.coalesce("far", "least").alias("lo"), F.coalesce("far", F.lit(1.0)).alias("hi")]
+    bounds = [F.coalesce("far", "least").alias("lo"), F.coalesce("far", F.lit(2.0)).alias("hi")]
     rows = rows.select("bucket", "item", "size", "component", *bounds)
     one = rows.select("bucket", *[F.col(c).alias(f"{c}1") for c in rows.columns[1:]])
     two = rows.select("bucket", *[F.col(c).alias(f"{c}2") for c in rows.columns[1:]])
@@ -143,16 +162,16 @@ def _in_small(rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def link(buckets: DataFrame, sets: Sets, percent: int) -> tuple[DataFrame, DataFrame]:
     """All links between items of a bucket, up to what their components need.
 
-    ``buckets``: distinct rows (bucket, item, size), longs; ``sets``: item, tokens.
+    ``buckets``: distinct rows (bucket, item, size), longs; ``sets`` fetches (item, tokens) of given items.
     Items link if 100 * both >= percent * union. Returns links (a, b) that span the
     components of the full graph, and (id, component_id) for the items in them.
 
     In a round each bucket compares its head, the item with most neighbours, with its
-    other items: by a quarter of the tokens first, and by whole sets only those that
-    the quarter does not show to be far. Then the buckets whose other items lie in
+    other items: by a share of the tokens first, and by whole sets only those that
+    the share does not show to be far. Then the buckets whose other items lie in
     one component are done, as pairs inside a component change nothing. In the
     others, items near the head are compared by their differences from it; what is
     far from the head, and what may be a partner of such an item (the Jaccard
@@ -165,7 +184,7 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     degree = buckets.join(sizes, "bucket").groupBy("item").agg(F.sum("n").alias("degree"))
     current = written(buckets.join(degree, "item").select("bucket", "item", "size", "degree"))
     tight, links, reach, small = (100 - percent) / 100, None, None, SMALL
-    low = written(_samples(sets))
+    low = written(_samples(sets(written(buckets.select("item").distinct())), SAMPLE * tight))
     while True:
         heads = current.groupBy("bucket").agg(F.max(F.struct("degree", "item", "size")).alias("h"), F.min("item").alias("lo"), F.max("item").alias("hi"))
         heads = heads.where("lo <> hi").select("bucket", F.col("h.item").alias("head"), F.col("h.size").alias("head_size"))
@@ -199,7 +218,7 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
         floors = rows.groupBy("bucket").agg(F.min(beyond).alias("floor")).where("floor is not null")
         apart = rows.join(floors, "bucket").where(F.coalesce("far", F.lit(1.0)) >= F.col("floor") - tight - 1e-9).drop("floor")
         counts = apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        apart = written(apart.join(counts.select("bucket", "n"), "bucket"))
+        apart = written(_distinct_buckets(apart.join(counts.select("bucket", "n"), "bucket")))
         close = _by_differences(star, sets, percent)
         more = _sampled(_in_small(apart.where(F.col("n") <= small), percent), low).where(F.col("least") <= tight + 1e-9)
         seen = similar_sets(written(more), sets).where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent)

@@ -160,7 +160,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     sources = kept_in(lines, asked, "item").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
     sets = kept_in(docs, written(sources.select("doc_id").distinct()), "doc_id").mapInArrow(_paragraph_sets(least), "item long, tokens array<long>")
     sets = written(kept_in(sets, asked, "item").dropDuplicates(["item"]))
-    _, reach = link(met, sets, percent)
+    _, reach = link(met, lambda keys: kept_in(sets, keys, "item"), percent)
 
     whole = lines.join(reach.withColumnRenamed("id", "item"), "item", "left").withColumn("group", F.coalesce("component_id", "item"))
     groups = whole.groupBy("group").agg(
