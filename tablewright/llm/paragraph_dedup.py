@@ -127,6 +127,22 @@ _SCHEMA = (
 )
 
 
+def _parts(placed: DataFrame, least: int) -> DataFrame:
+    """Passages cut where removed sentences meet kept ones; fewer than ``least`` words that are found elsewhere stay."""
+    run = ["doc_id", "from", "component_id"]
+    in_order = Window.partitionBy(*run).orderBy("first")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        changed = F.coalesce(F.col("gone") != F.lag("gone").over(in_order), F.lit(False))
+        return rows.withColumn("part", F.sum(changed.cast("int")).over(in_order))
+
+    words = F.sum("n").over(Window.partitionBy(*run, "part"))
+    parts = numbered(numbered(placed).withColumn("gone", F.col("gone") & (words >= least)))
+    return parts.groupBy(*run, "part").agg(
+        F.min("first").alias("first_word"), F.max(F.col("first") + F.col("n")).alias("to"), F.first("gone").alias("removed")
+    ).select("doc_id", F.lit("passage").alias("kind"), "first_word", (F.col("to") - F.col("first_word")).alias("n_words"), "component_id", "removed")
+
+
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, kind, first_word, n_words, component_id, removed: text that documents share.
 
@@ -141,9 +157,12 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     another document are put together, and a run of at least ``least`` words is a
     passage. Passages that share a sentence are one cluster.
 
-    In each cluster the place of the smallest (doc_id, first_word) stays, the others
-    have ``removed``; component_id is the smallest doc_id of the cluster. Word
-    numbers count from 0, n_words covers the whole run. Repetition inside one
+    In each cluster of paragraphs the place of the smallest (doc_id, first_word) stays,
+    the others have ``removed``. In passages this is decided sentence by sentence, so
+    that a copy of each one stays: its smallest place is kept, and at least ``least``
+    words in a row that stay elsewhere are removed. A passage of which a part is
+    removed is reported in parts. component_id is the smallest doc_id of the cluster.
+    Word numbers count from 0, n_words covers the whole run. Repetition inside one
     document alone does not count, nor do rows that repeat a doc_id. Null and empty
     texts have no paragraphs; rows without doc_id are left out; an empty table gives
     none. Other columns are not read.
@@ -184,16 +203,17 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     run_of = written(
         run_of.withColumn("from", F.min("first").over(spans)).withColumn("to", F.max(F.col("first") + F.col("n")).over(spans))
         .withColumn("words", F.sum("n").over(spans)).where(F.col("words") >= least)
-        .select("doc_id", "from", "to", "name", F.xxhash64("doc_id", "from").alias("node"))
+        .select("doc_id", "from", "first", "n", "name", F.xxhash64("doc_id", "from").alias("node"))
     )
-    firsts = run_of.groupBy("name").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last")
-    edges = run_of.join(firsts, "name").where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
-    clusters = components(edges).withColumnRenamed("id", "node")
-    runs = run_of.select("doc_id", "from", "to", "node").distinct().join(clusters, "node")
-    heads = runs.groupBy("component_id").agg(F.min(F.struct("doc_id", "from")).alias("kept"), F.max("doc_id").alias("top")).where("kept.doc_id <> top")
-    passages = runs.join(heads, "component_id").select(
-        "doc_id", F.lit("passage").alias("kind"), F.col("from").alias("first_word"), (F.col("to") - F.col("from")).alias("n_words"),
-        F.col("kept.doc_id").alias("component_id"), (F.struct("doc_id", "from") != F.col("kept")).alias("removed"))
+    place = F.struct("doc_id", "first")
+    names = written(run_of.groupBy("name").agg(F.min("node").alias("head"), F.min(place).alias("stays"), F.max("doc_id").alias("top")))
+    elsewhere = (F.col("stays.doc_id") != F.col("top")) & (place != F.col("stays"))
+    placed = written(run_of.join(names, "name").select("doc_id", "from", "first", "n", "node", "head", elsewhere.alias("gone")))
+    clusters = components(placed.where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))).withColumnRenamed("id", "node")
+    members = placed.select("node", "doc_id").distinct().join(clusters, "node")
+    heads = members.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
+    nodes = written(members.join(heads, "component_id").select("node", F.col("least").alias("component_id")))
+    passages = _parts(placed.join(nodes, "node"), least)
     return paragraphs.select(
         "doc_id", F.lit("paragraph").alias("kind"), F.col("first").alias("first_word"), F.col("n").alias("n_words"), "component_id", "removed"
     ).unionAll(passages)

@@ -588,6 +588,30 @@ def test_paragraph_links_against_brute_force(spark, docs):
     assert want - got == set() and got == want
 
 
+def found_in(spark, texts):
+    """The rows found, and the texts without repeats."""
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    found = paragraph_dedup.repeated_passages(df)
+    return rows_of(found), dict(rows_of(paragraph_dedup.without_repeats(df, found)))
+
+
+def hosted(rng, *inner):
+    """One line: words of its own around each of the passages."""
+    return " ".join(" ".join(prose(rng, 27) + p) for p in inner) + " " + " ".join(prose(rng, 27))
+
+
+def test_a_copy_of_each_sentence_stays(spark):
+    rng = random.Random(8)
+    p1, p2 = prose(rng, 36), prose(rng, 45)
+    rows, out = found_in(spark, {1: hosted(rng, p1), 2: hosted(rng, p1 + p2), 3: hosted(rng, p2), 4: hosted(rng, p2, p1)})
+    for p, keeper in ((p1, 1), (p2, 2)):
+        assert [i for i in sorted(out) if " ".join(p) in out[i]] == [keeper]
+    assert sorted(rows) == sorted([
+        (1, "passage", 27, 36, 1, False), (2, "passage", 27, 36, 1, True), (2, "passage", 63, 45, 1, False),
+        (3, "passage", 27, 45, 1, True), (4, "passage", 27, 45, 1, True), (4, "passage", 99, 36, 1, True),
+    ])
+
+
 def test_passages_of_odd_tables(spark):
     df = odd_docs(spark)
     found = paragraph_dedup.repeated_passages(df)
