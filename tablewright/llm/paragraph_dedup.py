@@ -155,13 +155,15 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     A passage copied into the middle of a line shares no line with its source. So,
     in the lines that are not repeated as a whole, sentences found word for word in
     another document are put together, and a run of at least ``least`` words is a
-    passage. Passages that share a sentence are one cluster.
-
-    In each cluster of paragraphs the place of the smallest (doc_id, first_word) stays,
-    the others have ``removed``. In passages this is decided sentence by sentence, so
-    that a copy of each one stays: its smallest place is kept, and at least ``least``
-    words in a row that stay elsewhere are removed. A passage of which a part is
-    removed is reported in parts. component_id is the smallest doc_id of the cluster.
+    passage. Passages that share a sentence are one cluster, and one with the
+    repeated paragraphs that hold it.
+
+    Among linked paragraphs the place of the smallest (doc_id, first_word) stays, the
+    others have ``removed``. In passages this is decided sentence by sentence, so that
+    a copy of each one stays: in a paragraph that stays, else at its smallest place;
+    at least ``least`` words in a row that stay elsewhere are removed. A passage of
+    which a part is removed is reported in parts. component_id is the smallest doc_id
+    of the cluster.
     Word numbers count from 0, n_words covers the whole run. Repetition inside one
     document alone does not count, nor do rows that repeat a doc_id. Null and empty
     texts have no paragraphs; rows without doc_id are left out; an empty table gives
@@ -185,9 +187,9 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     groups = whole.groupBy("group").agg(
         F.min(F.struct("doc_id", "first")).alias("kept"), F.max("doc_id").alias("top")).where("kept.doc_id <> top")
     paragraphs = written(
-        whole.select("doc_id", "first", "n", "group").join(groups.select("group", "kept"), "group")
-        .select("doc_id", "first", "n", F.col("kept.doc_id").alias("component_id"),
-                (F.struct("doc_id", "first") != F.col("kept")).alias("removed"))
+        whole.select("doc_id", "first", "n", "group").join(groups.select("group", "kept", "top"), "group")
+        .select("doc_id", "first", "n", F.xxhash64(F.lit("group"), "group").alias("node"), F.col("kept.doc_id").alias("least"),
+                F.col("top").alias("most"), (F.struct("doc_id", "first") != F.col("kept")).alias("removed"))
         .distinct()
     )
 
@@ -207,15 +209,24 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     )
     place = F.struct("doc_id", "first")
     names = written(run_of.groupBy("name").agg(F.min("node").alias("head"), F.min(place).alias("stays"), F.max("doc_id").alias("top")))
-    elsewhere = (F.col("stays.doc_id") != F.col("top")) & (place != F.col("stays"))
+    # the same sentences in repeated paragraphs: the whole line that stays holds the copy that stays
+    lines_of = paragraphs.select("doc_id", F.col("first").alias("line"), "node", "least", "most", "removed")
+    held = written(
+        kept_in(parts, written(names.select("name")), "name").join(lines_of, ["doc_id", "line"])
+        .groupBy("name", "node", "least", "most").agg((~F.min("removed")).alias("stands")))
+    names = written(names.join(held.groupBy("name").agg(F.max("stands").alias("stands")), "name", "left"))
+    elsewhere = F.coalesce("stands", F.lit(False)) | (F.col("stays.doc_id") != F.col("top")) & (place != F.col("stays"))
     placed = written(run_of.join(names, "name").select("doc_id", "from", "first", "n", "node", "head", elsewhere.alias("gone")))
-    clusters = components(placed.where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))).withColumnRenamed("id", "node")
-    members = placed.select("node", "doc_id").distinct().join(clusters, "node")
-    heads = members.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
-    nodes = written(members.join(heads, "component_id").select("node", F.col("least").alias("component_id")))
+    edges = placed.select("node", "head").unionAll(held.join(names, "name").select("node", "head")).where("node <> head")
+    clusters = components(edges.select(F.col("node").alias("src"), F.col("head").alias("dst"))).withColumnRenamed("id", "node")
+    members = placed.select("node", F.col("doc_id").alias("least"), F.col("doc_id").alias("most")).unionAll(
+        held.select("node", "least", "most")).distinct().join(clusters, "node")
+    heads = members.groupBy("component_id").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most")
+    nodes = written(members.select("node", "component_id").join(heads, "component_id").select("node", F.col("least").alias("component_id")))
     passages = _parts(placed.join(nodes, "node"), least)
-    return paragraphs.select(
-        "doc_id", F.lit("paragraph").alias("kind"), F.col("first").alias("first_word"), F.col("n").alias("n_words"), "component_id", "removed"
+    return kept_in(paragraphs, nodes, "node", "left").select(
+        "doc_id", F.lit("paragraph").alias("kind"), F.col("first").alias("first_word"), F.col("n").alias("n_words"),
+        F.coalesce("component_id", "least").alias("component_id"), "removed"
     ).unionAll(passages)
 
 

@@ -612,6 +612,20 @@ def test_a_copy_of_each_sentence_stays(spark):
     ])
 
 
+def test_passages_match_repeated_paragraphs(spark):
+    rng = random.Random(9)
+    p, q = prose(rng, 36), prose(rng, 27)
+    line = " ".join(p)
+    rows, out = found_in(spark, {2: hosted(rng, p), 4: hosted(rng, []) + "\n" + line, 5: line, 6: hosted(rng, p, q), 7: hosted(rng, q)})
+    assert [i for i in sorted(out) if line in out[i]] == [4] and [i for i in sorted(out) if " ".join(q) in out[i]] == [6]
+    assert sorted(rows) == sorted([
+        (2, "passage", 27, 36, 2, True), (4, "paragraph", 54, 36, 2, False), (5, "paragraph", 0, 36, 2, True),
+        (6, "passage", 27, 36, 2, True), (6, "passage", 90, 27, 6, False), (7, "passage", 27, 27, 6, True),
+    ])
+    alone, _ = found_in(spark, {4: line, 5: line, 6: hosted(rng, p)})
+    assert (6, "passage", 27, 36, 4, True) in alone and len(alone) == 3
+
+
 def test_passages_of_odd_tables(spark):
     df = odd_docs(spark)
     found = paragraph_dedup.repeated_passages(df)
