@@ -12,6 +12,8 @@ TEMPERATURE = 0.5
 #: Sources whose rates are broadcast, at most; beyond, salted rows are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 SALTS = 64
+#: Largest rate that one inversion draws; beyond, a count is the sum of parts of at most PART, each by a digest of its own.
+LARGEST, PART = 600, 500
 #: A 52-bit fraction of a digest is exact in a double.
 _DIGITS, _RANGE = 13, float(2**52)
 
@@ -57,8 +59,8 @@ def poisson_count(u: F.Column, rate: F.Column) -> F.Column:
     """The least k whose Poisson distribution function exceeds ``u``: a native inversion.
 
     The sum stops where the remaining terms are below the resolution of ``u``, and
-    by the term ``rate + 12 * sqrt(rate) + 30`` at the latest. Rates above 600 are
-    split into equal parts by the caller's ``epochs``; here they raise.
+    by the term ``rate + 12 * sqrt(rate) + 30`` at the latest. Rates above LARGEST
+    raise here; ``drawn_count`` splits them.
     """
     steps = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int"))
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
@@ -72,16 +74,27 @@ def poisson_count(u: F.Column, rate: F.Column) -> F.Column:
             F.when(go, k).otherwise(acc["k"]).alias("k"),
         )
 
-    checked = F.when(rate <= 600, steps).otherwise(F.raise_error(F.lit("a source's rate is above 600")))
+    checked = F.when(rate <= LARGEST, steps).otherwise(F.raise_error(F.lit(f"a rate is above {LARGEST}")))
     return F.aggregate(checked, start, step, lambda acc: acc["k"])
 
 
+def drawn_count(seed: str, rate: F.Column) -> F.Column:
+    """A document's Poisson count of any rate: a large one is the sum of independent parts of equal rates."""
+    parts = F.when(rate <= LARGEST, F.lit(1)).otherwise(F.ceil(rate / PART).cast("int"))
+    draws = F.transform(
+        F.sequence(F.lit(0), parts - 1),
+        lambda i: F.when(i == 0, _uniform(seed, _key())).otherwise(_uniform(seed + "-part", _key(), i)),
+    )
+    return F.aggregate(draws, F.lit(0), lambda total, u: total + poisson_count(u, rate / parts))
+
+
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0,
                 temperature: float = TEMPERATURE, seed: str = SEED, shuffled: bool = True) -> DataFrame:
     """The rows of ``docs``, each repeated by its count, in a global random order.
 
     A document's count is its digest of (seed, doc_id), as a fraction, put through
-    the inverse Poisson distribution whose mean is its source's rate. The choice
+    the inverse Poisson distribution whose mean is its source's rate (rates above
+    LARGEST in parts, which add up). The choice
     depends on nothing else, so that a repeated task chooses alike. Adds
     ``mix_copy`` (from 0) and ``mix_key``, the place in the order: a digest of
     (seed, doc_id, copy). The order is made by a range shuffle on that key, which
@@ -98,7 +111,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     else:
         salted = rates.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         counted = docs.join(salted, same & (F.pmod(F.xxhash64(docs["doc_id"]), F.lit(SALTS)) == F.col("__mix_salt")))
-    count = poisson_count(_uniform(seed, _key()), F.col("__mix_rate"))
+    count = drawn_count(seed, F.col("__mix_rate"))
     copies = counted.withColumn("__mix_n", count).where("__mix_n > 0").withColumn(
         "mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1))
     )

@@ -510,6 +510,18 @@ def test_poisson_inversion(spark):
         assert k == n, (u, rate)
 
 
+def test_mix_of_large_rates(spark):
+    large = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("x" * 999).alias("text"), F.lit("a").alias("source"))
+    tiny = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source"))
+    both = large.unionAll(tiny)
+    rate = mixing.mixing_rates(both).where("source is null").first()["rate"]
+    got = dict(rows_of(mixing.mix_sources(both).groupBy("source").count()))
+    assert rate > 3_000 and abs(got[None] - rate) < 6 * math.sqrt(rate) and abs(got["a"] - 10_000) < 600
+    many = mixing.mix_sources(large.limit(200).coalesce(1), epochs=2_000.0, shuffled=False).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("mix_copy").alias("top"))
+    counts = [n for _, n, top in rows_of(many) if top == n - 1]
+    assert len(counts) == 200 and abs(np.mean(counts) - 2_000) < 20 and 1_200 < np.var(counts) < 3_200
+
+
 def test_mix_of_odd_tables(spark, monkeypatch):
     df = odd_docs(spark)
     out = mixing.mix_sources(df, epochs=3.0)
