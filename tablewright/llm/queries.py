@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, jaccard_join, mixing, paragraph_dedup, pii, sharding, toxicity, url_filter
+from . import (
+    ann,
+    bpe,
+    embedding_dedup,
+    fingerprints,
+    hard_negatives,
+    jaccard_join,
+    mixing,
+    paragraph_dedup,
+    periodic_runs,
+    pii,
+    sharding,
+    toxicity,
+    url_filter,
+)
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -75,9 +89,73 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return paragraph_dedup.repeated_passages(table(spark, folder, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    made = fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+    own, edited, after = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.spelled(own).alias("fingerprint"),
+        fingerprints.spelled(edited).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, edited).alias("near_edited"),
+        fingerprints.resemblance(own, after).alias("near_next"),
+        fingerprints.containment(own, edited).alias("contained_in_edited"),
+        fingerprints.containment(own, after).alias("contained_in_next"),
+    )
+
+
+def _with_planted_period(docs: DataFrame) -> DataFrame:
+    """The contract's texts: in a tenth of the documents (by CRC) the words from ``a`` on repeat with period ``p``."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]++"), F.lit(0))
+
+    def repeated(w: F.Column) -> F.Column:
+        n, g = F.size(w), F.col("g")
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        made = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, place(i).cast("int"))), " ")
+        return F.when(n > 0, made).otherwise(F.col("text"))
+
+    text = F.when(F.col("h") % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(F.col("text"))
+    return rows.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_planted_period(table(spark, folder, "documents")))
+    top = periodic_runs.longest(F.col("runs"))
+    found = found.select("doc_id", "runs", "collapsed", top.alias("top"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.floor(F.col("top.length") * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(periodic_runs.written_runs(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.where(F.coalesce(~odd, F.lit(False))).select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_pii, op2_toxicity, op3_ngram_jaccard, op4_byte_bpe, op5_embedding_dedup, op6_url_filter, op7_sharding,
-              op8_nearest_vectors, op9_source_mixing, op10_repeated_passages)
+              op8_nearest_vectors, op9_source_mixing, op10_repeated_passages, op11_fingerprints, op12_periodic_runs,
+              op13_hard_negatives)
+}
+ORACLES = {
+    "op9_source_mixing": mixing.ORACLE_SQL,
+    "op11_fingerprints": fingerprints.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
-ORACLES = {"op9_source_mixing": mixing.ORACLE_SQL}
