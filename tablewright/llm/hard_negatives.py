@@ -31,6 +31,8 @@ PAIRS = 65_536
 SHARE = 1 / 16
 #: How thresholds fall: of positives, and of negatives.
 FALL_POSITIVES, FALL_NEGATIVES = 0.5, 0.8
+#: Below this share of the highest score that can be, the lowest threshold is next.
+LAST = 0.1
 #: Sums of squares below this make every inner product exact in double precision.
 EXACT = 2.0**53
 
@@ -127,7 +129,7 @@ def _best_positives(rows: dict, anchors: dict, k: int) -> tuple:
         at = _first(place, score, rows["id"][row], k)
         out.append((anchors["id"][live[place[at]]], rows["id"][row[at]], score[at]))
         live, t = live[~full], t[~full] * FALL_POSITIVES
-        t = np.where(t < 0.1 * most[live], floor[live], t)
+        t = np.where(t <= LAST * most[live], floor[live], t)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else ()
 
 
@@ -146,15 +148,14 @@ def _best_negatives(rows: dict, anchors: dict, k: int, low: int, high: int) -> t
     least, most = -(-low * score_of // 100), high * score_of // 100
     count = len(anchors["id"])
     top, floor = np.full(count, -np.inf), np.full(count, np.inf)
-    np.maximum.at(top, owner, most.astype(float))
-    np.minimum.at(floor, owner, least.astype(float))
-    # of negative positives no window is left: low percent of them is above high percent
-    can = np.zeros(count, bool)
-    can[owner[least <= most]] = True
+    # a positive of negative score leaves no window: low percent of it is above high percent
+    holds = least <= most
+    np.maximum.at(top, owner[holds], most[holds].astype(float))
+    np.minimum.at(floor, owner[holds], least[holds].astype(float))
     index = Postings(rows["v"], anchors["v"])
     begin = np.searchsorted(owner, np.arange(count + 1))
     out = []
-    live = np.flatnonzero(can)
+    live = np.flatnonzero(np.isfinite(floor))
     t = np.maximum(np.where(top[live] > 0, 0.9 * top[live], top[live]), floor[live])
     while len(live):
         row, place, score = index.reaching(live, t)
@@ -168,7 +169,7 @@ def _best_negatives(rows: dict, anchors: dict, k: int, low: int, high: int) -> t
         pair, window = pair[inside], window[inside]
         held = np.bincount(window, minlength=len(owner))
         full = np.ones(count, bool)
-        np.logical_and.at(full, owner, (held >= k) | (least > most))
+        np.logical_and.at(full, owner, (held >= k) | ~holds)
         full = full[live] | (t <= floor[live])
         done = full[place[pair]]
         pair, window = pair[done], window[done]
@@ -176,7 +177,7 @@ def _best_negatives(rows: dict, anchors: dict, k: int, low: int, high: int) -> t
         pair, window = pair[at], window[at]
         out.append((anchors["id"][live[place[pair]]], id_of[window], score_of[window], rows["id"][row[pair]], score[pair]))
         live, t = live[~full], t[~full]
-        t = np.maximum(t * FALL_NEGATIVES, floor[live])
+        t = np.maximum(np.where(t <= LAST * top[live], -np.inf, t * FALL_NEGATIVES), floor[live])
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else ()
 
 
