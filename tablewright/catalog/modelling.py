@@ -187,7 +187,7 @@ SQUARED_SQL = (
 def order_matrix(spark, folder, target="o_orderstatus"):
     """All orders, prepared: price, keys and priority predict the target."""
     ready = prepare(table(spark, folder, "orders"), target, key=["o_orderkey"])
-    return training.build_matrix(ready.data, ready.feature_names, target, "o_orderkey")
+    return training.build_matrix(ready.vectors, ready.feature_names, target, "o_orderkey")
 
 
 def embedding_matrix(spark, folder):

@@ -397,6 +397,23 @@ ONEHOT_SQL = union_sql(
 )
 
 
+def _onehot_wide(spark, folder):
+    df = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").cast("string"), "o_orderpriority")
+    fitted = features.fit_onehot(df, ["o_custkey", "o_orderpriority"])
+    return fitted.cells(df, ["o_orderkey"])
+
+
+ONEHOT_WIDE_SQL = (
+    "WITH k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS place FROM"
+    " (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders)),"
+    " p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 + (SELECT count(*) FROM k) AS place FROM"
+    " (SELECT DISTINCT o_orderpriority AS v FROM orders))"
+    " SELECT o_orderkey, place, 'o_custkey_' || v AS feature, 1.0::DOUBLE AS value FROM orders"
+    " JOIN k ON CAST(o_custkey AS VARCHAR) = v UNION ALL"
+    " SELECT o_orderkey, place, 'o_orderpriority_' || v, 1.0::DOUBLE FROM orders JOIN p ON o_orderpriority = v"
+)
+
+
 def _ordinal(spark, folder):
     df = dirty_orders(spark, folder).select("o_orderkey", "messy_cat", "skewed_class", "date_text")
     return features.ordinal(df, ["messy_cat", "skewed_class", "date_text"])
@@ -424,7 +441,7 @@ def _booleans(spark, folder):
 
 
 def _features_report(spark, folder):
-    plan = features.fit_features(dirty_orders(spark, folder), "o_totalprice", {"scaling": "standard"})
+    plan = features.fit_features(dirty_orders(spark, folder), "skewed_class", {"scaling": "standard"})
     return plan.parameters.filter("stat = 'feature'").select("column", "value")
 
 
@@ -522,6 +539,7 @@ QUERIES = [
     Query("cleaning_audit", _audit, _audit_sql()),
     *[Query(f"scale_{m}", _scaled(m), _scaled_sql(m)) for m in ("standard", "minmax", "robust")],
     Query("onehot_encode", _onehot, ONEHOT_SQL),
+    Query("onehot_wide", _onehot_wide, ONEHOT_WIDE_SQL),
     Query("ordinal_encode", _ordinal, _ordinal_sql()),
     Query(
         "boolean_encode",

@@ -202,14 +202,18 @@ QUERIES = [
     *[
         Query(
             f"trend_{grain}",
-            lambda s, d, grain=grain: _rounded(
-                charts.trend_series(table(s, d, "orders"), "o_orderdate", "o_totalprice", grain)
+            lambda s, d, grain=grain: charts.trend_series(
+                table(s, d, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(15,2)")),
+                "o_orderdate",
+                "o_totalprice",
+                grain,
             ),
             f"WITH p AS (SELECT date_trunc('{grain}', o_orderdate)::DATE AS d, count(o_totalprice) AS n,"
-            " sum(o_totalprice) AS s, round(avg(o_totalprice), 4) AS m FROM orders GROUP BY 1)"
-            " SELECT strftime(d, '%Y-%m-%d') AS period, n, round(s, 2) AS total, m AS mean,"
-            " round(avg(s) OVER (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving_mean,"
-            " round(s - lag(s) OVER (ORDER BY d), 2) AS change FROM p",
+            " sum(o_totalprice::DECIMAL(15, 2)) AS s FROM orders GROUP BY 1)"
+            " SELECT strftime(d, '%Y-%m-%d') AS period, n, s::DOUBLE AS total, s::DOUBLE / n AS mean,"
+            " (sum(s) OVER w)::DOUBLE / count(s) OVER w AS moving_mean,"
+            " (s - lag(s) OVER (ORDER BY d))::DOUBLE AS change FROM p"
+            " WINDOW w AS (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
         )
         for grain in ("month", "quarter")
     ],

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import as_double, mean_of
 from ..functions.quantiles import exact_quantiles
@@ -175,28 +176,28 @@ def trend_series(df: DataFrame, time: str, target: str, grain: str = "month", wi
     """Per period: count, sum, mean, moving mean of the sum, change on the last period.
 
     The data is grouped by period first, map-side; the window then runs over the
-    periods alone, whose number is bounded by the calendar.
+    periods alone, whose number is bounded by the calendar.  Decimals are added as
+    decimals and become doubles at the end, so that no figure depends on the order.
     """
     if grain not in GRAINS:
         raise ValueError(f"Unknown grain: {grain}")
+    exact = isinstance(df.schema[target].dataType, T.DecimalType)
     period = F.date_trunc(grain, col(time)).cast("date")
-    periods = (
-        df.filter(col(time).isNotNull())
-        .groupBy(period.alias("period"))
-        .agg(
-            F.count(col(target)).alias("n"),
-            F.sum(as_double(target)).alias("s"),
-            mean_of(df, target).alias("m"),
-        )
-    )
+    total = F.sum(col(target) if exact else as_double(target))
+    n = F.count(col(target))
+    mean = F.try_divide(total.cast("double"), n) if exact else mean_of(df, target)
+    periods = df.filter(col(time).isNotNull()).groupBy(period.alias("period")).agg(n.alias("n"), total.alias("s"), mean.alias("m"))
     in_time = Window.orderBy("period")
+    last = in_time.rowsBetween(1 - window, 0)
+    moving = F.try_divide(F.sum("s").over(last).cast("double"), F.count("s").over(last)) if exact else F.round(F.avg("s").over(last), 4)
+    change = F.col("s") - F.lag("s").over(in_time)
     return periods.select(
         F.date_format("period", "yyyy-MM-dd").alias("period"),
         "n",
-        F.round("s", 2).alias("total"),
+        (F.col("s").cast("double") if exact else F.round("s", 2)).alias("total"),
         F.col("m").alias("mean"),
-        F.round(F.avg("s").over(in_time.rowsBetween(1 - window, 0)), 4).alias("moving_mean"),
-        F.round(F.col("s") - F.lag("s").over(in_time), 2).alias("change"),
+        moving.alias("moving_mean"),
+        (change.cast("double") if exact else F.round(change, 2)).alias("change"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -15,6 +16,7 @@ from ..functions.quantiles import exact_quantiles
 from ..functions.report import local_rows
 from ..functions.schema import col
 from ..functions.text import boolean_code, unique_feature_names
+from ..session import checkpointed
 from .cleaning import constant_column_names, drop_empty_columns, missing_counts
 from .frequency import at_most_distinct, most_least_frequent, value_frequencies
 from .splitting import SEED, TEST_SHARE, stratified_split, train_test_split
@@ -23,13 +25,14 @@ from .typing import infer_types, types_by_class
 
 SCALINGS = ("standard", "minmax", "robust", "none", "drop")
 ENCODINGS = ("onehot", "ordinal", "none", "drop")
-# Up to here a column's categories become plain columns or literal codes; longer
-# dictionaries stay distributed and reach the rows by a join.
+# Up to here a column's categories are written into the plan; longer dictionaries stay
+# distributed and reach the rows by a join.  The features are the same either way.
 MAX_LITERAL_CATEGORIES = 1000
 HOT_VALUES = 500
 HOT_SPREAD = 1024
 BROADCAST_ROWS = 200_000
 AUDIT_SCHEMA = "step int, action string, column string, value double"
+PARAMETER_SCHEMA = "column string, stat string, value double, text string"
 
 
 @dataclass(frozen=True)
@@ -161,6 +164,12 @@ def code_dictionary(df: DataFrame, column: str, per_bucket: int = 100_000) -> Da
     )
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed; equal rows have equal ones."""
+    whole = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*[col(c) for c in whole]) if whole else F.lit(0).cast("long")
+
+
 def join_codes(
     df: DataFrame,
     column: str,
@@ -181,9 +190,8 @@ def join_codes(
         return joined.withColumn(out, F.coalesce("__code", F.lit(-1.0))).drop("__v", "__code")
     hot = dictionary.orderBy(F.desc("n"), "value").limit(HOT_VALUES)
     hot = hot.select(F.col("value").alias("__hv"), F.col("code").alias("__hot"))
-    spread = F.concat(
-        F.lit("\u0000"), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SPREAD))
-    )
+    # a hash of the row, so that a task that runs again deals the same keys
+    spread = F.concat(F.lit("\u0000"), F.pmod(row_hash(df), F.lit(HOT_SPREAD)))
     marked = df.join(F.broadcast(hot), text == F.col("__hv"), "left").withColumn(
         "__k", F.when(F.col("__hot").isNull() & text.isNotNull(), text).otherwise(spread)
     )
@@ -193,14 +201,6 @@ def join_codes(
     )
 
 
-def onehot_columns(column: str, values: list[str], text: Column) -> list[tuple[str, Column]]:
-    """One 0/1 column per category; of two categories only the second is kept."""
-    kept = values[1:] if len(values) == 2 else values
-    return [
-        (f"{column}_{v}", F.when(text == F.lit(v), 1.0).otherwise(0.0)) for v in kept
-    ]
-
-
 def ordinal_code(values: list[str], text: Column) -> Column:
     """Position in the sorted categories; -1 for anything else."""
     if not values:
@@ -209,21 +209,144 @@ def ordinal_code(values: list[str], text: Column) -> Column:
     return F.coalesce(F.when(place > 0, place - 1), F.lit(-1.0))
 
 
-def onehot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mode-filled one-hot columns in place of the given ones."""
+@dataclass
+class Coding:
+    """The fitted codes of one column: places of its sorted categories.
+
+    ``known`` lists the categories where they are few; else ``book`` holds them as
+    ``(value, code, n)``, and codes reach the rows by a join.  Both give the same codes.
+    """
+
+    column: str
+    fill: str | None
+    size: int
+    known: list[str] | None
+    book: DataFrame | None
+
+    @property
+    def first(self) -> int:
+        """The first category with a feature of its own: of two only the second has one."""
+        return 1 if self.size == 2 else 0
+
+    @property
+    def width(self) -> int:
+        return self.size - self.first
+
+    def values(self) -> list[str]:
+        """All categories in order: one entry a feature, as many as a model has coefficients."""
+        if self.known is not None:
+            return self.known
+        return [r["value"] for r in self.book.select("value", "code").orderBy("code").collect()]
+
+    def facts(self, df: DataFrame) -> DataFrame:
+        """``(column, stat, value, text)``, a row a category."""
+        if self.known is not None:
+            rows = [(self.column, "category", float(k), v) for k, v in enumerate(self.known)]
+            return local_rows(df, rows, PARAMETER_SCHEMA)
+        return self.book.select(
+            F.lit(self.column).alias("column"), F.lit("category").alias("stat"), F.col("code").alias("value"), F.col("value").alias("text")
+        )
+
+    def coded(self, df: DataFrame, out: str) -> DataFrame:
+        """``df`` with the code of each row's category, the mode's for gaps, -1 for unknown ones."""
+        text = F.coalesce(col(self.column).cast("string"), F.lit(self.fill))
+        if self.known is not None:
+            return df.withColumn(out, ordinal_code(self.known, text))
+        return join_codes(df.withColumn("__text", text), "__text", self.book, out).drop("__text")
+
+
+def fit_codings(df: DataFrame, columns: Sequence[str]) -> list[Coding]:
+    """Categories and modes of the columns; longer dictionaries are fitted once and kept apart from their source."""
     known, fill = fit_categories(df, columns)
-    long = [c for c in columns if known[c] is None]
-    if long:
-        raise ValueError(f"Too many categories for plain columns, encode as vectors: {long}")
-    keep = [col(c) for c in df.columns if c not in set(columns)]
-    made = [
-        e.alias(name)
-        for c in columns
-        for name, e in onehot_columns(
-            c, known[c], F.coalesce(col(c).cast("string"), F.lit(fill.get(c)))
+    out = []
+    for c in columns:
+        book = None if known[c] is not None else checkpointed(code_dictionary(df, c))
+        out.append(Coding(c, fill.get(c), len(known[c]) if book is None else book.count(), known[c], book))
+    return out
+
+
+def onehot_expressions(code: Column, coding: Coding) -> list[Column]:
+    """A 0/1 column for each category that has a feature."""
+    return [F.when(code == F.lit(float(k)), 1.0).otherwise(0.0) for k in range(coding.first, coding.size)]
+
+
+def onehot_vectors(df: DataFrame, codings: Sequence[Coding], codes: Sequence[str]) -> DataFrame:
+    """The code columns as 0/1 vectors of each coding's width, in place; sparse, a row stores one entry.
+
+    Unknown values (code -1) become all zeros.  A coding of one feature becomes a number.
+    """
+    from pyspark.ml.feature import OneHotEncoder
+
+    wide = [(c, k) for c, k in zip(codes, codings, strict=True) if k.width != 1]
+    plain = df.withColumns({c: onehot_expressions(F.col(c), k)[0] for c, k in zip(codes, codings, strict=True) if k.width == 1})
+    if not wide:
+        return plain
+    names = [c for c, _ in wide]
+    # the encoder learns no more than the sizes: the largest code of each column
+    top = local_rows(df, [tuple(float(k.size - 1) for _, k in wide)], ", ".join(f"`{c}` double" for c in names))
+    made = [f"{c}__v" for c in names]
+    encoder = OneHotEncoder(inputCols=names, outputCols=made, handleInvalid="keep", dropLast=True).fit(top)
+    valid = {c: F.when(F.col(c) >= 0, F.col(c)).otherwise(F.lit(float(k.size))) for c, k in wide}
+    return encoder.transform(plain.withColumns(valid)).drop(*names).withColumnsRenamed(dict(zip(made, names, strict=True)))
+
+
+@dataclass
+class OneHot:
+    """Fitted one-hot features of some columns, alike at every number of categories."""
+
+    codings: list[Coding]
+
+    @property
+    def names(self) -> list[str]:
+        return [f"{k.column}_{v}" for k in self.codings for v in k.values()[k.first :]]
+
+    @property
+    def width(self) -> int:
+        return sum(k.width for k in self.codings)
+
+    def _coded(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        codes = [f"__code{i}" for i in range(len(self.codings))]
+        for k, c in zip(self.codings, codes, strict=True):
+            df = k.coded(df, c)
+        return df, codes
+
+    def columns(self, df: DataFrame) -> DataFrame:
+        """A 0/1 column a feature in place of the columns."""
+        wide, codes = self._coded(df)
+        made = [e for k, c in zip(self.codings, codes, strict=True) for e in onehot_expressions(F.col(c), k)]
+        gone = {k.column for k in self.codings}
+        return wide.select(*[col(c) for c in df.columns if c not in gone], *[e.alias(n) for e, n in zip(made, self.names, strict=True)])
+
+    def vectors(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """One sparse vector of all features in place of the columns."""
+        from pyspark.ml.feature import VectorAssembler
+
+        wide, codes = self._coded(df)
+        packed = VectorAssembler(inputCols=codes, outputCol="__packed").transform(onehot_vectors(wide, self.codings, codes))
+        gone = {k.column for k in self.codings}
+        return packed.select(*[col(c) for c in df.columns if c not in gone], F.col("__packed").alias(out))
+
+    def cells(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """(keys, place, feature, value): the entries that are not zero, a row each; places are those of the vector."""
+        wide, codes = self._coded(df)
+        at, start = [], 0
+        for k, c in zip(self.codings, codes, strict=True):
+            text = F.coalesce(col(k.column).cast("string"), F.lit(k.fill))
+            held = (F.col(c) >= k.first).alias("held")
+            at.append(F.struct((F.col(c) - k.first + start).cast("long").alias("place"), F.concat(F.lit(f"{k.column}_"), text).alias("feature"), held))
+            start += k.width
+        return (
+            wide.select(*[col(c) for c in keys], F.inline(F.array(*at))).where("held").drop("held").withColumn("value", F.lit(1.0))
         )
-    ]
-    return df.select(*keep, *made)
+
+
+def fit_onehot(df: DataFrame, columns: Sequence[str]) -> OneHot:
+    return OneHot(fit_codings(df, columns))
+
+
+def onehot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mode-filled one-hot columns in place of the given ones; :class:`OneHot` also gives vectors and cells."""
+    return fit_onehot(df, columns).columns(df)
 
 
 def ordinal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -231,16 +354,9 @@ def ordinal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Gaps take the most frequent value first, as in :func:`onehot`.
     """
-    known, fill = fit_categories(df, columns)
     out = df
-    for c in columns:
-        text = F.coalesce(col(c).cast("string"), F.lit(fill.get(c)))
-        if known[c] is not None:
-            out = out.withColumn(c, ordinal_code(known[c], text))
-        else:
-            filled = out.withColumn(c, text)
-            out = join_codes(filled, c, code_dictionary(df, c), "__coded")
-            out = out.withColumn(c, F.col("__coded")).drop("__coded")
+    for k in fit_codings(df, columns):
+        out = k.coded(out, "__coded").withColumn(k.column, F.col("__coded")).drop("__coded")
     return out.select(*[col(c) for c in df.columns])
 
 
@@ -265,73 +381,81 @@ def fit_boolean(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
 # --- the fitted preparation -------------------------------------------------------
 
 
+@dataclass
+class Block:
+    """One or more features made from one column: a number, a code, or the categories of a code."""
+
+    raw: list[str]
+    value: Column | None = None
+    coding: Coding | None = None
+    spread: bool = False  # True: a feature a category, else the number or the code itself
+
+
 @dataclass
 class FeaturePlan:
-    """Fitted feature expressions: ``transform`` is a projection (plus joins for
-    dictionaries too long to write into the plan)."""
+    """Fitted features.  ``transform`` gives plain columns, ``assemble`` one vector; both are
+    projections, plus joins for dictionaries too long to write into the plan."""
 
     target: str | None
     config: FeatureConfig
-    columns: list[tuple[str, Column]]
-    dictionaries: list[tuple[str, str, DataFrame, str]]
+    blocks: list[Block]
     by_class: dict[str, list[str]]
     removed: list[str]
     parameters: DataFrame
     audit: DataFrame
     names: list[str] = field(default_factory=list)
 
+    def _valued(self, df: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+        """One column a block, beside the target and the columns to keep."""
+        extra = [c for c in (*keep, *([self.target] if self.target else [])) if c in df.columns]
+        made, wide = [f"__b{i}" for i in range(len(self.blocks))], df
+        for b, name in zip(self.blocks, made, strict=True):
+            if b.coding is not None:
+                wide = b.coding.coded(wide, name)
+        wide = wide.withColumns({n: b.value for b, n in zip(self.blocks, made, strict=True) if b.coding is None})
+        extra = list(dict.fromkeys(extra))
+        return wide.select(*[F.col(n) for n in made], *[col(c) for c in extra]), made, extra
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Feature columns as doubles, then the target and the columns to keep."""
-        extra = [c for c in (*keep, *([self.target] if self.target else [])) if c in df.columns]
-        wide = df
-        for column, fill, dictionary, out in self.dictionaries:
-            filled = wide.withColumn("__text", F.coalesce(col(column).cast("string"), F.lit(fill)))
-            wide = join_codes(filled, "__text", dictionary, out).drop("__text")
-        made = [e.alias(n) for n, (_, e) in zip(self.names, self.columns)]
-        return wide.select(*made, *[col(c) for c in dict.fromkeys(extra)])
+        wide, made, extra = self._valued(df, keep)
+        out: list[Column] = []
+        for b, name in zip(self.blocks, made, strict=True):
+            out += onehot_expressions(F.col(name), b.coding) if b.spread else [F.col(name)]
+        return wide.select(*[e.alias(n) for e, n in zip(out, self.names, strict=True)], *[col(c) for c in extra])
 
     def assemble(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """The same as one ``features`` vector."""
+        """The same as one ``features`` vector; no plain column a category is made for it."""
         from pyspark.ml.feature import VectorAssembler
 
-        wide = self.transform(df, keep)
-        safe = [f"__f{i}" for i in range(len(self.names))]
-        rest = [c for c in wide.columns if c not in set(self.names)]
-        plain = wide.select(
-            *[col(n).alias(s) for n, s in zip(self.names, safe)], *[col(c) for c in rest]
-        )
-        if self.config.encoding == "onehot" and self.dictionaries:
-            plain, safe = self._sparse(plain, safe)
-        packed = VectorAssembler(inputCols=safe, outputCol="features").transform(plain)
-        return packed.select(*[col(c) for c in rest], "features")
-
-    def _sparse(self, plain: DataFrame, safe: list[str]) -> tuple[DataFrame, list[str]]:
-        """One-hot vectors from the codes of dictionaries too long for columns.
-
-        The vectors are sparse: a row stores one entry, whatever the dictionary's
-        size.  An unknown value (code -1) becomes all zeros.
-        """
-        from pyspark.ml.feature import OneHotEncoder
-
-        raw = [n for n, _ in self.columns]
-        for column, _, dictionary, _ in self.dictionaries:
-            i = raw.index(f"cat__{column}")
-            size = dictionary.count()
-            top = plain.sparkSession.createDataFrame([(float(size - 1),)], f"{safe[i]} double")
-            encoder = OneHotEncoder(
-                inputCol=safe[i], outputCol=f"{safe[i]}v", handleInvalid="keep", dropLast=True
-            ).fit(top)
-            known = F.when(F.col(safe[i]) >= 0, F.col(safe[i])).otherwise(F.lit(float(size)))
-            plain = encoder.transform(plain.withColumn(safe[i], known))
-            safe = [f"{s}v" if s == safe[i] else s for s in safe]
-        return plain, safe
+        wide, made, extra = self._valued(df, keep)
+        hot = [(n, b.coding) for b, n in zip(self.blocks, made, strict=True) if b.spread]
+        wide = onehot_vectors(wide, [k for _, k in hot], [n for n, _ in hot])
+        packed = VectorAssembler(inputCols=made, outputCol="__packed").transform(wide)
+        return packed.select(*[col(c) for c in extra], F.col("__packed").alias("features"))
 
 
 @dataclass
 class Prepared:
+    """A fitted plan and the rows it was made for, with their ``split``."""
+
     plan: FeaturePlan
-    data: DataFrame  # feature columns, the target, the kept columns and ``split``
-    feature_names: list[str]
+    rows: DataFrame
+    kept: list[str]
+
+    @property
+    def feature_names(self) -> list[str]:
+        return self.plan.names
+
+    @property
+    def data(self) -> DataFrame:
+        """Feature columns, the target, the kept columns and ``split``."""
+        return self.plan.transform(self.rows, self.kept)
+
+    @property
+    def vectors(self) -> DataFrame:
+        """The same with one ``features`` vector in place of the feature columns."""
+        return self.plan.assemble(self.rows, self.kept)
 
 
 def fit_features(df: DataFrame, target: str | None = None, config: Any = None) -> FeaturePlan:
@@ -348,6 +472,9 @@ def fit_features(df: DataFrame, target: str | None = None, config: Any = None) -
     if target is not None and target in df.columns:
         x = df.drop(target)
         note("separate_target", target)
+    elif target is not None:
+        note("target_absent", target)
+        warnings.warn(f"No column {target}: all columns become features", stacklevel=2)
     present = drop_empty_columns(x)
     empty = [c for c in x.columns if c not in present.columns]
     constants = constant_column_names(present)
@@ -357,39 +484,31 @@ def fit_features(df: DataFrame, target: str | None = None, config: Any = None) -
         note("drop_constant_column", c)
     x = present.select(*[col(c) for c in present.columns if c not in constants])
     by_class = types_by_class(infer_types(x))
-    columns: list[tuple[str, Column]] = []
-    dictionaries: list[tuple[str, str, DataFrame, str]] = []
+    blocks: list[Block] = []
     facts: list[tuple] = []
+    books: list[DataFrame] = []
     if cfg.scaling != "drop" and by_class["numeric"]:
         for c, e in fit_numeric(x, by_class["numeric"], cfg.scaling).items():
-            columns.append((f"num__{c}", e))
+            blocks.append(Block([f"num__{c}"], e))
         note(f"scale_{cfg.scaling}", None, len(by_class["numeric"]))
     if cfg.encoding not in ("none", "drop") and by_class["categorical"]:
         names = by_class["categorical"]
-        known, fill = fit_categories(x, names)
-        for i, c in enumerate(names):
-            text = F.coalesce(col(c).cast("string"), F.lit(fill.get(c)))
-            facts.append((c, "mode", None, fill.get(c)))
-            if known[c] is None:
-                # Too many categories for columns: the ordered code is exact at any size.
-                out = f"__code{i}"
-                dictionaries.append((c, fill.get(c), code_dictionary(x, c), out))
-                columns.append((f"cat__{c}", F.col(out)))
-                note("encode_by_dictionary", c)
-            elif cfg.encoding == "onehot":
-                columns += [(f"cat__{n}", e) for n, e in onehot_columns(c, known[c], text)]
-                facts += [(c, "category", None, v) for v in known[c]]
-            else:
-                columns.append((f"cat__{c}", ordinal_code(known[c], text)))
-                facts += [(c, "category", float(k), v) for k, v in enumerate(known[c])]
+        spread = cfg.encoding == "onehot"
+        for k in fit_codings(x, names):
+            facts.append((k.column, "mode", None, k.fill))
+            books.append(k.facts(df))
+            raw = [f"cat__{k.column}_{v}" for v in k.values()[k.first :]] if spread else [f"cat__{k.column}"]
+            blocks.append(Block(raw, None, k, spread))
+            if k.known is None:
+                note("encode_by_dictionary", k.column)
         note(f"encode_{cfg.encoding}", None, len(names))
     if by_class["boolean"]:
         for c, e in fit_boolean(x, by_class["boolean"]).items():
-            columns.append((f"bool__{c}", e))
+            blocks.append(Block([f"bool__{c}"], e))
         note("boolean_to_number", None, len(by_class["boolean"]))
-    if not columns:
+    raw = [n for b in blocks for n in b.raw]
+    if not raw:
         raise ValueError("No usable feature columns")
-    raw = [n for n, _ in columns]
     names = unique_feature_names(raw) if cfg.rename_features else raw
     if names != raw:
         note("rename_features")
@@ -397,14 +516,16 @@ def fit_features(df: DataFrame, target: str | None = None, config: Any = None) -
     for kind, members in by_class.items():
         note(f"type_{kind}", None, len(members))
     facts += [(n, "feature", float(i), None) for i, n in enumerate(names)]
+    parameters = local_rows(df, facts, PARAMETER_SCHEMA)
+    for book in books:
+        parameters = parameters.unionByName(book)
     return FeaturePlan(
         target if target in df.columns else None,
         cfg,
-        columns,
-        dictionaries,
+        blocks,
         by_class,
         empty + constants,
-        local_rows(df, facts, "column string, stat string, value double, text string"),
+        parameters,
         local_rows(df, steps, AUDIT_SCHEMA),
         names,
     )
@@ -431,4 +552,4 @@ def prepare(
         source = marked.filter("split = 'train'").drop("split")
     plan = fit_features(source, target, cfg)
     kept = [*(key or []), *(["split"] if "split" in marked.columns else [])]
-    return Prepared(plan, plan.transform(marked, kept), plan.names)
+    return Prepared(plan, marked, kept)

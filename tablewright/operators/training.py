@@ -10,6 +10,8 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..functions.schema import col
 from . import neighbours
 from .estimators import LARGE_ONLY, NEIGHBOURS, FitContext, model_order, registry, usable_value
 from .evaluation import classification_metrics, regression_metrics, silhouette_squared
+from .features import BROADCAST_ROWS
 from .splitting import FOLDS, SEED, assign_folds
 from .target import detect_task
 
@@ -92,13 +95,6 @@ class Trained:
         return self.models.get(self.best_name) if self.best_name else None
 
 
-def label_code(target: str, classes: Sequence[str]) -> Column:
-    """Place of the class in the sorted class list, as a double."""
-    known = F.array(*[F.lit(c) for c in classes])
-    place = F.array_position(known, col(target).cast("string")).cast("double")
-    return F.when(place > 0, place - 1)
-
-
 def build_matrix(
     data: DataFrame,
     features: Sequence[str],
@@ -106,15 +102,17 @@ def build_matrix(
     key: str | None = None,
     task: str | None = None,
 ) -> Matrix:
-    """Pack feature columns into a vector and code the target.
+    """Pack feature columns into a vector, or take a ``features`` vector as it is, and code the target.
 
-    Classes are listed on the driver; a classification target has twenty at most.
+    Classes are coded by a table that is joined to the rows; their names come to the
+    driver as a model holds one entry a class.
     """
+    vector = "features" in data.columns and isinstance(data.schema["features"].dataType, VectorUDT)
     safe = [f"__x{i}" for i in range(len(features))]
     identity = (
         col(key)
         if key
-        else F.md5(F.to_json(F.struct(*[col(c) for c in data.columns])))
+        else F.md5(F.to_json(F.struct(*[vector_to_array(c) if vector and c == "features" else col(c) for c in data.columns])))
     )
     split = col("split") if "split" in data.columns else F.lit("train")
     if target is None:
@@ -126,17 +124,20 @@ def build_matrix(
         if task == "classification":
             found = data.select(named.alias("c")).filter("c IS NOT NULL").distinct()
             classes = sorted(r["c"] for r in found.collect())  # a model holds one entry a class
-            label = label_code(target, classes)
+            codes = [(c, float(k)) for k, c in enumerate(classes)]
+            book = local_rows(data, codes, "__class string, __label double")
+            data = data.join(F.broadcast(book) if len(codes) <= BROADCAST_ROWS else book, named == F.col("__class"), "left")
+            label = F.col("__label")
         else:
             classes, label = [], col(target).cast("double")
     wide = data.select(
         identity.alias("__key"),
-        *[col(c).cast("double").alias(s) for c, s in zip(features, safe)],
+        *([col("features")] if vector else [col(c).cast("double").alias(s) for c, s in zip(features, safe)]),
         label.alias("label"),
         named.alias("target"),
         split.alias("split"),
     )
-    packed = VectorAssembler(inputCols=safe, outputCol="features", handleInvalid="error").transform(wide)
+    packed = wide if vector else VectorAssembler(inputCols=safe, outputCol="features", handleInvalid="error").transform(wide)
     kept = packed.select("__key", "features", "label", "target", "split")
     if target is not None:
         kept = kept.filter("label IS NOT NULL")
@@ -144,20 +145,18 @@ def build_matrix(
 
 
 def fit_context(train: DataFrame, matrix: Matrix) -> FitContext:
-    """Rows, label deviation and mean feature variance from one aggregate."""
+    """Rows, label deviation and mean feature variance from one aggregate over the vectors."""
     n = len(matrix.names)
-    x = vector_to_array("features")
-    spread = train.select("label", *[x[i].alias(f"x{i}") for i in range(n)]).agg(
+    row = train.agg(
         F.count("*").alias("n"),
         F.stddev_samp("label").alias("s"),
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(n)],
-        *[F.avg(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in range(n)],
-    )
-    row = spread.first()
+        Summarizer.metrics("mean", "normL2").summary(F.col("features")).alias("x"),
+    ).first()
     if not row["n"]:
         return FitContext(0, n, len(matrix.classes))
-    mean = sum(row[f"m{i}"] for i in range(n)) / max(n, 1)
-    variance = sum(row[f"q{i}"] for i in range(n)) / max(n, 1) - mean * mean
+    mean = sum(row["x"]["mean"]) / max(n, 1)
+    squares = sum(v * v for v in row["x"]["normL2"]) / row["n"]
+    variance = squares / max(n, 1) - mean * mean
     return FitContext(row["n"], n, len(matrix.classes), row["s"] or 1.0, max(variance, 1e-12))
 
 

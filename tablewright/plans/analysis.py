@@ -134,7 +134,7 @@ def analyse(
     clean_df = done.cleaned.df
     known = target if target is not None and target in clean_df.columns else None
     one_key = key[0] if key and len(key) == 1 else None
-    matrix = build_matrix(done.prepared.data, done.prepared.feature_names, known, one_key)
+    matrix = build_matrix(done.prepared.vectors, done.prepared.feature_names, known, one_key)
     trained = train_models(matrix, models)
     scored = None
     if trained.task != "unsupervised" and trained.best is not None:

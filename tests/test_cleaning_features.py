@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.catalog.base import dirty_orders, table
-from tablewright.operators import cleaning, features, splitting
+from tablewright.operators import cleaning, features, splitting, training
 
 
 def test_impute_mode_keeps_types_and_medians_widen(spark):
@@ -103,6 +103,58 @@ def test_long_dictionaries_become_sparse_vectors(spark, monkeypatch):
     assert sum(1 for v in unknown.toArray() if v == 1.0) == 0
 
 
+def many(spark, k, rows=40_000):
+    return spark.range(rows).select("id", F.concat(F.lit("v"), F.col("id") % k).alias("c"), (F.col("id") * 1.5).alias("x"))
+
+
+def test_a_category_more_is_a_feature_more_at_every_count(spark):
+    """1,000 categories are written into the plan, 1,001 are joined: the features are the same."""
+    widths = []
+    for k in (1000, 1001):
+        df = many(spark, k)
+        fitted = features.fit_onehot(df, ["c"])
+        assert fitted.width == len(fitted.names) == k
+        wide = features.onehot(df.filter("id < 30"), ["c"])
+        assert len(wide.columns) == 2 + 30
+        vectors = {r["id"]: r["features"] for r in fitted.vectors(df).filter("id < 50").collect()}
+        cells = {r["id"]: r for r in fitted.cells(df, ["id"]).filter("id < 50").collect()}
+        assert len(vectors) == len(cells) == 50
+        for i, v in vectors.items():
+            assert v.size == k and list(v.indices) == [cells[i]["place"]] and fitted.names[cells[i]["place"]] == cells[i]["feature"] == f"c_v{i}"
+        plan = features.fit_features(df, None, {"rename_features": False})
+        assert plan.parameters.filter("stat = 'category'").count() == k
+        row = plan.assemble(df, ["id"]).filter("id = 7").first()["features"]
+        assert row.size == len(plan.names) and plan.names[int([i for i in row.indices if row[int(i)] == 1.0][-1])] == "cat__c_v7"
+        plain = plan.transform(df.filter("id = 7"))
+        assert list(plain.first()) == list(row.toArray()) and plain.columns == plan.names
+        ready = features.prepare(df, "x", {"encoding": "onehot"}, key=["id"])
+        matrix = training.build_matrix(ready.vectors, ready.feature_names, "x", "id", task="regression")
+        assert len(matrix.names) == matrix.df.first()["features"].size == len(ready.feature_names)
+        widths.append((len(plan.names), len(ready.feature_names)))
+    assert widths[1] == (widths[0][0] + 1, widths[0][1] + 1)
+
+
+def test_onehot_gaps_unknown_values_and_pairs(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", "p"), (2, "b", "q"), (3, "b", "q"), (4, None, None)], "id long, c string, d string")
+    new = spark.createDataFrame([(1, "zzz", "p"), (2, "b", "never"), (3, None, "q")], "id long, c string, d string")
+    got = []
+    for limit in (1000, 1):
+        monkeypatch.setattr(features.fit_categories, "__defaults__", (limit,))
+        fitted = features.fit_onehot(df, ["c", "d"])
+        assert fitted.names == ["c_b", "d_q"]
+        plain = {r["id"]: (r["c_b"], r["d_q"]) for r in fitted.columns(new).collect()}
+        assert plain == {1: (0.0, 0.0), 2: (1.0, 0.0), 3: (1.0, 1.0)}
+        assert {r["id"]: tuple(r["features"].toArray()) for r in fitted.vectors(new).collect()} == plain
+        got.append(sorted(tuple(r) for r in fitted.cells(new, ["id"]).collect()))
+    assert got[0] == got[1] == [(2, 0, "c_b", 1.0), (3, 0, "c_b", 1.0), (3, 1, "d_q", 1.0)]
+
+
+def test_an_absent_target_is_told(spark):
+    with pytest.warns(UserWarning, match="nothing"):
+        plan = features.fit_features(many(spark, 4, 40), "nothing")
+    assert plan.audit.filter("action = 'target_absent'").count() == 1
+
+
 def test_long_ordinal_equals_short(spark):
     df = spark.range(500).select(F.concat(F.lit("v"), F.col("id") % 40).alias("c"), "id")
     short = {r["id"]: r["c"] for r in features.ordinal(df, ["c"]).collect()}
