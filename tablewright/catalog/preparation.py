@@ -107,7 +107,14 @@ VALIDATION_PARTS = [
             ("max", "max(x)"),
         )
     ],
+    finding("missing_stats", "info", '"column"', "missing_pct", "missing_pct") + " FROM by_column",
     finding("outliers", "info", '"column"', "outliers", "outliers", "1.5") + " FROM strange",
+    finding("outliers", "info", '"column"', "outlier_pct", "outlier_pct", "1.5") + " FROM strange",
+    *[
+        f"SELECT 'class_share' AS \"check\", 'info' AS severity, 'skewed_class' AS \"column\", '{m}:' || k AS metric,"
+        f" {v}::DOUBLE AS value, NULL::DOUBLE AS threshold FROM classes"
+        for m, v in (("rows", "n"), ("pct", "round(n * 100.0 / (SELECT count(*) FROM dirty), 2)"))
+    ],
     finding("class_imbalance", "info", "skewed_class", "imbalance_ratio", "round(max(n) / min(n), 6)", "10")
     .replace("'info'", "CASE WHEN max(n) / min(n) > 10 THEN 'warning' ELSE 'info' END")
     + " FROM classes",
@@ -135,7 +142,7 @@ VALIDATION_SQL = (
     SCHEMA_CTES
     + f", per_row AS {ROW_CELLS}, pairs AS ({PAIRS_SQL})"
     + f", strange AS ({outlier_sql(OUTLIER_COLUMNS, 'dirty', 'iqr')})"
-    + ", classes AS (SELECT count(*) AS n FROM dirty GROUP BY skewed_class)"
+    + ", classes AS (SELECT skewed_class AS k, count(*) AS n FROM dirty GROUP BY skewed_class)"
     + union_sql([f" {p}" for p in VALIDATION_PARTS])
 )
 

@@ -250,6 +250,36 @@ CO_MISSING_SQL = (
 )
 
 
+# Sixty columns with gaps of their own, those of neighbours alike but for few rows.
+WIDE_GAPS = {
+    f"w{i:02}": f"CASE WHEN (o_orderkey + {i // 2}) % {3 + i // 2} = 0 AND (o_orderkey % {41 + i} > 1) THEN NULL ELSE o_custkey END"
+    for i in range(60)
+}
+
+
+def _co_missing_wide(spark, folder):
+    df = table(spark, folder, "orders").selectExpr(*[f"{e} AS {c}" for c, e in WIDE_GAPS.items()])
+    return _rounded(missing.co_missing_correlation(df), "correlation")
+
+
+CO_MISSING_WIDE_SQL = (
+    "WITH w AS (SELECT "
+    + ", ".join(f"{e} AS {c}" for c, e in WIDE_GAPS.items())
+    + " FROM orders), k AS (SELECT row_number() OVER () AS r, * FROM w),"
+    + " g AS (SELECT r, name, place FROM (UNPIVOT (SELECT r, "
+    + ", ".join(f"({c} IS NULL)::INT AS {c}" for c in WIDE_GAPS)
+    + " FROM k) ON COLUMNS(* EXCLUDE (r)) INTO NAME name VALUE gap) JOIN (VALUES "
+    + ", ".join(f"('{c}', {i})" for i, c in enumerate(WIDE_GAPS))
+    + ") p(name, place) USING (name) WHERE gap = 1),"
+    + " s AS (SELECT name, place, count(*)::DOUBLE AS s FROM g GROUP BY ALL),"
+    + " j AS (SELECT a.name AS a, b.name AS b, count(*)::DOUBLE AS j FROM g a JOIN g b ON a.r = b.r AND a.place < b.place GROUP BY ALL),"
+    + " f AS (SELECT x.name AS column_a, y.name AS column_b, (n * coalesce(j, 0) - x.s * y.s)"
+    + " / (sqrt(x.s * (n - x.s)) * sqrt(y.s * (n - y.s))) AS c FROM s x JOIN s y ON x.place < y.place"
+    + " LEFT JOIN j ON j.a = x.name AND j.b = y.name, (SELECT count(*)::DOUBLE AS n FROM orders))"
+    + " SELECT column_a, column_b, round(c, 6) AS correlation FROM f WHERE abs(c) > 0.8"
+)
+
+
 def _rounded(df, column):
     from pyspark.sql import functions as F
 
@@ -418,6 +448,7 @@ QUERIES = [
         lambda s, d: _rounded(missing.co_missing_correlation(dirty_orders(s, d)), "correlation"),
         CO_MISSING_SQL,
     ),
+    Query("comissing_wide", _co_missing_wide, CO_MISSING_WIDE_SQL),
     Query("column_types", given_types, GIVEN_TYPES_SQL),
     Query(
         "column_types_dirty",

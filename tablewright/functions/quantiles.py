@@ -65,13 +65,18 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     gather_limit: int = GATHER_LIMIT,
+    cuts: list[list[float]] | None = None,
 ) -> dict[str, dict[float, float | None]]:
-    """``{column: {prob: value}}`` with linear interpolation, NULLs left out."""
+    """``{column: {prob: value}}`` with linear interpolation, NULLs left out.
+
+    ``cuts``: first cut points of each column, where an aggregate of the caller has
+    sketched them already (``first_sketch``); they decide how many runs follow, no result.
+    """
     names, wanted = list(columns), list(dict.fromkeys(probs))
     if not names or not wanted:
         return {c: {} for c in names}
     data = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    cuts = _first_cuts(data, len(names), wanted)
+    cuts = _first_cuts(data, len(names), wanted) if cuts is None else cuts
     whole = {i: (None, None, 0, c) for i, c in enumerate(cuts)}
     zones, points = _count_zones(data, whole, list(whole))
     sizes = {
@@ -114,20 +119,21 @@ def _around(fractions: Sequence[float]) -> list[float]:
     return sorted(spread)
 
 
-def _first_cuts(data: DataFrame, n: int, probs: Sequence[float]) -> list[list[float]]:
-    sketches = data.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(n)],
-        *[F.kll_sketch_agg_double(f"v{i}", F.lit(SKETCH_SIZE)).alias(f"k{i}") for i in range(n)],
-    )
+def first_sketch(column: str, count: str, sketch: str) -> list:
+    """Measures that ``first_cuts`` needs of a column, under the given names."""
+    x = col(column).cast("double")
+    return [F.count(x).alias(count), F.kll_sketch_agg_double(x, F.lit(SKETCH_SIZE)).alias(sketch)]
+
+
+def first_cuts(count: str, sketch: str, probs: Sequence[float]):
+    """Cut points around the wanted ranks, from a sketch; NULL for a column without values."""
     fractions = F.array(*[F.lit(f) for f in _around(probs)])
-    row = sketches.select(
-        *[
-            F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"k{i}", fractions)).alias(
-                f"q{i}"
-            )
-            for i in range(n)
-        ]
-    ).first()
+    return F.when(F.col(count) > 0, F.kll_sketch_get_quantile_double(sketch, fractions))
+
+
+def _first_cuts(data: DataFrame, n: int, probs: Sequence[float]) -> list[list[float]]:
+    sketches = data.agg(*[m for i in range(n) for m in first_sketch(f"v{i}", f"n{i}", f"k{i}")])
+    row = sketches.select(*[first_cuts(f"n{i}", f"k{i}", probs).alias(f"q{i}") for i in range(n)]).first()
     return [sorted(set(row[f"q{i}"] or [])) for i in range(n)]
 
 

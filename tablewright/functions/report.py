@@ -22,12 +22,14 @@ def per_column(
     measures: Callable[[str], Mapping[str, Column]],
     shape: Callable[[str, Mapping[str, Column]], Mapping[str, Column]] | None = None,
     schema: str | None = None,
+    wide: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregate ``measures(c)`` for every column, return one row per column.
 
     ``shape`` may derive the output fields of a column from its aggregated
     measures.  Measures whose name starts with ``_`` are shared by all columns
     and computed once.  ``schema`` is used when there is nothing to report on.
+    ``wide``: the aggregated row, where it is known already.
     """
     aggregates: list[Column] = []
     seen: dict[str, str] = {}
@@ -43,7 +45,7 @@ def per_column(
         per_col[name] = refs
     if not aggregates:
         return local_rows(df, [], schema or "column string")
-    wide = df.agg(*aggregates)
+    wide = df.agg(*aggregates) if wide is None else wide
     structs = []
     for name in columns:
         out = per_col[name] if shape is None else shape(name, per_col[name])

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.report import local_rows, per_column
 from ..functions.schema import col, flat_columns, is_floating, is_integral, text_columns
+from ..functions.statistics import short_text
 
 TOP_VALUES = 5
-LONG_TEXT = 48
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -43,12 +43,6 @@ def _family(dtype: T.DataType) -> str:
     return "string"
 
 
-def _short(text: Column) -> Column:
-    """Long texts by their digest, so that whole texts are not shuffled to be counted."""
-    digest = F.concat(F.lit("\u0000"), F.md5(text.cast("binary")))
-    return F.when(F.octet_length(text) > LONG_TEXT, digest).otherwise(text)
-
-
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, n_distinct)``, exact, NULLs not counted.
 
@@ -63,7 +57,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         families.setdefault(_family(types[c]), []).append(c)
     out = local_rows(df, [(c, 0) for c in names], "column string, n_distinct bigint")
     for family, members in families.items():
-        casts = [(_short(col(c).cast(family)) if family == "string" else col(c).cast(family)).alias(c) for c in members]
+        casts = [(short_text(col(c).cast(family)) if family == "string" else col(c).cast(family)).alias(c) for c in members]
         distinct = (
             df.unpivot([], casts, "column", "value")
             .filter("value IS NOT NULL")
@@ -139,11 +133,13 @@ def _most_first() -> Column:
     return F.struct((-F.col("n")).alias("neg"), F.col("value"))
 
 
-def most_least_frequent(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def most_least_frequent(
+    df: DataFrame, columns: Sequence[str] | None = None, frequencies: DataFrame | None = None
+) -> DataFrame:
     """Most and least frequent value per column; the smallest value wins a tie."""
     by_count = F.struct("n", "value")
     return (
-        value_frequencies(df, columns)
+        (value_frequencies(df, columns) if frequencies is None else frequencies)
         .groupBy("column")
         .agg(
             F.count("*").alias("unique_values"),
@@ -165,7 +161,7 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def top_values(
-    df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES
+    df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES, frequencies: DataFrame | None = None
 ) -> DataFrame:
     """The ``k`` most frequent values per column.
 
@@ -174,7 +170,7 @@ def top_values(
     """
     ranked = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     return (
-        value_frequencies(df, columns)
+        (value_frequencies(df, columns) if frequencies is None else frequencies)
         .withColumn("position", F.row_number().over(ranked))
         .filter(F.col("position") <= k)
     )

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct
 from ..functions.report import local_rows, per_column
 from ..functions.schema import col
+from ..functions.statistics import Statistics
 
 COLUMN_MAX_MISSING_PCT = 50.0
 ROW_MAX_MISSING_PCT = 80.0
 ROWS_OVER_LIMIT_PCT = 10.0
 CO_MISSING_CORRELATION = 0.8
-# Beyond this many partly-missing columns the pair sums go through a Gram matrix.
-PAIR_AGGREGATE_COLUMNS = 40
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -117,68 +118,32 @@ def row_missing_check(
     )
 
 
+def pair_correlations(stats: Statistics, threshold: float = CO_MISSING_CORRELATION) -> list[tuple[str, str, float]]:
+    """``(column_a, column_b, r)`` above the threshold, from patterns that are counted already."""
+    n = float(stats.rows)
+    partly = [(c, float(stats.missing(c))) for c in stats.df.columns if 0 < stats.missing(c) < n]
+    out = []
+    for i, (a, sa) in enumerate(partly):
+        for b, sb in partly[i + 1 :]:
+            spread = math.sqrt(sa * (n - sa)) * math.sqrt(sb * (n - sb))
+            r = (n * stats.together.get((a, b), 0) - sa * sb) / spread
+            if abs(r) > threshold:
+                out.append((a, b, r))
+    return out
+
+
 def co_missing_correlation(
-    df: DataFrame,
-    threshold: float = CO_MISSING_CORRELATION,
-    by_column: DataFrame | None = None,
+    df: DataFrame, threshold: float = CO_MISSING_CORRELATION, stats: Statistics | None = None
 ) -> DataFrame:
-    """Column pairs whose null indicators correlate: ``(column_a, column_b, r)``.
+    """Column pairs whose null indicators correlate: ``(column_a, column_b, correlation)``.
 
-    Only columns that are partly missing can correlate, so the fully present and
-    the fully missing ones are dropped first, which leaves few pairs.
+    Only columns that are partly missing can correlate.  Their gaps make a pattern for
+    each row; equal patterns are counted map-side, and a pattern counts once for every
+    pair of its gaps.  So the work for pairs follows the patterns that occur, not the rows,
+    and no matrix is built of all columns.
     """
-    schema = "column_a string, column_b string, correlation double"
-    partly = [
-        r["column"]
-        for r in (missing_by_column(df) if by_column is None else by_column)
-        .filter("missing_count > 0 AND missing_count < n_rows")
-        .collect()
-    ]
-    names = [c for c in df.columns if c in partly]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    if not pairs:
-        return local_rows(df, [], schema)
-    if len(names) > PAIR_AGGREGATE_COLUMNS:
-        found = _gram_correlations(df, names)
-    else:
-        single = [F.count_if(col(c).isNull()).alias(f"s{i}") for i, c in enumerate(names)]
-        joint = [
-            F.count_if(col(a).isNull() & col(b).isNull()).alias(f"j{k}")
-            for k, (a, b) in enumerate(pairs)
-        ]
-        wide = df.agg(F.count(F.lit(1)).alias("n"), *single, *joint)
-        position = {c: i for i, c in enumerate(names)}
-        n = F.col("n").cast("double")
-        structs = []
-        for k, (a, b) in enumerate(pairs):
-            sa = F.col(f"s{position[a]}").cast("double")
-            sb = F.col(f"s{position[b]}").cast("double")
-            top = n * F.col(f"j{k}") - sa * sb
-            spread = F.sqrt(sa * (n - sa)) * F.sqrt(sb * (n - sb))
-            structs.append(
-                F.struct(
-                    F.lit(a).alias("column_a"),
-                    F.lit(b).alias("column_b"),
-                    F.try_divide(top, spread).alias("correlation"),
-                )
-            )
-        found = wide.select(F.inline(F.array(*structs)))
-    return found.filter(~F.isnan("correlation") & (F.abs("correlation") > threshold))
-
-
-def _gram_correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """All pairs of many columns through the distributed correlation matrix."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    marks = df.select(
-        *[col(c).isNull().cast("double").alias(f"c{i}") for i, c in enumerate(names)]
-    )
-    packed = VectorAssembler(inputCols=marks.columns, outputCol="v").transform(marks)
-    matrix = Correlation.corr(packed.select("v"), "v").first()[0].toArray()
-    rows = [
-        (names[i], names[j], float(matrix[i, j]))
-        for i in range(len(names))
-        for j in range(i + 1, len(names))
-    ]
-    return local_rows(df, rows, "column_a string, column_b string, correlation double")
+    if stats is None:
+        stats = Statistics(df)
+        stats.want_patterns()
+        stats.collect()
+    return local_rows(df, pair_correlations(stats, threshold), "column_a string, column_b string, correlation double")

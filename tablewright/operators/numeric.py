@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import (
     as_double,
@@ -18,6 +19,7 @@ from ..functions.numeric import (
 from ..functions.quantiles import exact_quantiles
 from ..functions.report import local_rows, per_column
 from ..functions.schema import col, numeric_columns
+from ..functions.statistics import Statistics
 
 # The tails and quartiles a profile shows.
 PROFILE_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -37,38 +39,64 @@ def _label(p: float) -> str:
 SECTIONS = ("describe", "health", "shape")
 
 
+def _measures(df: DataFrame, c: str, sections: Sequence[str]) -> dict[str, Column]:
+    x = as_double(c)
+    out = {"min": F.min(x), "max": F.max(x)}
+    if "describe" in sections:
+        out |= {"count": F.count(col(c)), "mean": mean_of(df, c), "std": F.stddev_samp(x)}
+    if "health" in sections:
+        out |= {
+            "zeros": F.count_if(col(c) == 0),
+            "negatives": F.count_if(col(c) < 0),
+            "infinites": F.count_if(F.abs(x) == float("inf")),
+        }
+    if "shape" in sections:
+        out |= {"skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x)}
+    return out
+
+
+def want_numbers(
+    stats: Statistics,
+    columns: Sequence[str],
+    sections: Sequence[str] = SECTIONS,
+    probs: Sequence[float] = PROFILE_PROBS,
+) -> None:
+    """What :func:`numeric_report` reads."""
+    stats.want_quantiles(columns, [*(probs if "describe" in sections else []), 0.25, 0.75])
+    for c in columns:
+        for k, e in _measures(stats.df, c, sections).items():
+            stats.want(f"number:{k}:{c}", e)
+
+
 def numeric_report(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     sections: Sequence[str] = SECTIONS,
     probs: Sequence[float] = PROFILE_PROBS,
     digits: int = 4,
+    stats: Statistics | None = None,
 ) -> DataFrame:
     """The wanted sections for each column: one quantile run and one aggregate.
 
     describe: count, mean, std, min, quantiles, max.  health: zeros, negatives,
     infinites and the interquartile range.  shape: skewness and kurtosis.
+    ``stats``: the answers of ``want_numbers``, where other checks have asked along.
     """
     names = _names(df, columns)
     wanted = list(probs) if "describe" in sections else []
     if "health" in sections:
         wanted += [0.25, 0.75]
-    found = exact_quantiles(df, names, wanted)
+    found = exact_quantiles(df, names, wanted) if stats is None else stats.quantiles(names, wanted)
+    wide = None
+    if stats is not None and names:
+        known = stats.one_row(
+            {f"m{i}_{k}": f"number:{k}:{c}" for i, c in enumerate(names) for k in _measures(df, c, sections)}
+        )
+        schema = T.StructType([T.StructField(a, t) for a, t, _ in known])
+        wide = local_rows(df, [tuple(v for _, _, v in known)], schema)
 
     def measures(c):
-        x = as_double(c)
-        out = {"min": F.min(x), "max": F.max(x)}
-        if "describe" in sections:
-            out |= {"count": F.count(col(c)), "mean": mean_of(df, c), "std": F.stddev_samp(x)}
-        if "health" in sections:
-            out |= {
-                "zeros": F.count_if(col(c) == 0),
-                "negatives": F.count_if(col(c) < 0),
-                "infinites": F.count_if(F.abs(x) == float("inf")),
-            }
-        if "shape" in sections:
-            out |= {"skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x)}
-        return out
+        return _measures(df, c, sections)
 
     def shape(c, m):
         q, out = found[c], {}
@@ -87,7 +115,7 @@ def numeric_report(
             out["kurtosis"] = signless(F.round(m["kurtosis"], 6))
         return out
 
-    return per_column(df, names, measures, shape, "column string, count bigint")
+    return per_column(df, names, measures, shape, "column string, count bigint", wide)
 
 
 def describe(

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double, pct
-from ..functions.quantiles import exact_quantiles
 from ..functions.report import per_column
 from ..functions.schema import col, numeric_columns
-from .numeric import deviations_from_median, medians
+from ..functions.statistics import Statistics
+from .numeric import deviations_from_median
 
 METHODS = ("iqr", "zscore", "mad")
 DEFAULT_THRESHOLD = 1.5
@@ -49,36 +49,48 @@ class OutlierRule:
         return F.coalesce(hit, F.lit(False))
 
 
+def want_outliers(stats: Statistics, method: str, columns: Sequence[str]) -> None:
+    """What the rule of a method reads, and no more."""
+    if method not in METHODS:
+        return
+    stats.want_presence(columns)
+    if method == "zscore":
+        for c in columns:
+            stats.want(f"mean:{c}", F.avg(as_double(c)))
+            stats.want(f"std:{c}", F.stddev_samp(as_double(c)))
+    else:
+        stats.want_quantiles(columns, (0.25, 0.75) if method == "iqr" else (0.5,))
+
+
 def fit_outlier_rule(
     df: DataFrame,
     method: str = "iqr",
     threshold: float = DEFAULT_THRESHOLD,
     columns: Sequence[str] | None = None,
+    stats: Statistics | None = None,
 ) -> OutlierRule:
     """Measure the bounds; columns with fewer than ten values get none."""
     names = list(columns) if columns is not None else numeric_columns(df)
     if method not in METHODS or not names:
         return OutlierRule(method, threshold, {})
-    moments = df.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
-        *[F.avg(as_double(c)).alias(f"a{i}") for i, c in enumerate(names)],
-        *[F.stddev_samp(as_double(c)).alias(f"s{i}") for i, c in enumerate(names)],
-    ).first()
-    judged = [(i, c) for i, c in enumerate(names) if moments[f"n{i}"] >= MIN_VALUES]
-    kept = [c for _, c in judged]
+    if stats is None:
+        stats = Statistics(df)
+        want_outliers(stats, method, names)
+        stats.collect()
+    kept = [c for c in names if stats[f"present:{c}"] >= MIN_VALUES]
     bounds: dict[str, tuple] = {}
     if method == "iqr":
-        for c, q in exact_quantiles(df, kept, (0.25, 0.75)).items():
+        for c, q in stats.quantiles(kept, (0.25, 0.75)).items():
             spread = q[0.75] - q[0.25]
             bounds[c] = (q[0.25] - threshold * spread, q[0.75] + threshold * spread)
     elif method == "zscore":
-        for i, c in judged:
-            centre, spread = moments[f"a{i}"], moments[f"s{i}"]
+        for c in kept:
+            centre, spread = stats[f"mean:{c}"], stats[f"std:{c}"]
             # no spread, or none that infinities leave: nothing is an outlier
             usable = spread and math.isfinite(spread) and math.isfinite(centre)
             bounds[c] = (centre, spread) if usable else (0.0, None)
     else:
-        centre = medians(df, kept)
+        centre = {c: q[0.5] for c, q in stats.quantiles(kept, (0.5,)).items()}
         spread = deviations_from_median(df, kept, centre)
         bounds = {c: (centre[c], spread[c]) for c in kept}
     return OutlierRule(method, threshold, bounds)
@@ -89,9 +101,10 @@ def outlier_report(
     method: str = "iqr",
     threshold: float = DEFAULT_THRESHOLD,
     columns: Sequence[str] | None = None,
+    stats: Statistics | None = None,
 ) -> DataFrame:
     """``(column, method, outliers, outlier_pct)``; the share is of non-null values."""
-    rule = fit_outlier_rule(df, method, threshold, columns)
+    rule = fit_outlier_rule(df, method, threshold, columns, stats)
     return per_column(
         df,
         list(rule.bounds),

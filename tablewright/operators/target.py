@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.numeric import as_double, pairwise_correlation, pct, signless
 from ..functions.report import local_rows, per_column
 from ..functions.schema import col, is_integral, is_numeric, is_text, temporal_columns
+from ..functions.statistics import Counted, Statistics, half_up
 from .frequency import at_most_distinct, distinct_counts, distinct_lookup
 
 LEAKAGE_CORRELATION = 0.95
@@ -88,9 +89,9 @@ def target_leakage(
     return correlated.unionByName(ids).unionByName(times)
 
 
-def class_distribution(df: DataFrame, target: str) -> DataFrame:
+def class_distribution(df: DataFrame, target: str, rows: int | None = None) -> DataFrame:
     """``(class, n, pct)``: shares are of all rows, missing targets included."""
-    total = df.agg(F.count("*").alias("rows")).scalar()
+    total = df.agg(F.count("*").alias("rows")).scalar() if rows is None else F.lit(rows)
     return (
         df.filter(col(target).isNotNull())
         .groupBy(col(target).cast("string").alias("class"))
@@ -153,56 +154,87 @@ def task_detection(df: DataFrame) -> DataFrame:
     return counts.select("column", "n_distinct", task.alias("task"))
 
 
-def target_analysis(df: DataFrame, target: str) -> DataFrame:
+def balance_of(counted: Counted, rows: int) -> dict:
+    """The row of :func:`class_balance`, from classes that are counted already."""
+    several = counted.distinct > 1
+    ratio = counted.most / counted.least if several else 1.0
+    low = counted.least * 100.0 / rows if counted.distinct and rows else None
+    return {
+        "n_classes": counted.distinct,
+        "imbalance_ratio": half_up(ratio, 6),
+        "is_imbalanced": several and ratio > SEVERE_IMBALANCE,
+        "has_rare_class": several and low < RARE_CLASS_PCT,
+        "smallest_pct": half_up(low, 2),
+    }
+
+
+def want_target(stats: Statistics, target: str) -> None:
+    """What :func:`target_analysis` reads."""
+    from .numeric import QUARTILES, want_numbers
+
+    stats.want_presence([target])
+    stats.want_values([target])
+    if is_numeric(stats.types[target]):
+        want_numbers(stats, [target], ("describe",), QUARTILES)
+
+
+def _holds_classes(stats: Statistics, target: str) -> bool:
+    return is_text(stats.types[target]) or stats.distinct(target) <= MAX_CLASSES
+
+
+def target_warnings(stats: Statistics, target: str) -> list[str]:
+    """What is wrong with the target."""
+    out = ["missing_target"] if stats.missing(target) else []
+    if not _holds_classes(stats, target):
+        return out + (["constant_target"] if stats.distinct(target) <= 1 else [])
+    balance = balance_of(stats.counted[target], stats.rows)
+    if balance["n_classes"] > 1:
+        if balance["imbalance_ratio"] > SEVERE_IMBALANCE:
+            out.append("severe_imbalance")
+        elif balance["imbalance_ratio"] > MODERATE_IMBALANCE:
+            out.append("moderate_imbalance")
+        if balance["has_rare_class"]:
+            out.append("rare_class")
+    return out
+
+
+def target_analysis(df: DataFrame, target: str, stats: Statistics | None = None) -> DataFrame:
     """``(metric, value, detail)`` rows about the target, warnings included."""
     dtype = _dtype(df, target)
-    missing_row = df.agg(
-        F.count("*").alias("rows"), F.count_if(col(target).isNull()).alias("missing")
-    ).first()
-    rows, missing = missing_row["rows"], missing_row["missing"]
-    unique = distinct_lookup(df, [target]).get(target, 0)
-    classes = is_text(dtype) or unique <= MAX_CLASSES
+    if stats is None:
+        stats = Statistics(df)
+        want_target(stats, target)
+        stats.collect()
+    missing, unique = stats.missing(target), stats.distinct(target)
+    classes = _holds_classes(stats, target)
     out: list[tuple[str, float | None, str | None]] = [
         ("missing_count", float(missing), None),
         ("unique_values", float(unique), None),
         ("task_type", None, "classification" if classes else "regression"),
     ]
-    if missing:
-        out.append(("warning", None, "missing_target"))
+    out += [("warning", None, w) for w in target_warnings(stats, target)]
     schema = "metric string, value double, detail string"
     if not classes:
-        from .numeric import QUARTILES, describe
+        from .numeric import QUARTILES, numeric_report
 
-        if unique <= 1:
-            out.append(("warning", None, "constant_target"))
         if not is_numeric(dtype):
             return local_rows(df, out, schema)
-        stats = describe(df, [target], QUARTILES)
-        names = [c for c in stats.columns if c != "column"]
-        spread = stats.unpivot(
+        found = numeric_report(df, [target], ("describe",), QUARTILES, stats=stats)
+        names = [c for c in found.columns if c != "column"]
+        spread = found.unpivot(
             [], [F.col(c).cast("double").alias(c) for c in names], "metric", "value"
         )
         return local_rows(df, out, schema).unionByName(
             spread.withColumn("detail", F.lit(None).cast("string"))
         )
     # Text targets may have any number of classes: the counts stay distributed.
-    balance = class_balance(df, target).first()
+    balance = balance_of(stats.counted[target], stats.rows)
     if balance["n_classes"] > 1:
-        ratio = balance["imbalance_ratio"]
-        out.append(("imbalance_ratio", ratio, None))
-        if ratio > SEVERE_IMBALANCE:
-            out.append(("warning", None, "severe_imbalance"))
-        elif ratio > MODERATE_IMBALANCE:
-            out.append(("warning", None, "moderate_imbalance"))
-        if balance["has_rare_class"]:
-            out.append(("warning", None, "rare_class"))
-    shares = class_distribution(df, target)
-    counted = shares.select(
-        F.lit("class_count").alias("metric"),
-        F.col("n").cast("double").alias("value"),
-        F.col("class").alias("detail"),
-    )
-    portions = shares.select(
-        F.lit("class_pct").alias("metric"), F.col("pct").alias("value"), F.col("class").alias("detail")
+        out.append(("imbalance_ratio", balance["imbalance_ratio"], None))
+    shares = class_distribution(df, target, stats.rows)
+    # one run for both figures of a class
+    figures = F.array(
+        F.struct(F.lit("class_count").alias("metric"), F.col("n").cast("double").alias("value"), F.col("class").alias("detail")),
+        F.struct(F.lit("class_pct").alias("metric"), F.col("pct").alias("value"), F.col("class").alias("detail")),
     )
-    return local_rows(df, out, schema).unionByName(counted).unionByName(portions)
+    return local_rows(df, out, schema).unionByName(shares.select(F.inline(figures)))

@@ -20,6 +20,7 @@ from ..functions.schema import (
     is_text,
     text_columns,
 )
+from ..functions.statistics import Statistics
 from ..functions.text import BOOLEAN_TOKENS, DATE_PREFIX, lexical_kind, parse_timestamp
 from .frequency import distinct_lookup, value_frequencies
 
@@ -38,37 +39,44 @@ class ColumnType:
     unparsed: int = 0
 
 
-def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> list[ColumnType]:
+def infer_types(
+    df: DataFrame, columns: Sequence[str] | None = None, stats: Statistics | None = None
+) -> list[ColumnType]:
     """Classify every column; the first fitting rule wins.
 
     boolean (two boolean spellings at most), datetime (typed, or date-like text
     that parses throughout), numeric, categorical (few distinct texts), text,
     unknown.  One aggregate answers all rules but the distinct counts of text
     columns; those are sketched in the same pass and counted exactly only where
-    the sketch is within a factor of two of a limit.
+    the sketch is within a factor of two of a limit.  ``stats``: the answers of
+    ``want_types``, where other checks have asked along.
     """
     names = list(columns) if columns is not None else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *_tests(names, types)).first()
-    rows = row["rows"]
+    if stats is None:
+        stats = Statistics(df)
+        want_types(stats, names)
+        stats.collect()
+    rows = stats.rows
     boolean: dict[str, bool] = {}
     temporal: dict[str, int] = {}
     open_text: list[str] = []
-    for i, c in enumerate(names):
-        present = row[f"n{i}"]
-        tokens_only = present == 0 or (f"bad{i}" in row and row[f"bad{i}"] == 0)
+    for c in names:
+        present = stats[f"present:{c}"]
+        tokens_only = present == 0 or stats.get(f"bad:{c}") == 0
         boolean[c] = tokens_only
         if is_text(types[c]):
             if tokens_only and present:
                 open_text.append(c)
-            elif row[f"dated{i}"] > 0:
+            elif stats[f"dated:{c}"] > 0:
                 temporal[c] = 0
-            elif _is_close(row[f"ndv{i}"], rows):
+            elif _is_close(stats[f"ndv:{c}"], rows):
                 open_text.append(c)
-    exact = distinct_lookup(df, open_text)
+    counted = {c: stats.counted[c].distinct for c in open_text if c in stats.counted}
+    exact = counted | distinct_lookup(df, [c for c in open_text if c not in counted])
     temporal = _unparsed(df, list(temporal))
     out = []
-    for i, c in enumerate(names):
+    for c in names:
         dtype = types[c]
         kind, unparsed = "unknown", 0
         small = exact.get(c)
@@ -78,7 +86,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> list[Col
         elif is_temporal(dtype):
             kind = "datetime"
         elif is_text(dtype):
-            count = small if small is not None else row[f"ndv{i}"]
+            count = small if small is not None else stats[f"ndv:{c}"]
             if c in temporal:
                 unparsed = temporal[c]
                 kind = "datetime" if unparsed == 0 else "unknown"
@@ -107,24 +115,23 @@ def _is_close(estimate: int, rows: int) -> bool:
     return limit / DECISIVE < estimate < limit * DECISIVE
 
 
-def _tests(names: Sequence[str], types: dict[str, T.DataType]):
-    out = []
-    for i, name in enumerate(names):
-        c, dtype = col(name), types[name]
-        out.append(F.count(c).alias(f"n{i}"))
+def want_types(stats: Statistics, names: Sequence[str]) -> None:
+    """What the rules of :func:`infer_types` read."""
+    stats.want_presence(names)
+    for name in names:
+        c, dtype = col(name), stats.types[name]
         if is_nested(dtype) or is_temporal(dtype) or is_floating(dtype):
             continue
         if is_integral(dtype):
-            out.append(F.count_if(~c.isin(0, 1)).alias(f"bad{i}"))
+            stats.want(f"bad:{name}", F.count_if(~c.isin(0, 1)))
         elif isinstance(dtype, T.BooleanType):
-            out.append(F.lit(0).alias(f"bad{i}"))
+            stats.want(f"bad:{name}", F.max(F.lit(0)))
         else:
             word = c.cast("string")
-            out.append(F.count_if(~F.lower(word).isin(*BOOLEAN_TOKENS)).alias(f"bad{i}"))
+            stats.want(f"bad:{name}", F.count_if(~F.lower(word).isin(*BOOLEAN_TOKENS)))
         if is_text(dtype):
-            out.append(F.count_if(c.rlike(DATE_PREFIX)).alias(f"dated{i}"))
-            out.append(F.hll_sketch_estimate(F.hll_sketch_agg(c, 12)).alias(f"ndv{i}"))
-    return out
+            stats.want(f"dated:{name}", F.count_if(c.rlike(DATE_PREFIX)))
+            stats.want(f"ndv:{name}", F.hll_sketch_estimate(F.hll_sketch_agg(c, 12)))
 
 
 def column_types(df: DataFrame) -> DataFrame:

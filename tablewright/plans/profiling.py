@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.report import local_rows, settled
-from ..functions.schema import flat_columns
-from ..operators.frequency import cardinality, duplicate_rows, most_least_frequent, top_values
-from ..operators.missing import missing_by_column, missing_overall
-from ..operators.numeric import numeric_report
-from ..operators.target import target_analysis
-from ..operators.typing import ColumnType, infer_types, types_by_class
+from ..functions.schema import flat_columns, numeric_columns
+from ..functions.statistics import Statistics, half_up
+from ..operators.frequency import duplicate_rows, most_least_frequent, top_values, value_frequencies
+from ..operators.missing import missing_overall
+from ..operators.numeric import numeric_report, want_numbers
+from ..operators.target import target_analysis, target_warnings, want_target
+from ..operators.typing import ColumnType, infer_types, types_by_class, want_types
 
 PROFILE_SCHEMA = "section string, column string, metric string, value double, detail string"
 # Where a health warning starts, and what each one costs.
@@ -44,16 +45,6 @@ def _spread(df: DataFrame, section: str, metrics: list[str], column: str | None
     ).withColumn("detail", F.lit(None).cast("string"))
 
 
-def _detail(df: DataFrame, section: str, metric: Column, value: Column, detail: Column) -> DataFrame:
-    return df.select(
-        F.lit(section).alias("section"),
-        F.col("column"),
-        metric.alias("metric"),
-        value.cast("double").alias("value"),
-        detail.cast("string").alias("detail"),
-    )
-
-
 def health_warnings(
     rows: int,
     columns: int,
@@ -85,9 +76,9 @@ def health_score(df: DataFrame, target: str | None = None) -> DataFrame:
     marks = []
     known = target is not None and target in df.columns
     if known:
-        marks = [
-            r["detail"] for r in target_analysis(df, target).filter("metric = 'warning'").collect()
-        ]
+        stats = Statistics(df)
+        want_target(stats, target)
+        marks = target_warnings(stats.collect(), target)
     found = health_warnings(
         twice["n_rows"],
         len(df.columns),
@@ -108,78 +99,80 @@ def health_score(df: DataFrame, target: str | None = None) -> DataFrame:
     )
 
 
+def _categories(df: DataFrame, names: list[str]) -> list[tuple]:
+    """The most and least frequent values of each column: one shuffle of values, whose counts are kept for both reads."""
+    counted = value_frequencies(df, names).persist()
+    try:
+        out = []
+        for r in most_least_frequent(df, names, counted).collect():
+            for end in ("most_frequent", "least_frequent"):
+                out.append(("category", r["column"], end, float(r[f"{end}_count"]), r[end]))
+        for r in top_values(df, names, frequencies=counted).collect():
+            out.append(("category", r["column"], f"top_{r['position']}", float(r["n"]), r["value"]))
+        return out
+    finally:
+        counted.unpersist()
+
+
 def profile(
     df: DataFrame, target: str | None = None, types: list[ColumnType] | None = None
 ) -> Profile:
     """Describe every column and the table.
 
-    Reads the table a handful of times (aggregates), shuffles text values once
-    for their frequencies and whole rows once for duplicates; persist the input
-    where it is not a plain scan.
+    Types, gaps, numbers and sketches come from one aggregate; distinct counts and the
+    target's balance from one shuffle of values; then the quantiles are finished, categories
+    are counted as text, and whole rows are shuffled once for duplicates.  Persist the
+    input where it is not a plain scan.
     """
-    types = types if types is not None else infer_types(df)
+    known = target is not None and target in df.columns
+    flat, numbers = flat_columns(df), numeric_columns(df)
+    stats = Statistics(df)
+    stats.want_presence()
+    stats.want_values(flat)
+    want_numbers(stats, numbers)
+    if types is None:
+        want_types(stats, df.columns)
+    if known:
+        want_target(stats, target)
+    stats.collect()
+    types = types if types is not None else infer_types(df, stats=stats)
     by_class = types_by_class(types)
-    by_column = settled(missing_by_column(df))
-    gaps = missing_overall(df, by_column).first()
+    rows, width = stats.rows, len(df.columns)
+    total = sum(stats.missing(c) for c in df.columns)
+    missing_pct = half_up(total * 100.0 / (rows * width), 2) if rows and width else 0.0
     twice = duplicate_rows(df).first()
-    rows = twice["n_rows"]
     facts: list[tuple] = [
         ("table", None, "rows", float(rows), None),
-        ("table", None, "columns", float(len(df.columns)), None),
-        ("table", None, "missing_count", float(gaps["total_missing"]), None),
-        ("table", None, "missing_pct", gaps["total_missing_pct"], None),
+        ("table", None, "columns", float(width), None),
+        ("table", None, "missing_count", float(total), None),
+        ("table", None, "missing_pct", missing_pct, None),
         ("table", None, "duplicates", float(twice["duplicates"]), None),
         ("table", None, "duplicate_pct", twice["duplicate_pct"], None),
     ]
     facts += [("types", None, k, float(len(v)), None) for k, v in by_class.items()]
     facts += [("schema", t.column, "physical_type", None, t.physical_type) for t in types]
-    parts = [
-        _spread(by_column, "missing", ["missing_count", "missing_pct"]),
-        _spread(cardinality(df, flat_columns(df)), "cardinality", ["n_distinct", "ratio"]),
-    ]
+    for c in df.columns:
+        share = half_up(stats.missing(c) * 100.0 / rows, 2) if rows else None
+        facts += [("missing", c, "missing_count", float(stats.missing(c)), None), ("missing", c, "missing_pct", share, None)]
+    for c in flat:
+        n = stats.distinct(c)
+        ratio = half_up(n / rows, 4) if rows else None
+        facts += [("cardinality", c, "n_distinct", float(n), None), ("cardinality", c, "ratio", ratio, None)]
+    if by_class["categorical"]:
+        facts += _categories(df, by_class["categorical"])
+    parts = []
     if by_class["numeric"]:
-        names = by_class["numeric"]
-        numbers = settled(numeric_report(df, names))
+        found = settled(numeric_report(df, by_class["numeric"], stats=stats))
         health = ["zeros", "negatives", "infinites", "iqr"]
         form = ["skewness", "kurtosis"]
         other = {"column", "lowest", "highest", *health, *form}
-        parts.append(_spread(numbers, "numeric", [c for c in numbers.columns if c not in other]))
-        parts.append(_spread(numbers, "health", health))
-        parts.append(_spread(numbers, "shape", form))
-    if by_class["categorical"]:
-        names = by_class["categorical"]
-        ends = most_least_frequent(df, names)
-        parts.append(
-            _detail(
-                ends,
-                "category",
-                F.lit("most_frequent"),
-                F.col("most_frequent_count"),
-                F.col("most_frequent"),
-            )
-        )
-        parts.append(
-            _detail(
-                ends,
-                "category",
-                F.lit("least_frequent"),
-                F.col("least_frequent_count"),
-                F.col("least_frequent"),
-            )
-        )
-        parts.append(
-            _detail(
-                top_values(df, names),
-                "category",
-                F.concat(F.lit("top_"), F.col("position").cast("string")),
-                F.col("n"),
-                F.col("value"),
-            )
-        )
+        parts.append(_spread(found, "numeric", [c for c in found.columns if c not in other]))
+        parts.append(_spread(found, "health", health))
+        parts.append(_spread(found, "shape", form))
     marks: list[str] = []
-    if target is not None and target in df.columns:
-        judged = target_analysis(df, target)
-        marks = [r["detail"] for r in judged.filter("metric = 'warning'").collect()]
+    if known:
+        judged = target_analysis(df, target, stats)
+        marks = target_warnings(stats, target)
         parts.append(
             judged.select(
                 F.lit("target").alias("section"),
@@ -189,18 +182,11 @@ def profile(
                 "detail",
             )
         )
-    found = health_warnings(
-        rows,
-        len(df.columns),
-        gaps["total_missing_pct"],
-        twice["duplicate_pct"],
-        target is not None,
-        marks,
-    )
-    score = max(0, 100 - WARNING_COST * len(found))
-    facts += [("warning", None, w, None, None) for w in found]
+    found_warnings = health_warnings(rows, width, missing_pct, twice["duplicate_pct"], target is not None, marks)
+    score = max(0, 100 - WARNING_COST * len(found_warnings))
+    facts += [("warning", None, w, None, None) for w in found_warnings]
     facts.append(("table", None, "health_score", float(score), None))
     report = local_rows(df, facts, PROFILE_SCHEMA)
     for p in parts:
         report = report.unionByName(p)
-    return Profile(report, found, score)
+    return Profile(report, found_warnings, score)

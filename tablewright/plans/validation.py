@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.report import local_rows, settled
-from ..functions.schema import fields, is_text
+from ..functions.numeric import as_double, pairwise_correlation
+from ..functions.quantiles import interpolate
+from ..functions.report import local_rows
+from ..functions.schema import fields, is_numeric, is_text, numeric_columns, temporal_columns
+from ..functions.statistics import Statistics, half_up
 from ..operators import missing, outliers, target
-from ..operators.frequency import distinct_lookup
-from ..operators.schema_checks import REPORT_SCHEMA, schema_report
+from ..operators.schema_checks import REPORT_SCHEMA, duplicate_names, schema_findings, want_schema
 
 VERY_SMALL_ROWS = 100
 SMALL_ROWS = 1000
@@ -75,161 +78,159 @@ def size_warnings(rows: int, columns: int, has_target: bool) -> list[tuple]:
     return out
 
 
-def missing_report(
-    df: DataFrame, config: ValidationConfig, by_column: DataFrame | None = None
-) -> DataFrame:
-    """Missing-data findings in the common report shape, statistics included."""
-    per_column = settled(missing.missing_by_column(df)) if by_column is None else by_column
-    histogram = settled(missing.row_histogram(df))
-    limit = config.column_max_missing_pct
+def _quantile(points: list[tuple[float, int]], p: float) -> float:
+    """Linear interpolation between the ranks of counted values, given in order."""
+    place = (sum(n for _, n in points) - 1) * p
 
-    def info(source, metrics):
-        """One finding per metric of a one-row report."""
-        return source.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit("missing_stats").alias("check"),
-                            F.lit("info").alias("severity"),
-                            F.lit(None).cast("string").alias("column"),
-                            F.lit(name).alias("metric"),
-                            F.round(F.col(c).cast("double"), 6).alias("value"),
-                            F.lit(None).cast("double").alias("threshold"),
-                        )
-                        for name, c in metrics.items()
-                    ]
-                )
-            )
-        )
+    def at(rank: int) -> float:
+        for x, n in points:
+            if rank < n:
+                return x
+            rank -= n
+        return points[-1][0]
 
-    over = per_column.filter(F.col("missing_pct") > limit).select(
-        F.lit("column_missing").alias("check"),
-        F.lit("error").alias("severity"),
-        "column",
-        F.lit("missing_pct").alias("metric"),
-        F.col("missing_pct").alias("value"),
-        F.lit(limit).alias("threshold"),
-    )
-    rows_over = (
-        missing.row_missing_check(df, config.row_max_missing_pct, histogram=histogram)
-        .filter("is_warning")
-        .select(
-            F.lit("row_missing").alias("check"),
-            F.lit("warning").alias("severity"),
-            F.lit(None).cast("string").alias("column"),
-            F.lit("rows_over_pct").alias("metric"),
-            F.col("rows_over_pct").alias("value"),
-            F.lit(missing.ROWS_OVER_LIMIT_PCT).alias("threshold"),
-        )
-    )
-    together = (
-        missing.co_missing_correlation(df, by_column=per_column)
-        .select(
-            F.lit("missing_together").alias("check"),
-            F.lit("warning").alias("severity"),
-            F.concat_ws(",", "column_a", "column_b").alias("column"),
-            F.lit("correlation").alias("metric"),
-            F.round("correlation", 6).alias("value"),
-            F.lit(missing.CO_MISSING_CORRELATION).alias("threshold"),
-        )
-    )
-    overall = missing.missing_overall(df, per_column)
-    spread = missing.row_missing_distribution(df, histogram)
-    totals = ("total_missing", "total_missing_pct", "columns_with_missing")
-    points = ("mean", "std", "min", "p25", "p50", "p75", "max")
-    return (
-        over.unionByName(rows_over)
-        .unionByName(together)
-        .unionByName(info(overall, {m: m for m in totals}))
-        .unionByName(
-            info(spread, {"rows_with_missing": "rows_with_missing"} | {f"row_missing_{m}": m for m in points})
+    return interpolate(place, at(math.floor(place)), at(math.ceil(place)))
+
+
+def _row_shares(stats: Statistics) -> list[tuple[float, int]]:
+    """Rows by their share of missing cells, in percent: no more entries than columns plus one."""
+    width = max(len(stats.df.columns), 1)
+    return sorted((cells * 100.0 / width, n) for cells, n in stats.histogram.items())
+
+
+def missing_findings(stats: Statistics, config: ValidationConfig) -> list[tuple]:
+    """Missing-data findings, statistics included: columns, rows, and columns that miss together."""
+    rows, names = stats.rows, stats.df.columns
+    share = {c: half_up(stats.missing(c) * 100.0 / rows, 2) if rows else None for c in names}
+    out: list[tuple] = []
+    limit = config.column_max_missing_pct
+    for c, p in share.items():
+        if p is not None and p > limit:
+            out.append(("column_missing", "error", c, "missing_pct", p, limit))
+    shares = _row_shares(stats)
+    over = sum(n for x, n in shares if x > config.row_max_missing_pct)
+    if rows and over * 100.0 / rows > missing.ROWS_OVER_LIMIT_PCT:
+        out.append(
+            ("row_missing", "warning", None, "rows_over_pct", half_up(over * 100.0 / rows, 6), missing.ROWS_OVER_LIMIT_PCT)
         )
-    )
-
-
-def _target_report(df: DataFrame, name: str, distinct: dict[str, int]) -> DataFrame:
-    out = target.target_leakage(df, name, distinct).select(
-        "check",
-        F.lit("warning").alias("severity"),
-        "column",
-        F.when(F.col("check") == "high_correlation", "correlation")
-        .when(F.col("check") == "id_like", "unique_ratio")
-        .alias("metric"),
-        "value",
-        F.when(F.col("check") == "high_correlation", target.LEAKAGE_CORRELATION)
-        .when(F.col("check") == "id_like", target.ID_RATIO)
-        .alias("threshold"),
-    )
-    dtype = next(f.dataType for f in df.schema.fields if f.name == name)
-    if not (is_text(dtype) or distinct.get(name, 0) <= target.MAX_CLASSES):
-        return out
-    balance = target.class_balance(df, name)
-    checks = F.array(
-        F.struct(
-            F.lit("class_imbalance").alias("check"),
-            F.when(F.col("is_imbalanced"), "warning").otherwise("info").alias("severity"),
-            F.lit(name).alias("column"),
-            F.lit("imbalance_ratio").alias("metric"),
-            F.col("imbalance_ratio").alias("value"),
-            F.lit(target.SEVERE_IMBALANCE).alias("threshold"),
-        ),
-        F.struct(
-            F.lit("rare_class").alias("check"),
-            F.when(F.col("has_rare_class"), "warning").otherwise("info").alias("severity"),
-            F.lit(name).alias("column"),
-            F.lit("smallest_pct").alias("metric"),
-            F.col("smallest_pct").alias("value"),
-            F.lit(target.RARE_CLASS_PCT).alias("threshold"),
-        ),
-    )
-    return out.unionByName(balance.select(F.inline(checks)))
+    for a, b, r in missing.pair_correlations(stats):
+        out.append(("missing_together", "warning", f"{a},{b}", "correlation", half_up(r, 6), missing.CO_MISSING_CORRELATION))
+
+    def info(column, metric, value):
+        out.append(("missing_stats", "info", column, metric, half_up(value, 6), None))
+
+    total = sum(stats.missing(c) for c in names)
+    for c, p in share.items():
+        info(c, "missing_pct", p)
+    info(None, "total_missing", total)
+    info(None, "total_missing_pct", half_up(total * 100.0 / (rows * len(names)), 2) if rows and names else 0.0)
+    info(None, "columns_with_missing", sum(1 for p in share.values() if p))
+    info(None, "rows_with_missing", sum(n for x, n in shares if x > 0))
+    first, second = sum(n * x for x, n in shares), sum(n * x * x for x, n in shares)
+    spread = math.sqrt(max((second - first * (first / rows)) / (rows - 1), 0.0)) if rows > 1 else None
+    info(None, "row_missing_mean", first / rows if rows else None)
+    info(None, "row_missing_std", spread)
+    for name, p in (("min", 0.0), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("max", 1.0)):
+        info(None, f"row_missing_{name}", _quantile(shares, p) if rows else None)
+    return out
+
+
+def want_leakage(stats: Statistics, name: str) -> None:
+    """Correlations of all numbers with a numeric target."""
+    if is_numeric(stats.types[name]):
+        for c in numeric_columns(stats.df):
+            if c != name:
+                stats.want(f"with_target:{c}", pairwise_correlation(as_double(c), as_double(name)))
+
+
+def target_findings(stats: Statistics, name: str) -> list[tuple]:
+    """Columns that give the target away, and how its classes are balanced."""
+    out: list[tuple] = []
+    for c in numeric_columns(stats.df):
+        r = stats.get(f"with_target:{c}")
+        if r is not None and abs(r) > target.LEAKAGE_CORRELATION:
+            out.append(("high_correlation", "warning", c, "correlation", half_up(abs(r), 6), target.LEAKAGE_CORRELATION))
+    for c in fields(stats.df, lambda d: isinstance(d, (T.LongType, T.DoubleType))):
+        if c != name and stats.rows and stats.distinct(c) / stats.rows > target.ID_RATIO:
+            ratio = half_up(stats.distinct(c) / stats.rows, 6)
+            out.append(("id_like", "warning", c, "unique_ratio", ratio, target.ID_RATIO))
+    out += [("datetime", "warning", c, None, None, None) for c in temporal_columns(stats.df)]
+    if is_text(stats.types[name]) or stats.distinct(name) <= target.MAX_CLASSES:
+        b = target.balance_of(stats.counted[name], stats.rows)
+        uneven, rare = ("warning" if b[k] else "info" for k in ("is_imbalanced", "has_rare_class"))
+        out.append(("class_imbalance", uneven, name, "imbalance_ratio", b["imbalance_ratio"], target.SEVERE_IMBALANCE))
+        out.append(("rare_class", rare, name, "smallest_pct", b["smallest_pct"], target.RARE_CLASS_PCT))
+    return out
+
+
+def class_findings(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """Two findings a class, its rows and their share; they stay distributed, as a text may have any number of classes."""
+
+    def one(metric, value):
+        return F.struct(
+            F.lit("class_share").alias("check"), F.lit("info").alias("severity"), F.lit(name).alias("column"),
+            F.concat(F.lit(f"{metric}:"), F.col("class")).alias("metric"), F.col(value).cast("double").alias("value"),
+            F.lit(None).cast("double").alias("threshold"),
+        )
+
+    return target.class_distribution(df, name, rows).select(F.inline(F.array(one("rows", "n"), one("pct", "pct"))))
 
 
 def validate(
     df: DataFrame, target_column: str | None = None, config: Any = None
 ) -> Validation:
-    """Run all checks.  Errors always fail; warnings do when the config says so."""
+    """Run all checks.  Errors always fail; warnings do when the config says so.
+
+    The checks say first what they want to know; one aggregate, one run that counts values
+    and the two that finish the quantiles answer all of them, and one more counts outliers.
+    """
     cfg = ValidationConfig.merged(config)
+    twice = duplicate_names(df)
+    if twice:  # no column of these names can be told from the other
+        rows = [("duplicate_names", "error", n, "occurrences", None, None) for n in twice]
+        return _judged(df, rows, cfg, None)
     known = target_column is not None and target_column in df.columns
+    stats = Statistics(df)
+    want_schema(stats)
+    stats.want_patterns()
     # Distinct counts are wanted of text, of possible keys, and of the target.
-    counted = fields(df, lambda d: is_text(d) or isinstance(d, (T.LongType, T.DoubleType)))
-    if known and target_column not in counted:
-        counted.append(target_column)
-    distinct = distinct_lookup(df, counted)
-    gaps = settled(missing.missing_by_column(df))
-    first = gaps.first()
-    rows = first["n_rows"] if first else 0
-    report = schema_report(df, distinct, gaps)
-    report = report.unionByName(missing_report(df, cfg, gaps))
-    flagged = outliers.outlier_report(df, cfg.outlier_method, cfg.outlier_threshold)
-    report = report.unionByName(
-        flagged.select(
-            F.lit("outliers").alias("check"),
-            F.lit("info").alias("severity"),
-            "column",
-            F.lit("outliers").alias("metric"),
-            F.col("outliers").cast("double").alias("value"),
-            F.lit(cfg.outlier_threshold).alias("threshold"),
-        )
-    )
+    stats.want_values(fields(df, lambda d: isinstance(d, (T.LongType, T.DoubleType))))
+    outliers.want_outliers(stats, cfg.outlier_method, numeric_columns(df))
+    if known:
+        stats.want_values([target_column])
+        want_leakage(stats, target_column)
+    stats.collect()
+    rows = schema_findings(stats) + missing_findings(stats, cfg)
+    flagged = outliers.outlier_report(df, cfg.outlier_method, cfg.outlier_threshold, stats=stats)
+    for r in flagged.collect():
+        rows.append(("outliers", "info", r["column"], "outliers", float(r["outliers"]), cfg.outlier_threshold))
+        rows.append(("outliers", "info", r["column"], "outlier_pct", r["outlier_pct"], cfg.outlier_threshold))
+    classes = None
     if known:
-        report = report.unionByName(_target_report(df, target_column, distinct))
-    sizes = size_warnings(rows, len(df.columns), target_column is not None)
-    report = report.unionByName(local_rows(df, sizes, REPORT_SCHEMA))
-    # Findings are bounded by columns and checks; keep them as plain rows, so that
-    # reading the report again does not run the checks again.
-    found = report.collect()
-    report = local_rows(df, [tuple(r) for r in found], REPORT_SCHEMA)
-    errors = sorted(_line(r) for r in found if r["severity"] == "error")
-    warnings = sorted(_line(r) for r in found if r["severity"] == "warning")
+        rows += target_findings(stats, target_column)
+        if is_text(stats.types[target_column]) or stats.distinct(target_column) <= target.MAX_CLASSES:
+            classes = class_findings(df, target_column, stats.rows)
+    elif target_column is not None:
+        rows.append(("target_absent", "warning", target_column, None, None, None))
+    rows += size_warnings(stats.rows, len(df.columns), target_column is not None)
+    return _judged(df, rows, cfg, classes)
+
+
+def _judged(df: DataFrame, rows: list[tuple], cfg: ValidationConfig, classes: DataFrame | None) -> Validation:
+    """Findings are bounded by columns and checks: plain rows, beside those of the classes."""
+    report = local_rows(df, rows, REPORT_SCHEMA)
+    if classes is not None:
+        report = report.unionByName(classes)
+    errors = sorted(_line(r) for r in rows if r[1] == "error")
+    warnings = sorted(_line(r) for r in rows if r[1] == "warning")
     failed = bool(errors) or (cfg.fail_on_warnings and bool(warnings))
     if failed and not errors:
         errors = ["warnings are set to fail the run"]
     return Validation("FAIL" if failed else "PASS", report, errors, warnings)
 
 
-def _line(r) -> str:
-    where = f" {r['column']}" if r["column"] else ""
-    what = f" {r['metric']}={r['value']:g}" if r["value"] is not None else ""
-    return f"{r['check']}:{where}{what}"
+def _line(r: tuple) -> str:
+    check, _, column, metric, value, _ = r
+    where = f" {column}" if column else ""
+    what = f" {metric}={value:g}" if value is not None else ""
+    return f"{check}:{where}{what}"
