@@ -70,6 +70,10 @@ def hash_rank(
     )
 
 
+#: So many groups, by a sketch, send one row each to every task.
+FEW_GROUPS = 100_000
+
+
 def hash_cutoffs(
     df: DataFrame,
     key: Sequence[str] | None,
@@ -84,7 +88,8 @@ def hash_cutoffs(
     hash with their group's.  Where nothing of the last bucket fits, its prefix is
     the cut.  A group without any such row has no entry.
     """
-    digits = prefix_length(df.count() if rows is None else rows)
+    counted = df.agg(F.count("*").alias("rows"), F.approx_count_distinct(group.cast("string"), 0.1).alias("groups")).first()
+    digits = prefix_length(counted["rows"] if rows is None else rows)
     marked = df.select(group.cast("string").alias("g"), row_hash(df, key, seed).alias("h"))
     marked = marked.withColumn("b", F.substring("h", 1, digits))
     upto = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
@@ -98,13 +103,16 @@ def hash_cutoffs(
     edge = histogram.filter(
         (F.col("upto") - F.col("n") < F.col("want")) & (F.col("upto") >= F.col("want"))
     ).select(F.col("g").alias("eg"), F.col("b").alias("eb"), (F.col("want") - F.col("upto") + F.col("n")).alias("need"))
-    # Copies of a row share its hash: count them first, so that a crowd of copies
-    # is one row here.  The cut never splits them and never takes too many.
+    if counted["groups"] <= FEW_GROUPS:  # one row a group
+        edge = F.broadcast(edge)
+    # Only the rows of the buckets with a cut are looked at.  Copies of a row share its
+    # hash: count them first, so that a crowd of copies is one row here.  The cut never
+    # splits them and never takes too many.
     upto_hash = Window.partitionBy("g").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        marked.groupBy("g", "b", "h")
+        marked.join(edge, F.col("g").eqNullSafe(F.col("eg")) & (F.col("b") == F.col("eb")))
+        .groupBy("g", "eb", "need", "h")
         .agg(F.count("*").alias("n"))
-        .join(edge, F.col("g").eqNullSafe(F.col("eg")) & (F.col("b") == F.col("eb")))
         .withColumn("pos", F.sum("n").over(upto_hash))
         .groupBy("g", "eb")
         .agg(F.max(F.when(F.col("pos") <= F.col("need"), F.col("h"))).alias("h"))
