@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import nan_to_null
+from ..session import checkpointed
+from . import splits
 
 # The extensions a table can be loaded from.
 FORMATS = ("csv", "tsv", "json", "parquet", "feather", "xml")
@@ -80,7 +81,7 @@ def charset_by_file(spark: SparkSession, path: str) -> DataFrame:
     ``broken``: some line has an odd number of quotes, so a quoted cell holds a line
     break.  The check reads raw lines in splits and merges two booleans per file.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     valid = F.bool_and(F.is_valid_utf8("value"))
     quotes = F.size(F.split(F.col("value"), '"', -1)) - 1
     return lines.groupBy("file").agg(
@@ -94,30 +95,37 @@ def read_delimited(
 ) -> DataFrame:
     """CSV or TSV with header; each file is read in the charset its bytes are valid in.
 
-    Files with line breaks inside quotes are read whole, one task a file; all others
-    in splits.  Types are inferred once for all files, or given as ``schema``.
+    Files are read in splits, also those with line breaks inside quotes and folders of
+    several charsets, whose records are cut first (see ``splits``).  Types are inferred
+    once for all files, or given as ``schema``.  Columns are named by the header of the
+    first file.
     """
-    kinds = charset_by_file(spark, path)
-    found = [(r["charset"], r["broken"]) for r in kinds.select("charset", "broken").distinct().collect()]
+    kinds = checkpointed(charset_by_file(spark, path))
+    found = kinds.select("charset", "broken").distinct().collect()  # four at most
     if not found:
         raise EmptyTableError(f"No rows in {path}")
-
-    def read(paths, charset, broken, types):
-        reader = (
-            spark.read.option("header", True)
-            .option("sep", sep)
-            .option("encoding", charset)
-            .option("multiLine", broken)
-            .option("quote", '"')
-            .option("escape", '"')
-        )
-        return (reader.schema(types) if types is not None else reader.option("inferSchema", True)).csv(paths)
-
-    if len(found) == 1:
-        return read(path, *found[0], schema)
-    # A mixed folder: file names are listed, which is no more than a listing holds.
-    names = {k: [unquote(r["file"]) for r in kinds.filter((F.col("charset") == k[0]) & (F.col("broken") == k[1])).collect()] for k in sorted(found, reverse=True)}
-    return _together([lambda types, k=k: read(names[k], *k, types if schema is None else schema) for k in names])
+    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
+    if len(found) == 1 and not found[0]["broken"]:
+        reader = reader.option("header", True).option("encoding", found[0]["charset"])
+        return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
+    form = splits.Quoted(sep)
+    raw = splits.pieces(spark, path, form).join(splits.told(kinds.withColumnRenamed("file", "path")), "path")
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    raw = raw.withColumn("value", F.when(F.col("charset") == "UTF-8", F.col("value")).otherwise(latin))
+    raw = raw.withColumn("value", F.when(F.col("block") == 0, F.regexp_replace("value", "^\\x{feff}", "")).otherwise(F.col("value")))
+    cut = splits.records(raw, form)
+    heads = cut.filter(F.col("kind") == splits.FIRST)
+    names = raw.select("path", "file").groupBy("file").agg(F.min("path").alias("path"))
+    head = heads.join(names, "file").orderBy("path").select("value").limit(1)
+    rows = cut.filter(F.col("kind") == splits.WHOLE).select("value")
+    if schema is None:
+        columns = splits.parsed(reader.option("header", True), "csv", head).columns
+        plain = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
+        drafted = splits.parsed(plain.option("inferSchema", True), "csv", rows).schema.fields
+        types = [f.dataType for f in drafted] + [T.StringType()] * len(columns)
+        schema = T.StructType([T.StructField(n, t) for n, t in zip(columns, types, strict=False)])
+    plain = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').schema(schema)
+    return splits.parsed(plain, "csv", rows)
 
 
 def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -151,18 +159,29 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines, or files that hold one array of records; decided file by file.
 
     A file of records has its first bracket at the start of a line; no line of a
-    JSON lines file starts so.  Arrays are read whole, one task a file.
+    JSON lines file starts so.  Arrays are read in splits too, on one line or on many:
+    their records are cut first (see ``splits``).
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
-    kinds = lines.groupBy("file").agg(F.bool_or(F.col("v").startswith("[")).alias("whole"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    # a prefix tells, so that an array on one line is not copied
+    start = F.substring("value", 1, 256)
+    kinds = lines.groupBy("path").agg(F.bool_or(F.regexp_replace(start, "^[\\s\\x{feff}]+", "").startswith("[")).alias("whole"))
+    kinds = checkpointed(kinds)
     found = sorted(r["whole"] for r in kinds.select("whole").distinct().collect())
-    if len(found) < 2:
-        return spark.read.option("multiLine", bool(found and found[0])).json(path)
-    names = {k: [unquote(r["file"]) for r in kinds.filter(F.col("whole") == k).collect()] for k in found}
+    if found in ([], [False]):
+        return spark.read.json(path)
+
+    def of(df: DataFrame, whole: bool) -> DataFrame:
+        return df if len(found) == 1 else df.join(splits.told(kinds.filter(F.col("whole") == whole)), "path", "left_semi")
 
     def read(types, whole):
-        reader = spark.read.option("multiLine", whole)
-        return (reader.schema(types) if types is not None else reader).json(names[whole])
+        reader = spark.read if types is None else spark.read.schema(types)
+        if whole:
+            form = splits.Arrays()
+            texts = splits.records(of(splits.pieces(spark, path, form), True), form)
+        else:
+            texts = of(lines, False)
+        return splits.parsed(reader, "json", texts.select("value"))
 
     return _together([lambda types, k=k: read(types, k) for k in found])
 
