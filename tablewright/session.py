@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,20 @@ def local_session(cpus: int | str = 8, app: str = "tablewright") -> SparkSession
     )
 
 
+def shared_scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named in ``spark.checkpoint.dir``.
+
+    Only a session that is one process may fall back to a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("Name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="tablewright-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's reliable checkpoint folder and read it back.
 
