@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ..operators import charts, evaluation, neighbours, training
+from ..operators import charts, evaluation, folds, neighbours, training
 from ..operators.features import prepare
 from ..operators.splitting import train_test_split
 from .base import Query, table, union_sql
@@ -103,6 +103,27 @@ def _line(name, target="o_totalprice", feature="o_custkey", source="orders"):
     return run
 
 
+def _cv_linear(spark, folder):
+    """The price of an order by its customer number: each fold is scored by a line through the others."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_totalprice", array_to_vector(F.array(F.col("o_custkey").cast("double"))).alias("x")
+    )
+    found = folds.cross_validate_linear(orders, "x", "o_totalprice", ["o_orderkey"], ["linear", "ridge"])
+    return found.select("model", "fold", "rows", F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
+
+
+# A line of one feature has a closed form; the ridge penalty is one over the training rows.
+CV_LINEAR_SQL = (
+    "WITH m AS (SELECT o_custkey::DOUBLE AS x, o_totalprice AS y, ((row_number() OVER (ORDER BY"
+    " md5(concat(CAST(o_orderkey AS VARCHAR), ':', '42'))) - 1) % 5)::INTEGER AS fold FROM orders),"
+    " t AS (SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS sxy, var_pop(x) AS sxx"
+    " FROM m, (SELECT DISTINCT fold FROM m) f WHERE m.fold <> f.fold GROUP BY 1),"
+    " b AS (SELECT model, fold, mx, my, sxy / (sxx + penalty / n) AS slope FROM t, (VALUES ('linear', 0.0), ('ridge', 1.0)) p(model, penalty)),"
+    " e AS (SELECT model, m.fold, y, y - my - slope * (x - mx) AS e FROM m JOIN b USING (fold))"
+    " SELECT model, fold, count(*) AS rows, round(sqrt(avg(e * e)), 4) AS rmse,"
+    " round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM e GROUP BY ALL"
+)
+
 LINE_SUMS = (
     "WITH s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS sxy, var_pop(x) AS sxx"
     " FROM (SELECT o_custkey::DOUBLE AS x, o_totalprice AS y FROM orders))"
@@ -264,6 +285,7 @@ POINTS_SQL = (
 )
 
 QUERIES = [
+    Query("cv_linear", _cv_linear, CV_LINEAR_SQL),
     Query(
         "regression_metrics",
         _regression_metrics,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, features, splitting
 from ..operators.schema_checks import schema_report
 from ..plans.profiling import health_score, profile
 from ..plans.validation import validate
+from ..session import shared_scratch
 from .base import DIRTY_COLUMNS, DIRTY_SQL, Query, dirty_orders, table, union_sql
 from .quality import (
     DIRTY,
@@ -460,6 +463,47 @@ def _prepared(spark, folder):
     )
 
 
+_REAPPLIED = [
+    "o_orderkey",
+    "o_custkey",
+    "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price",
+    "CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS flag",
+    "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS priority",
+]
+
+
+def _prepare_reapplied(spark, folder):
+    """Fitted on odd orders, saved, loaded, and put to even orders."""
+    rows = table(spark, folder, "orders").selectExpr(*_REAPPLIED)
+    path = f"{shared_scratch(spark)}/plan-{uuid.uuid4().hex}"
+    features.fit_features(rows.where("o_orderkey % 2 = 1").drop("o_orderkey")).save(path)
+    plan = features.FeaturePlan.load(spark, path)
+    made = plan.transform(rows.where("o_orderkey % 2 = 0"), ["o_orderkey"])
+    return made.unpivot("o_orderkey", plan.names, "feature", "value").withColumn("value", F.round("value", 6) + 0.0)
+
+
+def _reapplied_sql():
+    number = (
+        "SELECT o_orderkey, 'num__{c}' AS feature, round((coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM odd)) - m) / s, 6) + 0.0 AS value"
+        " FROM even, (SELECT avg(x) AS m, stddev_pop(x) AS s FROM (SELECT coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM odd))::DOUBLE AS x FROM odd))"
+    )
+    parts = [number.format(c=c) for c in ("o_custkey", "price")]
+    parts.append(
+        "SELECT o_orderkey, 'bool__flag' AS feature, CASE WHEN flag IS NULL THEN (SELECT (avg((flag = 'yes')::INT) > 0.5)::INT::DOUBLE FROM odd)"
+        " ELSE (flag = 'yes')::INT::DOUBLE END AS value FROM even"
+    )
+    parts.append(
+        "SELECT o_orderkey, lower(regexp_replace('cat__priority_' || v, '\\W', '_', 'g')) AS feature,"
+        " (coalesce(priority, (SELECT first(priority ORDER BY n DESC, priority) FROM (SELECT priority, count(*) AS n FROM odd"
+        " WHERE priority IS NOT NULL GROUP BY 1))) = v)::INT::DOUBLE AS value"
+        " FROM even, (SELECT DISTINCT priority AS v FROM odd WHERE priority IS NOT NULL)"
+    )
+    return (
+        f"WITH base AS (SELECT {', '.join(_REAPPLIED)} FROM orders), odd AS (SELECT * FROM base WHERE o_orderkey % 2 = 1),"
+        " even AS (SELECT * FROM base WHERE o_orderkey % 2 = 0) " + union_sql(parts)
+    )
+
+
 SPLIT_SQL = (
     "SELECT o_orderkey, CASE WHEN substr(md5(concat(CAST(o_orderkey AS VARCHAR), ':', '42')), 1, 8) < '33333333'"
     " THEN 'test' ELSE 'train' END AS split FROM orders"
@@ -556,6 +600,7 @@ QUERIES = [
     ),
     Query("feature_names", _features_report),
     Query("prepared_features", _prepared),
+    Query("prepare_reapplied", _prepare_reapplied, _reapplied_sql()),
     Query(
         "train_test_split",
         lambda s, d: splitting.train_test_split(table(s, d, "orders"), ["o_orderkey"]).select(

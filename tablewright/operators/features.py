@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from .cleaning import constant_column_names, drop_empty_columns, missing_counts
 from .frequency import at_most_distinct, most_least_frequent, value_frequencies
 from .splitting import SEED, TEST_SHARE, stratified_split, train_test_split
 from .target import MAX_CLASSES
-from .typing import infer_types, types_by_class
+from .typing import SEMANTIC_TYPES, infer_types, types_by_class
 
 SCALINGS = ("standard", "minmax", "robust", "none", "drop")
 ENCODINGS = ("onehot", "ordinal", "none", "drop")
@@ -79,31 +79,38 @@ def scaling_parameters(
     return {c: (a, b if b else 1.0) for c, (a, b) in pairs.items()}
 
 
-def scaled(c: Column, parameters: tuple[float, float]) -> Column:
-    offset, divisor = parameters
-    return (c - F.lit(offset)) / F.lit(divisor)
+@dataclass(frozen=True)
+class Number:
+    """A fitted numeric feature: gaps take ``fill``, then offset and divisor apply."""
+
+    fill: float | None = None
+    offset: float | None = None
+    divisor: float | None = None
+
+    def of(self, column: str) -> Column:
+        x = as_double(column)
+        if self.fill is not None:
+            x = F.coalesce(x, F.lit(self.fill))
+        return x if self.divisor is None else (x - F.lit(self.offset)) / F.lit(self.divisor)
 
 
 def scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -> DataFrame:
     """Replace the columns by their median-filled, scaled values."""
     fitted = fit_numeric(df, columns, method)
-    return df.select(*[(fitted[c].alias(c) if c in fitted else col(c)) for c in df.columns])
+    return df.select(*[(fitted[c].of(c).alias(c) if c in fitted else col(c)) for c in df.columns])
 
 
-def fit_numeric(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, Column]:
+def fit_numeric(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, Number]:
     """Per column: fill gaps with the median, then scale what came out."""
     _, gaps = missing_counts(df.select(*[col(c) for c in columns])) if columns else (0, {})
     holes = [c for c in columns if gaps[c]]
     centre = {c: q[0.5] for c, q in exact_quantiles(df, holes, (0.5,)).items()}
-    filled = {
-        c: F.coalesce(as_double(c), F.lit(centre[c])) if c in centre else as_double(c)
-        for c in columns
-    }
+    filled = {c: Number(centre.get(c)) for c in columns}
     if method == "none":
         return filled
-    full = df.select(*[filled[c].alias(c) for c in columns])
+    full = df.select(*[filled[c].of(c).alias(c) for c in columns])
     parameters = scaling_parameters(full, columns, method)
-    return {c: scaled(filled[c], parameters[c]) for c in columns}
+    return {c: Number(centre.get(c), *parameters[c]) for c in columns}
 
 
 # --- categories ----------------------------------------------------------------
@@ -239,13 +246,15 @@ class Coding:
         return [r["value"] for r in self.book.select("value", "code").orderBy("code").collect()]
 
     def facts(self, df: DataFrame) -> DataFrame:
-        """``(column, stat, value, text)``, a row a category."""
+        """``(column, stat, value, text)``: each category's code; the counts too where the dictionary is long."""
         if self.known is not None:
             rows = [(self.column, "category", float(k), v) for k, v in enumerate(self.known)]
             return local_rows(df, rows, PARAMETER_SCHEMA)
-        return self.book.select(
-            F.lit(self.column).alias("column"), F.lit("category").alias("stat"), F.col("code").alias("value"), F.col("value").alias("text")
+        both = F.array(
+            F.struct(F.lit("category").alias("stat"), F.col("code").alias("value"), F.col("value").alias("text")),
+            F.struct(F.lit("count").alias("stat"), F.col("n").cast("double").alias("value"), F.col("value").alias("text")),
         )
+        return self.book.select(F.lit(self.column).alias("column"), F.inline(both))
 
     def coded(self, df: DataFrame, out: str) -> DataFrame:
         """``df`` with the code of each row's category, the mode's for gaps, -1 for unknown ones."""
@@ -363,19 +372,19 @@ def ordinal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def booleans(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """0/1 in place of boolean spellings; gaps take the more frequent one."""
     fitted = fit_boolean(df, columns)
-    return df.select(*[(fitted[c].alias(c) if c in fitted else col(c)) for c in df.columns])
+    made = {c: F.coalesce(boolean_code(col(c)), F.lit(v)) for c, v in fitted.items()}
+    return df.select(*[(made[c].alias(c) if c in made else col(c)) for c in df.columns])
 
 
-def fit_boolean(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+def fit_boolean(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The more frequent code of each column, which its gaps take; 0 of equals."""
     if not columns:
         return {}
     codes = df.select(*[boolean_code(col(c)).alias(c) for c in columns])
     row = codes.agg(
         *[F.coalesce((F.avg(col(c)) > 0.5).cast("double"), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(columns)]
     ).first()
-    return {
-        c: F.coalesce(boolean_code(col(c)), F.lit(row[f"m{i}"])) for i, c in enumerate(columns)
-    }
+    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
 
 
 # --- the fitted preparation -------------------------------------------------------
@@ -383,13 +392,35 @@ def fit_boolean(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
 
 @dataclass
 class Block:
-    """One or more features made from one column: a number, a code, or the categories of a code."""
+    """One or more features made from one column: a number, a boolean, a code, or the categories of a code."""
 
+    column: str
     raw: list[str]
-    value: Column | None = None
+    number: Number | None = None
+    boolean: float | None = None  # what gaps become
     coding: Coding | None = None
     spread: bool = False  # True: a feature a category, else the number or the code itself
 
+    @property
+    def value(self) -> Column:
+        if self.number is not None:
+            return self.number.of(self.column)
+        return F.coalesce(boolean_code(col(self.column)), F.lit(self.boolean))
+
+    def facts(self, place: int) -> list[tuple]:
+        """``(column, stat, value, text)`` of all but the categories."""
+        out: list[tuple] = []
+        if self.number is not None:
+            out.append((self.column, "number", float(place), None))
+            given = {"fill": self.number.fill, "offset": self.number.offset, "divisor": self.number.divisor}
+            out += [(self.column, k, float(v), None) for k, v in given.items() if v is not None]
+        elif self.coding is None:
+            out += [(self.column, "boolean", float(place), None), (self.column, "fill", self.boolean, None)]
+        else:
+            out.append((self.column, "onehot" if self.spread else "ordinal", float(place), None))
+            out += [(self.column, "mode", None, self.coding.fill), (self.column, "size", float(self.coding.size), None)]
+        return out
+
 
 @dataclass
 class FeaturePlan:
@@ -405,6 +436,57 @@ class FeaturePlan:
     audit: DataFrame
     names: list[str] = field(default_factory=list)
 
+    def save(self, path: str) -> None:
+        """Write all parameters as one table, dictionaries included; a folder that exists is an error."""
+        self.parameters.write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeaturePlan:
+        """The plan that :meth:`save` wrote: the same features for the same rows.
+
+        What comes to the driver has a row a column or feature; dictionaries too long to
+        write into a plan stay a table.
+        """
+        table = spark.read.schema(PARAMETER_SCHEMA).parquet(path)
+        rows = table.filter("stat NOT IN ('category', 'count')").collect()
+        by_column: dict[str, dict[str, Any]] = {}
+        for r in rows:
+            if r["column"] is not None and r["stat"] not in ("feature", "removed", "type"):
+                by_column.setdefault(r["column"], {})[r["stat"]] = r["text"] if r["stat"] == "mode" else r["value"]
+        config = FeatureConfig.merged({k: r["text"] for r in rows for k in ("scaling", "encoding", "fit_on") if r["stat"] == k})
+        of_columns = F.col("stat").isin("category", "count")
+        short = [c for c, facts in by_column.items() if facts.get("size", MAX_LITERAL_CATEGORIES + 1) <= MAX_LITERAL_CATEGORIES]
+        known: dict[str, list[tuple]] = {c: [] for c in short}
+        for r in table.filter((F.col("stat") == "category") & F.col("column").isin(short)).collect():
+            known[r["column"]].append((r["value"], r["text"]))
+        blocks = []
+        for c, facts in by_column.items():
+            kind = next((k for k in ("number", "boolean", "onehot", "ordinal") if k in facts), None)
+            if kind is None:
+                continue
+            block = Block(c, [])
+            if kind == "number":
+                block.number = Number(facts.get("fill"), facts.get("offset"), facts.get("divisor"))
+            elif kind == "boolean":
+                block.boolean = facts["fill"]
+            else:
+                listed = [v for _, v in sorted(known[c])] if c in known else None
+                book = None
+                if listed is None:
+                    own = table.filter(of_columns & (F.col("column") == c)).groupBy(F.col("text").alias("value"))
+                    sums = {"code": "category", "n": "count"}
+                    book = own.agg(*[F.max(F.when(F.col("stat") == k, F.col("value"))).alias(a) for a, k in sums.items()])
+                    book = book.select("value", F.col("n").cast("long"), "code")
+                block.coding = Coding(c, facts["mode"], int(facts["size"]), listed, book)
+                block.spread = kind == "onehot"
+            blocks.append((facts[kind], block))
+        names = [r["column"] for r in sorted((r for r in rows if r["stat"] == "feature"), key=lambda r: r["value"])]
+        by_class = {k: [r["column"] for r in rows if r["stat"] == "type" and r["text"] == k] for k in SEMANTIC_TYPES}
+        target = next((r["text"] for r in rows if r["stat"] == "target"), None)
+        removed = [r["column"] for r in rows if r["stat"] == "removed"]
+        audit = local_rows(table, [(1, "load_plan", None, float(len(names)))], AUDIT_SCHEMA)
+        return cls(target, config, [b for _, b in sorted(blocks, key=lambda x: x[0])], by_class, removed, table, audit, names)
+
     def _valued(self, df: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
         """One column a block, beside the target and the columns to keep."""
         extra = [c for c in (*keep, *([self.target] if self.target else [])) if c in df.columns]
@@ -485,26 +567,24 @@ def fit_features(df: DataFrame, target: str | None = None, config: Any = None) -
     x = present.select(*[col(c) for c in present.columns if c not in constants])
     by_class = types_by_class(infer_types(x))
     blocks: list[Block] = []
-    facts: list[tuple] = []
     books: list[DataFrame] = []
     if cfg.scaling != "drop" and by_class["numeric"]:
         for c, e in fit_numeric(x, by_class["numeric"], cfg.scaling).items():
-            blocks.append(Block([f"num__{c}"], e))
+            blocks.append(Block(c, [f"num__{c}"], number=e))
         note(f"scale_{cfg.scaling}", None, len(by_class["numeric"]))
     if cfg.encoding not in ("none", "drop") and by_class["categorical"]:
         names = by_class["categorical"]
         spread = cfg.encoding == "onehot"
         for k in fit_codings(x, names):
-            facts.append((k.column, "mode", None, k.fill))
             books.append(k.facts(df))
             raw = [f"cat__{k.column}_{v}" for v in k.values()[k.first :]] if spread else [f"cat__{k.column}"]
-            blocks.append(Block(raw, None, k, spread))
+            blocks.append(Block(k.column, raw, coding=k, spread=spread))
             if k.known is None:
                 note("encode_by_dictionary", k.column)
         note(f"encode_{cfg.encoding}", None, len(names))
     if by_class["boolean"]:
         for c, e in fit_boolean(x, by_class["boolean"]).items():
-            blocks.append(Block([f"bool__{c}"], e))
+            blocks.append(Block(c, [f"bool__{c}"], boolean=e))
         note("boolean_to_number", None, len(by_class["boolean"]))
     raw = [n for b in blocks for n in b.raw]
     if not raw:
@@ -515,6 +595,11 @@ def fit_features(df: DataFrame, target: str | None = None, config: Any = None) -
     note("features", None, len(names))
     for kind, members in by_class.items():
         note(f"type_{kind}", None, len(members))
+    facts = [f for i, b in enumerate(blocks) for f in b.facts(i)]
+    facts += [(None, "scaling", None, cfg.scaling), (None, "encoding", None, cfg.encoding), (None, "fit_on", None, cfg.fit_on)]
+    facts += [(None, "target", None, target)] if target is not None and target in df.columns else []
+    facts += [(c, "removed", None, None) for c in empty + constants]
+    facts += [(c, "type", None, kind) for kind, members in by_class.items() for c in members]
     facts += [(n, "feature", float(i), None) for i, n in enumerate(names)]
     parameters = local_rows(df, facts, PARAMETER_SCHEMA)
     for book in books:

@@ -85,6 +85,7 @@ class Trained:
     models: dict[str, Any]
     matrix: Matrix
     warnings: list[str]
+    fold_scores: DataFrame | None = None  # (model, fold, score) of models that were cross-validated
 
     def release(self) -> None:
         """Free the persisted matrix once no more rows are scored."""
@@ -232,10 +233,13 @@ def train_models(
     if small:
         chosen = [n for n in chosen if n not in LARGE_ONLY]
 
+    folds: dict[str, list[float]] = {}
+
     def run(name: str):
         try:
             if small and context.rows >= CV_MINIMUM:
                 scores = cross_validate(name, matrix, train, context, min(FOLDS, context.rows))
+                folds[name] = scores
                 mean = sum(scores) / len(scores)
                 spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
                 model = fit_one(name, matrix, train, context)
@@ -271,6 +275,7 @@ def train_models(
         models,
         matrix,
         size_notes(rows, context.rows, matrix.task),
+        local_rows(held, [(n, k, s) for n in sorted(folds) for k, s in enumerate(folds[n])], "model string, fold int, score double"),
     )
 
 

@@ -149,6 +149,28 @@ def test_onehot_gaps_unknown_values_and_pairs(spark, monkeypatch):
     assert got[0] == got[1] == [(2, 0, "c_b", 1.0), (3, 0, "c_b", 1.0), (3, 1, "d_q", 1.0)]
 
 
+@pytest.mark.parametrize("encoding,scaling,limit", [("onehot", "standard", 1000), ("onehot", "robust", 3), ("ordinal", "minmax", 3), ("ordinal", "none", 1000)])
+def test_a_saved_plan_makes_the_same_features(spark, tmp_path, monkeypatch, encoding, scaling, limit):
+    monkeypatch.setattr(features.fit_categories, "__defaults__", (limit,))
+    monkeypatch.setattr(features, "MAX_LITERAL_CATEGORIES", limit)
+    df = spark.range(600).selectExpr(
+        "id", "IF(id % 7 = 0, NULL, id * 1.5) AS `odd name`", "IF(id % 5 = 0, NULL, concat('v ', id % 12)) AS c",
+        "IF(id % 3 = 0, NULL, id % 2 = 0) AS b", "IF(id % 2 = 0, 'p', 'q') AS pair", "'same' AS constant", "id % 3 AS y",
+    )
+    plan = features.fit_features(df.drop("id"), "y", {"encoding": encoding, "scaling": scaling})
+    plan.save(str(tmp_path / "plan"))
+    again = features.FeaturePlan.load(spark, str(tmp_path / "plan"))
+    assert (again.names, again.target, again.removed, again.config.encoding) == (plan.names, "y", plan.removed, encoding)
+    assert {k: sorted(v) for k, v in again.by_class.items()} == {k: sorted(v) for k, v in plan.by_class.items()}
+    new = df.unionByName(df.filter("id < 3").withColumns({"c": F.lit("never seen"), "odd name": F.lit(None).cast("decimal(22,1)")}))
+    for made in ("transform", "assemble"):
+        one, two = (getattr(p, made)(new, ["id"]) for p in (plan, again))
+        assert one.columns == two.columns
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    again.save(str(tmp_path / "again"))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "again")).collect())) == sorted(map(str, spark.read.parquet(str(tmp_path / "plan")).collect()))
+
+
 def test_an_absent_target_is_told(spark):
     with pytest.warns(UserWarning, match="nothing"):
         plan = features.fit_features(many(spark, 4, 40), "nothing")
