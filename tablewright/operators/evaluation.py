@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,10 @@ from ..functions.schema import col
 # Up to this many numbers the other side of a distance job is broadcast (32 MB).
 BROADCAST_CELLS = 4_000_000
 BLOCK_ROWS = 4096
+#: Distances held at once, and pairs whose differences are.
+TILE, PAIRS = 2_000_000, 65_536
+#: Below this share of the norms a squared distance is worked out from differences.
+CANCELLED = 1e-6
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -112,7 +117,7 @@ def silhouette_euclidean(
     features: str,
     label: str,
     broadcast_cells: int = BROADCAST_CELLS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(rows, silhouette)`` on Euclidean distance, exact.
 
@@ -131,6 +136,8 @@ def silhouette_euclidean(
     if rows * dim <= broadcast_cells:
         sums = _sums_against_broadcast(points)
     else:
+        # the larger the blocks, the fewer copies of a row are shuffled: a quarter of what may be broadcast
+        block_rows = block_rows or max(BLOCK_ROWS, broadcast_cells // (4 * dim))
         sums = _sums_by_blocks(points, max(1, math.ceil(rows / block_rows)))
     counts = points.groupBy("label").agg(F.count("*").alias("size")).collect()
     sizes = F.create_map(*[F.lit(v) for r in counts for v in (r["label"], r["size"])])
@@ -157,20 +164,46 @@ def silhouette_euclidean(
     )
 
 
-def _cluster_sums(x, others, names):
-    """Summed distance of every row of ``x`` to each cluster of ``others``."""
-    import numpy as np
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows: one product of matrices, and differences where it cancels.
 
+    Both sides are shifted to the middle of ``y`` first.  Where a squared distance is small
+    beside the norms, little of the product's precision is left; those few pairs are worked
+    out from their differences, some at a time.
+    """
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    scale = nx[:, None] + ny[None, :]
+    far = scale - 2.0 * (x @ y.T)
+    r, c = np.nonzero(far <= CANCELLED * scale)
+    for a in range(0, len(r), PAIRS):
+        gap = x[r[a : a + PAIRS]] - y[c[a : a + PAIRS]]
+        far[r[a : a + PAIRS], c[a : a + PAIRS]] = (gap * gap).sum(axis=1)
+    return np.sqrt(far, out=far)
+
+
+def _cluster_sums(x: np.ndarray, others, names) -> np.ndarray:
+    """Summed distance of every row of ``x`` to each cluster of ``others``.
+
+    Rows of a cluster stand together, so that a tile's sums are sums of its columns; a tile
+    holds TILE distances, whatever the number of dimensions and clusters.
+    """
     out = np.zeros((len(x), len(names)))
+    if not len(others) or not len(x):
+        return out
     codes = {name: i for i, name in enumerate(names)}
     which = np.array([codes[n] for n in others["label"]])
-    matrix = np.asarray(others["x"].tolist(), dtype=float)
-    for start in range(0, len(x), 256):
-        part = x[start : start + 256]
-        gaps = part[:, None, :] - matrix[None, :, :]
-        far = np.sqrt((gaps * gaps).sum(axis=2))
-        for c in range(len(names)):
-            out[start : start + 256, c] = far[:, which == c].sum(axis=1)
+    order = np.argsort(which, kind="stable")
+    which = which[order]
+    matrix = np.asarray(others["x"].tolist(), dtype=float)[order]
+    step = max(1, TILE // BLOCK_ROWS)
+    for at in range(0, len(matrix), BLOCK_ROWS):
+        part, own = matrix[at : at + BLOCK_ROWS], which[at : at + BLOCK_ROWS]
+        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for start in range(0, len(x), step):
+            far = _distances(x[start : start + step], part)
+            out[start : start + step, own[begin]] += np.add.reduceat(far, begin, axis=1)
     return out
 
 
@@ -199,8 +232,6 @@ def _sums_schema(points: DataFrame) -> T.StructType:
 
 
 def _sums_against_broadcast(points: DataFrame) -> DataFrame:
-    import numpy as np
-
     whole = points.select("label", "x").toPandas()
     shared = points.sparkSession.sparkContext.broadcast(whole)
     names = sorted(whole["label"].unique())
@@ -216,8 +247,6 @@ def _sums_against_broadcast(points: DataFrame) -> DataFrame:
 
 
 def _sums_by_blocks(points: DataFrame, blocks: int) -> DataFrame:
-    import numpy as np
-
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     placed = points.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     probes = placed.withColumnRenamed("b", "i").withColumn("j", F.explode(every))

@@ -1,27 +1,37 @@
 """k nearest neighbours, exact at any size.
 
 A training side of a checked, small size is broadcast as one matrix.  A larger
-one is cut into cells around pivots; the triangle inequality tells which cells
-can hold a neighbour of a row, so rows only meet those cells.  Crowded cells are
-cut into chunks of bounded size on both sides, each chunk returns its own ``k``
-best, and the best of those are kept.
+one is cut into cells by a tree of pivots whose depth follows the number of rows;
+the triangle inequality tells which nodes can hold a neighbour of a row, so rows
+only meet the cells below those.  Crowded cells are cut into chunks of bounded size
+on both sides, each chunk returns its own ``k`` best, and the best of those are kept.
+Distances are worked out in tiles of a bounded number of rows, a dimension at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.report import local_rows
 from ..functions.schema import col
 from ..session import checkpointed
 
 K = 5
 BROADCAST_CELLS = 4_000_000
-MAX_PIVOTS = 1024
 CHUNK_ROWS = 8192
+#: Children of a node of the cell tree, at most.
+FANOUT = 256
+#: Numbers of a tile of distances, and pairs of rows and pivots held at once.
+TILE = 2_000_000
+PAIRS = 65_536
+#: Rounding must never lose a neighbour: every comparison of bounds is widened a little.
+SLACK = 1e-9
 
 
 def nearest(
@@ -89,19 +99,13 @@ def _schema(base: DataFrame, probe: DataFrame) -> T.StructType:
 
 def _best(ids, x, other_ids, other_x, other_y, k):
     """The ``k`` nearest of a bounded block for a bounded block of rows."""
-    import numpy as np
-    import pandas as pd
-
     parts = []
     order = np.argsort(other_ids, kind="stable")
     other_ids, other_x, other_y = other_ids[order], other_x[order], other_y[order]
-    step = max(1, 2_000_000 // max(1, len(other_x)))
+    step = max(1, TILE // max(1, len(other_x)))
     for start in range(0, len(x), step):
         rows = x[start : start + step]
-        far = np.zeros((len(rows), len(other_x)))
-        for d in range(x.shape[1]):
-            gap = rows[:, d][:, None] - other_x[:, d][None, :]
-            far += gap * gap
+        far = _squares(rows, other_x)
         kept = min(k, far.shape[1])
         edge = np.partition(far, kept - 1, axis=1)[:, kept - 1 : kept]
         r, c = np.nonzero(far <= edge)  # ties at the edge included
@@ -124,8 +128,6 @@ def _best(ids, x, other_ids, other_x, other_y, k):
 
 
 def _matrix(column):
-    import numpy as np
-
     return np.asarray(column.tolist(), dtype=float)
 
 
@@ -152,101 +154,190 @@ def _against_broadcast(base: DataFrame, probe: DataFrame, k: int) -> DataFrame:
     return probe.mapInPandas(search, _schema(base, probe))
 
 
-def _against_cells(base: DataFrame, probe: DataFrame, k: int, chunk_rows: int) -> DataFrame:
-    import numpy as np
+class CellTree:
+    """Pivots in levels: a node's rows are cut by which child pivot is nearest.
 
-    spark = base.sparkSession
-    total = base.count()
-    wanted = int(min(MAX_PIVOTS, max(8, total**0.5)))
-    # The pivots only shape the cells; any choice gives the same neighbours.
-    hashed = base.select("x").orderBy(F.xxhash64("x")).limit(wanted)
-    pivots = np.unique(_matrix(hashed.toPandas()["x"]), axis=0)
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def distances(x):
-        centre = shared.value
-        return np.sqrt(((x[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2))
-
-    def place(batches):
-        for rows in batches:
-            if len(rows):
-                far = distances(_matrix(rows["x"]))
-                rows["cell"] = far.argmin(axis=1).astype("int32")
-                rows["far"] = far.min(axis=1)
-                yield rows
+    Nodes stand in arrays; ``pivots[i]`` is the pivot of node i, ``children[i]`` the places
+    of its children (none for a leaf).  The roots are the children of no node.
+    """
 
-    placed_schema = T.StructType(
-        [*base.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())]
-    )
-    placed = checkpointed(base.mapInPandas(place, placed_schema))  # read three times
-    near = Window.partitionBy("cell").orderBy("far")
-    # Per cell: rows, radius, and how far its k-th closest row is from the pivot.
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas()
-    kth = (
-        placed.withColumn("place", F.row_number().over(near))
-        .filter(F.col("place") <= k)
-        .groupBy("cell")
-        .agg(F.max("far").alias("kth"))
-        .toPandas()
-    )
-    stats = stats.merge(kth, on="cell").sort_values("cell")
-    cells = spark.sparkContext.broadcast(
-        {c: stats[c].to_numpy() for c in ("cell", "n", "radius", "kth")}
+    def __init__(self, dim: int) -> None:
+        self.pivots = np.zeros((0, dim))
+        self.children: list[np.ndarray] = []
+        self.roots = np.zeros(0, np.int64)
+
+    def grow(self, node: int | None, pivots: np.ndarray) -> None:
+        """Give a leaf (or the tree itself) children at these pivots."""
+        made = np.arange(len(self.pivots), len(self.pivots) + len(pivots))
+        self.pivots = np.vstack([self.pivots, pivots])
+        self.children += [np.zeros(0, np.int64) for _ in made]
+        if node is None:
+            self.roots = made
+        else:
+            self.children[node] = made
+
+    def paths(self, x: np.ndarray) -> tuple[list[list[int]], list[list[float]]]:
+        """For each row the nodes from root to leaf, and its distances to their pivots."""
+        nodes: list[list[int]] = [[] for _ in x]
+        fars: list[list[float]] = [[] for _ in x]
+        waiting = [(self.roots, np.arange(len(x)))]
+        while waiting:
+            choice, rows = waiting.pop()
+            for start in range(0, len(rows), max(1, TILE // len(choice))):
+                part = rows[start : start + max(1, TILE // len(choice))]
+                far = np.sqrt(_squares(x[part], self.pivots[choice]))
+                nearest_child = far.argmin(axis=1)
+                for r, c, f in zip(part.tolist(), choice[nearest_child].tolist(), far.min(axis=1).tolist(), strict=True):
+                    nodes[r].append(c)
+                    fars[r].append(f)
+                for c in np.unique(nearest_child):
+                    if len(self.children[choice[c]]):
+                        waiting.append((self.children[choice[c]], part[nearest_child == c]))
+        return nodes, fars
+
+    def reach(self, x: np.ndarray, n: np.ndarray, radius: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for every leaf that may hold one of the row's ``k`` nearest.
+
+        ``n``, ``radius``, ``kth``: of each node its rows, how far the farthest and the k-th
+        closest of them lie from its pivot.  A node of k rows bounds the k-th neighbour's
+        distance; by the triangle inequality a node beyond the bound holds none.
+        """
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        # children of a node stand side by side
+        width = np.array([len(c) for c in self.children])
+        eldest = np.array([c[0] if len(c) else -1 for c in self.children])
+        step = max(1, TILE // len(self.pivots))  # if no node can be left out, pairs still fit
+        for start in range(0, len(x), step):
+            part = x[start : start + step]
+            far = np.sqrt(_squares(part, self.pivots[self.roots]))
+            size = n[self.roots]
+            bound = np.where(size >= k, far + kth[self.roots], np.inf).min(axis=1)
+            # several nodes together hold k rows within the last one's far end
+            ends = far + radius[self.roots]
+            order = np.argsort(ends, axis=1)
+            held = np.cumsum(size[order], axis=1)
+            enough = (held >= k).argmax(axis=1)
+            rows = np.arange(len(part))
+            several = np.take_along_axis(ends, order, axis=1)[rows, enough]
+            several[held[:, -1] < k] = np.inf
+            bound = np.minimum(bound, several)
+            row, place = np.nonzero(far - radius[self.roots] <= (bound * (1 + SLACK))[:, None] + SLACK * (1 + far))
+            node = self.roots[place]
+            while len(row):
+                leaf = width[node] == 0
+                found.append((row[leaf] + start, node[leaf]))
+                row, node = row[~leaf], node[~leaf]
+                if not len(row):
+                    break
+                many = width[node]
+                row, child = np.repeat(row, many), np.repeat(eldest[node] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                far = np.empty(len(row))
+                for a in range(0, len(row), PAIRS):
+                    gap = part[row[a : a + PAIRS]] - self.pivots[child[a : a + PAIRS]]
+                    far[a : a + PAIRS] = np.sqrt((gap * gap).sum(axis=1))
+                np.minimum.at(bound, row, np.where(n[child] >= k, far + kth[child], np.inf))
+                keep = far - radius[child] <= bound[row] * (1 + SLACK) + SLACK * (1 + far)
+                row, node = row[keep], child[keep]
+        return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` and ``y``, a dimension at a time: two tiles of numbers at most."""
+    far = np.zeros((len(x), len(y)))
+    for d in range(x.shape[1]):
+        gap = x[:, d][:, None] - y[:, d][None, :]
+        gap *= gap
+        far += gap
+    return far
+
+
+def grow_tree(base: DataFrame, dim: int, leaf_rows: int, most_pivots: int) -> tuple[CellTree, DataFrame]:
+    """The tree, and the rows with ``nodes`` and ``fars`` from root to leaf.
+
+    Leaves of more than ``leaf_rows`` rows get children, level by level, until none is
+    left that differs inside, or ``most_pivots`` stand: so the depth follows the rows, and
+    what is broadcast has a bound.  Pivots are the different rows of least hash; any choice
+    gives the same neighbours.
+    """
+    tree, context = CellTree(dim), base.sparkSession.sparkContext
+    first = base.select("x", F.xxhash64("x").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(FANOUT).collect()
+    tree.grow(None, np.array([r["x"] for r in first], float).reshape(-1, dim))
+    schema = T.StructType(
+        [*base.schema.fields, T.StructField("nodes", T.ArrayType(T.IntegerType())), T.StructField("fars", T.ArrayType(T.DoubleType()))]
     )
-    chunk_of = {int(c): int(-(-n // chunk_rows)) for c, n in zip(stats["cell"], stats["n"])}
-    # Rounding must never lose a neighbour: widen every comparison a little.
-    slack = 1e-9
+    final: set[int] = set()
+    while True:
+        shared = context.broadcast(tree)
+
+        def place(batches, shared=shared):
+            for rows in batches:
+                if len(rows):
+                    rows["nodes"], rows["fars"] = shared.value.paths(_matrix(rows["x"]))
+                    yield rows
+
+        placed = checkpointed(base.mapInPandas(place, schema))
+        leaf = F.element_at("nodes", -1)
+        sizes = {r["leaf"]: r["n"] for r in placed.groupBy(leaf.alias("leaf")).agg(F.count("*").alias("n")).collect()}
+        crowded = sorted((c for c, n in sizes.items() if n > leaf_rows and c not in final), key=lambda c: -sizes[c])
+        fanout = min(FANOUT, (most_pivots - len(tree.pivots)) // max(1, len(crowded)))
+        if not crowded or fanout < 2:
+            return tree, placed
+        wanted = local_rows(base, [(c,) for c in crowded], "leaf int")
+        inside = placed.select(leaf.alias("leaf"), "x", F.xxhash64("x").alias("h")).join(F.broadcast(wanted), "leaf")
+        least = Window.partitionBy("leaf").orderBy("h")
+        picked = inside.dropDuplicates(["leaf", "h"]).withColumn("i", F.row_number().over(least)).filter(F.col("i") <= fanout)
+        pivots: dict[int, list] = {}
+        for r in picked.select("leaf", "x").collect():
+            pivots.setdefault(r["leaf"], []).append(r["x"])
+        for c in crowded:
+            if len(pivots[c]) > 1:
+                tree.grow(c, np.array(pivots[c], float))
+            else:
+                final.add(c)  # copies of one row
 
-    def route(batches):
-        import pandas as pd
 
-        known = cells.value
+def _against_cells(base: DataFrame, probe: DataFrame, k: int, chunk_rows: int) -> DataFrame:
+    spark = base.sparkSession
+    head = base.select(F.size("x").alias("d")).first()
+    if head is None:
+        return spark.createDataFrame([], _schema(base, probe))
+    dim = max(1, head["d"])
+    tree, placed = grow_tree(base, dim, chunk_rows, max(FANOUT, BROADCAST_CELLS // dim))
+    cells = placed.select("id", "y", "x", F.element_at("nodes", -1).alias("cell"))
+    # Per node: rows, radius, and how far its k-th closest row is from the pivot.
+    each = placed.select(F.inline(F.arrays_zip("nodes", "fars"))).toDF("node", "far")
+    near = Window.partitionBy("node").orderBy("far")
+    kth = each.withColumn("i", F.row_number().over(near)).filter(F.col("i") <= k).groupBy("node").agg(F.max("far").alias("kth"))
+    stats = each.groupBy("node").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(kth, "node").collect()
+    n, radius, nearest_k = (np.zeros(len(tree.pivots)) for _ in range(3))
+    radius[:] = -np.inf  # a node without rows is never near
+    for r in stats:
+        n[r["node"]], radius[r["node"]], nearest_k[r["node"]] = r["n"], r["radius"], r["kth"]
+    shared = spark.sparkContext.broadcast((tree, n, radius, nearest_k))
+
+    def route(batches):
         for rows in batches:
-            if not len(rows):
-                continue
-            far = distances(_matrix(rows["x"]))[:, known["cell"]]
-            full = np.where(known["n"] >= k, far + known["kth"], np.inf).min(axis=1)
-            reach = far + known["radius"]
-            order = np.argsort(reach, axis=1)
-            enough = (np.cumsum(known["n"][order], axis=1) >= k).argmax(axis=1)
-            several = np.take_along_axis(reach, order, axis=1)[np.arange(len(rows)), enough]
-            if known["n"].sum() < k:
-                several[:] = np.inf
-            bound = np.minimum(full, several)
-            low = far - known["radius"]
-            keep = low <= bound[:, None] * (1 + slack) + slack * (1 + far)
-            r, c = np.nonzero(keep)
-            out = rows.iloc[r][["id", "x"]].copy()
-            out["cell"] = known["cell"][c].astype("int32")
-            yield pd.DataFrame(out)
-
-    routed = checkpointed(
-        probe.mapInPandas(
-            route, T.StructType([*probe.schema.fields, T.StructField("cell", T.IntegerType())])
-        )
-    )
-    chunks = F.create_map(*[F.lit(v) for pair in chunk_of.items() for v in pair])
-    base_chunks = placed.withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), chunks[F.col("cell")].cast("long")).cast("int")
-    )
-    # A crowded cell meets many rows: those are cut into slices too, and each
-    # chunk of the cell is sent to every slice.
-    crowd = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    slice_of = {c: int(-(-crowd.get(c, 1) // chunk_rows)) for c in chunk_of}
-    slices = F.create_map(*[F.lit(v) for pair in slice_of.items() for v in pair])
-    left = routed.withColumns(
-        {
-            "chunk": F.explode(F.sequence(F.lit(0), chunks[F.col("cell")] - 1)),
-            "slice": F.pmod(F.xxhash64("id"), slices[F.col("cell")].cast("long")).cast("int"),
-        }
+            if len(rows):
+                r, c = shared.value[0].reach(_matrix(rows["x"]), *shared.value[1:], k)
+                for a in range(0, len(r), PAIRS):
+                    out = rows.iloc[r[a : a + PAIRS]][["id", "x"]].copy()
+                    out["cell"] = c[a : a + PAIRS].astype("int32")
+                    yield out
+
+    routed = checkpointed(probe.mapInPandas(route, T.StructType([*probe.schema.fields, T.StructField("cell", T.IntegerType())])))
+    # A crowded cell (copies, or a tree at its bound) is cut into chunks; where it meets many
+    # rows those are cut into slices too, and each chunk meets every slice.  A row a cell.
+    crowd = routed.groupBy("cell").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("slices"))
+    parts = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")).join(crowd, "cell"))
+    spread = F.xxhash64("id")
+    left = routed.join(parts, "cell").select(
+        "id", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(spread, "slices").cast("int").alias("slice")
     )
-    right = base_chunks.withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), slices[F.col("cell")] - 1))
+    right = cells.join(parts, "cell").select(
+        "id", "y", "x", "cell", F.pmod(spread, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     )
 
     def search(rows, other):
-        import pandas as pd
-
         if not len(rows) or not len(other):
             return pd.DataFrame({"id": [], "neighbour": [], "distance2": [], "y": []})
         return _best(
@@ -259,6 +350,4 @@ def _against_cells(base: DataFrame, probe: DataFrame, k: int, chunk_rows: int) -
         )
 
     keys = ("cell", "chunk", "slice")
-    return (
-        left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, _schema(base, probe))
-    )
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, _schema(base, probe))

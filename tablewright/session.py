@@ -38,17 +38,17 @@ def shared_scratch(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's reliable checkpoint folder and read it back.
+    """Write ``df`` to the reliable checkpoint folder that all executors share and read it back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; without
-    one the plan is returned uncut, so that no machine-local folder is ever used
-    on a cluster.
+    The folder is the one named in ``spark.checkpoint.dir``.  Without one, a session of one
+    process takes a temporary folder; on a cluster the plan is returned uncut, so that no
+    machine-local folder is ever used there.
     """
     spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not configured:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and context.master.split("[")[0] != "local":
             return df
-        context.setCheckpointDir(configured)
+        context.setCheckpointDir(configured or shared_scratch(spark))
     return df.checkpoint(eager=True)
