@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, kept_in, written
+from .vectors import runs
 
-#: Rows of a bucket that are compared with each other in the first round; larger buckets
-#: take further heads. Each round allows four times as many, so the rounds stay few.
+#: Items of a group that one task compares in the first round; larger groups take further
+#: heads. Each round allows four times as many, so the rounds stay few.
 SMALL = 256
+#: So many tokens of its items count as one item more, so that a group of long sets is no larger in memory.
+WEIGHT = 4_096
+#: Tokens whose holders are looked at at once.
+COLUMNS = 4_096
 #: Jaccard distance to a head up to which items are compared by their differences from it.
 NEAR = 0.5
 #: A pair is not compared further if its distance is shown to be at least so many times that of a link.
@@ -91,27 +98,25 @@ def _labelled(rows: DataFrame, reach: DataFrame | None, item: str = "item", name
     return rows.join(known, item, "left").withColumn(name, F.coalesce("__c", item)).drop("__c")
 
 
-def _by_differences(star: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """Links (a, b) between items of one head of which at least one does not link to the head.
+def _difference_buckets(star: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Buckets (bucket, item, size, degree) in which items of one head meet, if at least one of a pair does not link to the head.
 
-    ``star``: head, item, component, loose (does not link to the head). Items are
-    held as what they lack of the head's set and what they have besides. Let u be
-    loose, and let u and v share none of these: then their similarity is at most that
-    of u and the head, too low. So u must share some with v, and how many follows
-    from the sizes. A loose item offers its rarest ones (a prefix: all but as many as
-    it needs, less one), another item all of them; pairs that meet and whose
-    numbers allow a link are decided by the differences themselves:
-    |u and v| = |head| - lacks of u - lacks of v + shared lacks + shared additions.
+    ``star``: head, item, degree, loose (does not link to the head). Items are taken as
+    what they lack of the head's set and what they have besides. Let u be loose, and let
+    u and v share none of these: then their similarity is at most that of u and the
+    head, too low. So u must share some with v, and how many follows from the sizes. A
+    loose item offers its rarest ones (a prefix: all but as many as it needs, less one),
+    another item all of them, in one order for all; so a pair that may link meets in the
+    bucket of the first one that it shares.
     """
     tight = percent / 100
-    star = written(star)
-    both = written(star.join(_sets_of(star, "item", sets, "tokens"), "item").join(_sets_of(star, "head", sets, "th"), "head").select(
-        "head", "item", "component", "loose", F.size("th").alias("c"), F.size("tokens").alias("n"),
-        F.array_except("th", "tokens").alias("lack"), F.array_except("tokens", "th").alias("more")))
+    both = star.join(_sets_of(star, "item", sets, "tokens"), "item").join(_sets_of(star, "head", sets, "th"), "head").select(
+        "head", "item", "degree", "loose", F.size("th").alias("c"), F.size("tokens").alias("n"),
+        F.array_except("th", "tokens").alias("lack"), F.array_except("tokens", "th").alias("more"))
     keys = F.concat(F.transform("lack", lambda x: F.struct(F.lit(0).alias("side"), x.alias("key"))),
                     F.transform("more", lambda x: F.struct(F.lit(1).alias("side"), x.alias("key"))))
-    rows = both.select("head", "item", "component", "loose", "c", "n", F.size("lack").alias("l"), F.explode(keys).alias("k"))
-    rows = rows.select("*", "k.side", "k.key").drop("k")
+    rows = both.select("head", "item", "degree", "loose", "c", "n", F.size("lack").alias("l"), F.explode(keys).alias("k"))
+    rows = written(rows.select("*", "k.side", "k.key").drop("k"))
     often = rows.groupBy("head", "side", "key").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("head", "item")
     offered = (
@@ -123,43 +128,80 @@ def _by_differences(star: DataFrame, sets: Sets, percent: int) -> DataFrame:
         .where(F.col("sm") + tight * F.col("sl") >= F.col("need"))
         .withColumn("place", F.row_number().over(own.orderBy("df", "side", "key")))
         .where(F.col("place") <= F.col("sl") + F.col("sm") - F.greatest(F.ceil("need"), F.lit(1)) + 1)
-        .drop("df", "need", "place")
     )
-    offered = written(offered)
-    other = offered.select("head", "side", "key", *[F.col(c).alias(f"{c}2") for c in ("item", "component", "loose", "n", "l", "sl", "sm")])
-    most = F.col("c") - F.col("l") - F.col("l2") + F.least("sl", "sl2") + F.least("sm", "sm2")
-    met = offered.where("loose").join(other, ["head", "side", "key"]).where(
-        (F.col("component") != F.col("component2")) & (~F.col("loose2") | (F.col("item") < F.col("item2")))
-        & (100 * most >= percent * (F.col("n") + F.col("n2") - most)))
-    pairs = met.select("head", "item", "item2").distinct()
-    second = both.select("head", F.col("item").alias("item2"), F.col("n").alias("n2"), F.col("lack").alias("lack2"), F.col("more").alias("more2"))
-    told = pairs.join(second, ["head", "item2"]).join(both.select("head", "item", "c", "n", "lack", "more"), ["head", "item"])
-    shared = F.size(F.array_intersect("lack", "lack2")) + F.size(F.array_intersect("more", "more2"))
-    same = F.col("c") - F.size("lack") - F.size("lack2") + shared
-    return told.where(100 * same >= percent * (F.col("n") + F.col("n2") - same)).select(
-        F.least("item", "item2").alias("a"), F.greatest("item", "item2").alias("b")).distinct()
-
-
-def _in_small(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in buckets of few rows, but for those whose distances to the head rule a link out.
-
-    A distance is known (``far``) or has a lower bound (``least``). Pairs of two items
-    near the head are left to ``_by_differences``.
+    # a bucket without a loose item joins nothing that the head does not
+    bucket = F.xxhash64("head", "side", "key").alias("bucket")
+    made = written(offered.select(bucket, "item", F.col("n").cast("long").alias("size"), "degree", "loose"))
+    wanted = made.groupBy("bucket").agg(F.max("loose").alias("any"), F.count("*").alias("rows")).where("any and rows > 1").select("bucket")
+    return _distinct_buckets(made.join(wanted, "bucket").select("bucket", "item", "size", "degree").distinct())
+
+
+def _linked(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places of pairs that link, as few as join the components: exact, all pairs of the group at once."""
+    n = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    holder = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], holder[order]
+    token = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])]) if len(flat) else flat
+    held = np.bincount(token) if len(flat) else np.zeros(0, np.int64)
+    # a token of one holder is in no intersection
+    more = held[token] > 1
+    token, holder = token[more], holder[more]
+    token = np.concatenate([[0], np.cumsum(token[1:] != token[:-1])]) if len(token) else token
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        a, b = np.searchsorted(token, [start, start + COLUMNS])
+        marks = np.zeros((len(sets), COLUMNS), np.float32)
+        marks[holder[a:b], token[a:b] - start] = 1
+        both += marks @ marks.T
+    both = both.astype(np.int64)  # whole numbers below 2^24 are exact
+    union = n[:, None] + n[None, :] - both
+    found = np.argwhere(np.triu((100 * both >= percent * union) & (component[:, None] != component[None, :]), 1))
+    root = {c: c for c in component.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in found.tolist():
+        x, y = top(int(component[i])), top(int(component[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def _spanning(groups: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Links (a, b) between items of a group (bucket, item, component), as few as join the group's components.
+
+    A group is bounded (SMALL, WEIGHT) and one task's work; its sets come to it once. No
+    pair leaves a task but those that join two components.
     """
-    tight = (100 - percent) / 100 + 1e-9
-    bounds = [F.coalesce("far", "least").alias("lo"), F.coalesce("far", F.lit(2.0)).alias("hi")]
-    rows = rows.select("bucket", "item", "size", "component", *bounds)
-    one = rows.select("bucket", *[F.col(c).alias(f"{c}1") for c in rows.columns[1:]])
-    two = rows.select("bucket", *[F.col(c).alias(f"{c}2") for c in rows.columns[1:]])
-    return (
-        one.join(two, "bucket")
-        .where("item1 < item2 and component1 <> component2")
-        .where(100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2"))
-        .where((F.col("lo1") - F.col("hi2") <= tight) & (F.col("lo2") - F.col("hi1") <= tight))
-        .where(F.greatest("hi1", "hi2") > NEAR)
-        .select(F.col("item1").alias("a"), F.col("item2").alias("b"))
-        .distinct()
-    )
+    groups = written(groups.distinct())
+    whole = groups.join(_sets_of(groups, "item", sets, "tokens"), "item").select("bucket", "item", "component", "tokens")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["bucket"]):
+            ids = group["item"].to_numpy()
+            tokens = group["tokens"].combine_chunks()
+            values, at = tokens.flatten().to_numpy(), (tokens.offsets.to_numpy() - tokens.offsets[0].as_py()).tolist()
+            pairs = _linked([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], group["component"].to_numpy(), percent)
+            if pairs:
+                i, j = (ids[list(x)] for x in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+    return whole.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+
+def _weighed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` of the keys that hold several components, with the weight ``n`` of their key."""
+    sums = rows.groupBy(key).agg(
+        (F.count("*") + F.floor(F.sum("size") / WEIGHT)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return rows.join(sums.where("lo <> hi").select(key, "n"), key)
 
 
 def link(buckets: DataFrame, sets: Sets, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -173,12 +215,13 @@ def link(buckets: DataFrame, sets: Sets, percent: int) -> tuple[DataFrame, DataF
     other items: by a share of the tokens first, and by whole sets only those that
     the share does not show to be far. Then the buckets whose other items lie in
     one component are done, as pairs inside a component change nothing. In the
-    others, items near the head are compared by their differences from it; what is
-    far from the head, and what may be a partner of such an item (the Jaccard
-    distance is a metric, so that must be about as far), is compared at once in
-    buckets of few rows, and goes through another round in larger ones. So a large
-    group of near copies costs about a pair an item, and no pair that could join
-    components is left out.
+    others, what is near a head (of whatever bucket) is one group, and what is far from
+    the head, with what may be a partner of it (the Jaccard distance is a metric, so
+    that must be about as far), another. Groups of bounded size are compared by one task
+    each, which returns no more links than join their components. Larger ones go
+    through another round: those near a head in the buckets of their differences from
+    it, the others as they are. So a large group of near copies costs about a pair an
+    item, and no pair that could join components is left out.
     """
     sizes = buckets.groupBy("bucket").agg((F.count("*") - 1).alias("n"))
     degree = buckets.join(sizes, "bucket").groupBy("item").agg(F.sum("n").alias("degree"))
@@ -212,19 +255,23 @@ def link(buckets: DataFrame, sets: Sets, percent: int) -> tuple[DataFrame, DataF
         if rows.isEmpty():
             return links, reach
 
-        star = rows.where(F.col("far") <= NEAR).select("head", "item", "component", "loose").distinct()
-        star = star.join(star.where("loose").select("head").distinct(), "head", "left_semi")
+        star = rows.where(F.col("far") <= NEAR).select("head", "item", "size", "degree", "component", "loose").distinct()
+        star = written(_weighed(star.join(star.where("loose").select("head").distinct(), "head", "left_semi"), "head"))
         beyond = F.when(F.col("far").isNull(), F.col("least")).when(F.col("far") > NEAR, F.col("far"))
         floors = rows.groupBy("bucket").agg(F.min(beyond).alias("floor")).where("floor is not null")
         apart = rows.join(floors, "bucket").where(F.coalesce("far", F.lit(1.0)) >= F.col("floor") - tight - 1e-9).drop("floor")
-        counts = apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        apart = written(_distinct_buckets(apart.join(counts.select("bucket", "n"), "bucket")))
-        close = _by_differences(star, sets, percent)
-        more = _sampled(_in_small(apart.where(F.col("n") <= small), percent), low).where(F.col("least") <= tight + 1e-9)
-        seen = similar_sets(written(more), sets).where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent)
-        links = links.unionAll(written(close.unionAll(seen.select("a", "b"))))
+        apart = written(_distinct_buckets(_weighed(apart, "bucket")))
+        at_once = F.col("n") <= small
+        groups = star.where(at_once).select(F.xxhash64(F.lit("near"), "head").alias("bucket"), "item", "component").unionAll(
+            apart.where(at_once).select("bucket", "item", "component"))
+        links = links.unionAll(written(_spanning(groups, sets, percent)))
         reach = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        current = apart.where(F.col("n") > small).select("bucket", "item", "size", "degree")
+        columns = ["bucket", "item", "size", "degree"]
+        current = apart.where(~at_once).select(*columns)
+        crowded = star.where(~at_once)
+        if not crowded.isEmpty():
+            current = current.unionAll(_difference_buckets(crowded, sets, percent).select(*columns))
         if current.isEmpty():
             return links, reach
+        current = written(current)
         small *= 4
