@@ -15,11 +15,11 @@ from .vectors import runs
 
 #: Items of a group that one task compares in the first round; larger groups take further
 #: heads. Each round allows four times as many, so the rounds stay few.
-SMALL = 256
+SMALL = 4_096
 #: So many tokens of its items count as one item more, so that a group of long sets is no larger in memory.
-WEIGHT = 4_096
-#: Tokens whose holders are looked at at once.
-COLUMNS = 4_096
+WEIGHT = 1_024
+#: Items, and tokens whose holders are looked at, at once.
+ROWS, COLUMNS = 1_024, 1_024
 #: Jaccard distance to a head up to which items are compared by their differences from it.
 NEAR = 0.5
 #: A pair is not compared further if its distance is shown to be at least so many times that of a link.
@@ -136,28 +136,43 @@ def _difference_buckets(star: DataFrame, sets: Sets, percent: int) -> DataFrame:
     return _distinct_buckets(made.join(wanted, "bucket").select("bucket", "item", "size", "degree").distinct())
 
 
-def _linked(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Places of pairs that link, as few as join the components: exact, all pairs of the group at once."""
+def _shared(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, both): how many values ROWS sets from ``first`` on share with each of all, from who holds which."""
     n = np.array([len(x) for x in sets])
     flat = np.concatenate(sets)
-    holder = np.repeat(np.arange(len(sets)), n)
     order = np.argsort(flat, kind="stable")
-    flat, holder = flat[order], holder[order]
-    token = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])]) if len(flat) else flat
-    held = np.bincount(token) if len(flat) else np.zeros(0, np.int64)
-    # a token of one holder is in no intersection
-    more = held[token] > 1
+    flat, holder = flat[order], np.repeat(np.arange(len(sets)), n)[order]
+    token = np.cumsum(np.append(0, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+    # a value of one holder is in no intersection
+    more = (np.bincount(token)[token] > 1) if len(token) else np.zeros(0, bool)
     token, holder = token[more], holder[more]
-    token = np.concatenate([[0], np.cumsum(token[1:] != token[:-1])]) if len(token) else token
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
-        a, b = np.searchsorted(token, [start, start + COLUMNS])
-        marks = np.zeros((len(sets), COLUMNS), np.float32)
-        marks[holder[a:b], token[a:b] - start] = 1
-        both += marks @ marks.T
-    both = both.astype(np.int64)  # whole numbers below 2^24 are exact
-    union = n[:, None] + n[None, :] - both
-    found = np.argwhere(np.triu((100 * both >= percent * union) & (component[:, None] != component[None, :]), 1))
+    token = np.cumsum(np.append(0, token[1:] != token[:-1])) if len(token) else token
+    kinds = int(token[-1]) + 1 if len(token) else 0
+    for first in range(0, len(sets), ROWS):
+        both = np.zeros((min(ROWS, len(sets) - first), len(sets)), np.float32)
+        for start in range(0, kinds, COLUMNS):
+            a, b = np.searchsorted(token, [start, start + COLUMNS])
+            marks = np.zeros((len(sets), min(COLUMNS, kinds - start)), np.float32)
+            marks[holder[a:b], token[a:b] - start] = 1
+            both += marks[first : first + ROWS] @ marks.T
+        yield first, both.astype(np.int32)  # whole numbers below 2^24 are exact
+
+
+def _may_link(sets: list[np.ndarray], n: np.ndarray, component: np.ndarray, tight: float) -> np.ndarray:
+    """Places of sets that a sample of their tokens does not show to be far from all sets of other components."""
+    size = np.array([len(x) for x in sets])
+    left = np.zeros(len(sets), bool)
+    for first, both in _shared(sets):
+        rows = slice(first, first + len(both))
+        apart = size[rows, None] + size[None, :] - 2 * both
+        near = 2 * apart <= (tight + 1e-9) * (n[rows, None] + n[None, :] + apart)
+        left[rows] = (near & (component[rows, None] != component[None, :])).any(axis=1)
+    return np.flatnonzero(left)
+
+
+def _linked(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places of pairs that link, as few as join the components: exact, all pairs of the group."""
+    n = np.array([len(x) for x in sets])
     root = {c: c for c in component.tolist()}
 
     def top(c):
@@ -167,34 +182,56 @@ def _linked(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list
         return c
 
     out = []
-    for i, j in found.tolist():
-        x, y = top(int(component[i])), top(int(component[j]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((i, j))
+    for first, both in _shared(sets):
+        rows = slice(first, first + len(both))
+        union = n[rows, None] + n[None, :] - both
+        found = (100 * both.astype(np.int64) >= percent * union) & (component[rows, None] != component[None, :])
+        for i, j in np.argwhere(np.triu(found, first + 1)).tolist():
+            x, y = top(int(component[first + i])), top(int(component[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((first + i, j))
     return out
 
 
-def _spanning(groups: DataFrame, sets: Sets, percent: int) -> DataFrame:
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    whole = column.combine_chunks()
+    at = (whole.offsets.to_numpy() - whole.offsets[0].as_py()).tolist()
+    values = whole.flatten().to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _spanning(groups: DataFrame, low: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Links (a, b) between items of a group (bucket, item, component), as few as join the group's components.
 
-    A group is bounded (SMALL, WEIGHT) and one task's work; its sets come to it once. No
-    pair leaves a task but those that join two components.
+    A group is bounded (SMALL, WEIGHT) and one task's work. Samples of the sets (``low``)
+    come to it first; whole sets follow only for items that the samples leave a partner.
+    No pair leaves a task but those that join two components.
     """
-    groups = written(groups.distinct())
-    whole = groups.join(_sets_of(groups, "item", sets, "tokens"), "item").select("bucket", "item", "component", "tokens")
+    tight = (100 - percent) / 100
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["bucket"]):
+            component = group["component"].to_numpy()
+            left = _may_link(_lists(group["low"]), group["n"].to_numpy(), component, tight)
+            if len(left):
+                yield pa.RecordBatch.from_arrays(
+                    [group["bucket"].to_numpy()[left], group["item"].to_numpy()[left], component[left]], names=["bucket", "item", "component"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["bucket"]):
             ids = group["item"].to_numpy()
-            tokens = group["tokens"].combine_chunks()
-            values, at = tokens.flatten().to_numpy(), (tokens.offsets.to_numpy() - tokens.offsets[0].as_py()).tolist()
-            pairs = _linked([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], group["component"].to_numpy(), percent)
+            pairs = _linked(_lists(group["tokens"]), group["component"].to_numpy(), percent)
             if pairs:
                 i, j = (ids[list(x)] for x in zip(*pairs, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
-    return whole.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    sampled = groups.distinct().join(low, "item").select("bucket", "item", "component", "low", "n")
+    open_groups = written(sampled.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pick, "bucket long, item long, component long"))
+    if open_groups.isEmpty():
+        return open_groups.select(F.col("item").alias("a"), F.col("item").alias("b"))
+    whole = open_groups.join(_sets_of(open_groups, "item", sets, "tokens"), "item").select("bucket", "item", "component", "tokens")
+    return whole.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(join, "a long, b long")
 
 
 def _weighed(rows: DataFrame, key: str) -> DataFrame:
@@ -218,7 +255,8 @@ def link(buckets: DataFrame, sets: Sets, percent: int) -> tuple[DataFrame, DataF
     others, what is near a head (of whatever bucket) is one group, and what is far from
     the head, with what may be a partner of it (the Jaccard distance is a metric, so
     that must be about as far), another. Groups of bounded size are compared by one task
-    each, which returns no more links than join their components. Larger ones go
+    each, by samples and then by whole sets, which returns no more links than join their
+    components. Larger ones go
     through another round: those near a head in the buckets of their differences from
     it, the others as they are. So a large group of near copies costs about a pair an
     item, and no pair that could join components is left out.
@@ -264,7 +302,7 @@ def link(buckets: DataFrame, sets: Sets, percent: int) -> tuple[DataFrame, DataF
         at_once = F.col("n") <= small
         groups = star.where(at_once).select(F.xxhash64(F.lit("near"), "head").alias("bucket"), "item", "component").unionAll(
             apart.where(at_once).select("bucket", "item", "component"))
-        links = links.unionAll(written(_spanning(groups, sets, percent)))
+        links = links.unionAll(written(_spanning(groups, low, sets, percent)))
         reach = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         columns = ["bucket", "item", "size", "degree"]
         current = apart.where(~at_once).select(*columns)
