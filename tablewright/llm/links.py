@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, kept_in, written
+from .shingles import mix
 from .vectors import runs
 
 #: Items of a group that one task compares in the first round; larger groups take further
@@ -159,15 +160,28 @@ def _shared(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _may_link(sets: list[np.ndarray], n: np.ndarray, component: np.ndarray, tight: float) -> np.ndarray:
-    """Places of sets that a sample of their tokens does not show to be far from all sets of other components."""
+    """For each set the first place of those it may be joined with, or -1.
+
+    Two sets may link if they are of different components and a sample of their tokens does
+    not show them to be far from each other; sets that such pairs connect belong together.
+    """
     size = np.array([len(x) for x in sets])
-    left = np.zeros(len(sets), bool)
+    first_of, any_pair = np.arange(len(sets)), np.zeros(len(sets), bool)
     for first, both in _shared(sets):
         rows = slice(first, first + len(both))
         apart = size[rows, None] + size[None, :] - 2 * both
         near = 2 * apart <= (tight + 1e-9) * (n[rows, None] + n[None, :] + apart)
-        left[rows] = (near & (component[rows, None] != component[None, :])).any(axis=1)
-    return np.flatnonzero(left)
+        i, j = np.nonzero(near & (component[rows, None] != component[None, :]))
+        i += first
+        any_pair[i] = True
+        before = None
+        while before is None or (first_of != before).any():
+            before = first_of.copy()
+            least = np.minimum(first_of[i], first_of[j])
+            for end in (i, j, before[i], before[j]):
+                np.minimum.at(first_of, end, least)
+            first_of = first_of[first_of]
+    return np.where(any_pair, first_of, -1)
 
 
 def _linked(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -205,18 +219,24 @@ def _spanning(groups: DataFrame, low: DataFrame, sets: Sets, percent: int) -> Da
     """Links (a, b) between items of a group (bucket, item, component), as few as join the group's components.
 
     A group is bounded (SMALL, WEIGHT) and one task's work. Samples of the sets (``low``)
-    come to it first; whole sets follow only for items that the samples leave a partner.
-    No pair leaves a task but those that join two components.
+    come to it first, and cut it into parts that may be joined; a part is named by the
+    items in it (64 bits), so that one found in many groups is looked at once. Whole sets
+    follow for the items of these parts alone. No pair leaves a task but those that join
+    two components.
     """
     tight = (100 - percent) / 100
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["bucket"]):
-            component = group["component"].to_numpy()
-            left = _may_link(_lists(group["low"]), group["n"].to_numpy(), component, tight)
+            component, items = group["component"].to_numpy(), group["item"].to_numpy()
+            part = _may_link(_lists(group["low"]), group["n"].to_numpy(), component, tight)
+            left = np.flatnonzero(part >= 0)
             if len(left):
-                yield pa.RecordBatch.from_arrays(
-                    [group["bucket"].to_numpy()[left], group["item"].to_numpy()[left], component[left]], names=["bucket", "item", "component"])
+                name, place = np.zeros(len(part), np.uint64), part[left]
+                np.bitwise_xor.at(name, place, mix(items[left].view(np.uint64)))
+                count = np.bincount(place, minlength=len(part)).astype(np.uint64)
+                bucket = mix(name + mix(count))[place].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket, items[left], component[left])], names=["bucket", "item", "component"])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["bucket"]):
@@ -227,7 +247,7 @@ def _spanning(groups: DataFrame, low: DataFrame, sets: Sets, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
     sampled = groups.distinct().join(low, "item").select("bucket", "item", "component", "low", "n")
-    open_groups = written(sampled.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pick, "bucket long, item long, component long"))
+    open_groups = written(sampled.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pick, "bucket long, item long, component long").distinct())
     if open_groups.isEmpty():
         return open_groups.select(F.col("item").alias("a"), F.col("item").alias("b"))
     whole = open_groups.join(_sets_of(open_groups, "item", sets, "tokens"), "item").select("bucket", "item", "component", "tokens")
