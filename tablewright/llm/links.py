@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, kept_in, written
+from .common import BROADCAST_KEYS, components, kept_in, written
 from .shingles import mix
 from .vectors import runs
 
@@ -39,6 +39,11 @@ def _sets_of(rows: DataFrame, name: str, sets: Sets, tokens: str) -> DataFrame:
     return sets(keys).select(F.col("item").alias(name), F.col("tokens").alias(tokens))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Written rows of a few longs, to be broadcast to what they are joined with if they are few, so that sets stay where they are."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+
+
 def _distinct_buckets(rows: DataFrame) -> DataFrame:
     """``rows`` without buckets of one item, and one bucket of those that hold the same items.
 
@@ -67,15 +72,20 @@ def similar_sets(pairs: DataFrame, sets: Sets) -> DataFrame:
     """(a, b, both, n_a, n_b) for pairs of items, from their sets (item, tokens): exact intersections."""
     left = _sets_of(pairs, "a", sets, "ta")
     right = _sets_of(pairs, "b", sets, "tb")
-    met = pairs.select("a", "b").join(right, "b").join(left, "a")
+    met = right.join(_few(written(pairs.select("a", "b"))), "b").join(left, "a")
     return met.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"),
                       F.size("ta").cast("long").alias("n_a"), F.size("tb").cast("long").alias("n_b"))
 
 
 def _samples(sets: DataFrame, share: float) -> DataFrame:
-    """(item, low, n): the tokens in the first ``share`` of their range, and the size of each set."""
+    """(item, low, n): the tokens in the first ``share`` of their range, as 31 bits each, and the size of each set.
+
+    Two tokens that become one are one difference less, so what samples show to be far is far.
+    """
     end = min(int(max(share, 0.05) * 2**64), 2**63 - 1)
-    return sets.select("item", F.filter("tokens", lambda x: (x >= 0) & (x < F.lit(end))).alias("low"), F.size("tokens").cast("long").alias("n"))
+    low = F.filter("tokens", lambda x: (x >= 0) & (x < F.lit(end)))
+    short = F.array_distinct(F.transform(low, lambda x: F.shiftright(x, max(0, end.bit_length() - 31)).cast("int")))
+    return sets.select("item", short.alias("low"), F.size("tokens").cast("long").alias("n"))
 
 
 def _sampled(pairs: DataFrame, low: DataFrame) -> DataFrame:
@@ -87,7 +97,7 @@ def _sampled(pairs: DataFrame, low: DataFrame) -> DataFrame:
     left = low.select(F.col("item").alias("a"), F.col("low").alias("la"), F.col("n").alias("n_a"))
     right = low.select(F.col("item").alias("b"), F.col("low").alias("lb"), F.col("n").alias("n_b"))
     apart = F.size("la") + F.size("lb") - 2 * F.size(F.array_intersect("la", "lb"))
-    met = pairs.select("a", "b").join(right, "b").join(left, "a")
+    met = right.join(_few(pairs.select("a", "b")), "b").join(left, "a")
     return met.select("a", "b", "n_a", "n_b", (2 * apart / (F.col("n_a") + F.col("n_b") + apart)).alias("least"))
 
 
@@ -246,11 +256,11 @@ def _spanning(groups: DataFrame, low: DataFrame, sets: Sets, percent: int) -> Da
                 i, j = (ids[list(x)] for x in zip(*pairs, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
-    sampled = groups.distinct().join(low, "item").select("bucket", "item", "component", "low", "n")
+    sampled = low.join(_few(written(groups.distinct())), "item").select("bucket", "item", "component", "low", "n")
     open_groups = written(sampled.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pick, "bucket long, item long, component long").distinct())
     if open_groups.isEmpty():
         return open_groups.select(F.col("item").alias("a"), F.col("item").alias("b"))
-    whole = open_groups.join(_sets_of(open_groups, "item", sets, "tokens"), "item").select("bucket", "item", "component", "tokens")
+    whole = _sets_of(open_groups, "item", sets, "tokens").join(_few(open_groups), "item").select("bucket", "item", "component", "tokens")
     return whole.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(join, "a long, b long")
 
 
