@@ -20,6 +20,8 @@ FREQUENT = 2
 #: ... by a map of so many bits (8 MB), which is broadcast. Shingles that share a bit are of
 #: one class; any choice of classes gives the same links, a good one keeps candidates few.
 MAP_BITS = 26
+#: Bytes of texts whose shingles a worker holds at once (or one longer text).
+SLICE = 500_000
 
 
 def slack(n: np.ndarray | int, percent: int = PERCENT):
@@ -37,7 +39,7 @@ def _plain_prefixes(words: int, percent: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, SLICE):
                 values, begin = _document_sets(part, words)
                 n = np.diff(begin)
                 own = np.arange(len(values)) - np.repeat(begin[:-1], n)
@@ -105,7 +107,7 @@ def _signed(words: int, percent: int, frequent):
         common = frequent.value
         least = -(-percent // (100 - percent)) if percent < 100 else 1
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, SLICE):
                 values, begin = _document_sets(part, words)
                 n = np.diff(begin)
                 names = S.set_names(values, begin)
@@ -126,7 +128,7 @@ def _signed(words: int, percent: int, frequent):
 def _sets(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, SLICE):
                 values, begin = _document_sets(part, words)
                 yield pa.RecordBatch.from_arrays([pa.array(S.set_names(values, begin)), S.lists(values, begin)], names=["item", "tokens"])
 
