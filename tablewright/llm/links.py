@@ -14,13 +14,14 @@ from .common import BROADCAST_KEYS, components, kept_in, written
 from .shingles import mix
 from .vectors import runs
 
-#: Items of a group that one task compares in the first round; larger groups take further
-#: heads. Each round allows four times as many, so the rounds stay few.
+#: Items of a group that one task compares; larger groups take further heads.
 SMALL = 4_096
 #: So many tokens of its items count as one item more, so that a group of long sets is no larger in memory.
 WEIGHT = 1_024
 #: Items, and tokens whose holders are looked at, at once.
 ROWS, COLUMNS = 1_024, 1_024
+#: Items that are set against all of their group at once, once it is known what they share.
+STRIP = 128
 #: Jaccard distance to a head up to which items are compared by their differences from it.
 NEAR = 0.5
 #: A pair is not compared further if its distance is shown to be at least so many times that of a link.
@@ -147,26 +148,38 @@ def _difference_buckets(star: DataFrame, sets: Sets, percent: int) -> DataFrame:
     return _distinct_buckets(made.join(wanted, "bucket").select("bucket", "item", "size", "degree").distinct())
 
 
-def _shared(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(first, both): how many values ROWS sets from ``first`` on share with each of all, from who holds which."""
-    n = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    flat, holder = flat[order], np.repeat(np.arange(len(sets)), n)[order]
-    token = np.cumsum(np.append(0, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+def _holders(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(token, holder): numbers of the values that several sets hold, in order, and the sets that hold them."""
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    holder = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order]
+    del order
     # a value of one holder is in no intersection
-    more = (np.bincount(token)[token] > 1) if len(token) else np.zeros(0, bool)
-    token, holder = token[more], holder[more]
-    token = np.cumsum(np.append(0, token[1:] != token[:-1])) if len(token) else token
-    kinds = int(token[-1]) + 1 if len(token) else 0
-    for first in range(0, len(sets), ROWS):
-        both = np.zeros((min(ROWS, len(sets) - first), len(sets)), np.float32)
+    as_next = values[1:] == values[:-1]
+    more = np.zeros(len(values), bool)
+    more[1:] |= as_next
+    more[:-1] |= as_next
+    values, holder = values[more], holder[more]
+    new = np.zeros(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.cumsum(new, dtype=np.int32), holder
+
+
+def _shared(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, both): how many values STRIP sets from ``first`` on share with each of all, from who holds which."""
+    token, holder = _holders(sets)
+    kinds, total = int(token[-1]) + 1 if len(token) else 0, len(sets)
+    for first in range(0, total, ROWS):
+        both = np.zeros((min(ROWS, total - first), total), np.float32)
         for start in range(0, kinds, COLUMNS):
             a, b = np.searchsorted(token, [start, start + COLUMNS])
-            marks = np.zeros((len(sets), min(COLUMNS, kinds - start)), np.float32)
+            marks = np.zeros((total, min(COLUMNS, kinds - start)), np.float32)
             marks[holder[a:b], token[a:b] - start] = 1
             both += marks[first : first + ROWS] @ marks.T
-        yield first, both.astype(np.int32)  # whole numbers below 2^24 are exact
+        marks = None
+        for at in range(0, len(both), STRIP):
+            yield first + at, both[at : at + STRIP].astype(np.int32)  # whole numbers below 2^24 are exact
 
 
 def _may_link(sets: list[np.ndarray], n: np.ndarray, component: np.ndarray, tight: float) -> np.ndarray:
@@ -219,10 +232,13 @@ def _linked(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    whole = column.combine_chunks()
-    at = (whole.offsets.to_numpy() - whole.offsets[0].as_py()).tolist()
-    values = whole.flatten().to_numpy()
-    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    """Each list as an array; none is copied."""
+    out = []
+    for chunk in column.chunks:
+        at = (chunk.offsets.to_numpy() - chunk.offsets[0].as_py()).tolist()
+        values = chunk.flatten().to_numpy()
+        out += [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
 
 
 def _spanning(groups: DataFrame, low: DataFrame, sets: Sets, percent: int) -> DataFrame:
