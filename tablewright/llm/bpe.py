@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from .common import text_slices
 
-#: Words whose ids a Python worker keeps from slice to slice; beyond, it starts anew.
-KEPT_WORDS = 400_000
+#: Words, and their characters in all, whose ids a Python worker keeps from slice to slice; beyond, it starts anew.
+KEPT_WORDS, KEPT_CHARACTERS = 400_000, 8_000_000
 _NONE = np.iinfo(np.int32).max
 #: Code points below this are classed by the table of the standard ``re``.
 _LATIN = 0x250
@@ -185,15 +185,17 @@ class _Words:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.characters = 0
         self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def encode(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents in a row, and how many each has."""
-        if len(self.number) > KEPT_WORDS:
+        if len(self.number) > KEPT_WORDS or self.characters > KEPT_CHARACTERS:
             self.clear()
         new = list({w for d in docs for w in d}.difference(self.number))
+        self.characters += sum(map(len, new))
         ids, counts = self.replay.encode([w.encode() for w in new])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
@@ -219,32 +221,56 @@ def _worker_words(ranks: dict[bytes, int]) -> _Words:
     return _KEPT[key]
 
 
-def _encode_batches(ranks, pattern: str):
+def _encoder(ranks: dict[bytes, int], pattern: str):
+    """The ids of an array of texts, a list a text."""
+    words, split = _worker_words(ranks), word_splitter(pattern)
+
+    def ids(texts: pa.Array) -> pa.ListArray:
+        flat, ends = words.encode([split(t) if t else [] for t in texts.to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+    return ids
+
+
+def _decoder(ranks: dict[bytes, int]):
+    """The bytes of an array of lists of ids."""
+    vocabulary = [b""] * (max(ranks.values()) + 1)
+    for token, r in ranks.items():
+        vocabulary[r] = token
+
+    def decoded(lists: pa.ListArray) -> pa.Array:
+        out = [b"".join(map(vocabulary.__getitem__, x.values.to_numpy().tolist())) if x.is_valid else None for x in lists]
+        return pa.array(out, pa.binary())
+
+    return decoded
+
+
+def _encode_batches(ranks, pattern: str, back: bool = False):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, split = _worker_words(ranks.value), word_splitter(pattern)
+        ids, decoded = _encoder(ranks.value, pattern), _decoder(ranks.value) if back else None
         for batch in batches:
             for part in text_slices(batch):
-                flat, ends = words.encode([split(t) if t else [] for t in part.column("text").to_pylist()])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
+                made = [ids(part.column("text"))]
+                if back:
+                    made.append(decoded(made[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *["ids", "decoded"][: len(made)]])
 
     return run
 
 
 def _decode_batches(ranks):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = [b""] * (max(ranks.value.values()) + 1)
-        for token, r in ranks.value.items():
-            vocabulary[r] = token
+        decoded = _decoder(ranks.value)
         for batch in batches:
-            out = []
-            for ids in batch.column("ids"):
-                out.append(b"".join(map(vocabulary.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded(batch.column("ids"))], names=[*batch.schema.names, "decoded"])
 
     return run
 
 
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
+_DECODED = T.StructField("decoded", T.BinaryType())
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with ``ids`` (array of int): its text by the ranks in the file at ``path``.
 
@@ -253,12 +279,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     texts makes one corpus of its new words; each distinct word is encoded once.
     Null and empty texts have no ids; repeated rows give the same ids; an input
     column named ``ids`` is replaced. Memory: a slice of 2 MB of text, or one text,
-    and KEPT_WORDS words.
+    and KEPT_WORDS words or KEPT_CHARACTERS characters of them, with those of a slice.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     docs = docs.drop("ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    return docs.mapInArrow(_encode_batches(ranks, pattern), schema)
+    return docs.mapInArrow(_encode_batches(ranks, pattern), T.StructType([*docs.schema.fields, _IDS]))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -268,5 +293,14 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     """
     ranks = tokens.sparkSession.sparkContext.broadcast(load_ranks(path))
     tokens = tokens.drop("decoded")
-    schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return tokens.mapInArrow(_decode_batches(ranks), schema)
+    return tokens.mapInArrow(_decode_batches(ranks), T.StructType([*tokens.schema.fields, _DECODED]))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, as ``decode`` of ``encode`` gives them, by one worker a task in place of two.
+
+    Rows, nulls and columns that are replaced are as in these two; ``decoded`` of a null text is empty.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    docs = docs.drop("ids", "decoded")
+    return docs.mapInArrow(_encode_batches(ranks, pattern, back=True), T.StructType([*docs.schema.fields, _IDS, _DECODED]))

@@ -287,6 +287,7 @@ def test_encoding_of_odd_tables(spark, encoding):
     path, library = encoding
     df = odd_docs(spark)
     out = bpe.decode(bpe.encode(df, path, public_tokenizers.PATTERN), path)
+    assert sorted(map(repr, bpe.round_trip(df, path, public_tokenizers.PATTERN).collect())) == sorted(map(repr, out.collect()))
     assert out.count() == df.count() and set(out.columns) == set(df.columns) | {"decoded"}
     for text, ids, decoded in rows_of(out.select("text", "ids", "decoded")):
         assert ids == library.encode_ordinary(text or "") and bytes(decoded) == (text or "").encode()
