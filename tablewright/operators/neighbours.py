@@ -1,9 +1,10 @@
 """k nearest neighbours, exact at any size.
 
-A training side of a checked, small size is broadcast as one matrix.  A larger
-one is cut into cells by a tree of pivots whose depth follows the number of rows;
-the triangle inequality tells which nodes can hold a neighbour of a row, so rows
-only meet the cells below those.  Crowded cells are cut into chunks of bounded size
+A training side of a checked, small size that meets few rows is broadcast as one
+matrix.  Otherwise it is cut into cells by a tree of pivots whose depth follows the
+number of rows.  A row first meets the cell it lies in, which bounds its k-th distance;
+the triangle inequality then tells which nodes can hold a nearer one, so rows only
+meet the cells below those.  Crowded cells are cut into chunks of bounded size
 on both sides, each chunk returns its own ``k`` best, and the best of those are kept.
 Distances are worked out in tiles of a bounded number of rows, a dimension at a time.
 """
@@ -20,10 +21,12 @@ from pyspark.sql import types as T
 
 from ..functions.report import local_rows
 from ..functions.schema import col
-from ..session import checkpointed
+from ..session import checkpointed, spread, tasks_for
 
 K = 5
 BROADCAST_CELLS = 4_000_000
+#: Pairs of rows that are compared without cells, at most.
+BROADCAST_PAIRS = 500_000_000
 CHUNK_ROWS = 8192
 #: Children of a node of the cell tree, at most.
 FANOUT = 256
@@ -54,10 +57,11 @@ def nearest(
     base = base.filter(F.forall("x", lambda v: v.isNotNull()) & F.col("y").isNotNull())
     probe = test.select(col(key).alias("id"), x.alias("x"))
     probe = probe.filter(F.forall("x", lambda v: v.isNotNull()))
-    if base.count() * len(features) <= broadcast_cells:
+    known, asked = base.count(), probe.count()
+    if known * len(features) <= broadcast_cells and known * asked <= BROADCAST_PAIRS:
         found = _against_broadcast(base, probe, k)
     else:
-        found = _against_cells(base, probe, k, chunk_rows)
+        found = _against_cells(spread(base, known), spread(probe, asked), k, chunk_rows, known, asked)
     best = Window.partitionBy("id").orderBy("distance2", "neighbour")
     return (
         found.withColumn("place", F.row_number().over(best))
@@ -97,8 +101,11 @@ def _schema(base: DataFrame, probe: DataFrame) -> T.StructType:
     )
 
 
-def _best(ids, x, other_ids, other_x, other_y, k):
-    """The ``k`` nearest of a bounded block for a bounded block of rows."""
+def _best(ids, x, other_ids, other_x, other_y, k, bounds=None):
+    """The ``k`` nearest of a bounded block for a bounded block of rows.
+
+    Rows farther than ``bounds`` (squared, widened) are left out, if a row's is given and finite.
+    """
     parts = []
     order = np.argsort(other_ids, kind="stable")
     other_ids, other_x, other_y = other_ids[order], other_x[order], other_y[order]
@@ -107,8 +114,11 @@ def _best(ids, x, other_ids, other_x, other_y, k):
         rows = x[start : start + step]
         far = _squares(rows, other_x)
         kept = min(k, far.shape[1])
-        edge = np.partition(far, kept - 1, axis=1)[:, kept - 1 : kept]
-        r, c = np.nonzero(far <= edge)  # ties at the edge included
+        edge = np.full(len(rows), np.inf) if bounds is None else bounds[start : start + step].copy()
+        free = np.flatnonzero(np.isinf(edge))
+        if len(free):
+            edge[free] = _kth(far if len(free) == len(far) else far[free], kept)
+        r, c = np.nonzero(far <= edge[:, None])  # ties at the edge included
         order = np.lexsort((c, far[r, c], r))  # keys ascend with c
         r, c = r[order], c[order]
         first = np.searchsorted(r, np.arange(len(rows)))
@@ -127,6 +137,11 @@ def _best(ids, x, other_ids, other_x, other_y, k):
     return pd.concat(parts) if parts else pd.DataFrame({"id": [], "neighbour": [], "distance2": [], "y": []})
 
 
+def _kth(far: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th smallest of each row."""
+    return np.partition(far, k - 1, axis=1)[:, k - 1]
+
+
 def _matrix(column):
     return np.asarray(column.tolist(), dtype=float)
 
@@ -195,12 +210,16 @@ class CellTree:
                         waiting.append((self.children[choice[c]], part[nearest_child == c]))
         return nodes, fars
 
-    def reach(self, x: np.ndarray, n: np.ndarray, radius: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def reach(
+        self, x: np.ndarray, n: np.ndarray, radius: np.ndarray, kth: np.ndarray, k: int, known: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf that may hold one of the row's ``k`` nearest.
 
         ``n``, ``radius``, ``kth``: of each node its rows, how far the farthest and the k-th
         closest of them lie from its pivot.  A node of k rows bounds the k-th neighbour's
-        distance; by the triangle inequality a node beyond the bound holds none.
+        distance, as does ``known``; by the triangle inequality a node beyond the bound holds
+        none.  Nor does one whose pivot is farther than a sibling's by more than twice the
+        bound: its rows are nearest to its own pivot.
         """
         found: list[tuple[np.ndarray, np.ndarray]] = []
         # children of a node stand side by side
@@ -221,7 +240,10 @@ class CellTree:
             several = np.take_along_axis(ends, order, axis=1)[rows, enough]
             several[held[:, -1] < k] = np.inf
             bound = np.minimum(bound, several)
-            row, place = np.nonzero(far - radius[self.roots] <= (bound * (1 + SLACK))[:, None] + SLACK * (1 + far))
+            if known is not None:
+                bound = np.minimum(bound, known[start : start + step])
+            wide = (bound * (1 + SLACK))[:, None] + SLACK * (1 + far)
+            row, place = np.nonzero((far - radius[self.roots] <= wide) & (far - far.min(axis=1)[:, None] <= 2 * wide))
             node = self.roots[place]
             while len(row):
                 leaf = width[node] == 0
@@ -236,7 +258,9 @@ class CellTree:
                     gap = part[row[a : a + PAIRS]] - self.pivots[child[a : a + PAIRS]]
                     far[a : a + PAIRS] = np.sqrt((gap * gap).sum(axis=1))
                 np.minimum.at(bound, row, np.where(n[child] >= k, far + kth[child], np.inf))
-                keep = far - radius[child] <= bound[row] * (1 + SLACK) + SLACK * (1 + far)
+                nearest_child = np.repeat(np.minimum.reduceat(far, np.cumsum(many) - many), many)
+                wide = bound[row] * (1 + SLACK) + SLACK * (1 + far)
+                keep = (far - radius[child] <= wide) & (far - nearest_child <= 2 * wide)
                 row, node = row[keep], child[keep]
         return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
 
@@ -254,8 +278,8 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def grow_tree(base: DataFrame, dim: int, leaf_rows: int, most_pivots: int) -> tuple[CellTree, DataFrame]:
     """The tree, and the rows with ``nodes`` and ``fars`` from root to leaf.
 
-    Leaves of more than ``leaf_rows`` rows get children, level by level, until none is
-    left that differs inside, or ``most_pivots`` stand: so the depth follows the rows, and
+    Leaves of more than ``leaf_rows`` rows get children (so many that these have a quarter of
+    that, or FANOUT), level by level, until none is left that differs inside, or ``most_pivots`` stand: so the depth follows the rows, and
     what is broadcast has a bound.  Pivots are the different rows of least hash; any choice
     gives the same neighbours.
     """
@@ -291,18 +315,18 @@ def grow_tree(base: DataFrame, dim: int, leaf_rows: int, most_pivots: int) -> tu
             pivots.setdefault(r["leaf"], []).append(r["x"])
         for c in crowded:
             if len(pivots[c]) > 1:
-                tree.grow(c, np.array(pivots[c], float))
+                tree.grow(c, np.array(pivots[c][: max(2, -(-4 * sizes[c] // leaf_rows))], float))
             else:
                 final.add(c)  # copies of one row
 
 
-def _against_cells(base: DataFrame, probe: DataFrame, k: int, chunk_rows: int) -> DataFrame:
+def _against_cells(base: DataFrame, probe: DataFrame, k: int, chunk_rows: int, known: int, asked: int) -> DataFrame:
     spark = base.sparkSession
     head = base.select(F.size("x").alias("d")).first()
     if head is None:
         return spark.createDataFrame([], _schema(base, probe))
     dim = max(1, head["d"])
-    tree, placed = grow_tree(base, dim, chunk_rows, max(FANOUT, BROADCAST_CELLS // dim))
+    tree, placed = grow_tree(base, dim, max(1, chunk_rows // 2), max(FANOUT, BROADCAST_CELLS // dim))
     cells = placed.select("id", "y", "x", F.element_at("nodes", -1).alias("cell"))
     # Per node: rows, radius, and how far its k-th closest row is from the pivot.
     each = placed.select(F.inline(F.arrays_zip("nodes", "fars"))).toDF("node", "far")
@@ -314,27 +338,68 @@ def _against_cells(base: DataFrame, probe: DataFrame, k: int, chunk_rows: int) -
     for r in stats:
         n[r["node"]], radius[r["node"]], nearest_k[r["node"]] = r["n"], r["radius"], r["kth"]
     shared = spark.sparkContext.broadcast((tree, n, radius, nearest_k))
+    # Comparing costs far more than the bytes of the rows tell: partitions by rows, not by size.
+    tasks = 4 * tasks_for(spark, known + asked)
+    keys = ("cell", "chunk", "slice")
+
+    def meet(left, right, search, schema):
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+
+    def sizes(df, name):
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias(name))
+
+    spread_rows = F.xxhash64("id")
+    chunks = sizes(cells, "chunks")
+    chunked = cells.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(spread_rows, "chunks").cast("int"))
+
+    # First a row meets its own cell (of a crowded one a chunk): the k-th distance there bounds the others.
+    def home(batches):
+        for rows in batches:
+            if len(rows):
+                rows["cell"] = np.array([path[-1] for path in shared.value[0].paths(_matrix(rows["x"]))[0]], "int32")
+                yield rows
+
+    def bounded(rows, other):
+        bound = np.full(len(rows), np.inf)
+        if len(other) >= k and len(rows):
+            x, other_x = _matrix(rows["x"]), _matrix(other["x"])
+            step = max(1, TILE // len(other_x))
+            for start in range(0, len(x), step):
+                bound[start : start + step] = np.sqrt(_kth(_squares(x[start : start + step], other_x), k))
+        return rows[["id", "x"]].assign(bound=bound)
+
+    at_home = checkpointed(probe.mapInPandas(home, T.StructType([*probe.schema.fields, T.StructField("cell", T.IntegerType())])))
+    # Where a cell meets many rows those are cut into slices, and each of its chunks meets every slice.
+    parts = F.broadcast(chunks.join(sizes(at_home, "slices"), "cell"))
+    draw = F.xxhash64("id", "x")
+    left = at_home.join(F.broadcast(sizes(at_home, "slices")), "cell").join(F.broadcast(chunks), "cell", "left").select(
+        "id", "x", "cell", F.coalesce(F.pmod(draw, "chunks"), F.lit(0)).cast("int").alias("chunk"),
+        F.pmod(F.shiftright(draw, 20), "slices").cast("int").alias("slice"),
+    )
+    right = chunked.drop("chunks").join(parts, "cell").select(
+        "x", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    )
+    edged = meet(left, right, bounded, T.StructType([*probe.schema.fields, T.StructField("bound", T.DoubleType())]))
 
     def route(batches):
         for rows in batches:
             if len(rows):
-                r, c = shared.value[0].reach(_matrix(rows["x"]), *shared.value[1:], k)
+                r, c = shared.value[0].reach(_matrix(rows["x"]), *shared.value[1:], k, rows["bound"].to_numpy())
                 for a in range(0, len(r), PAIRS):
-                    out = rows.iloc[r[a : a + PAIRS]][["id", "x"]].copy()
+                    out = rows.iloc[r[a : a + PAIRS]].copy()
                     out["cell"] = c[a : a + PAIRS].astype("int32")
                     yield out
 
-    routed = checkpointed(probe.mapInPandas(route, T.StructType([*probe.schema.fields, T.StructField("cell", T.IntegerType())])))
+    routed = checkpointed(edged.mapInPandas(route, T.StructType([*edged.schema.fields, T.StructField("cell", T.IntegerType())])))
     # A crowded cell (copies, or a tree at its bound) is cut into chunks; where it meets many
     # rows those are cut into slices too, and each chunk meets every slice.  A row a cell.
-    crowd = routed.groupBy("cell").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("slices"))
-    parts = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")).join(crowd, "cell"))
-    spread = F.xxhash64("id")
+    parts = F.broadcast(chunks.join(sizes(routed, "slices"), "cell"))
     left = routed.join(parts, "cell").select(
-        "id", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(spread, "slices").cast("int").alias("slice")
+        "id", "x", "bound", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(spread_rows, "slices").cast("int").alias("slice")
     )
-    right = cells.join(parts, "cell").select(
-        "id", "y", "x", "cell", F.pmod(spread, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    right = chunked.drop("chunks").join(parts, "cell").select(
+        "id", "y", "x", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     )
 
     def search(rows, other):
@@ -347,7 +412,7 @@ def _against_cells(base: DataFrame, probe: DataFrame, k: int, chunk_rows: int) -
             _matrix(other["x"]),
             other["y"].to_numpy(),
             k,
+            (rows["bound"].to_numpy() ** 2) * (1 + 4 * SLACK),
         )
 
-    keys = ("cell", "chunk", "slice")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, _schema(base, probe))
+    return meet(left, right, search, _schema(base, probe))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -37,6 +38,21 @@ def shared_scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that are worth a task of their own, and the most that one is given.
+TASK_ROWS, MOST_TASK_ROWS = 10_000, 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for costly work on ``rows`` rows: all cores once they have enough, more as the rows grow."""
+    return max(1, min(rows // TASK_ROWS, spark.sparkContext.defaultParallelism), math.ceil(rows / MOST_TASK_ROWS))
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt for costly work on its rows; partitions of a scan or a join follow bytes, not work."""
+    n = tasks_for(df.sparkSession, rows)
+    return df.repartition(n) if n > 1 else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder that all executors share and read it back.
 

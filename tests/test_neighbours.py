@@ -60,6 +60,43 @@ def test_fewer_rows_than_neighbours_and_none(spark):
     assert found(spark, [], [(9, [0, 0])], 5) == {} and found(spark, rows, [], 5) == {}
 
 
+def test_many_pairs_are_met_in_cells_on_all_cores(spark, monkeypatch):
+    """A training side small enough to be broadcast, and rows that are too many to compare with all of it."""
+    rng = np.random.default_rng(4)
+    train = [(i, x) for i, x in enumerate(rng.integers(0, 60, (400, 2)).tolist())]
+    asked = [(1_000 + i, x) for i, x in enumerate(rng.integers(0, 60, (90, 2)).tolist())]
+    left = spark.createDataFrame([(i, *x, i % 3) for i, x in train], "id long, a long, b long, y long")
+    right = spark.createDataFrame([(i, *x) for i, x in asked], "id long, a long, b long")
+    monkeypatch.setattr(neighbours, "BROADCAST_PAIRS", 1_000)
+    tasks, meet = [], neighbours._against_cells
+    monkeypatch.setattr(neighbours, "_against_cells", lambda base, probe, *rest: tasks.append(base.rdd.getNumPartitions()) or meet(base, probe, *rest))
+    monkeypatch.setattr("tablewright.session.TASK_ROWS", 50)
+    out = {}
+    for r in neighbours.nearest(left.coalesce(1), right.coalesce(1), ["a", "b"], "id", "y", 5, chunk_rows=40).collect():
+        out.setdefault(r["id"], []).append((r["neighbour"], r["distance2"]))
+    assert {i: sorted(v, key=lambda p: (p[1], p[0])) for i, v in out.items()} == plain(train, asked, 5)
+    assert tasks == [8]
+
+
+def test_a_known_bound_leaves_few_cells_and_loses_none():
+    rng = np.random.default_rng(5)
+    y, x = rng.standard_normal((4_000, 3)), rng.standard_normal((200, 3))
+    tree = neighbours.CellTree(3)
+    tree.grow(None, y[:200])
+    paths, fars = tree.paths(y)
+    leaf, far = np.array([p[-1] for p in paths]), np.array([f[-1] for f in fars])
+    n = np.bincount(leaf, minlength=200)
+    radius = np.array([far[leaf == c].max() for c in range(200)])
+    kth = np.array([np.sort(far[leaf == c])[min(4, n[c] - 1)] for c in range(200)])
+    distance = np.sqrt(neighbours._squares(x, y))
+    bound = np.sort(distance, axis=1)[:, 4]
+    loose, close = tree.reach(x, n, radius, kth, 5), tree.reach(x, n, radius, kth, 5, bound)
+    assert len(close[0]) < len(loose[0])
+    for pairs in (loose, close):
+        met = set(zip(pairs[0].tolist(), pairs[1].tolist()))
+        assert all((i, leaf[j]) in met for i in range(200) for j in np.flatnonzero(distance[i] <= bound[i]))
+
+
 def test_tiles_bound_the_memory_of_a_block():
     import tracemalloc
 
