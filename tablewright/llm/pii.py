@@ -2,8 +2,8 @@
 
 High-recall patterns propose spans that may overlap. The features of a span are its
 format and the characters around it. A few gradient-boosted trees, fitted by Spark ML
-on a bounded sample and turned into column expressions, give each span a score; a
-threshold for each kind, set on a part of the sample that the trees have not seen,
+on the spans of all documents and turned into column expressions, give each span a score; a
+threshold for each kind, set on a part of the spans that the trees have not seen,
 selects spans. The base rules' spans always stay.
 """
 
@@ -39,10 +39,6 @@ AROUND = 24
 _SECRET_WORD = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|credential|bearer)[\x22']?\s*[:=]?\s*[\x22']?$"
 _NUMBER_WORD = r"(?i)(phone|tel|call|mobile|cell|fax|card|account|acct|ssn|iban|no\.?|number)[\x22']?\s*[:=.]?\s*\(?\+?[0-9]{0,3}\s*$"
 _CHANGE = "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
-#: Documents whose candidates the trees may be fitted on, at most (of the smallest digests of their ids) ...
-TRAIN_DOCS = 20_000
-#: ... and candidates, at most (of the smallest digests).
-TRAIN_SPANS = 4_000
 TREES, DEPTH = 8, 3
 #: Share of right spans that a kind's threshold must reach on the part held back.
 PRECISION = 0.95
@@ -240,19 +236,16 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> SpanModel:
-    """Fit trees and thresholds on a bounded sample of ``docs``.
+    """Fit trees and thresholds on the candidates of all ``docs``.
 
-    At most TRAIN_DOCS documents and TRAIN_SPANS candidates, both of the smallest
-    digests. Labels come from strict formats and from words that name a credential.
+    Candidates of a digest from "a" on are held back from the trees and set the thresholds.
+    Labels come from strict formats and from words that name a credential.
     Without candidates of both labels there are no trees and no added spans.
     """
-    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(digest, "doc_id").limit(TRAIN_DOCS)
-    sample = prepared(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
-    spans = sample.select("doc_id", F.explode(described()).alias("c")).select("doc_id", "c.*")
-    spans = spans.withColumn("label", _surely(F.col("span.kind"), F.col("span.value"), F.col("before")).cast("double"))
-    order = F.md5(F.concat_ws(":", "doc_id", "span.kind", "span.start").cast("binary"))
-    spans = written(spans.withColumn("order", order).orderBy("order").limit(TRAIN_SPANS).withColumn("back", F.col("order") >= "a"))
+    spans = prepared(docs.select("doc_id", "text")).select("doc_id", F.explode(described()).alias("c")).select("doc_id", "c.*")
+    digest = F.md5(F.concat_ws(":", "doc_id", "span.kind", "span.start").cast("binary"))
+    label = _surely(F.col("span.kind"), F.col("span.value"), F.col("before")).cast("double")
+    spans = written(spans.select(F.col("span.kind").alias("kind"), label.alias("label"), (digest >= "a").alias("back"), *FEATURES))
     told = {r["label"]: r["n"] for r in spans.where("not back").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(told) < 2:
         return SpanModel()
@@ -260,18 +253,18 @@ def fit(docs: DataFrame) -> SpanModel:
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=16, seed=3).fit(rows.select("features", "label"))
     model = SpanModel([_tree(t._java_obj.rootNode()) for t in fitted.trees], [float(w) for w in fitted.treeWeights])
     row = {n: F.col(n) for n in FEATURES}
-    held = spans.where("back").select(F.col("span.kind").alias("kind"), "label", F.round(model.score(row), 4).alias("score"))
-    by_kind: dict[str, list[tuple[float, float]]] = {}
+    # Scores have four decimals, so a kind has 10,001 of them at most.
+    score = F.round(model.score(row), 4)
+    held = spans.where("back").groupBy("kind", score.alias("score")).agg(F.count("*").alias("n"), F.sum("label").alias("right"))
+    by_kind: dict[str, list[tuple[float, int, float]]] = {}
     for r in held.collect():
-        by_kind.setdefault(r["kind"], []).append((r["score"], r["label"]))
+        by_kind.setdefault(r["kind"], []).append((r["score"], r["n"], r["right"]))
     for kind, scores in by_kind.items():
         right = total = 0.0
-        scores.sort(reverse=True)
-        for i, (score, label) in enumerate(scores):
-            total += 1
-            right += label
-            last = i + 1 == len(scores) or scores[i + 1][0] != score
-            if last and right / total >= PRECISION:
+        for score, n, held_right in sorted(scores, reverse=True):
+            total += n
+            right += held_right
+            if right / total >= PRECISION:
                 model.thresholds[kind] = score
     return model
 

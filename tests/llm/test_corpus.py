@@ -695,3 +695,14 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert os.path.exists(public_tokenizers.path(queries.VOCABULARY))
+
+
+def test_the_trees_of_personal_data_see_the_candidates_of_all_documents(spark, monkeypatch):
+    """More candidates than the trees once were fitted on at most (4,000), a fifth of them credentials by their names."""
+    seen, write = [], pii.written
+    monkeypatch.setattr(pii, "written", lambda df: seen.append(write(df)) or seen[-1])
+    docs = spark.range(4_500).selectExpr(
+        "id as doc_id", "concat(if(id % 5 = 0, 'password: ', 'item '), substr(md5(cast(id as string)), 1, 20), 'a1') as text"
+    )
+    model = pii.fit(docs)
+    assert model.trees and seen[0].where("kind = 'secret'").count() == 4_500
