@@ -266,3 +266,33 @@ def test_neighbour_model_on_copied_rows_without_a_key(spark):
     assert not m.keyed
     scored = training.score_batch(training.fit_one("knn", m, m.part("train"), None), m)
     assert scored.count() == m.part("test").count()
+
+
+def test_rows_are_dealt_over_the_cores_before_they_are_fitted(spark, monkeypatch):
+    """A matrix from one split of a file, of more rows than a task is worth."""
+    monkeypatch.setattr("tablewright.session.TASK_ROWS", 20)
+    m = matrix_of(spark)
+    m = training.replace(m, df=m.df.coalesce(1))
+    parts, real = [], training.fit_one
+    monkeypatch.setattr(training, "fit_one", lambda name, x, train, c: parts.append(train.rdd.getNumPartitions()) or real(name, x, train, c))
+    rows = m.df.count()
+    done = training.train_models(m, ["linear"])
+    assert parts == [min(8, rows // 20)] and parts[0] > 1
+    assert training.training_rows(m).rdd.getNumPartitions() > 1
+    done.release()
+
+
+def test_one_against_the_rest_stores_no_copy_of_all_classes(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.linalg import Vectors
+
+    from tablewright.operators.estimators import CLASSIFICATION, FitContext, OneVsRestUncached
+
+    assert isinstance(CLASSIFICATION["rbf_svc"](FitContext(10, 2, 3)).getStages()[-1], OneVsRestUncached)
+    df = spark.createDataFrame([(float(i % 3), Vectors.dense([i % 3 + i / 90, i % 7])) for i in range(60)], ["label", "features"])
+    plain = OneVsRest(classifier=LinearSVC(maxIter=5)).fit(df)
+    kept = []
+    monkeypatch.setattr(type(df), "persist", lambda self, *level: kept.append(self) or self)
+    lean = OneVsRestUncached(classifier=LinearSVC(maxIter=5)).fit(df)
+    assert not kept
+    assert [m.coefficients.toArray().tolist() for m in lean.models] == [m.coefficients.toArray().tolist() for m in plain.models]
