@@ -7,25 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.report import local_rows
 from ..functions.schema import col, flat_columns, is_nested
+from .digests import PACKED, SLICE_BYTES, can_split, plain_path, split_digests
 
 SEPARATOR = "\u0001"
 NULL_MARK = "\u0000"
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, modified, sha256)`` per file, one task reading each file.
+def file_manifest(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``(path, length, modified, sha256)`` per file.
 
-    A digest needs the bytes in order, so a file is the unit of work; use
-    :func:`table_fingerprint` to check the content of very large files in splits.
+    A digest needs the bytes in order: a file of up to ``slice_bytes`` is read by one task,
+    a longer one slice by slice, by tasks that hand on the state of the digest.  A packed file
+    (``.gz`` and the like), and any file where ``hashlib`` is not built on a shared library,
+    is read whole by one task, up to 2 GB.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
-        "path",
-        "length",
-        F.col("modificationTime").alias("modified"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    facts = ["path", "length", F.col("modificationTime").alias("modified")]
+    read = [*facts, F.sha2("content", 256).alias("sha256")]
+    if not can_split():
+        return files.select(*read)
+    name = F.xxhash64("_metadata.file_path").alias("name")
+    long = files.where(F.col("length") > slice_bytes).select("path", name, "length").collect()
+    done = files.where(F.col("length") <= slice_bytes).select(*read)
+    packed = [r["path"] for r in long if PACKED.search(r["path"])]
+    split = [tuple(r) for r in long if not PACKED.search(r["path"])]
+    if packed:
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([plain_path(p) for p in packed])
+        done = done.unionAll(whole.select(*read))
+    if split:
+        digests = local_rows(files, split_digests(spark, split, slice_bytes), "path string, sha256 string")
+        known = files.where(F.col("length") > slice_bytes).select(*facts)
+        done = done.unionAll(known.join(F.broadcast(digests), "path"))
+    return done
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """File formats, fingerprints, whole runs, narratives, charts and arrivals."""
 
+import gzip
 import hashlib
 import json
 import os
+import random
 import tempfile
 
 import pandas as pd
@@ -17,6 +19,7 @@ from tablewright.plans.analysis import analyse, process
 from tablewright.plans.sinks import append_audit, audit_frame, summary_json, write_report
 from tablewright.plans.validation import DataValidationError
 from tablewright.session import checkpointed
+from tablewright.sources import digests
 from tablewright.sources.columns import check_target
 from tablewright.sources.fingerprint import file_manifest, table_fingerprint
 from tablewright.sources.readers import EmptyTableError, charset_by_file, load_table
@@ -94,6 +97,35 @@ def test_manifest_digests(spark, place):
     assert row["sha256"] == hashlib.sha256(b"a\n1\n").hexdigest() and row["length"] == 4
 
 
+def test_manifest_digests_long_files_slice_by_slice(spark, place):
+    """Bytes of any kind: no task is given a whole file, and the digests are those of the files."""
+    rng = random.Random(7)
+    noise = rng.randbytes(90_000)
+    contents = {
+        "noise.parquet": noise,
+        "ends [1].bin": noise[:50_000] + b"\n",
+        "marked.txt": b"\xef\xbb\xbf" + b"a\r\n" * 9_000,
+        "marked open.txt": b"\xef\xbb\xbf" + b"b\n\n" * 9_000 + b"c",
+        "no lines.bin": bytes(40_000),
+        "only lines.bin": b"\n" * 30_000,
+        "packed.gz": gzip.compress(noise),
+        "k=1/short.bin": b"x",
+    }
+    os.mkdir(os.path.join(place, "k=1"))
+    for name, content in contents.items():
+        with open(os.path.join(place, name), "wb") as f:
+            f.write(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = {r["path"]: (r["length"], r["sha256"]) for r in file_manifest(spark, place, slice_bytes=10_000).collect()}
+        pieces = digests._pieces_of(spark, [os.path.join(place, "noise.parquet")])
+        most = pieces.groupBy("block").agg(F.sum(F.length("data")).alias("n")).agg(F.max("n")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {f"file:{place}/{n}": (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
+    assert most < 10_000
+
+
 def test_fingerprint_ignores_order_not_content(spark):
     rows = [(1, "a", [1]), (2, None, None), (3, "", [])]
     schema = "n int, s string, l array<int>"
