@@ -14,9 +14,11 @@ a few rows per task: no shuffle of data.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,41 +171,79 @@ def _literal(x: float) -> str:
     return f"{x!r}D"
 
 
-def _place(v: str, cuts: Sequence[float], start: int, end: int) -> str:
-    """Zone number of a value by halving: odd on a cut point, even between two."""
-    if start == end:
-        return str(2 * start)
-    middle = (start + end) // 2
-    cut = _literal(cuts[middle])
-    return (
-        f"CASE WHEN {v} < {cut} THEN {_place(v, cuts, start, middle)}"
-        f" WHEN {v} > {cut} THEN {_place(v, cuts, middle + 1, end)} ELSE {2 * middle + 1} END"
-    )
+def _zone_counts(ranges: list[tuple[int, float | None, float | None, list[float]]]):
+    """``(c, z, n, least, most)`` of each zone in the rows of a task: odd on a cut point, even between two.
+
+    A batch is sorted by column, so that the edges of all zones are found by halving;
+    what is kept between batches is a row a zone.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], tuple[int, float, float]] = {}
+        for batch in batches:
+            ordered: dict[int, np.ndarray] = {}
+            for i, (column, low, high, cuts) in enumerate(ranges):
+                if column not in ordered:
+                    ordered[column] = np.sort(batch.column(f"v{column}").drop_null().to_numpy(zero_copy_only=False))
+                values = ordered[column]
+                first = 0 if low is None else np.searchsorted(values, low, "right")
+                end = len(values) if high is None else np.searchsorted(values, high, "left")
+                edges = np.empty(2 * len(cuts) + 2, np.int64)
+                edges[0], edges[-1] = first, max(first, end)
+                edges[1:-1:2], edges[2:-1:2] = np.searchsorted(values, cuts, "left"), np.searchsorted(values, cuts, "right")
+                edges = np.clip(edges, edges[0], edges[-1])
+                for z in np.flatnonzero(np.diff(edges)).tolist():
+                    start, stop = int(edges[z]), int(edges[z + 1])
+                    bottom, top = float(values[start]), float(values[stop - 1])
+                    n, least, most = found.get((i, z), (0, bottom, top))
+                    found[i, z] = (n + stop - start, min(least, bottom), top if math.isnan(top) else max(most, top))
+        rows = [(i, z, *kept) for (i, z), kept in found.items()]
+        names = ["c", "z", "n", "least", "most"]
+        if rows:
+            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)), strict=True)))
+
+    return run
+
+
+def _zone_values(bounds: list[tuple[int, float | None, float | None]]):
+    """``(z, v, n)`` of the values strictly inside each zone."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = {c: batch.column(f"v{c}").drop_null().to_numpy(zero_copy_only=False) for c in {b[0] for b in bounds}}
+            for j, (column, low, high) in enumerate(bounds):
+                values = arrays[column]
+                if low is not None:
+                    values = values[(values > low) | np.isnan(values)]
+                if high is not None:
+                    values = values[values < high]
+                if len(values):
+                    distinct, n = np.unique(values, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"z": np.full(len(n), j), "v": distinct, "n": n})
+
+    return run
 
 
 def _count_zones(
     data: DataFrame, plan: dict[int, tuple], columns: list[int]
 ) -> tuple[list[_Zone], dict]:
     """Exact row counts on and between the cut points of each planned range."""
-    cells = []
-    for i, (low, high, _, cuts) in plan.items():
-        v = f"v{columns[i]}"
-        zone = f"CASE WHEN {_inside(v, low, high)} THEN {_place(v, cuts, 0, len(cuts))} END"
-        cells += [str(i), zone, v]
+    ranges = [(columns[i], low, high, cuts) for i, (low, high, _, cuts) in plan.items()]
+    used = sorted({f"v{r[0]}" for r in ranges})
     counted = (
-        data.selectExpr(f"stack({len(plan)}, {', '.join(cells)}) AS (c, z, v)")
-        .filter("z IS NOT NULL")
+        data.select(*used)
+        .mapInArrow(_zone_counts(ranges), "c long, z long, n long, least double, most double")
         .groupBy("c", "z")
-        .agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        .agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
         .collect()
     )
     stats = {(r["c"], r["z"]): r for r in counted}
     zones: list[_Zone] = []
     points: dict[tuple[int, int], tuple[float, int]] = {}
-    for i, (low, high, before, cuts) in plan.items():
+    for place, (i, (low, high, before, cuts)) in enumerate(plan.items()):
         edges = [low, *cuts, high]
         for z in range(2 * len(cuts) + 1):
-            r = stats.get((i, z))
+            r = stats.get((place, z))
             if r is None:
                 continue
             if z % 2:
@@ -239,18 +279,13 @@ def _gather(data: DataFrame, zones: list[_Zone], ranks, found) -> None:
     """Bring the distinct values of small zones to the driver and read the ranks off."""
     if not zones:
         return
-    by_column: dict[int, list[tuple[int, _Zone]]] = {}
-    for j, z in enumerate(zones):
-        by_column.setdefault(z.column, []).append((j, z))
-    cells = []
-    for i, members in by_column.items():
-        place = " ".join(f"WHEN {z.test()} THEN {j}" for j, z in members)
-        cells += [f"CASE {place} END", f"v{i}"]
+    used = sorted({f"v{z.column}" for z in zones})
+    bounds = [(z.column, z.low, z.high) for z in zones]
     values = (
-        data.selectExpr(f"stack({len(by_column)}, {', '.join(cells)}) AS (z, v)")
-        .filter("z IS NOT NULL")
+        data.select(*used)
+        .mapInArrow(_zone_values(bounds), "z long, v double, n long")
         .groupBy("z", "v")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .toArrow()
         .to_pandas()
         .sort_values(["z", "v"])

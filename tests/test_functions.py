@@ -1,12 +1,16 @@
 """Quantiles, ranks, text and numeric expressions on hard cases."""
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tablewright.functions import quantiles
 from tablewright.functions.numeric import (
     nan_to_null,
     pairwise_correlation,
@@ -164,3 +168,22 @@ def test_mean_keeps_its_precision(spark, scale):
     assert nothing.agg(mean_of(nothing, "x")).first()[0] is None
     times = spark.range(1000).select((F.lit(1_700_000_000_000) + F.col("id") * 1_234_567).alias("x"))
     assert times.agg(mean_of(times, "x")).first()[0] == 1_700_000_000_000 + 999 * 1_234_567 / 2
+
+
+def test_zones_are_counted_by_a_row_each():
+    """Whatever the number of rows and columns, a task hands on one row a zone; gaps count nowhere."""
+    nan, inf = math.nan, math.inf
+    batches = [
+        pa.RecordBatch.from_pydict({"v0": [3.0, None, 1.0, -inf, 2.0, 1.0], "v2": [5.0, 5.0, None, None, 6.0, 7.0]}),
+        pa.RecordBatch.from_pydict({"v0": [inf, nan, 1.5, 9.0, 1.0, None], "v2": pa.array([None] * 6, pa.float64())}),
+    ]
+    ranges = [(0, None, None, [1.0, 3.0]), (0, 1.0, 9.0, [2.0]), (2, 5.0, None, [6.0, 8.0])]
+    found = [r for b in quantiles._zone_counts(ranges)(batches) for r in b.to_pylist()]
+    got = {(r["c"], r["z"]): (r["n"], r["least"], r["most"]) for r in found}
+    assert len(found) == len(got) and math.isnan(got[0, 4][2])
+    assert got.pop((0, 4))[:2] == (3, 9.0)
+    assert got == {
+        (0, 0): (1, -inf, -inf), (0, 1): (3, 1.0, 1.0), (0, 2): (2, 1.5, 2.0), (0, 3): (1, 3.0, 3.0),
+        (1, 0): (1, 1.5, 1.5), (1, 1): (1, 2.0, 2.0), (1, 2): (1, 3.0, 3.0),
+        (2, 1): (1, 6.0, 6.0), (2, 2): (1, 7.0, 7.0),
+    }
