@@ -10,7 +10,7 @@ from ..operators import cleaning, features, splitting
 from ..operators.schema_checks import schema_report
 from ..plans.profiling import health_score, profile
 from ..plans.validation import validate
-from ..session import shared_scratch
+from ..session import shared_scratch, stored
 from .base import DIRTY_COLUMNS, DIRTY_SQL, Query, dirty_orders, table, union_sql
 from .quality import (
     DIRTY,
@@ -456,7 +456,7 @@ def _features_report(spark, folder):
 
 
 def _prepared(spark, folder):
-    df = dirty_orders(spark, folder).dropDuplicates()
+    df = stored(dirty_orders(spark, folder).dropDuplicates())
     ready = features.prepare(df, "skewed_class", key=["o_orderkey"])
     return ready.data.select(
         "o_orderkey", "split", *[(F.round(c, 6) + 0.0).alias(c) for c in ready.feature_names]

@@ -117,4 +117,6 @@ def hash_cutoffs(
         .groupBy("g", "eb")
         .agg(F.max(F.when(F.col("pos") <= F.col("need"), F.col("h"))).alias("h"))
     )
-    return found.select("g", F.coalesce("h", "eb").alias("cut"))
+    cuts = found.select("g", F.coalesce("h", "eb").alias("cut"))
+    # a row a group: rows that look up their few groups are not shuffled by them
+    return F.broadcast(cuts) if counted["groups"] <= FEW_GROUPS else cuts

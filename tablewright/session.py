@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +69,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
             return df
         context.setCheckpointDir(configured or shared_scratch(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder: each reader scans the columns it wants.
+
+    For a costly source (a shuffle of all rows) of many runs.  On a cluster without
+    ``spark.checkpoint.dir`` the plan is returned as it is.
+    """
+    spark = df.sparkSession
+    try:
+        path = f"{shared_scratch(spark)}/table-{uuid.uuid4().hex}"
+    except ValueError:
+        return df
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.catalog import preparation
 from tablewright.catalog.base import dirty_orders, table
 from tablewright.operators import cleaning, features, splitting, training
 
@@ -258,3 +259,18 @@ def test_copies_do_not_break_the_cut(spark):
         assert out.count() == 600
     folds = splitting.assign_folds(df, "y")
     assert folds.count() == 600 and folds.filter("v = -1").select("fold").distinct().count() == 1
+
+
+def test_prepared_rows_are_made_once(spark, folder):
+    """The rows without copies are written once; runs over them shuffle no table, by their class neither."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = preparation._prepared(spark, folder)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert made.inputFiles() and all("/table-" in f for f in made.inputFiles())
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        rows = dirty_orders(spark, folder)
+        assert made.count() == rows.distinct().count() < rows.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
