@@ -296,3 +296,54 @@ def test_one_against_the_rest_stores_no_copy_of_all_classes(spark, monkeypatch):
     lean = OneVsRestUncached(classifier=LinearSVC(maxIter=5)).fit(df)
     assert not kept
     assert [m.coefficients.toArray().tolist() for m in lean.models] == [m.coefficients.toArray().tolist() for m in plain.models]
+
+
+def wide_steps(spark, classes):
+    m = matrix_of(spark, classes)
+    train = m.part("train").persist()
+    name = "rbf_svc" if classes else "rbf_regression"
+    return m, train, estimators.registry(m.task)[name](training.fit_context(train, m))
+
+
+@pytest.mark.parametrize("classes", [3, 2])
+def test_kernel_classes_are_fitted_without_lifted_rows(spark, monkeypatch, classes):
+    """The weights of the library, from passes over the plain rows that all classes share."""
+    from pyspark.ml import Pipeline
+
+    from tablewright.operators import lifted
+
+    m, train, steps = wide_steps(spark, classes)
+    passes, stored = [], []
+    summed, packed = lifted._summed, lifted.packed_rows
+    monkeypatch.setattr(lifted, "_summed", lambda *a: passes.append(1) or summed(*a))
+    monkeypatch.setattr(lifted, "packed_rows", lambda *a: stored.append(packed(*a)) or stored[-1])
+    model = steps.fit(train)
+    cells = sum(len(b[3]) for b in stored[0].collect())
+    assert cells <= train.count() * len(m.names)
+    assert len(passes) <= 1.2 * steps.getStages()[-1].getClassifier().getMaxIter()
+    plain = Pipeline(stages=steps.getStages()).fit(train)
+    for ours, theirs in zip(model.stages[-1].models, plain.stages[-1].models, strict=True):
+        assert ours.coefficients.toArray() == pytest.approx(theirs.coefficients.toArray(), rel=1e-6, abs=1e-9)
+        assert ours.intercept == pytest.approx(theirs.intercept, rel=1e-6, abs=1e-9)
+    a = {r["__key"]: (r["prediction"], r["rawPrediction"].toArray()) for r in model.transform(m.part("test")).collect()}
+    b = {r["__key"]: (r["prediction"], r["rawPrediction"].toArray()) for r in plain.transform(m.part("test")).collect()}
+    assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1]) for k in b)
+    train.unpersist()
+
+
+def test_packed_rows_keep_every_number(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from tablewright.operators import lifted
+
+    rows = [(float(i % 3), Vectors.sparse(40, {i % 40: i + 0.5}) if i % 2 else Vectors.dense([i * 1.5] * 40)) for i in range(101)]
+    for part in (rows, [r for i, r in enumerate(rows) if i % 2]):
+        want = sorted((y, x.toArray().tolist()) for y, x in part)
+        got = []
+        for y, shape, at, values in lifted.packed_rows(spark.createDataFrame(part, ["label", "features"]), "label", "features").collect():
+            cells = np.zeros(shape)
+            cells.ravel()[slice(None) if at is None else at] = values
+            got += zip(y.tolist(), cells.tolist())
+        assert sorted(got) == want
+    with pytest.raises(Exception, match="finite"):
+        lifted.packed_rows(spark.createDataFrame([(0.0, Vectors.dense([float("nan")]))], ["label", "features"]), "label", "features").collect()
