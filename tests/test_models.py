@@ -347,3 +347,29 @@ def test_packed_rows_keep_every_number(spark):
         assert sorted(got) == want
     with pytest.raises(Exception, match="finite"):
         lifted.packed_rows(spark.createDataFrame([(0.0, Vectors.dense([float("nan")]))], ["label", "features"]), "label", "features").collect()
+
+
+@pytest.mark.parametrize("shape", ["smooth", "spikes", "equal"])
+def test_huber_kernel_is_fitted_without_lifted_rows(spark, monkeypatch, shape):
+    """Coefficients, intercept and scale of the library, from passes over the plain rows."""
+    from pyspark.ml import Pipeline
+
+    from tablewright.operators import lifted
+
+    m, train, steps = wide_steps(spark, 0)
+    if shape != "smooth":
+        spiky = F.when(F.col("__key") % 9 == 0, F.col("label") * 1e4).otherwise(F.col("label") * 100)
+        train = train.withColumn("label", F.lit(7.5) if shape == "equal" else spiky).persist()
+    passes, summed = [], lifted._summed
+    monkeypatch.setattr(lifted, "_summed", lambda *a: passes.append(1) or summed(*a))
+    model = steps.fit(train)
+    assert bool(passes) == (shape != "equal")
+    plain = Pipeline(stages=steps.getStages()).fit(train)
+    ours, theirs = model.stages[-1], plain.stages[-1]
+    assert ours.coefficients.toArray() == pytest.approx(theirs.coefficients.toArray(), rel=1e-4, abs=1e-6)
+    assert ours.intercept == pytest.approx(theirs.intercept, rel=1e-4, abs=1e-6)
+    assert ours.scale == pytest.approx(theirs.scale, rel=1e-4)
+    a = {r["__key"]: r["prediction"] for r in model.transform(m.part("test")).collect()}
+    b = {r["__key"]: r["prediction"] for r in plain.transform(m.part("test")).collect()}
+    assert a == pytest.approx(b, rel=1e-4, abs=1e-6)
+    train.unpersist()
