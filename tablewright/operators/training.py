@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.report import local_rows
 from ..functions.schema import col
-from ..session import spread
+from ..session import spread, tasks_for
 from . import neighbours
-from .estimators import LARGE_ONLY, NEIGHBOURS, FitContext, model_order, registry, usable_value
+from .estimators import FOREST, LARGE_ONLY, NEIGHBOURS, FitContext, model_order, registry, usable_value
 from .evaluation import classification_metrics, regression_metrics, silhouette_squared
 from .features import BROADCAST_ROWS
 from .splitting import FOLDS, SEED, assign_folds
@@ -29,6 +29,8 @@ SMALL_TRAINING, CV_MINIMUM, CLUSTER_MINIMUM = 100, 10, 50
 TINY_TABLE, SMALL_TABLE = 50, 100
 TOP_IMPORTANCES, TOP_PERMUTATION, PERMUTATION_REPEATS = 20, 10, 10
 SAMPLE_PREDICTIONS = 20
+# Cells of a sample that shows where a column's bins lie; bins and bits of a key that orders rows.
+SHOWN_CELLS, KEY_BINS, KEY_BITS = 1_000_000, 32, 62
 METRICS = ("rmse", "mae", "r2", "accuracy", "precision", "recall", "f1", "cv_mean_f1", "cv_std_f1", "silhouette")
 LEADERBOARD_SCHEMA = (
     "model string, model_order int, primary_metric string, score double, "
@@ -168,10 +170,76 @@ def training_rows(matrix: Matrix) -> DataFrame:
     return spread(train, train.count()).persist()
 
 
+def _key_bits(shown: Any) -> list[tuple[int, Any, int]]:
+    """``(column, cuts, shift)`` of each bit of a key, the most telling bits of all columns first."""
+    import numpy as np
+
+    columns = []
+    for j in range(shown.shape[1]):
+        cuts = np.unique(np.quantile(shown[:, j], np.arange(1, KEY_BINS) / KEY_BINS, method="lower"))
+        values = np.unique(shown[:, j])
+        if len(values) < 2:
+            continue
+        if len(values) <= KEY_BINS:
+            cuts = values[:-1]
+        share = np.bincount(np.searchsorted(cuts, shown[:, j])) / len(shown)
+        share = share[share > 0]
+        columns.append((-float(-(share * np.log2(share)).sum()), j, cuts, len(cuts).bit_length()))
+    columns.sort(key=lambda c: c[:2])
+    bits = [(j, cuts, width - 1 - k) for k in range(KEY_BINS) for _, j, cuts, width in columns if k < width]
+    return bits[:KEY_BITS]
+
+
+def near_rows(train: DataFrame, rows: int) -> DataFrame:
+    """All rows of ``train``, those with like features next to each other inside each partition.
+
+    A forest looks up the node of each row in each tree, level by level: like rows take the same
+    ways, which then are in the cache.  Bins of the columns, from a sample, are interleaved to a
+    key, and partitions are sorted by it.  Few rows (one task) stay as they are.
+    """
+    import numpy as np
+
+    spark = train.sparkSession
+    if tasks_for(spark, rows) < 2:
+        return train
+    kept = train.select("features", "label")
+    width = kept.select(F.size(vector_to_array("features"))).first()[0]
+    most = max(100, SHOWN_CELLS // max(1, width))
+    shown = kept.sample(min(1.0, most / rows), SEED).select(vector_to_array("features").alias("x")).limit(2 * most).collect()
+    bits = _key_bits(np.array([r["x"] for r in shown], dtype=float)) if len(shown) > 1 else []
+    if not bits:
+        return train
+    used = sorted({j for j, _, _ in bits})
+    place = {j: i for i, j in enumerate(used)}
+
+    @F.pandas_udf("long")
+    def key(x):
+        import pandas as pd
+
+        cells = np.asarray(x.tolist(), dtype=float).reshape(len(x), len(used))
+        bins = {j: np.searchsorted(cuts, cells[:, place[j]]) for j, cuts, shift in bits if shift == len(cuts).bit_length() - 1}
+        out = np.zeros(len(x), dtype=np.int64)
+        for j, _, shift in bits:
+            out = (out << 1) | ((bins[j] >> shift) & 1)
+        return pd.Series(out)
+
+    x = vector_to_array("features")
+    return kept.withColumn("k", key(F.array(*[x[j] for j in used]))).sortWithinPartitions("k").drop("k")
+
+
 def fit_one(name: str, matrix: Matrix, train: DataFrame, context: FitContext) -> Any:
     if name == NEIGHBOURS:
         return NeighbourModel(train, matrix)
-    return registry(matrix.task)[name](context).fit(train)
+    model = registry(matrix.task)[name](context)
+    if name == FOREST:
+        near = near_rows(train, context.rows)
+        held = near if near is train else near.persist()
+        try:
+            return model.fit(held)
+        finally:
+            if held is not train:
+                held.unpersist()
+    return model.fit(train)
 
 
 def score_one(matrix: Matrix, predicted: DataFrame) -> dict[str, float]:

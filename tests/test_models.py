@@ -373,3 +373,30 @@ def test_huber_kernel_is_fitted_without_lifted_rows(spark, monkeypatch, shape):
     b = {r["__key"]: r["prediction"] for r in plain.transform(m.part("test")).collect()}
     assert a == pytest.approx(b, rel=1e-4, abs=1e-6)
     train.unpersist()
+
+
+def test_forests_are_fitted_on_like_rows_side_by_side(spark, monkeypatch):
+    """Every row once, in its partition, sorted so that neighbours share their bins; few rows as they are."""
+    monkeypatch.setattr("tablewright.session.TASK_ROWS", 100)
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"a": rng.permutation(800) * 1.0, "b": rng.normal(0, 1, 800).round(1), "c": rng.integers(0, 2, 800) * 1.0, "e": 1.0})
+    x = array_to_vector(F.array("a", "b", "c", "e"))
+    train = spark.createDataFrame(frame).select(x.alias("features"), F.col("c").alias("label"), F.lit("k").alias("__key")).repartition(3).persist()
+    near = training.near_rows(train, 800)
+
+    def parts(df):
+        return df.rdd.glom().map(lambda p: [tuple(r["features"].toArray().tolist()) for r in p]).collect()
+
+    def apart(rows):
+        return sum(abs(p[0] - q[0]) / 800 + abs(p[1] - q[1]) / 6 + abs(p[2] - q[2]) for part in rows for p, q in zip(part, part[1:]))
+
+    before, after = parts(train), parts(near)
+    assert [sorted(p) for p in before] == [sorted(p) for p in after]
+    assert apart(after) < 0.4 * apart(before)
+    assert training.near_rows(train, 150) is train
+    fitted = []
+    monkeypatch.setattr(training, "near_rows", lambda df, rows: fitted.append(rows) or near)
+    m = training.Matrix(train, ["a", "b", "c", "e"], "classification", ["0", "1"])
+    model = training.fit_one("random_forest", m, train, FitContext(800, 4, 2))
+    assert fitted == [800] and model.featureImportances.size == 4
+    train.unpersist()
